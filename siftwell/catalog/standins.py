@@ -107,3 +107,125 @@ bm_all AS (
 bm_rank AS MATERIALIZED (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank
   FROM bm_all WHERE score > 0)"""
+
+
+def chunk_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem rows as function metrics."""
+    return table(spark, folder, "lineitem").select(
+        F.concat(F.lit("o"), F.col("l_orderkey")).alias("file_path"),
+        F.concat(F.lit("f"), F.col("l_partkey")).alias("name"),
+        F.col("l_suppkey").alias("author_id"),
+        F.col("l_returnflag").alias("project"),
+        F.col("l_linestatus").alias("side"),
+        F.when(F.col("l_returnflag") == "R", "class").when(F.col("l_returnflag") == "A", "method").otherwise("function").alias("chunk_type"),
+        F.col("l_quantity").cast("int").alias("cognitive_complexity"),
+        F.round(F.col("l_discount") * 200).cast("int").alias("cyclomatic_complexity"),
+        F.col("l_linenumber").alias("max_nesting_depth"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("parameter_count"),
+        F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("lines_of_code"),
+        F.col("l_linenumber").alias("comment_lines"),
+        F.trunc("l_shipdate", "month").alias("ts"),
+    )
+
+
+CM = """cm AS (
+  SELECT 'o' || l_orderkey AS file_path, 'f' || l_partkey AS name, l_suppkey AS author_id, l_returnflag AS project,
+         l_linestatus AS side, CASE l_returnflag WHEN 'R' THEN 'class' WHEN 'A' THEN 'method' ELSE 'function' END AS chunk_type,
+         l_quantity::INT AS cognitive_complexity, round(l_discount * 200)::INT AS cyclomatic_complexity,
+         l_linenumber AS max_nesting_depth, round(l_tax * 100)::INT AS parameter_count,
+         floor(l_extendedprice / 1000)::INT AS lines_of_code, l_linenumber AS comment_lines,
+         date_trunc('month', l_shipdate)::DATE AS ts
+  FROM lineitem),
+cms AS (
+  SELECT *, (lines_of_code > 50 OR cognitive_complexity > 15)::INT + (max_nesting_depth > 4)::INT
+            + (parameter_count > 5)::INT + (cyclomatic_complexity > 10)::INT AS smells FROM cm)"""
+
+SMELLS = CM + """,
+smells AS (
+  SELECT file_path, name AS function_name, 'Long Method' AS name, 'warning' AS severity,
+         greatest(lines_of_code, cognitive_complexity)::DOUBLE AS metric_value, 50.0::DOUBLE AS threshold
+  FROM cm WHERE lines_of_code > 50 OR cognitive_complexity > 15
+  UNION ALL SELECT file_path, name, 'Deep Nesting', 'warning', max_nesting_depth, 4 FROM cm WHERE max_nesting_depth > 4
+  UNION ALL SELECT file_path, name, 'Long Parameter List', 'warning', parameter_count, 5 FROM cm WHERE parameter_count > 5
+  UNION ALL SELECT file_path, name, 'Complex Method', 'warning', cyclomatic_complexity, 10 FROM cm WHERE cyclomatic_complexity > 10)"""
+
+FILE_METRICS = CM + """,
+fm AS (
+  SELECT file_path, count(*) AS chunk_count, sum(cognitive_complexity)::BIGINT AS total_complexity,
+         avg(cognitive_complexity) AS avg_complexity, max(cognitive_complexity) AS max_complexity,
+         sum(lines_of_code)::BIGINT AS total_lines, sum(comment_lines)::BIGINT AS comment_lines,
+         count_if(chunk_type = 'function')::BIGINT AS function_count, count_if(chunk_type = 'class')::BIGINT AS class_count,
+         count_if(chunk_type = 'method')::BIGINT AS method_count, sum(smells)::BIGINT AS smell_count
+  FROM cms GROUP BY file_path),
+health AS (
+  SELECT *, greatest(0.0, 1.0 - CASE WHEN avg_complexity > 30 THEN 0.5 WHEN avg_complexity > 20 THEN 0.3
+                                     WHEN avg_complexity > 10 THEN 0.2 WHEN avg_complexity > 5 THEN 0.1 ELSE 0 END
+                  - least(0.3, smell_count * 0.05)
+                  - CASE WHEN total_lines > 0 AND (comment_lines / total_lines < 0.1 OR comment_lines / total_lines > 0.5)
+                         THEN 0.1 ELSE 0 END)::DOUBLE AS health FROM fm)"""
+
+SNAPSHOTS = CM + """,
+snap0 AS (
+  SELECT project, ts, count(DISTINCT file_path) AS total_files, count(*) AS total_chunks, sum(lines_of_code)::BIGINT AS total_lines,
+         coalesce(avg(CASE WHEN cognitive_complexity <> 0 THEN cognitive_complexity END), 0) AS avg_complexity,
+         max(cognitive_complexity) AS max_complexity, sum(smells)::BIGINT AS total_smells,
+         count_if(cognitive_complexity > 20)::BIGINT AS high_complexity
+  FROM cms GROUP BY project, ts),
+snap AS (
+  SELECT *, greatest(0, floor(100 - CASE WHEN avg_complexity > 30 THEN 50 WHEN avg_complexity > 20 THEN 30
+              WHEN avg_complexity > 10 THEN 20 WHEN avg_complexity > 5 THEN 10 ELSE 0 END - least(30, total_smells * 5)))::INT AS health
+  FROM snap0)"""
+
+
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwell.operators import history
+
+    return history.trend_metrics(chunk_metrics(spark, folder), ["project", "ts"])
+
+
+def commit_files(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem rows as the files of a commit: sha, author, ts, path, insertions, deletions, line."""
+    li = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("sha"),
+        F.concat(F.lit("p"), F.col("l_partkey")).alias("path"),
+        F.col("l_quantity").cast("int").alias("insertions"),
+        F.col("l_linenumber").alias("deletions"),
+    )
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.to_date("o_orderdate").alias("ts")
+    )
+    return orders.join(li, "sha")
+
+
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    """orders as commits with files_changed, insertions, deletions and a message."""
+    stats = commit_files(spark, folder).groupBy("sha").agg(
+        F.count("*").alias("files_changed"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions")
+    )
+    key = F.col("o_orderkey").cast("string")
+    message = (
+        F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("Bump part"), key, F.lit(" from 1 to 2")))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("chore: update orders"))
+        .otherwise(F.concat(F.lit("Change order "), key))
+    )
+    return (
+        table(spark, folder, "orders")
+        .select(
+            F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.to_date("o_orderdate").alias("ts"), message.alias("message")
+        )
+        .join(stats, "sha", "left")
+        .fillna(0, ["files_changed", "insertions", "deletions"])
+    )
+
+
+COMMITS = """cf AS (
+  SELECT o_orderkey AS sha, o_custkey AS author, o_orderdate::DATE AS ts, 'p' || l_partkey AS path,
+         l_quantity::INT AS insertions, l_linenumber AS deletions
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+commits AS (
+  SELECT o_orderkey AS sha, o_custkey AS author, o_orderdate::DATE AS ts,
+         CASE o_orderpriority WHEN '5-LOW' THEN 'Bump part' || o_orderkey || ' from 1 to 2'
+              WHEN '4-NOT SPECIFIED' THEN 'chore: update orders' ELSE 'Change order ' || o_orderkey END AS message,
+         coalesce(files_changed, 0)::BIGINT AS files_changed, coalesce(insertions, 0)::BIGINT AS insertions, coalesce(deletions, 0)::BIGINT AS deletions
+  FROM orders LEFT JOIN (SELECT sha, count(*) AS files_changed, sum(insertions) AS insertions, sum(deletions) AS deletions
+                         FROM cf GROUP BY sha) s ON s.sha = o_orderkey)"""

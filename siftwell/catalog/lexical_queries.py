@@ -43,7 +43,7 @@ def bm25_index(spark, d):
 @query(
     "bm25_search",
     f"""WITH {st.BM25_HITS}
-    SELECT query_id, chunk_id, score, rank, round(least(1.0, score / 10), 6) AS similarity
+    SELECT query_id, chunk_id, score, rank, round(least(1.0, score / 10), 7) AS similarity
     FROM bm_rank WHERE rank <= 10""",
 )
 def bm25_search(spark, d):

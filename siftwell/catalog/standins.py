@@ -229,3 +229,49 @@ commits AS (
          coalesce(files_changed, 0)::BIGINT AS files_changed, coalesce(insertions, 0)::BIGINT AS insertions, coalesce(deletions, 0)::BIGINT AS deletions
   FROM orders LEFT JOIN (SELECT sha, count(*) AS files_changed, sum(insertions) AS insertions, sum(deletions) AS deletions
                          FROM cf GROUP BY sha) s ON s.sha = o_orderkey)"""
+
+
+def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Query texts of many shapes: the benchmark passages and phrases built from part rows."""
+    k = F.col("p_size") % 8
+    n, b = F.col("p_name"), F.col("p_brand")
+    cases = [
+        F.concat(F.lit("auth "), n),
+        F.concat(F.lit("getPart."), b),
+        F.concat(F.lit("find error in "), n),
+        F.lower("p_type"),
+        F.concat(F.lit("delete_user "), n),
+        F.concat(F.lit("where is the database config for "), n, F.lit(" "), b),
+        F.concat(F.lit("API endpoint() "), b),
+    ]
+    text = F.concat(n, F.lit(" "), F.col("p_type"))
+    for i, c in enumerate(cases):
+        text = F.when(k == i, c).otherwise(text)
+    made = table(spark, folder, "part").select((F.col("p_partkey") + 1000000).alias("query_id"), text.alias("text"))
+    return search_queries(spark, folder).unionByName(made)
+
+
+MIXED = """mixed AS (
+  SELECT item_id AS query_id, text FROM benchmark
+  UNION ALL SELECT p_partkey + 1000000, CASE p_size % 8 WHEN 0 THEN 'auth ' || p_name WHEN 1 THEN 'getPart.' || p_brand WHEN 2 THEN 'find error in ' || p_name
+    WHEN 3 THEN lower(p_type) WHEN 4 THEN 'delete_user ' || p_name WHEN 5 THEN 'where is the database config for ' || p_name || ' ' || p_brand
+    WHEN 6 THEN 'API endpoint() ' || p_brand ELSE p_name || ' ' || p_type END FROM part)"""
+
+
+def sql_values(rows: list[tuple]) -> str:
+    """SQL VALUES list of string / number tuples."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(quote(v) for v in r) + ")" for r in rows)
+
+
+VECTORS = BM25_HITS + """,
+bucketed AS (SELECT chunk_id, (('0x' || substr(md5(term), 1, 8))::UBIGINT % 64)::INT AS b, sum(tf)::DOUBLE AS w FROM toks GROUP BY ALL),
+asked_b AS (SELECT item_id AS query_id, (('0x' || substr(md5(term), 1, 8))::UBIGINT % 64)::INT AS b, sum(tf)::DOUBLE AS w FROM asked GROUP BY ALL),
+cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS n FROM bucketed GROUP BY 1),
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM asked_b GROUP BY 1),
+vec_all AS (
+  SELECT query_id, chunk_id, round(sum(a.w * c.w) / any_value(qn.n * cn.n), 6) AS cosine
+  FROM asked_b a JOIN bucketed c USING (b) JOIN cn USING (chunk_id) JOIN qn USING (query_id) GROUP BY ALL),
+vec_rank AS MATERIALIZED (
+  SELECT query_id, chunk_id, round(1 - cosine, 6) AS distance, round(greatest(0, 1 - round(1 - cosine, 6) / 2), 7) AS similarity,
+         (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id))::INT AS rank FROM vec_all)"""

@@ -100,7 +100,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, text: str = "text", query_
 def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 10, text: str = "text", query_id: str = "query_id") -> DataFrame:
     """Top ``k`` chunks per query: query_id, chunk_id, score, rank, similarity = min(1, score / 10)."""
     ranked = assign_rank(bm25_scores(index, queries, text, query_id)).filter(F.col("rank") <= k)
-    return ranked.withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("score") / 10), 6))
+    return ranked.withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("score") / 10), 7))
 
 
 def assign_rank(hits: DataFrame, score: str = "score", id_col: str = "chunk_id", query_id: str = "query_id") -> DataFrame:

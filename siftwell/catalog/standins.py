@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwell.operators import chunking, lexical
 
@@ -275,3 +276,73 @@ vec_all AS (
 vec_rank AS MATERIALIZED (
   SELECT query_id, chunk_id, round(1 - cosine, 6) AS distance, round(greatest(0, 1 - round(1 - cosine, 6) / 2), 7) AS similarity,
          (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id))::INT AS rank FROM vec_all)"""
+
+
+def code_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """part rows as code chunks: some names shared, some private, some generic."""
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size")
+    name = (
+        F.when(s == 1, F.regexp_replace("p_name", " ", "_")).when(s == 2, F.concat(F.lit("_hidden"), k)).when(s == 3, "main")
+        .otherwise(F.concat(F.lit("fn_"), k))
+    )
+    return table(spark, folder, "part").select(
+        F.concat(F.lit("part:"), k).alias("chunk_id"),
+        name.alias("name"),
+        F.when(F.col("p_type") == "ECONOMY", "class").when(F.col("p_type") == "SMALL", "method").otherwise("function").alias("chunk_type"),
+        F.regexp_replace("p_brand", "#", "").alias("class_name"),
+        F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", ""), F.lit("/"), F.lower("p_type"), F.lit(".py")).alias("file_path"),
+    )
+
+
+CODE = """code AS (
+  SELECT 'part:' || p_partkey AS chunk_id, CASE p_size WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN '_hidden' || p_partkey WHEN 3 THEN 'main' ELSE 'fn_' || p_partkey END AS name,
+         CASE p_type WHEN 'ECONOMY' THEN 'class' WHEN 'SMALL' THEN 'method' ELSE 'function' END AS chunk_type, replace(p_brand, '#', '') AS class_name,
+         'src/' || replace(p_brand, '#', '') || '/' || lower(p_type) || '.py' AS file_path FROM part),
+ent AS (SELECT chunk_id AS id, chunk_type AS kind, name, class_name, file_path FROM code
+        WHERE len(name) > 2 AND name <> 'main' AND NOT (starts_with(name, '_') AND NOT starts_with(name, '__')))"""
+
+
+def code_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem rows as call references: plain, dotted and self calls."""
+    s, n = F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    fn = F.concat(F.lit("fn_"), s)
+    target = F.when(n == 1, F.concat(F.lit("helper."), fn)).when(n == 2, F.concat(F.lit("self."), fn)).otherwise(fn)
+    li = table(spark, folder, "lineitem").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("chunk_id"), target.alias("target")).distinct()
+    return li.join(code_chunks(spark, folder).select("chunk_id", "class_name"), "chunk_id")
+
+
+REFS = """refs AS (
+  SELECT DISTINCT chunk_id, class_name, CASE l_linenumber WHEN 1 THEN 'helper.fn_' || l_suppkey WHEN 2 THEN 'self.fn_' || l_suppkey ELSE 'fn_' || l_suppkey END AS target
+  FROM lineitem JOIN code ON chunk_id = 'part:' || l_partkey),
+uniq AS (SELECT name, min(id) AS id FROM ent GROUP BY 1 HAVING count(*) = 1),
+calls AS (
+  SELECT r.chunk_id AS src, coalesce(m.id, f.id, s.id) AS dst FROM refs r
+  LEFT JOIN (SELECT class_name, name, max(id) AS id FROM ent GROUP BY ALL) m ON starts_with(r.target, 'self.') AND m.class_name = r.class_name AND m.name = substr(r.target, 6)
+  LEFT JOIN uniq f ON f.name = r.target
+  LEFT JOIN uniq s ON contains(r.target, '.') AND s.name = split_part(r.target, '.', 2)
+  WHERE coalesce(m.id, f.id, s.id) IS NOT NULL)"""
+
+
+def tree_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """region → nation → supplier containment as (src parent, dst child)."""
+    n = table(spark, folder, "nation").select(
+        F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("dst")
+    )
+    s = table(spark, folder, "supplier").select(
+        F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("src"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("dst")
+    )
+    return n.unionByName(s)
+
+
+TREE = """tree AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation
+  UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier)"""
+
+
+def transitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Consecutive event types of a user as edges (a graph with cycles)."""
+    ev = table(spark, folder, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return ev.select(F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).filter("dst IS NOT NULL").distinct()
+
+
+TRANSITIONS = """trans AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"""

@@ -40,7 +40,7 @@ def resolve_entities(spark, d):
     "build_edges",
     f"""WITH {CALLS} SELECT src, dst, 'CALLS' AS rel FROM ce
     UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'module:lib' || (l_suppkey // 10), 'IMPORTS' FROM lineitem WHERE l_linenumber <> 7
-    UNION ALL SELECT DISTINCT id, b.id, 'INHERITS' FROM (SELECT ent.id, ps.l_suppkey FROM ent JOIN lineitem ps ON ent.id = 'part:' || ps.l_partkey WHERE ps.l_linenumber = 3) x JOIN (SELECT name, min(id) AS bid FROM ent GROUP BY 1 HAVING count(*) = 1) u ON u.name = 'fn_' || l_suppkey, LATERAL (SELECT u.bid AS id) b
+    UNION ALL SELECT DISTINCT x.id, u.bid, 'INHERITS' FROM (SELECT ent.id, ps.l_suppkey FROM ent JOIN lineitem ps ON ent.id = 'part:' || ps.l_partkey WHERE ps.l_linenumber = 3) x JOIN (SELECT name, min(id) AS bid FROM ent GROUP BY 1 HAVING count(*) = 1) u ON u.name = 'fn_' || l_suppkey
     UNION ALL SELECT DISTINCT 'file:' || file_path, chunk_id, 'CONTAINS' FROM code""",
 )
 def build_edges(spark, d):
@@ -288,7 +288,7 @@ def lca_score(spark, d):
 @query(
     "kg_query",
     f"""WITH {PATHS}, {UND}, f AS (SELECT src AS start, dst AS node FROM und WHERE src LIKE 'nation%' AND src <> dst),
-    s AS (SELECT start, node, round(1 + 0.15 * greatest(0, 1 - (abs(x.depth - y.depth) + 0.5 * abs(x.depth - y.depth)) / 4), 6)::DOUBLE AS final_score FROM f JOIN paths x ON x.node = start JOIN paths y ON y.node = f.node),
+    s AS (SELECT start, f.node, round(1 + 0.15 * greatest(0, 1 - (abs(x.depth - y.depth) + 0.5 * abs(x.depth - y.depth)) / 4), 6)::DOUBLE AS final_score FROM f JOIN paths x ON x.node = start JOIN paths y ON y.node = f.node),
     r AS (SELECT *, (row_number() OVER (PARTITION BY start ORDER BY final_score DESC, node))::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 50""",
 )
 def kg_query(spark, d):

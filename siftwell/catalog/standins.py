@@ -346,3 +346,43 @@ def transitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TRANSITIONS = """trans AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"""
+
+
+def markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as markdown: frontmatter, headers, references, links and a fenced block woven into the text."""
+    d = F.col("doc_id").cast("string")
+    head = F.concat(
+        F.lit("---\ntags: "), F.col("lang"), F.lit(", "), F.col("source"), F.lit("\ncategories: [prose, '"), F.col("lang"),
+        F.lit("']\nkeywords:\n- invented\n- n"), F.col("doc_id") % 7, F.lit("\n---\n# Text "), d, F.lit(" of "), F.col("source"), F.lit("\n"),
+    )
+    body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n## Part fn_5 more\n"))
+    body = F.replace(body, F.lit(" the "), F.concat(F.lit(" `fn_"), F.col("doc_id") % 500, F.lit("` ")))
+    body = F.replace(body, F.lit(" la "), F.lit(" `class` "))
+    link = F.concat(F.lit(" [next](../"), F.col("lang"), F.lit("/"), (F.col("doc_id") + 1).cast("string"), F.lit(".md#top) "))
+    body = F.replace(body, F.lit(" and "), link)
+    tail = F.concat(F.lit("\n```python\nfn_"), d, F.lit("()\n```\n"))
+    return files(spark, folder).withColumn("text", F.concat(head, body, tail))
+
+
+MARKDOWN = FILES + """,
+md AS (
+  SELECT doc_id, file_path, lang, source,
+    '---' || chr(10) || 'tags: ' || lang || ', ' || source || chr(10) || 'categories: [prose, ''' || lang || ''']' || chr(10) || 'keywords:' || chr(10) || '- invented' || chr(10) || '- n' || (doc_id % 7)
+    || chr(10) || '---' || chr(10) || '# Text ' || doc_id || ' of ' || source || chr(10)
+    || replace(replace(replace(replace(text, chr(10), chr(10) || '## Part fn_5 more' || chr(10)), ' the ', ' `fn_' || (doc_id % 500) || '` '), ' la ', ' `class` '),
+               ' and ', ' [next](../' || lang || '/' || (doc_id + 1) || '.md#top) ')
+    || chr(10) || '```python' || chr(10) || 'fn_' || doc_id || '()' || chr(10) || '```' || chr(10) AS text FROM files)"""
+
+
+def policies(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as policies: common words replaced by privacy phrases."""
+    t = F.replace(F.col("text"), F.lit("\n"), F.lit("\n## Section of data\n"))
+    t = F.replace(t, F.lit(" the "), F.lit(" we never share personal data "))
+    t = F.replace(t, F.lit(" la "), F.lit(" your data is encrypted with TLS "))
+    t = F.replace(t, F.lit(" de "), F.lit(" users can request an export and delete your records "))
+    t = F.replace(t, F.lit(" und "), F.lit(" we log access and encrypt it "))
+    return files(spark, folder).select("doc_id", t.alias("text"))
+
+
+POLICIES = """pol AS (SELECT doc_id, replace(replace(replace(replace(replace(text, chr(10), chr(10) || '## Section of data' || chr(10)), ' the ', ' we never share personal data '),
+  ' la ', ' your data is encrypted with TLS '), ' de ', ' users can request an export and delete your records '), ' und ', ' we log access and encrypt it ') AS text FROM documents)"""

@@ -189,11 +189,16 @@ def kg_boost(hits: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataF
 def context_boost(hits: DataFrame, context: DataFrame, score: str = "score") -> DataFrame:
     """+0.1 for a hit in a context file, +0.05 each when its function or class name occurs in a context text.
 
-    Name occurrences are found by tokens of the context texts joined to the names,
-    not by scanning every text for every name.
+    A name occurs in a text exactly when it occurs in one of its blank-separated
+    words, so distinct words and distinct names are matched by shared character
+    windows instead of scanning every text for every name.
     """
+    from siftwell.operators.graph import substring_pairs
+
     in_file = context.select("file_path").distinct().withColumn("_in", F.lit(True))
-    vocabulary = context.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(tx.WORD_PATTERN), 0))).alias("_w")).distinct()
+    vocabulary = context.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("text")).distinct().select(F.col("text").alias("text_id"), "text")
+    asked = hits.select(F.explode(F.array(F.lower("function_name"), F.lower("class_name"))).alias("needle")).filter(F.col("needle") != "").distinct()
+    vocabulary = substring_pairs(vocabulary, asked).select(F.col("needle").alias("_w")).distinct()
     out = hits.join(in_file, "file_path", "left")
     for name in ("function_name", "class_name"):
         flag = vocabulary.select(F.col("_w").alias(f"_{name}"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.functions import text as tx
+from siftwell.runtime import cut_lineage, number_in_group, running
 
 HOT_GROUP = 2000
 
@@ -36,8 +37,8 @@ def detect_file_moves(current: DataFrame, indexed: DataFrame, path: str = "file_
     )
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(digest).orderBy(path)
-        return df.join(counts, digest, "left_semi").select(digest, F.col(path).alias(name), F.row_number().over(w).alias("_r"))
+        paired = df.join(counts, digest, "left_semi").select(digest, F.col(path).alias(name))
+        return number_in_group(paired, [digest], [name], "_r")
 
     return numbered(orphan, "old_path").join(numbered(fresh, "new_path"), [digest, "_r"]).select("old_path", "new_path", digest)
 
@@ -82,41 +83,55 @@ def caller_map_by_id(entities: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def _overlaps(a: tuple, b: tuple) -> bool:
-    az, bz = a == (0, 0), b == (0, 0)
-    if az or bz:
-        return az and bz
-    return a[0] <= b[1] and b[0] <= a[1]
+def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranges with the number of their island: a run in which each range touches an earlier one."""
+    seen = running(ranges, keys, ["start_line", "end_line"], F.col("end_line"), "max", "_reach", inclusive=False)
+    opens = F.when(F.col("_reach").isNull() | (F.col("start_line") > F.col("_reach")), 1).otherwise(0)
+    return running(seen, keys, ["start_line", "end_line"], opens, "sum", "_island").drop("_reach")
 
 
-def overlap_dedup(evidence: DataFrame, path: str = "file_path", score: str = "score") -> DataFrame:
+def overlap_dedup(evidence: DataFrame, path: str = "file_path", score: str = "score", hot: int = HOT_GROUP) -> DataFrame:
     """Best row per (claim, file, range), then greedily without ranges that overlap a better one in the same file.
 
     Exact repeats go first by partial aggregation. Ranges are then split into
-    islands of touching ranges, which cannot influence each other; the greedy
-    sweep runs per island, so a file with a third of all ranges is many groups.
+    islands of touching ranges, which cannot influence each other. Islands up to
+    ``hot`` ranges are swept as one small group; of a larger one the best range
+    is kept, all that overlap it leave, and the rest is split again.
     """
     keys = ["claim_id", path]
-    best = evidence.groupBy(*keys, "start_line", "end_line").agg(F.max(score).alias(score))
-    w = Window.partitionBy(*keys).orderBy("start_line", "end_line")
+    best = evidence.groupBy(*keys, "start_line", "end_line").agg(F.max(score).cast("double").alias(score))
     zero = (F.col("start_line") == 0) & (F.col("end_line") == 0)
-    reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranges = best.filter(~zero).withColumn("_new", F.coalesce((F.col("start_line") > reach).cast("int"), F.lit(1)))
-    ranges = ranges.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    islands = ranges.unionByName(best.filter(zero).withColumn("_island", F.lit(0).cast("long")))
     types = dict(best.dtypes)
-    schema = f"claim_id {types['claim_id']}, {path} {types[path]}, start_line {types['start_line']}, end_line {types['end_line']}, {score} double"
+    columns = [*keys, "start_line", "end_line", score]
+    schema = ", ".join(f"{c} {types[c]}" for c in columns)
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, "start_line", "end_line"], ascending=[False, True, True])
         kept, rows = [], []
-        for i, (s, e) in zip(pdf.index, zip(pdf["start_line"], pdf["end_line"], strict=True), strict=True):
-            if not any(_overlaps((s, e), k) for k in kept):
+        for i, s, e in zip(pdf.index, pdf["start_line"], pdf["end_line"], strict=True):
+            if not any(s <= b and a <= e for a, b in kept):
                 kept.append((s, e))
                 rows.append(i)
-        return pdf.loc[rows, ["claim_id", path, "start_line", "end_line", score]]
+        return pdf.loc[rows, columns]
 
-    return islands.withColumn(score, F.col(score).cast("double")).groupBy(*keys, "_island").applyInPandas(sweep, schema)
+    out = best.filter(zero)
+    rest = best.filter(~zero)
+    group = [*keys, "_island"]
+    while True:
+        cut = cut_lineage(_islands(rest, keys))
+        sizes = cut.groupBy(*group).agg(
+            F.count("*").alias("_n"),
+            F.max(F.struct(F.col(score).alias("s"), (-F.col("start_line")).alias("a"), (-F.col("end_line")).alias("b"))).alias("_top"),
+        )
+        sized = cut.join(sizes, group)
+        out = out.unionByName(sized.filter(F.col("_n") <= hot).select(*columns, "_island").groupBy(*group).applyInPandas(sweep, schema))
+        large = cut_lineage(sized.filter(F.col("_n") > hot))
+        if large.isEmpty():
+            return out
+        first, last = -F.col("_top.a"), -F.col("_top.b")
+        is_top = (F.col("start_line") == first) & (F.col("end_line") == last)
+        out = out.unionByName(large.filter(is_top).select(*columns))
+        rest = large.filter((F.col("start_line") > last) | (F.col("end_line") < first)).select(*columns)
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
@@ -162,8 +177,6 @@ def fuzzy_claim_merge(base: DataFrame, extra: DataFrame, threshold: float = 0.8,
     rounds over the similar pairs: claims without an undecided earlier neighbour
     are decided, their later neighbours dropped, until none is left.
     """
-    from siftwell.runtime import cut_lineage
-
     dup = similar_pairs(extra, base, threshold, id_col, text).select(F.col("left_id").alias(id_col)).distinct()
     rest = cut_lineage(extra.join(dup, id_col, "left_anti"))
     pairs = cut_lineage(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.functions import text as tx
-from siftwell.runtime import cut_lineage
+from siftwell.runtime import cut_lineage, number_in_group
 
 # Okapi constants.
 K1 = 1.5
@@ -99,14 +99,22 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, text: str = "text", query_
 
 def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 10, text: str = "text", query_id: str = "query_id") -> DataFrame:
     """Top ``k`` chunks per query: query_id, chunk_id, score, rank, similarity = min(1, score / 10)."""
-    ranked = assign_rank(bm25_scores(index, queries, text, query_id)).filter(F.col("rank") <= k)
+    ranked = assign_rank(bm25_scores(index, queries, text, query_id), k)
     return ranked.withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("score") / 10), 7))
 
 
-def assign_rank(hits: DataFrame, score: str = "score", id_col: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """Rank 1..n per query by falling score, ties by id. A later ``rank <= k`` becomes a group limit."""
+def assign_rank(hits: DataFrame, k: int | None = None, score: str = "score", id_col: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
+    """Rank 1..n per query by falling score, ties by id.
+
+    With ``k`` only the first k stay (a group limit below the shuffle). Without
+    it every hit is ranked, and a query that hits a third of all chunks is
+    numbered over range partitions instead of in one task.
+    """
+    if k is None:
+        ranked = number_in_group(hits.withColumn("_neg", -F.col(score)), [query_id], ["_neg", id_col], "rank")
+        return ranked.drop("_neg").withColumn("rank", F.col("rank").cast("int"))
     w = Window.partitionBy(query_id).orderBy(F.col(score).desc(), F.col(id_col))
-    return hits.withColumn("rank", F.row_number().over(w))
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def best_per_chunk(hits: DataFrame, id_col: str = "chunk_id", score: str = "score", query_id: str = "query_id") -> DataFrame:

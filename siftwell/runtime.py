@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def session(app: str = "siftwell", master: str | None = None, cores: int = 8) -> SparkSession:
@@ -70,6 +72,41 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], out: str = "ordina
     )
 
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, kind: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value`` per key in ``order``, safe for a key with very many rows.
+
+    Rows are range-partitioned on key and order, so one key may span partitions;
+    each partition runs its own window and adds the carry of the parts before it.
+    Only one total per key and partition is windowed across partitions.
+    """
+    agg = {"sum": F.sum, "max": F.max}[kind]
+    parts = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()))
+    totals = parts.groupBy(*keys, "_pid").agg(agg(value).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_pid", agg("_total").over(before).alias("_carry"))
+    within = Window.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    joined = parts.join(carry, [*keys, "_pid"]).withColumn("_local", agg(value).over(within))
+    if kind == "sum":
+        result = F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    else:
+        result = F.greatest("_local", "_carry")
+    return joined.withColumn(out, result).drop("_pid", "_carry", "_local")
+
+
+def number_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """1-based row number per key without sorting a whole key in one task."""
+    return running(df, keys, order, F.lit(1), "sum", out)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def fixed_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A rule or lookup table whose size is fixed in the code (safe to broadcast)."""
-    return spark.createDataFrame(list(rows), schema)
+    """A rule or lookup table whose size is fixed in the code (safe to broadcast), built in the JVM."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    items = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]
+    typed = [F.col(f"r.{c.strip().split(' ')[0]}").cast(c.strip().split(" ")[1]).alias(c.strip().split(" ")[0]) for c in schema.split(",")]
+    return spark.range(1, numPartitions=1).select(F.explode(F.array(*items)).alias("r")).select(*typed)

@@ -36,7 +36,7 @@ def doc_links_blocks(spark, d):
 
 @query(
     "related_documents",
-    f"""WITH {st.MARKDOWN} SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM md a JOIN md b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = a.doc_id + 1 WHERE contains(a.text, '[next](')""",
+    f"""WITH {st.MARKDOWN} SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM md a JOIN md b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = a.doc_id + 20 WHERE contains(a.text, '[next](')""",
 )
 def related_documents(spark, d):
     return documents.related_documents(st.markdown(spark, d))
@@ -109,7 +109,7 @@ def chunk_hierarchy(spark, d):
 
 def doc_paths(spark, d):
     """documents with many kinds of paths."""
-    names = ["README.md", "guide/setup.md", "docs/api/ref.md", "CHANGELOG.rst", "conf.toml", "x/research/a.md", "notes/bug-fix-1.md", "b/state.md", "misc/faq.md", "misc/plain.md", "run.sh"]
+    names = ["README.md", "man/setup.md", "docs/api/ref.md", "CHANGELOG.rst", "conf.toml", "x/research/a.md", "notes/bug-fix-1.md", "b/state.md", "misc/faq.md", "misc/plain.md", "run.sh"]
     out = F.lit(names[-1])
     for i, n in enumerate(names[:-1]):
         out = F.when(F.col("doc_id") % 11 == i, n).otherwise(out)
@@ -162,7 +162,7 @@ def reference_edges(spark, d):
 
 @query(
     "doc_ontology",
-    LINES.join(["WITH ", ""]) + f""", s AS (SELECT doc_id, count(*) AS n FROM nx GROUP BY 1), r AS (SELECT a.doc_id, count(*) AS n FROM md a JOIN md b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = a.doc_id + 1 WHERE contains(a.text, '[next](') GROUP BY 1)
+    LINES.join(["WITH ", ""]) + f""", s AS (SELECT doc_id, count(*) AS n FROM nx GROUP BY 1), r AS (SELECT a.doc_id, count(*) AS n FROM md a JOIN md b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = a.doc_id + 20 WHERE contains(a.text, '[next](') GROUP BY 1)
     SELECT doc_id, [{', '.join(repr(k) for k in KINDS)}][(doc_id % 11 + 1)::INT] AS category, coalesce(s.n, 0) AS sections, 5::BIGINT AS tags, coalesce(r.n, 0) AS related, round(pow(0.5, (doc_id % 400) / 90.0::DOUBLE), 6) AS decay
     FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)""",
 )
@@ -179,7 +179,7 @@ def doc_ontology(spark, d):
 
 @query(
     "topic_tree",
-    """WITH t AS (SELECT DISTINCT source AS name, lang FROM documents) SELECT name || '/' || lang AS topic_id, lang AS name, name AS parent_name, count(DISTINCT doc_id) AS documents FROM t JOIN documents ON source = name AND documents.lang = t.lang GROUP BY ALL
+    """WITH t AS (SELECT DISTINCT source AS name, lang FROM documents) SELECT name || '/' || t.lang AS topic_id, t.lang AS name, name AS parent_name, count(DISTINCT doc_id) AS documents FROM t JOIN documents ON source = name AND documents.lang = t.lang GROUP BY ALL
     UNION ALL SELECT source, source, NULL, 0 FROM documents GROUP BY 1""",
 )
 def topic_tree(spark, d):

@@ -358,7 +358,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
     body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n## Part fn_5 more\n"))
     body = F.replace(body, F.lit(" the "), F.concat(F.lit(" `fn_"), F.col("doc_id") % 500, F.lit("` ")))
     body = F.replace(body, F.lit(" la "), F.lit(" `class` "))
-    link = F.concat(F.lit(" [next](../"), F.col("lang"), F.lit("/"), (F.col("doc_id") + 1).cast("string"), F.lit(".md#top) "))
+    link = F.concat(F.lit(" [next](../"), F.col("lang"), F.lit("/"), (F.col("doc_id") + 20).cast("string"), F.lit(".md#top) "))
     body = F.replace(body, F.lit(" and "), link)
     tail = F.concat(F.lit("\n```python\nfn_"), d, F.lit("()\n```\n"))
     return files(spark, folder).withColumn("text", F.concat(head, body, tail))
@@ -370,7 +370,7 @@ md AS (
     '---' || chr(10) || 'tags: ' || lang || ', ' || source || chr(10) || 'categories: [prose, ''' || lang || ''']' || chr(10) || 'keywords:' || chr(10) || '- invented' || chr(10) || '- n' || (doc_id % 7)
     || chr(10) || '---' || chr(10) || '# Text ' || doc_id || ' of ' || source || chr(10)
     || replace(replace(replace(replace(text, chr(10), chr(10) || '## Part fn_5 more' || chr(10)), ' the ', ' `fn_' || (doc_id % 500) || '` '), ' la ', ' `class` '),
-               ' and ', ' [next](../' || lang || '/' || (doc_id + 1) || '.md#top) ')
+               ' and ', ' [next](../' || lang || '/' || (doc_id + 20) || '.md#top) ')
     || chr(10) || '```python' || chr(10) || 'fn_' || doc_id || '()' || chr(10) || '```' || chr(10) AS text FROM files)"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 from siftwell.operators import joins, lexical
-from siftwell.runtime import fixed_table
+from siftwell.runtime import cut_lineage, fixed_table
 
 # Keywords per claim category.
 CATEGORY_KEYWORDS = {
@@ -241,7 +241,7 @@ def evidence_hits(claims: DataFrame, index: lexical.Bm25Index, chunks: DataFrame
     Equal query texts are searched once. ``package.json`` hits gain half for
     claims about third parties, noise paths leave, overlapping ranges are reduced.
     """
-    plans = route_claims(claims)
+    plans = cut_lineage(route_claims(claims))
     queries = plans.select("query").distinct().withColumn("query_id", F.md5(F.col("query").cast("binary")))
     hits = lexical.bm25_search(index, queries, limit, "query")
     about = plans.groupBy("claim_id").agg(F.max(tx.contains_any(F.lower("query"), THIRD_PARTY_WORDS)).alias("_third"))
@@ -251,4 +251,4 @@ def evidence_hits(claims: DataFrame, index: lexical.Bm25Index, chunks: DataFrame
     )
     boosted = F.when(F.col("_third") & F.endswith("file_path", F.lit("package.json")), F.least(F.col("similarity") * 1.5, F.lit(1.0))).otherwise(F.col("similarity"))
     rows = rows.withColumn("score", boosted).filter(~is_noise(F.col("file_path")))
-    return joins.overlap_dedup(rows.select("claim_id", "file_path", "start_line", "end_line", "score"))
+    return joins.overlap_dedup(cut_lineage(rows.select("claim_id", "file_path", "start_line", "end_line", "score")))

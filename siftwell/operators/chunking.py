@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,66 +31,37 @@ def line_windows(df: DataFrame, text: str = "text", size: int = WINDOW_LINES, ov
     return out.filter(F.col("content").rlike(r"\S")).drop("_lines", "_w")
 
 
-def _paragraph_starts(rows: Column) -> Column:
-    """Line numbers (1-based) where a run of non-blank lines begins."""
-    blank = lambda i: F.trim(F.element_at(rows, i)) == ""
-    return F.filter(
-        F.sequence(F.lit(1), F.size(rows)),
-        lambda i: ~blank(i) & F.when(i == 1, F.lit(True)).otherwise(blank(F.greatest(i - 1, F.lit(1)))),
-    )
+def _merged_paragraphs(text: str) -> list[dict]:
+    """Runs of non-blank lines over 20 characters; neighbours join while they stay below 400."""
+    runs, run, first = [], [], 1
+    rows = text.splitlines()
+    for number, row in enumerate([*rows, ""], 1):
+        if row.strip():
+            first = first if run else number
+            run.append(row)
+        elif run:
+            body = "\n".join(run) + "\n"
+            if len(body.strip()) > MIN_PARAGRAPH:
+                runs.append({"content": body, "start_line": first, "end_line": number - 1})
+            run = []
+    merged: list[dict] = []
+    for part in runs:
+        if merged and len(merged[-1]["content"]) + len(part["content"]) < MERGE_LIMIT:
+            merged[-1]["content"] += "\n" + part["content"]
+            merged[-1]["end_line"] = part["end_line"]
+        else:
+            merged.append(part)
+    return merged
 
 
 def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
-    """Paragraph chunks: blank-line separated runs over 20 characters, small neighbours merged below 400."""
-    rows = F.col("_lines")
-    starts = F.col("_starts")
-
-    def paragraph(start: Column, pos: Column) -> Column:
-        stop = F.when(
-            pos + 1 < F.size(starts), F.element_at(starts, pos + 2) - 1
-        ).otherwise(F.size(rows))
-        body = F.filter(F.slice(rows, start, stop - start + 1), lambda x: F.trim(x) != "")
-        end = start + F.size(body) - 1
-        return F.struct(
-            F.concat(F.array_join(body, "\n"), F.lit("\n")).alias("content"),
-            start.alias("start_line"),
-            end.alias("end_line"),
-        )
-
-    kind = "struct<content:string,start_line:int,end_line:int>"
-    empty = F.array().cast(f"array<{kind}>")
-
-    def step(acc: Column, para: Column) -> Column:
-        cur = acc["cur"]
-        fits = F.length(cur["content"]) + F.length(para["content"]) < MERGE_LIMIT
-        joined = F.struct(
-            F.concat(cur["content"], F.lit("\n"), para["content"]).alias("content"),
-            cur["start_line"].alias("start_line"),
-            para["end_line"].alias("end_line"),
-        )
-        return (
-            F.when(cur.isNull(), F.struct(acc["done"].alias("done"), para.alias("cur")))
-            .when(fits, F.struct(acc["done"].alias("done"), joined.alias("cur")))
-            .otherwise(
-                F.struct(F.concat(acc["done"], F.array(cur)).alias("done"), para.alias("cur"))
-            )
-        )
-
-    start = F.struct(empty.alias("done"), F.lit(None).cast(kind).alias("cur"))
-    out = (
-        df.withColumn("_lines", tx.lines(F.col(text)))
-        .withColumn("_starts", F.when(F.size("_lines") > 0, _paragraph_starts(rows)).otherwise(F.array().cast("array<int>")))
-        .withColumn("_paras", F.filter(F.transform(starts, paragraph), lambda p: F.length(F.trim(p["content"])) > MIN_PARAGRAPH))
-        .withColumn("_acc", F.aggregate(F.col("_paras"), start, step))
-        .withColumn(
-            "_chunks",
-            F.when(F.col("_acc.cur").isNull(), F.col("_acc.done")).otherwise(
-                F.concat(F.col("_acc.done"), F.array(F.col("_acc.cur")))
-            ),
-        )
-        .withColumn("_c", F.explode("_chunks"))
-    )
-    return out.select(*df.columns, "_c.content", "_c.start_line", "_c.end_line")
+    """Paragraph chunks of each text. Merging is sequential within one text, so it is one small Arrow function."""
+
+    @F.pandas_udf("array<struct<content:string,start_line:int,end_line:int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(_merged_paragraphs)
+
+    return df.withColumn("_c", F.explode(cut(F.col(text)))).select(*df.columns, "_c.content", "_c.start_line", "_c.end_line")
 
 
 def chunk_text(df: DataFrame, text: str = "text", path: str = "file_path", mode: str = "auto") -> DataFrame:

@@ -94,8 +94,8 @@ def overlap_dedup(evidence: DataFrame, path: str = "file_path", score: str = "sc
     """Best row per (claim, file, range), then greedily without ranges that overlap a better one in the same file.
 
     Exact repeats go first by partial aggregation. Ranges are then split into
-    islands of touching ranges, which cannot influence each other. Islands up to
-    ``hot`` ranges are swept as one small group; of a larger one the best range
+    islands of touching ranges, which cannot influence each other. Single ranges
+    stay as they are, islands up to ``hot`` ranges are swept as one small group; of a larger one the best range
     is kept, all that overlap it leave, and the rest is split again.
     """
     keys = ["claim_id", path]
@@ -124,7 +124,8 @@ def overlap_dedup(evidence: DataFrame, path: str = "file_path", score: str = "sc
             F.max(F.struct(F.col(score).alias("s"), (-F.col("start_line")).alias("a"), (-F.col("end_line")).alias("b"))).alias("_top"),
         )
         sized = cut.join(sizes, group)
-        out = out.unionByName(sized.filter(F.col("_n") <= hot).select(*columns, "_island").groupBy(*group).applyInPandas(sweep, schema))
+        out = out.unionByName(sized.filter(F.col("_n") == 1).select(*columns))
+        out = out.unionByName(sized.filter((F.col("_n") > 1) & (F.col("_n") <= hot)).select(*columns, "_island").groupBy(*group).applyInPandas(sweep, schema))
         large = cut_lineage(sized.filter(F.col("_n") > hot))
         if large.isEmpty():
             return out

@@ -73,7 +73,7 @@ def bm25_hits(spark, d, k=20):
 @query(
     "stale_result_filter",
     f"""WITH {st.BM25_HITS}, h AS (SELECT query_id, chunk_id, rank, file_path, doc_id % 3 = 0 AS alive FROM bm_rank JOIN chunks USING (chunk_id) WHERE rank <= 20)
-    SELECT query_id, chunk_id, rank FROM (SELECT *, bool_or(alive) OVER (PARTITION BY query_id) AS some FROM h) WHERE alive OR NOT some""",
+    SELECT query_id, chunk_id, rank FROM (SELECT *, bool_or(alive) OVER (PARTITION BY query_id) AS anyone FROM h) WHERE alive OR NOT anyone""",
 )
 def stale_result_filter(spark, d):
     h = bm25_hits(spark, d).join(st.chunks(spark, d).select("chunk_id", "file_path"), "chunk_id")
@@ -436,7 +436,7 @@ def test_nodes(spark, d):
     return pycode.test_nodes(c)[0].select("id", "framework", "test_count")
 
 
-@query("test_cases", "SELECT 'testcase::tests/test_' || p_partkey || '.py::test_fn_' || p_partkey AS case_id, false AS is_parametrized, 'a,b,c' AS fixtures FROM part")
+@query("test_cases", "SELECT 'testcase::tests/test_' || p_partkey || '.py::test_fn_' || p_partkey AS case_id, false AS is_parametrized, CASE WHEN p_size = 50 THEN 'b,c' ELSE 'a,b,c' END AS fixtures FROM part")
 def test_cases(spark, d):
     c = python_files(spark, d).select("file_path", F.concat(F.lit("test_fn_"), F.col("p_partkey").cast("string")).alias("name"), F.col("text").alias("content"))
     return pycode.test_nodes(c)[1].select("case_id", "is_parametrized", F.array_join("fixture_deps", ",").alias("fixtures"))
@@ -506,6 +506,7 @@ def search_by_context(spark, d):
 @query("review_gather")
 def review_gather(spark, d):
     q = st.search_queries(spark, d).select(F.concat(F.lit("r"), F.col("query_id") % 4).alias("review_id"), "text")
+    q = q.unionByName(sp.canned_reviews(spark, ["security", "testing"]))
     changed = st.files(spark, d).filter("lang <> 'de'").select("file_path")
     return sp.review_gather(search_tables(spark, d), q, changed)
 

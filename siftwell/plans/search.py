@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import queries as qx
 from siftwell.operators import fusion, joins, lexical, predicates, vector
-from siftwell.runtime import cut_lineage
+from siftwell.runtime import cut_lineage, fixed_table
 
 
 @dataclass(frozen=True)
@@ -139,12 +139,39 @@ def search_by_context(tables: SearchTables, requests: DataFrame, opts: SearchOpt
 
 # Canned queries of review kinds.
 REVIEW_QUERIES = {
-    "security": ["authentication login password", "sql query database execute", "user input validation", "file path open read", "token secret key"],
-    "architecture": ["class definition interface", "import dependency module", "service manager handler"],
-    "performance": ["loop iteration query", "cache memory buffer", "async await concurrent"],
+    "security": [
+        "authentication login password credential", "sql query database execute", "user input validation sanitize",
+        "file upload path traversal", "encryption hash token secret key", "permission authorization access control",
+    ],
+    "architecture": [
+        "class definition inheritance", "import module dependency", "configuration settings", "error handling exception",
+        "interface abstract base class",
+    ],
+    "performance": [
+        "database query loop iteration", "cache memory buffer pool", "async await concurrent parallel",
+        "file read write io operation", "sort search algorithm complexity",
+    ],
+    "quality": [
+        "duplicate code repeated logic", "long method function lines", "magic number hardcoded value", "dead code unreachable",
+        "complex boolean condition", "error handling exception",
+    ],
+    "testing": [
+        "test function method coverage", "edge case boundary null empty", "mock fixture setup teardown",
+        "assert expect verify test", "integration test e2e", "pytest unittest spec test",
+    ],
+    "documentation": [
+        "docstring documentation comment", "TODO FIXME HACK", "parameter return type annotation", "example usage demo",
+        "module package description", "api endpoint documentation",
+    ],
 }
 
 
+def canned_reviews(spark: SparkSession, kinds: list[str] | None = None) -> DataFrame:
+    """(review_id, text) rows of the canned queries."""
+    rows = [(k, q) for k in (kinds or REVIEW_QUERIES) for q in REVIEW_QUERIES[k]]
+    return fixed_table(spark, rows, "review_id string, text string")
+
+
 def review_gather(tables: SearchTables, reviews: DataFrame, changed: DataFrame | None = None, limit: int = 30) -> DataFrame:
     """(review_id, chunk_id, score): best score per chunk over the queries of a review, optionally in changed files only.
 

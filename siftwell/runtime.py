@@ -42,9 +42,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and keeps loop plans short."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once below the shared checkpoint folder and go on from the written table.
+
+    Keeps loop plans short and survives lost executors. Unlike ``checkpoint()``
+    the rows are computed once, not twice, and later joins know their size.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, order: Sequence[Column | str], out: str = "ordinal") -> DataFrame:

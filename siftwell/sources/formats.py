@@ -88,7 +88,7 @@ def sarif_results(smells: DataFrame) -> DataFrame:
     """(rule_id, fingerprint, result JSON) per smell; location is ``path:line``."""
     rule = F.regexp_replace(F.lower("name"), " ", "-")
     level = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
-    mark = F.concat_ws(":", "name", "location", F.format_number("metric_value", "0.0"))
+    mark = F.concat_ws(":", "name", "location", F.format_string("%.1f", F.col("metric_value")))
     fingerprint = F.substring(F.sha2(mark.cast("binary"), 256), 1, 16)
     line = F.regexp_extract("location", r":(\d+)$", 1)
     region = F.when(line != "", F.struct(line.cast("int").alias("startLine")))

@@ -92,30 +92,28 @@ def incremental_index(old_chunks: DataFrame, indexed: DataFrame, current: DataFr
     return same.unionByName(moved).unionByName(fresh.select(*old_chunks.columns))
 
 
+def _set(chunks: DataFrame, due: Column, values: dict[str, Column]) -> DataFrame:
+    """Set several columns where ``due`` holds, all judged on the row as it was."""
+    return chunks.withColumns({c: F.when(due, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def claim_batch(chunks: DataFrame, batch: DataFrame, batch_id: int, now: Column) -> DataFrame:
     """Mark the pending chunks of a batch as processing."""
     hit = chunks.join(batch.select("chunk_id").distinct().withColumn("_hit", F.lit(True)), "chunk_id", "left")
     due = F.coalesce("_hit", F.lit(False)) & (F.col("embedding_status") == "pending")
-    return (
-        hit.withColumn("batch_id", F.when(due, batch_id).otherwise(F.col("batch_id"))).withColumn("updated_at", F.when(due, now).otherwise(F.col("updated_at")))
-        .withColumn("embedding_status", F.when(due, "processing").otherwise(F.col("embedding_status"))).drop("_hit")
-    )
+    return _set(hit, due, {"batch_id": F.lit(batch_id), "updated_at": now, "embedding_status": F.lit("processing")}).drop("_hit")
 
 
 def finish_batch(chunks: DataFrame, batch_id: int, now: Column, ok: bool = True) -> DataFrame:
+    """Close the processing chunks of a batch."""
     due = (F.col("batch_id") == batch_id) & (F.col("embedding_status") == "processing")
-    return chunks.withColumn("updated_at", F.when(due, now).otherwise(F.col("updated_at"))).withColumn(
-        "embedding_status", F.when(due, "complete" if ok else "error").otherwise(F.col("embedding_status"))
-    )
+    return _set(chunks, due, {"updated_at": now, "embedding_status": F.lit("complete" if ok else "error")})
 
 
 def release_stuck(chunks: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
     """Processing chunks not updated for some minutes become pending again."""
     stuck = (F.col("embedding_status") == "processing") & (F.col("updated_at") < now - F.expr(f"INTERVAL {minutes} MINUTES"))
-    return (
-        chunks.withColumn("batch_id", F.when(stuck, 0).otherwise(F.col("batch_id"))).withColumn("updated_at", F.when(stuck, now).otherwise(F.col("updated_at")))
-        .withColumn("embedding_status", F.when(stuck, "pending").otherwise(F.col("embedding_status")))
-    )
+    return _set(chunks, stuck, {"batch_id": F.lit(0), "updated_at": now, "embedding_status": F.lit("pending")})
 
 
 def staleness(files: DataFrame, indexed: DataFrame, as_of: Column, max_age_seconds: int = 300) -> DataFrame:

@@ -278,7 +278,7 @@ def event_rows(spark, d):
 
 
 SESSIONS = """ev AS (SELECT event_id, epoch(ts)::DOUBLE AS t, 'u' || user_id AS file_path FROM events),
-g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY file_path ORDER BY t, event_id) < 7200 THEN 0 ELSE 1 END AS o FROM ev),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY file_path ORDER BY t, event_id) <= 7200 THEN 0 ELSE 1 END AS o FROM ev),
 s AS (SELECT *, sum(o) OVER (PARTITION BY file_path ORDER BY t, event_id) AS s FROM g)"""
 
 

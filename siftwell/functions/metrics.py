@@ -51,8 +51,8 @@ def complexity_step(avg: Column, steps: tuple[float, float, float, float]) -> Co
 
 def file_health(avg: Column, smells: Column, total_lines: Column, comment_lines: Column) -> Column:
     """Health 0–1: complexity step, 0.05 per smell up to 0.3, 0.1 for an odd comment share."""
-    ratio = comment_lines / total_lines
-    odd = F.when((total_lines > 0) & ((ratio < 0.1) | (ratio > 0.5)), 0.1).otherwise(0.0)
+    ratio = comment_lines / F.nullif(total_lines, F.lit(0))
+    odd = F.when((ratio < 0.1) | (ratio > 0.5), 0.1).otherwise(0.0)
     score = 1.0 - complexity_step(avg, (0.5, 0.3, 0.2, 0.1)) - F.least(F.lit(0.3), smells * 0.05) - odd
     return F.greatest(F.lit(0.0), score)
 
@@ -145,7 +145,7 @@ def quality_score(grade_col: Column, smell_count: Column) -> Column:
 
 def threshold_position(value: Column, threshold: Column) -> dict[str, Column]:
     """Share of a threshold in percent, its class and severity."""
-    pct = F.when(threshold > 0, value / threshold * 100).otherwise(0.0)
+    pct = F.when(threshold > 0, value / F.nullif(threshold, F.lit(0.0)) * 100).otherwise(0.0)
     label = (
         F.when(pct < 50, "well_below").when(pct < 100, "below").when(pct <= 110, "at_threshold").when(pct <= 150, "above").otherwise("well_above")
     )

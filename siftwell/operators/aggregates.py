@@ -235,28 +235,22 @@ def debt_items(smells: DataFrame) -> DataFrame:
 def debt_summary(smells: DataFrame, top: int = 10) -> DataFrame:
     """Rows (section, key, minutes, hours, items): total, by category, by severity, top files and smell types.
 
-    One grouping-set aggregate computes all sections in a single pass.
+    Small dimensions are first summed to one row per combination and only those
+    few rows go through the grouping sets; files are summed apart and cut to the top.
     """
     items = debt_items(smells)
-    rolled = items.groupingSets([[], ["category"], ["severity"], ["file_path"], ["smell_type"]], "category", "severity", "file_path", "smell_type").agg(
-        F.grouping_id().alias("gid"), F.sum("minutes").alias("minutes"), F.count("*").alias("items")
-    )
-    section = (
-        F.when(F.col("gid") == 15, "total").when(F.col("gid") == 7, "category").when(F.col("gid") == 11, "severity")
-        .when(F.col("gid") == 13, "file").otherwise("smell_type")
-    )
-    out = rolled.select(
-        section.alias("section"),
-        F.coalesce("category", "severity", "file_path", "smell_type", F.lit("all")).alias("key"),
-        F.round("minutes", 2).alias("minutes"),
-        F.round(F.col("minutes") / 60, 2).alias("hours"),
-        "items",
+    sums = [F.sum("minutes").alias("minutes"), F.count("*").alias("items")]
+    small = items.groupBy("category", "severity", "smell_type").agg(*sums)
+    rolled = small.groupingSets([[], ["category"], ["severity"], ["smell_type"]], "category", "severity", "smell_type").agg(
+        F.grouping_id().alias("gid"), F.sum("minutes").alias("minutes"), F.sum("items").alias("items")
     )
+    section = F.when(F.col("gid") == 7, "total").when(F.col("gid") == 3, "category").when(F.col("gid") == 5, "severity").otherwise("smell_type")
+    parts = rolled.select(section.alias("section"), F.coalesce("category", "severity", "smell_type", F.lit("all")).alias("key"), "minutes", "items")
     w = Window.partitionBy("section").orderBy(F.col("minutes").desc(), "key")
-    capped = out.filter(F.col("section").isin("file", "smell_type")).withColumn("_r", F.row_number().over(w))
-    return out.filter(~F.col("section").isin("file", "smell_type")).unionByName(
-        capped.filter(F.col("_r") <= top).drop("_r")
-    )
+    parts = parts.withColumn("_r", F.row_number().over(w)).filter((F.col("section") != "smell_type") | (F.col("_r") <= top)).drop("_r")
+    files = items.groupBy("file_path").agg(*sums).orderBy(F.col("minutes").desc(), "file_path").limit(top)
+    out = parts.unionByName(files.select(F.lit("file").alias("section"), F.col("file_path").alias("key"), "minutes", "items"))
+    return out.select("section", "key", F.round("minutes", 2).alias("minutes"), F.round(F.col("minutes") / 60, 2).alias("hours"), "items")
 
 
 def smell_summary(smells: DataFrame) -> DataFrame:

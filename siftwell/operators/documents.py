@@ -283,7 +283,7 @@ class _Sections(HTMLParser):
             self.now["text"] += " " + data
 
 
-def _page_sections(html: str, target: int = 200, limit: int = 500) -> list[dict]:
+def _page_sections(html: str, limit: int = 500) -> list[dict]:
     parser = _Sections()
     parser.feed(html)
     parser.close()
@@ -298,8 +298,6 @@ def _page_sections(html: str, target: int = 200, limit: int = 500) -> list[dict]
             if s["info"] != last["info"]:
                 last["info"] += "+" + s["info"]
         else:
-            if last is not None and s["tag"] != "h1" and len(last["text"]) < target:
-                merged.pop()
             merged.append(dict(s))
     return merged
 

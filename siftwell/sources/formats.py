@@ -18,8 +18,6 @@ DEPENDENCY_MESSAGES = [
 DEPENDENCY_FILES = [
     "package.json", "package-lock.json", "requirements.txt", "Pipfile.lock", "Cargo.lock", "go.mod", "go.sum", "yarn.lock", "pnpm-lock.yaml",
 ]
-COMMIT_LINE = r"^[^|\n]*\|[^|\n]*\|[^\n]*$"
-
 
 def read_commits(log: DataFrame, text: str = "text") -> DataFrame:
     """Commits of ``hash|short|subject|body|author|email|date`` lines, each followed by tab-separated file counts.
@@ -32,16 +30,16 @@ def read_commits(log: DataFrame, text: str = "text") -> DataFrame:
     rows = F.split(F.col("_c"), "\n")
     head = F.split(rows[0], r"\|", 7)
     stats = F.filter(F.slice(rows, 2, F.size(rows)), lambda r: F.size(F.split(r, "\t")) >= 3)
-    count = lambda r, i: F.when(F.split(r, "\t")[i] == "-", 0).otherwise(F.split(r, "\t")[i].cast("int"))
+    count = lambda r, i: F.coalesce(F.split(r, "\t")[i].try_cast("int"), F.lit(0))
     total = lambda i: F.aggregate("_s", F.lit(0), lambda acc, r: acc + count(r, i))
     return (
         one.select(head.alias("_h"), stats.alias("_s"))
-        .filter((F.size("_h") == 7) & F.try_to_timestamp(F.col("_h")[6]).isNotNull())
+        .filter((F.size("_h") == 7) & F.try_to_timestamp(F.get("_h", F.lit(6))).isNotNull())
         .select(
-            F.col("_h")[0].alias("sha"), F.col("_h")[2].alias("message"), F.col("_h")[4].alias("author"), F.col("_h")[5].alias("email"),
-            F.try_to_timestamp(F.col("_h")[6]).alias("ts"),
+            F.get("_h", F.lit(0)).alias("sha"), F.get("_h", F.lit(2)).alias("message"), F.get("_h", F.lit(4)).alias("author"), F.get("_h", F.lit(5)).alias("email"),
+            F.try_to_timestamp(F.get("_h", F.lit(6))).alias("ts"),
             F.transform("_s", lambda r: F.split(r, "\t")[2]).alias("files"), F.size("_s").alias("files_changed"),
-            total(0).alias("insertions"), total(1).alias("deletions"), F.contains(F.lower(F.col("_h")[2]), F.lit("merge")).alias("is_merge"),
+            total(0).alias("insertions"), total(1).alias("deletions"), F.contains(F.lower(F.get("_h", F.lit(2))), F.lit("merge")).alias("is_merge"),
         )
     )
 

@@ -38,13 +38,13 @@ def debounce(events: DataFrame, gap: str = "1 second", watermark: str | None = N
 def debounce_batch(events: DataFrame, gap_seconds: float) -> DataFrame:
     """The same sessions for a batch table where one file may hold very many events.
 
-    A session opens when the gap to the latest earlier event is at least the quiet time. Both running steps are
+    A session opens when the gap to the latest earlier event is longer than the quiet time. Both running steps are
     split over range partitions, and sessions are closed by a partial aggregate.
     """
     sec = F.col("ts").cast("double")
     base = events.select("file_path", "event_id", sec.alias("_t"))
     seen = running(base, ["file_path"], ["_t", "event_id"], F.col("_t"), "max", "_prev", inclusive=False)
-    opens = F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap_seconds), 1).otherwise(0)
+    opens = F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > gap_seconds), 1).otherwise(0)
     numbered = running(seen, ["file_path"], ["_t", "event_id"], opens, "sum", "_s")
     return numbered.groupBy("file_path", "_s").agg(F.min("_t").alias("start"), F.max("_t").alias("last"), F.count("*").alias("events")).drop("_s")
 

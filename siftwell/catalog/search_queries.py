@@ -80,7 +80,8 @@ def classify_query(spark, d):
 
 @query("suggest_queries")
 def suggest_queries(spark, d):
-    return st.mixed_queries(spark, d).select("query_id", F.array_join(qx.suggest_without_results(F.col("text")), " ").alias("suggestions"))
+    hits = text_hits(spark, d).withColumn("rank", F.lit(1))
+    return fusion.suggest_queries(hits, st.mixed_queries(spark, d))
 
 
 def emb(spark, d):
@@ -260,7 +261,7 @@ def rrf_three_way(spark, d):
 
 def text_hits(spark, d, k=20):
     """BM25 hits with chunk columns and names."""
-    _, b = None, lexical.bm25_search(lexical.bm25_index(st.corpus(spark, d)), st.search_queries(spark, d), k)
+    b = lexical.bm25_search(lexical.bm25_index(st.corpus(spark, d)), st.search_queries(spark, d), k)
     c = st.chunks(spark, d).select(
         "chunk_id", "file_path", "content", "lang", "start_line", "end_line", "chunk_type", F.lit("python").alias("language"),
         F.regexp_extract("content", "[A-Za-z]+", 0).alias("function_name"), F.col("source").alias("class_name"),

@@ -99,10 +99,10 @@ def overlap_dedup(spark, d):
 
 @query(
     "similar_pairs",
-    """WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS ws FROM benchmark),
-    dw AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS ws FROM documents)
-    SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) AS jaccard FROM dw a JOIN dw b ON a.doc_id < b.doc_id
-    AND len(a.ws) >= 0.8 * len(b.ws) AND len(b.ws) >= 0.8 * len(a.ws) WHERE len(a.ws) > 0 AND len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) >= 0.8""",
+    """WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS ws FROM documents),
+    d AS (SELECT ws, min(doc_id) AS doc_id, len(ws) AS n FROM w WHERE len(ws) > 0 GROUP BY ws), t AS (SELECT doc_id, n, unnest(ws) AS x FROM d),
+    c AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS c, any_value(a.n) AS an, any_value(b.n) AS bn FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY ALL)
+    SELECT left_id, right_id, round(c / (an + bn - c), 6) AS jaccard FROM c WHERE c / (an + bn - c) >= 0.8""",
 )
 def similar_pairs(spark, d):
     t = st.table(spark, d, "documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("normalized"))
@@ -240,16 +240,17 @@ def export_sarif(spark, d):
 
 @query(
     "read_commits",
-    f"""WITH {st.COMMITS} SELECT sha::VARCHAR AS sha, author::VARCHAR AS author, strftime(ts, '%Y-%m-%d') AS day, files_changed::INT AS files_changed, insertions::INT AS insertions, deletions::INT AS deletions FROM commits""",
+    f"""WITH {st.COMMITS} SELECT sha::VARCHAR AS sha, author::VARCHAR AS author, strftime(ts, '%Y-%m-%d') AS day, files_changed, insertions, deletions FROM commits""",
 )
 def read_commits(spark, d):
     lines = st.commit_files(spark, d).select("sha", F.concat_ws("\t", F.col("insertions").cast("string"), F.col("deletions").cast("string"), F.col("path")).alias("l"))
-    body = lines.groupBy("sha").agg(F.array_join(F.collect_list("l"), "\n").alias("body"))
-    log = st.commits(spark, d).select("sha", "author", "ts", "message").join(body, "sha", "left")
+    log = st.commits(spark, d).select("sha", "author", "ts", "message").join(lines, "sha", "left")
     head = F.concat_ws("|", F.col("sha").cast("string"), F.lit("h"), "message", F.lit(""), F.col("author").cast("string"), F.lit("a@b"), F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00+00:00")))
-    text = F.concat(head, F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n\n"))
+    text = F.concat(head, F.lit("\n"), F.coalesce("l", F.lit("")), F.lit("\n\n"))
     out = formats.read_commits(log.select(F.concat(text, F.regexp_replace(text, r"^\d+", "x")).alias("text"))).filter("sha <> 'x'")
-    return out.select("sha", "author", F.date_format("ts", "yyyy-MM-dd").alias("day"), "files_changed", "insertions", "deletions")
+    return out.groupBy("sha", "author", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        *[F.sum(c).alias(c) for c in ("files_changed", "insertions", "deletions")]
+    )
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.functions import metrics as mx
+from siftwell.functions import queries as qx
 from siftwell.functions import text as tx
 from siftwell.runtime import fixed_table
 
@@ -222,3 +223,34 @@ def context_lines(hits: DataFrame, files: DataFrame, n: int = 3) -> DataFrame:
         .withColumn("context_after", F.transform(F.slice(ls, end + 1, n), lambda x: F.rtrim(x)))
         .drop("_lines")
     )
+
+
+def suggest_queries(hits: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+    """(query_id, suggestion, place): up to ``n`` follow-ups per query that it does not hold already.
+
+    With hits: three function names, three class names and three parts of the
+    file names of the five best hits, in name order. Without: related terms.
+    Only three values per query and kind ever meet.
+    """
+    five = hits.filter(F.col("rank") <= 5)
+    stem = F.regexp_replace(tx.basename(F.col("file_path")), r"(?<=.)\.[^.]*$", "")
+    kinds = [
+        (0, hits.select("query_id", F.col("function_name").alias("suggestion"))),
+        (1, hits.select("query_id", F.col("class_name").alias("suggestion"))),
+        (2, five.select("query_id", F.explode(F.split(stem, "_")).alias("suggestion"))),
+    ]
+    first = Window.partitionBy("query_id", "kind").orderBy("suggestion")
+    rows = None
+    for kind, df in kinds:
+        part = df.filter(F.coalesce("suggestion", F.lit("")) != "").distinct().withColumn("kind", F.lit(kind))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= 3)
+    found = hits.select("query_id").distinct()
+    alone = queries.join(found, "query_id", "left_anti").select(
+        "query_id", F.posexplode(qx.suggest_without_results(F.col("text"))).alias("_r", "suggestion")
+    ).withColumn("kind", F.lit(0))
+    every = rows.unionByName(alone.select(*rows.columns)).join(queries.select("query_id", tx.words(F.col("text")).alias("_w")), "query_id")
+    every = every.filter(~F.array_contains("_w", F.lower("suggestion")))
+    best = every.groupBy("query_id", "suggestion").agg(F.min(F.struct("kind", "_r")).alias("_o"))
+    w = Window.partitionBy("query_id").orderBy("_o", "suggestion")
+    return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("query_id", "suggestion", "place")

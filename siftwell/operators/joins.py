@@ -141,15 +141,23 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def _word_sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, ws): one row per distinct word set, under its smallest id; copies of a text never meet each other."""
+    words = F.array_sort(F.array_distinct(tx.words(F.col(text))))
+    return df.select(F.col(id_col).alias("id"), words.alias("ws")).filter(F.size("ws") > 0).groupBy("ws").agg(F.min("id").alias("id")).select("id", "ws")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, id_col: str = "claim_id", text: str = "normalized") -> DataFrame:
     """(left_id, right_id, jaccard) of texts whose word sets reach a Jaccard threshold, exactly.
 
-    Prefix filtering: with words ordered from rare to common, two sets that reach
-    the threshold share a word among the first |x| − ⌈t·|x|⌉ + 1 of each, so
-    only those rare words are join keys, along with the length bounds.
+    Texts with one word set are represented by their smallest id, so a group of
+    copies is one row. Prefix filtering: with words ordered from rare to common,
+    two sets that reach the threshold share a word among the first
+    |x| − ⌈t·|x|⌉ + 1 of each, so only those rare words are join keys, along with
+    the length bounds.
     """
-    words = lambda df, n: df.select(F.col(id_col).alias(n), F.array_distinct(tx.words(F.col(text))).alias("ws"))
-    lw, rw = words(left, "left_id"), words(right, "right_id")
+    lw = _word_sets(left, id_col, text).withColumnRenamed("id", "left_id")
+    rw = _word_sets(right, id_col, text).withColumnRenamed("id", "right_id")
     freq = (
         lw.select(F.explode("ws").alias("w")).unionByName(rw.select(F.explode("ws").alias("w")))
         .groupBy("w").agg(F.count("*").alias("n"))
@@ -173,33 +181,32 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, id_
 def fuzzy_claim_merge(base: DataFrame, extra: DataFrame, threshold: float = 0.8, id_col: str = "claim_id", text: str = "normalized") -> DataFrame:
     """Base claims and those extra claims (in id order) that repeat no kept claim.
 
-    Against the base a repeat is an anti-join. Among the extras the greedy rule
-    keeps a claim when no earlier similar claim was kept; that is settled in
-    rounds over the similar pairs: claims without an undecided earlier neighbour
-    are decided, their later neighbours dropped, until none is left.
+    Only the first of several extras with one word set can stay. Against the base
+    a repeat is an anti-join. Among the others the greedy rule keeps a claim when
+    no earlier similar claim was kept; that is settled in rounds over the similar
+    pairs: claims without an undecided earlier neighbour are decided, their later
+    neighbours dropped, until none is left. Claims without words never repeat.
     """
-    dup = similar_pairs(extra, base, threshold, id_col, text).select(F.col("left_id").alias(id_col)).distinct()
-    rest = cut_lineage(extra.join(dup, id_col, "left_anti"))
+    blank = extra.filter(F.size(tx.words(F.col(text))) == 0)
+    first = _word_sets(extra, id_col, text).select("id")
+    dup = similar_pairs(extra, base, threshold, id_col, text).select(F.col("left_id").alias("id")).distinct()
+    open_ = cut_lineage(first.join(dup, "id", "left_anti"))
+    rest = extra.join(open_.withColumnRenamed("id", id_col), id_col, "left_semi")
     pairs = cut_lineage(
         similar_pairs(rest, rest, threshold, id_col, text).filter(F.col("left_id") < F.col("right_id")).select(F.col("left_id").alias("first"), F.col("right_id").alias("later"))
     )
     kept = None
-    open_ = rest.select(F.col(id_col).alias("id"))
-    while True:
-        if pairs.isEmpty():
-            kept_now = open_
-            kept = kept_now if kept is None else kept.unionByName(kept_now)
-            break
+    while not pairs.isEmpty():
         blocked = pairs.select(F.col("later").alias("id")).distinct()
         sure = cut_lineage(open_.join(blocked, "id", "left_anti"))
         kept = sure if kept is None else kept.unionByName(sure)
         gone = cut_lineage(pairs.join(sure.withColumnRenamed("id", "first"), "first", "left_semi").select(F.col("later").alias("id")).distinct())
         open_ = cut_lineage(open_.join(sure, "id", "left_anti").join(gone, "id", "left_anti"))
-        live = open_.select("id")
         pairs = cut_lineage(
-            pairs.join(live.withColumnRenamed("id", "first"), "first", "left_semi").join(live.withColumnRenamed("id", "later"), "later", "left_semi")
+            pairs.join(open_.withColumnRenamed("id", "first"), "first", "left_semi").join(open_.withColumnRenamed("id", "later"), "later", "left_semi")
         )
-    survivors = rest.join(kept.withColumnRenamed("id", id_col), id_col, "left_semi")
+    kept = open_ if kept is None else kept.unionByName(open_)
+    survivors = extra.join(kept.withColumnRenamed("id", id_col), id_col, "left_semi").unionByName(blank)
     return base.unionByName(survivors.select(*base.columns))
 
 

@@ -157,13 +157,16 @@ def letter_frequencies(texts):
     return np.array([[t.lower().count(c) for c in "abcdefghijklmnop"] for t in texts], dtype=np.float32)
 
 
-@query("embed_chunks")
+@query(
+    "embed_chunks",
+    f"WITH {st.CHUNKS} SELECT chunk_id, 16 AS dimension, len(regexp_replace(lower(content), '[^a-p]', '', 'g'))::DOUBLE AS total FROM chunks",
+)
 def embed_chunks(spark, d):
     out = vector.embed_chunks(st.chunks(spark, d), letter_frequencies, 16)
-    return out.select("chunk_id", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    return out.select("chunk_id", F.size("vector").alias("dimension"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("register_embedder")
+@query("register_embedder", f"WITH {st.CHUNKS} SELECT chunk_id, 16 AS dimension FROM chunks")
 def register_embedder(spark, d):
     from siftwell.functions import extensions as ext
 

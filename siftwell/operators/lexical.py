@@ -62,17 +62,18 @@ def bm25_index(docs: DataFrame, doc_id: str = "chunk_id", text: str = "doc_text"
     if materialize:
         postings = cut_lineage(postings)
     n = base.agg(F.count("*")).scalar()
-    raw = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    raw = raw.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("n", n)
+    raw = raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     if materialize:
         raw = cut_lineage(raw)
-    floor = raw.agg(F.avg("raw_idf") * NEGATIVE_IDF_SHARE).scalar()
-    avgdl = raw.agg(F.sum("cf")).scalar() / n
-    terms = raw.select(
+    facts = raw.agg(
+        F.struct((F.avg("raw_idf") * NEGATIVE_IDF_SHARE).alias("floor"), (F.sum("cf") / F.max("n")).alias("avgdl"))
+    ).scalar()
+    terms = raw.withColumn("_facts", facts).select(
         "term",
         "df",
-        F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"),
-        avgdl.alias("avgdl"),
+        F.when(F.col("raw_idf") < 0, F.col("_facts.floor")).otherwise(F.col("raw_idf")).alias("idf"),
+        F.col("_facts.avgdl").alias("avgdl"),
     )
     return Bm25Index(postings, terms)
 

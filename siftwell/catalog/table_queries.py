@@ -27,20 +27,20 @@ def unembedded_chunks(spark, d):
 def two_versions(spark, d):
     """(current, indexed): documents with changed, vanished, new and renamed files."""
     f = st.files(spark, d).withColumn("file_hash", F.md5(F.col("text").cast("binary")))
-    k = F.col("doc_id") % 10
-    indexed = f.filter(k != 1).select("file_path", "file_hash", "text")
-    current = f.filter(k != 2).select(
-        F.when(k == 3, F.concat(F.lit("moved/"), "file_path")).otherwise(F.col("file_path")).alias("file_path"),
-        F.when(k == 4, F.md5(F.concat("text", F.lit("x")).cast("binary"))).otherwise(F.col("file_hash")).alias("file_hash"),
-        F.when(k == 4, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"),
+    k = F.col("source")
+    indexed = f.filter(k != "src1").select("file_path", "file_hash", "text")
+    current = f.filter(k != "src2").select(
+        F.when(k == "src3", F.concat(F.lit("moved/"), "file_path")).otherwise(F.col("file_path")).alias("file_path"),
+        F.when(k == "src4", F.md5(F.concat("text", F.lit("x")).cast("binary"))).otherwise(F.col("file_hash")).alias("file_hash"),
+        F.when(k == "src4", F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"),
     )
     return current, indexed
 
 
 TWO = st.FILES + """,
-idx AS (SELECT file_path, md5(text) AS file_hash, text FROM files WHERE doc_id % 10 <> 1),
-cur AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'moved/' || file_path ELSE file_path END AS file_path, md5(CASE WHEN doc_id % 10 = 4 THEN text || 'x' ELSE text END) AS file_hash,
-  CASE WHEN doc_id % 10 = 4 THEN text || 'x' ELSE text END AS text FROM files WHERE doc_id % 10 <> 2),
+idx AS (SELECT file_path, md5(text) AS file_hash, text FROM files WHERE source <> 'src1'),
+cur AS (SELECT CASE WHEN source = 'src3' THEN 'moved/' || file_path ELSE file_path END AS file_path, md5(CASE WHEN source = 'src4' THEN text || 'x' ELSE text END) AS file_hash,
+  CASE WHEN source = 'src4' THEN text || 'x' ELSE text END AS text FROM files WHERE source <> 'src2'),
 orphan AS (SELECT file_path, file_hash, row_number() OVER (PARTITION BY file_hash ORDER BY file_path) AS r, count(*) OVER (PARTITION BY file_hash) AS n FROM idx WHERE file_path NOT IN (SELECT file_path FROM cur)),
 fresh AS (SELECT file_path, file_hash, row_number() OVER (PARTITION BY file_hash ORDER BY file_path) AS r, count(*) OVER (PARTITION BY file_hash) AS n FROM cur WHERE file_path NOT IN (SELECT file_path FROM idx)),
 moves AS (SELECT o.file_path AS old_path, f.file_path AS new_path, o.file_hash FROM orphan o JOIN fresh f ON o.file_hash = f.file_hash AND o.r = f.r AND o.n = f.n)"""
@@ -72,12 +72,12 @@ def bm25_hits(spark, d, k=20):
 
 @query(
     "stale_result_filter",
-    f"""WITH {st.BM25_HITS}, h AS (SELECT query_id, chunk_id, rank, file_path, doc_id % 3 = 0 AS alive FROM bm_rank JOIN chunks USING (chunk_id) WHERE rank <= 20)
+    f"""WITH {st.BM25_HITS}, h AS (SELECT query_id, chunk_id, rank, file_path, lang = 'en' AS alive FROM bm_rank JOIN chunks USING (chunk_id) WHERE rank <= 20)
     SELECT query_id, chunk_id, rank FROM (SELECT *, bool_or(alive) OVER (PARTITION BY query_id) AS anyone FROM h) WHERE alive OR NOT anyone""",
 )
 def stale_result_filter(spark, d):
     h = bm25_hits(spark, d).join(st.chunks(spark, d).select("chunk_id", "file_path"), "chunk_id")
-    return joins.stale_result_filter(h, st.files(spark, d).filter("doc_id % 3 = 0")).select("query_id", "chunk_id", "rank")
+    return joins.stale_result_filter(h, st.files(spark, d).filter("lang = 'en'")).select("query_id", "chunk_id", "rank")
 
 
 @query("hydrate_results", f"WITH {st.BM25_HITS} SELECT query_id, chunk_id, rank, file_path, lang FROM bm_rank JOIN chunks USING (chunk_id) WHERE rank <= 20")
@@ -376,12 +376,12 @@ def claim_state(spark, d):
 
 @query(
     "staleness",
-    """WITH f AS (SELECT source || doc_id AS p, n_chars AS m, doc_id FROM documents), i AS (SELECT p, CASE WHEN doc_id % 3 = 0 THEN m - 1 ELSE m END AS s FROM f WHERE doc_id % 5 <> 0)
+    """WITH f AS (SELECT source || doc_id AS p, n_chars AS m, doc_id, lang FROM documents), i AS (SELECT p, CASE WHEN doc_id % 3 = 0 THEN m - 1 ELSE m END AS s FROM f WHERE lang <> 'es')
     SELECT count(*) AS total_files, count_if(coalesce(m > s, true))::BIGINT AS stale_files, max(m) AS newest_file, min(s) AS oldest_index, (SELECT count(*) FROM i) AS indexed_files, 1000000 - min(s) AS age_seconds, 1000000 - min(s) > 300 AS is_stale FROM f LEFT JOIN i USING (p)""",
 )
 def staleness(spark, d):
-    f = st.table(spark, d, "documents").select(F.concat("source", F.col("doc_id").cast("string")).alias("file_path"), F.col("n_chars").alias("mtime"), "doc_id")
-    i = f.filter("doc_id % 5 <> 0").select("file_path", F.when(F.col("doc_id") % 3 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")).alias("mtime"))
+    f = st.table(spark, d, "documents").select(F.concat("source", F.col("doc_id").cast("string")).alias("file_path"), F.col("n_chars").alias("mtime"), "doc_id", "lang")
+    i = f.filter("lang <> 'es'").select("file_path", F.when(F.col("doc_id") % 3 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")).alias("mtime"))
     return changes.staleness(f, i, F.lit(1000000).cast("long"))
 
 

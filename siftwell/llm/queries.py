@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import sharding, simhash
+from siftwell.llm import decontaminate, secrets, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,11 +22,65 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), words=3, max_bits=2)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = sharding.sized(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     shards = sharding.shard_by_bytes(docs, 40, "size", ["doc_id", "text_crc32"])
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES["op1_simhash_near_dedup"] = op1_simhash_near_dedup
-QUERIES["op4_sharding"] = op4_sharding
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES.update(
+    op1_simhash_near_dedup=op1_simhash_near_dedup,
+    op2_decontamination=op2_decontamination,
+    op4_sharding=op4_sharding,
+    op6_secret_scan=op6_secret_scan,
+)
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+ORACLES["op2_decontamination"] = f"""
+with items as (select coalesce(item_id::varchar, '') item, {_WORDS} w from benchmark),
+spread as (select item, w, least(10, len(w)) k, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from items where len(w) > 0),
+asked as (select distinct item, k, array_to_string(w[i:i + k - 1], ' ') win from spread),
+docs as (select row_number() over () rid, doc_id, {_WORDS} w from documents),
+places as (select rid, w, k, unnest(range(1, len(w) - k + 2)) i from docs, (select distinct k from asked)),
+hits as (select rid, i, k, item from (select rid, i, k, array_to_string(w[i:i + k - 1], ' ') win from places) join asked using (k, win)),
+covered as (select rid, count(distinct p) n from (select rid, unnest(range(i, i + k)) p from hits) group by rid),
+named as (select rid, count(distinct item) n_items, string_agg(distinct item, ',' order by item) s from hits group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+       sha256(coalesce(s, '')) items_sha256, n is not null contaminated
+from docs left join covered using (rid) left join named using (rid)
+"""
+
+ORACLES["op4_sharding"] = """
+with recursive steps as (
+    select b, 0 n, b::bigint c from range(256) t(b)
+    union all select b, n + 1, case when c % 2 = 1 then xor(c // 2, 3988292384::bigint) else c // 2 end from steps where n < 8
+),
+crc as (select list(c order by b) t from steps where n = 8),
+docs as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+sized as (
+    select doc_id, length(h) // 2 + 16 as size,
+           xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+               lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]))) as text_crc32
+    from docs, crc
+),
+summed as (select *, sum(size) over (order by doc_id, text_crc32) as upto, sum(size) over () as everything from sized),
+cut as (select doc_id, size, text_crc32, least(39, ((2 * upto - size)::hugeint * 40) // (2 * everything))::int as shard from summed)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'bytes' as law, shard,
+       row_number() over (partition by shard order by doc_id, text_crc32) - 1 as slot, null::int as grown_shard
+from cut
+"""

@@ -71,6 +71,14 @@ def map_texts(df: DataFrame, column: str, keep: Sequence[str], added: str, fn: C
     return source.mapInArrow(run, schema)
 
 
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all if it has no more, never over twice as many), by the hash of ``key``."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < F.lit((1 << 40) * rows // total)).limit(2 * rows)
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, secrets, sharding, simhash
+from siftwell.llm import decontaminate, langid, secrets, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,13 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1)
+    model = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, ("doc_id", "held_out"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secret_spans(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -45,6 +52,7 @@ QUERIES.update(
     op1_simhash_near_dedup=op1_simhash_near_dedup,
     op2_decontamination=op2_decontamination,
     op4_sharding=op4_sharding,
+    op5_language_id=op5_language_id,
     op6_secret_scan=op6_secret_scan,
 )
 

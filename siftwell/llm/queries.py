@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, langid, secrets, sharding, simhash
+from siftwell.llm import decontaminate, langid, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,12 +48,18 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.grade(docs, toxicity.learn(docs, _table(spark, folder, "labels")))
+
+
 QUERIES.update(
     op1_simhash_near_dedup=op1_simhash_near_dedup,
     op2_decontamination=op2_decontamination,
     op4_sharding=op4_sharding,
     op5_language_id=op5_language_id,
     op6_secret_scan=op6_secret_scan,
+    op8_toxicity=op8_toxicity,
 )
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

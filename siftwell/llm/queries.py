@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, langid, secrets, sharding, simhash, toxicity
+from siftwell.llm import decontaminate, langid, quality, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +53,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.learn(docs, _table(spark, folder, "labels")))
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(_table(spark, folder, "documents"))[0]
+
+
 QUERIES.update(
     op1_simhash_near_dedup=op1_simhash_near_dedup,
     op2_decontamination=op2_decontamination,
@@ -60,6 +64,7 @@ QUERIES.update(
     op5_language_id=op5_language_id,
     op6_secret_scan=op6_secret_scan,
     op8_toxicity=op8_toxicity,
+    op10_quality_classifier=op10_quality_classifier,
 )
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, langid, quality, secrets, sharding, simhash, toxicity
+from siftwell.llm import decontaminate, langid, quality, secrets, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicate(_table(spark, folder, "documents"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = sharding.sized(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     shards = sharding.shard_by_bytes(docs, 40, "size", ["doc_id", "text_crc32"])
@@ -60,6 +64,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES.update(
     op1_simhash_near_dedup=op1_simhash_near_dedup,
     op2_decontamination=op2_decontamination,
+    op3_substring_dedup=op3_substring_dedup,
     op4_sharding=op4_sharding,
     op5_language_id=op5_language_id,
     op6_secret_scan=op6_secret_scan,

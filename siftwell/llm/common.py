@@ -71,12 +71,10 @@ def map_texts(df: DataFrame, column: str, keep: Sequence[str], added: str, fn: C
     return source.mapInArrow(run, schema)
 
 
-def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
-    """About ``rows`` rows of ``df`` (all if it has no more, never over twice as many), by the hash of ``key``."""
+def bounded_sample(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all if it has no more), copies as often as any others. ``df``: a scan or a written table, so that the draw repeats."""
     total = df.count()
-    if total <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < F.lit((1 << 40) * rows // total)).limit(2 * rows)
+    return df if total <= rows else df.sample(fraction=rows / total, seed=seed)
 
 
 def _signature(edges: DataFrame) -> tuple:

@@ -183,7 +183,7 @@ def learn(rows: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
     votes = np.array([r["votes"] for r in patterns]).reshape(-1, N_LABELLERS)
     order = np.lexsort(votes.T)
     labels = fit_labels(votes[order], np.array([r["count"] for r in patterns], float)[order])
-    table = bounded_sample(rows, training_rows, "votes", "at", "x").select("votes", "at", "x").toArrow()
+    table = bounded_sample(rows.select("votes", "at", "x"), training_rows).toArrow()
     if not len(table):
         return Model(labels, np.zeros(BUCKETS), 0.0)
     at = table.column("at").combine_chunks()

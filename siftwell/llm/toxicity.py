@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded_sample, map_texts
+from siftwell.llm.common import map_texts
 from siftwell.llm.decontaminate import words_of
+from siftwell.runtime import cut_lineage
 
 #: Severity grades: 0 is clean, the others split toxic documents by how much of the telling features they hold.
 GRADES = 4
@@ -26,30 +26,28 @@ TRAINING_ROWS = 20_000
 #: Expected chance of being above grade 0 from which a document counts as toxic.
 CUT = 0.5
 _GRAMS = (4, 5)
-_CACHE = 200_000
+_CACHE = 400_000
 
 
-def word_features(word: bytes) -> list[int]:
-    """Hashes of a word and of its runs of characters, word ends marked."""
+def word_features(word: bytes) -> set[str]:
+    """A word and its runs of characters, word ends marked."""
     text = f"^{word.decode(errors='replace')}$"
-    grams = {text[i : i + n] for n in _GRAMS for i in range(len(text) - n + 1)} | {text}
-    return [xxhash.xxh64_intdigest(g) >> 1 for g in grams]
+    return {text[i : i + n] for n in _GRAMS for i in range(len(text) - n + 1)} | {text}
 
 
 class Cache:
-    """Feature lists of words, dropped as a whole when there are too many."""
+    """Features of words (or their numbers in ``only``), dropped as a whole when there are too many words."""
 
-    def __init__(self, only: dict[int, int] | None = None):
+    def __init__(self, only: dict[str, int] | None = None):
         self.only, self.known = only, {}
 
-    def __getitem__(self, word: bytes) -> list[int]:
+    def __getitem__(self, word: bytes) -> list:
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= _CACHE:
                 self.known.clear()
-            found = word_features(word)
-            if self.only is not None:
-                found = [self.only[f] for f in found if f in self.only]
+            names = word_features(word)
+            found = sorted(names) if self.only is None else [self.only[f] for f in names if f in self.only]
             self.known[word] = found
         return found
 
@@ -69,7 +67,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             keys = list({*sums[0], *sums[1]})
-            out = pa.RecordBatch.from_pydict({"feature": pa.array(keys, pa.int64()), "toxic": pa.array([sums[1][k] for k in keys], pa.int64()), "clean": pa.array([sums[0][k] for k in keys], pa.int64())})
+            out = pa.RecordBatch.from_pydict({"feature": pa.array(keys, pa.string()), "toxic": pa.array([sums[1][k] for k in keys], pa.int64()), "clean": pa.array([sums[0][k] for k in keys], pa.int64())})
             for s in sums:
                 s.clear()
             return out
@@ -81,16 +79,23 @@ def feature_counts(rows: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return rows.select("toxic", "text").mapInArrow(count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.select("toxic", "text").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 @dataclass
 class Model:
     """Weights shared by all thresholds; ``thresholds`` rise, one for each step between grades."""
 
-    features: dict[int, int] = field(default_factory=dict)
+    features: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, np.inf))
+    cache: Cache | None = field(default=None, compare=False)
+
+    def words(self) -> Cache:
+        """The features of the words met so far, kept as long as the task's process."""
+        if self.cache is None:
+            self.cache = Cache(self.features)
+        return self.cache
 
 
 def features_of(cache: Cache, data: bytes | None) -> tuple[list[int], list[float]]:
@@ -138,14 +143,18 @@ def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.nd
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", training_rows: int = TRAINING_ROWS) -> Model:
     """Model from documents with a toxic label of 0 or 1 (others, null ids and null texts teach nothing).
 
-    All labelled texts decide which features are tied to the label (the strongest
-    MAX_FEATURES of those at least LEAST_Z standard errors over chance, in three texts or more);
-    about ``training_rows`` of them, by hashed id, fit the weights. Toxic ones are graded
-    1 to GRADES - 1 by the quantiles of how much of such features they hold. A document
-    labelled both ways is toxic. Without both kinds of label the model finds nothing toxic.
+    The model is fitted on about ``training_rows`` labelled documents, taken by hashed id
+    (all if there are no more), so that their ids can be broadcast and no text is shuffled. The features
+    are the MAX_FEATURES most tied to the label of those at least LEAST_Z standard errors over
+    chance, in three texts or more. Toxic documents are graded 1 to GRADES - 1 by the quantiles
+    of how much of such features they hold. A document labelled both ways is toxic. Without both kinds of
+    label the model finds nothing toxic.
     """
     marks = labels.where(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).cast("int").alias("toxic"))
-    known = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(marks, "_id")
+    share = min(1.0, training_rows / max(1, marks.count()))
+    taken = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(taken), "_id")
+    known = cut_lineage(known)
     both = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not both["toxic"] or both["n"] == both["toxic"]:
         return Model()
@@ -156,15 +165,13 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not chosen:
         return Model()
     only, strength = {r["feature"]: i for i, r in enumerate(chosen)}, np.array([r["z"] for r in chosen])
-    shared = docs.sparkSession.sparkContext.broadcast(only)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(only))
 
     def found(texts: list[bytes | None]) -> tuple[list, ...]:
-        cache = Cache(shared.value)
-        rows = [features_of(cache, t) for t in texts]
+        rows = [features_of(shared.value.words(), t) for t in texts]
         return [r[0] for r in rows], [r[1] for r in rows]
 
-    sample = bounded_sample(known, training_rows, "_id")
-    table = map_texts(sample, "text", ("_id", "toxic"), "at array<int>, x array<double>", found).toArrow().sort_by([("_id", "ascending")])
+    table = map_texts(known, "text", ("_id", "toxic"), "at array<int>, x array<double>", found).toArrow().sort_by([("_id", "ascending")])
     sizes = table.column("at").combine_chunks().value_lengths().to_numpy()
     rows = np.repeat(np.arange(len(sizes)), sizes)
     columns, values = table.column("at").combine_chunks().flatten().to_numpy(), table.column("x").combine_chunks().flatten().to_numpy()
@@ -176,9 +183,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Model(only, weights, thresholds)
 
 
-def severity(model: Model, cache: Cache, data: bytes | None) -> tuple[float, int, float]:
+def severity(model: Model, data: bytes | None) -> tuple[float, int, float]:
     """Expected grade, likeliest grade, and the chance of being above grade 0 of a text."""
-    at, values = features_of(cache, data)
+    at, values = features_of(model.words(), data)
     score = float(np.dot(model.weights[at], values)) if at else 0.0
     above = _sigmoid(score - model.thresholds)
     return float(above.sum()), int(np.argmax(-np.diff(np.concatenate([[1.0], above, [0.0]])))), float(above[0])
@@ -194,8 +201,7 @@ def grade(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str] = ("d
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(texts: list[bytes | None]) -> tuple[list, ...]:
-        cache = Cache(shared.value.features)
-        rows = [severity(shared.value, cache, t) for t in texts]
+        rows = [severity(shared.value, t) for t in texts]
         return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[2] >= cut for r in rows]
 
     return map_texts(docs, text, list(keep), "severity double, grade int, toxic_chance double, toxic boolean", found)

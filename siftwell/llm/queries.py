@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, langid, quality, secrets, sharding, simhash, substrings, toxicity
+from siftwell.llm import decontaminate, embeddings, langid, quality, secrets, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,10 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"), cosine=0.98)
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return toxicity.grade(docs, toxicity.learn(docs, _table(spark, folder, "labels")))
@@ -68,6 +72,7 @@ QUERIES.update(
     op4_sharding=op4_sharding,
     op5_language_id=op5_language_id,
     op6_secret_scan=op6_secret_scan,
+    op7_embedding_near_dedup=op7_embedding_near_dedup,
     op8_toxicity=op8_toxicity,
     op10_quality_classifier=op10_quality_classifier,
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, embeddings, langid, quality, secrets, sharding, simhash, substrings, toxicity
+from siftwell.llm import decontaminate, embeddings, langid, mixing, quality, secrets, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,6 +61,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.learn(docs, _table(spark, folder, "labels")))
 
 
+def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(_table(spark, folder, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"))[0]
 
@@ -74,6 +79,7 @@ QUERIES.update(
     op6_secret_scan=op6_secret_scan,
     op7_embedding_near_dedup=op7_embedding_near_dedup,
     op8_toxicity=op8_toxicity,
+    op9_source_mixing=op9_source_mixing,
     op10_quality_classifier=op10_quality_classifier,
 )
 
@@ -113,3 +119,31 @@ select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'bytes' a
        row_number() over (partition by shard order by doc_id, text_crc32) - 1 as slot, null::int as grown_shard
 from cut
 """
+
+ORACLES["op9_source_mixing"] = f"""
+with recursive docs as (
+    select *, coalesce(source, '(none)') ks, coalesce(lang, '(none)') kl, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint tokens,
+           case when text is null then '(none)' when contains({_LOWER}, 'licen') then 'licence' when contains(text, ' | ') then 'table' when contains(text, '@') then 'contact' else 'prose' end topic
+    from documents
+),
+cells as (select ks, kl, topic, sum(tokens)::double t from docs group by all),
+source_goals as (select ks, case when sum(t) > 0 then sum(t) ** 0.5 else 0 end a from cells group by ks),
+lang_goals as (select kl, case when sum(t) > 0 then sum(t) ** 0.7 else 0 end a from cells group by kl),
+topic_goals as (select topic, case when sum(t) > 0 then sum(t) ** 0.7 else 0 end a from cells group by topic),
+aimed as (
+    select c.*, g.goal * s.a / (select sum(a) from source_goals) gs, g.goal * l.a / (select sum(a) from lang_goals) gl, g.goal * p.a / (select sum(a) from topic_goals) gt
+    from cells c join source_goals s using (ks) join lang_goals l using (kl) join topic_goals p using (topic), (select sum(t) * 0.5 goal from cells) g
+),
+rounds as (
+    select *, 0 n, t * 0.5 w from aimed
+    union all
+    select ks, kl, topic, t, gs, gl, gt, n + 1, least(t, w3)
+    from (select *, case when sum(w2) over (partition by topic) > 0 then w2 * gt / sum(w2) over (partition by topic) else 0 end w3
+          from (select *, case when sum(w1) over (partition by kl) > 0 then w1 * gl / sum(w1) over (partition by kl) else 0 end w2
+                from (select *, case when sum(w) over (partition by ks) > 0 then w * gs / sum(w) over (partition by ks) else 0 end w1 from rounds where n < 12)))
+),
+chances as (select ks, kl, topic, case when t > 0 then w / t else 1 end p from rounds where n = 12)
+select doc_id, source, lang, topic, tokens, round(p, 6) probability,
+       ('0x' || substr(md5('9:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < p kept
+from docs join chances using (ks, kl, topic)
+"""

@@ -71,6 +71,12 @@ def map_texts(df: DataFrame, column: str, keep: Sequence[str], added: str, fn: C
     return source.mapInArrow(run, schema)
 
 
+def set_aside(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``names`` renamed, and what to select to have them back, so that an operator's columns can't clash."""
+    aside = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c not in names}
+    return docs.withColumnsRenamed(aside), [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+
+
 def bounded_sample(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     """About ``rows`` rows of ``df`` (all if it has no more), copies as often as any others. ``df``: a scan or a written table, so that the draw repeats."""
     total = df.count()

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import map_texts, word_blocks
+from siftwell.llm.common import map_texts, set_aside, word_blocks
 from siftwell.runtime import cut_lineage
 
 #: Consecutive words that make a window; an item of fewer words is one window.
@@ -189,11 +189,12 @@ def without_spans(text: str | None, spans: list[list[int]]) -> str | None:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, unit: str = "document", **options) -> DataFrame:
     """``docs`` without contaminated documents, or with ``unit="span"`` all documents without their hit spans."""
-    found = contamination(docs, benchmark, **options)
-    if unit == "document":
-        return found.where("n_hit = 0").select(*docs.columns)
-    if unit != "span":
+    if unit not in ("document", "span"):
         raise ValueError("unit is document or span")
     text = options.get("text", "text")
+    rows, back = set_aside(docs, [text])
+    found = contamination(rows, benchmark, **options)
+    if unit == "document":
+        return found.where("n_hit = 0").select(*back)
     cut = F.udf(without_spans, "string")
-    return found.withColumn(text, F.when(F.col("n_hit") > 0, cut(F.col(text), F.col("spans"))).otherwise(F.col(text))).select(*docs.columns)
+    return found.withColumn(text, F.when(F.col("n_hit") > 0, cut(F.col(text), F.col("spans"))).otherwise(F.col(text))).select(*back)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import lower_ascii
+from siftwell.llm.common import lower_ascii, set_aside
 from siftwell.runtime import cut_lineage
 
 #: What a missing source or language counts as.
@@ -92,3 +92,9 @@ def mix(docs: DataFrame, targets: Targets = POWERS, share: float = SHARE, rounds
     raked = rake(cells, targets, share, rounds).select(*[F.col(name).alias(f"_key_{name}") for name in targets], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0).alias("probability"))
     found = marked.drop("probability", "kept").join(raked, list(keys)).withColumn("kept", chance_of(F.col(doc_id), seed) < F.col("probability"))
     return found.drop(*keys)
+
+
+def sample(docs: DataFrame, targets: Targets = POWERS, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that ``mix`` keeps, with the columns of ``docs``."""
+    rows, back = set_aside(docs, [doc_id, text, *(name for name in targets if name != "topic")])
+    return mix(rows, targets, doc_id=doc_id, text=text, **options).where("kept").select(*back)

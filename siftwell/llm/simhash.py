@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import connected_components, map_texts, word_blocks
+from siftwell.llm.common import connected_components, map_texts, set_aside, word_blocks
 from siftwell.runtime import cut_lineage
 
 SEED = 42
 BITS = 64
+#: Bits of the wide signatures, orders in which they are laid out and how many at once, and neighbours compared in each.
+WIDE, ORDERS, AT_ONCE, NEIGHBOURS = 256, 24, 6, 8
+#: Standard errors of the estimated share of differing bits within which the words themselves decide.
+DOUBT = 3.5
 
 
 def _tally(counts: np.ndarray, shingles: Iterable[bytes]) -> int:
@@ -110,3 +116,135 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, doc_id:
     return prints.join(roots.join(smallest, "root").select("fingerprint", "component_id"), "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def _signature(hashes: np.ndarray) -> np.ndarray:
+    """WIDE SimHash bits of distinct features given by 64-bit hashes."""
+    counts = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        block = hashes[i : i + (1 << 14), None] * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+        block ^= block >> np.uint64(32)
+        block *= np.uint64(0xD6E8FEB86659FD93)
+        block ^= block >> np.uint64(29)
+        counts += np.unpackbits(block.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes))
+
+
+def shingle_set(data: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the words and of the word shingles of a UTF-8 text (fewer words: the whole sequence)."""
+    own, shingles, tail, total = [], [], [], 0
+    for block in word_blocks((data or b"").lower()):
+        own.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, set(block)), np.uint64)))
+        tail += block
+        shingles.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(tail[i:] for i in range(words)), strict=False))), np.uint64)))
+        total += len(shingles[-1])
+        tail = tail[max(0, len(tail) - words + 1) :]
+    if not total and tail:
+        shingles = [np.array([xxhash.xxh64_intdigest(b" ".join(tail))], np.uint64)]
+    none = np.zeros(0, np.uint64)
+    return np.unique(np.concatenate([none, *own])), np.unique(np.concatenate([none, *shingles]))
+
+
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, digest, n, order_bits, bits) of ``docs`` (doc_id, text): distinct shingles and wide signatures of the words and of the shingles."""
+
+    def found(texts: list[bytes | None]) -> tuple[list, ...]:
+        sets = [shingle_set(t, words) for t in texts]
+        return [len(s) for _, s in sets], [_signature(w).tobytes() for w, _ in sets], [_signature(s).tobytes() for _, s in sets]
+
+    return map_texts(docs.withColumn("digest", _digest("text")), "text", ("doc_id", "digest"), "n long, order_bits binary, bits binary", found)
+
+
+def neighbour_pairs(nodes: DataFrame, orders: range, low: float, high: float, similarity: float) -> DataFrame:
+    """(a, b, sure) of nodes near each other in some order whose signatures differ in a share of at most ``high`` of the bits; sure up to ``low``."""
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = [np.random.default_rng([SEED, nth]).permutation(WIDE)[:BITS] for nth in orders]
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("order_bits").to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
+            for nth, columns in zip(orders, chosen, strict=True):
+                key = np.ascontiguousarray(np.packbits(bits[:, columns], axis=1)).view(">i8").ravel().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), nth), pa.int32()), pa.array(key), batch.column("node"), batch.column("n"), batch.column("bits")], ["pass", "key", "node", "n", "bits"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE // BITS)
+            part = (batch.column("node").to_numpy(), batch.column("n").to_numpy(), bits)
+            old = 0 if held is None else len(held[0])
+            ids, n, bits = part if held is None else tuple(np.concatenate(x) for x in zip(held, part, strict=True))
+            for step in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+                first = max(0, old - step)
+                share = np.bitwise_count(bits[first : len(ids) - step] ^ bits[first + step :]).sum(axis=1) / WIDE
+                a, b = n[first : len(ids) - step], n[first + step :]
+                hit = np.flatnonzero((share <= high) & (np.minimum(a, b) >= similarity * np.maximum(a, b)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit + first]), pa.array(ids[hit + first + step]), pa.array(share[hit] <= low)], ["a", "b", "sure"])
+            held = tuple(x[-NEIGHBOURS:] for x in (ids, n, bits))
+
+    order = ["pass", "key", "node"]
+    laid = nodes.select("node", "n", "order_bits", "bits").mapInArrow(lay_out, "pass int, key long, node long, n long, bits binary")
+    found = laid.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long, sure boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more; each text is taken once."""
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(asked, "node").select("node", F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"))
+    rows = docs.select("doc_id", "text", _digest("text").alias("_own")).join(wanted, (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+
+    def hashes(texts: list[bytes | None]) -> tuple[list]:
+        return ([shingle_set(t, words)[1].view(np.int64) for t in texts],)
+
+    sets = map_texts(rows.dropDuplicates(["node"]), "text", ("node",), "shingles array<long>", hashes)
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(digest, doc_id, root) of the distinct texts of ``docs`` (doc_id, text): the digest of the text, its smallest doc_id and its group.
+
+    Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity``
+    are joined. At such a distance (about a seventh of the bits) the ring's keys would be a
+    few bits long, so candidates come from orders of the words' signature by permuted bits,
+    each text being compared with its neighbours in every order. The shingles' signature decides clear
+    cases; where its estimate is within DOUBT standard errors, and the texts are not yet in one group, the shingles themselves do.
+    """
+    prints = signatures(docs.select("doc_id", "text"), words)
+    nodes = cut_lineage(
+        prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "order_bits", "bits"))).withColumn("node", F.xxhash64("digest"))
+    )
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    error = DOUBT * float(np.sqrt(share * (1 - share) / WIDE))
+    found = [cut_lineage(neighbour_pairs(nodes, range(i, min(i + AT_ONCE, ORDERS)), share - error, share + error, similarity)) for i in range(0, ORDERS, AT_ONCE)]
+    pairs = reduce(DataFrame.unionAll, found).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    pairs = cut_lineage(pairs)
+    clear = cut_lineage(connected_components(pairs.where("sure")))
+    placed = pairs.where("not sure")
+    for side in ("a", "b"):
+        own = clear.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        placed = placed.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    doubtful = cut_lineage(placed.where("root_a != root_b").select("a", "b"))
+    links = pairs.where("sure").select("a", "b").unionAll(verified(doubtful, docs, nodes, words, similarity))
+    groups = connected_components(links)
+    return nodes.join(groups, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def one_per_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one of the smallest id (null last), then of the smallest digest.
+
+    Null and wordless texts are copies of each other. Of rows that agree in id and text any one stays. All columns are kept.
+    """
+    rows, _ = set_aside(docs, [doc_id, text])
+    rows = rows.withColumnsRenamed({doc_id: "doc_id", text: "text"})
+    back = [F.col({doc_id: "doc_id", text: "text"}.get(c, n)).alias(c) for c, n in zip(docs.columns, rows.columns, strict=True)]
+    groups = cut_lineage(similar_groups(rows, words, similarity))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest")))
+    keepers = groups.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("_id"), F.col("k.digest").alias("_digest"))
+    kept = rows.withColumn("_own", _digest("text")).join(keepers, (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["doc_id", "_own"]).select(*back)

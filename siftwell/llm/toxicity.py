@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import map_texts
+from siftwell.llm.common import map_texts, set_aside
 from siftwell.llm.decontaminate import words_of
 from siftwell.runtime import cut_lineage
 
@@ -205,3 +205,9 @@ def grade(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str] = ("d
         return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[2] >= cut for r in rows]
 
     return map_texts(docs, text, list(keep), "severity double, grade int, toxic_chance double, toxic boolean", found)
+
+
+def remove_toxic(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
+    """``docs`` without those that ``grade`` calls toxic."""
+    rows, back = set_aside(docs, [text])
+    return grade(rows, model, rows.columns, text, cut).where("not toxic").select(*back)

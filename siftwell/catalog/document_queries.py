@@ -206,12 +206,12 @@ VERB = "(?i)" + audit.PRIVACY_VERBS
 NEG = audit.NEGATION.replace("'", "''")
 CLAIMS = f"""{st.POLICIES}, sec AS (SELECT doc_id, unnest(regexp_split_to_array(text, '(?m)^#{{1,4}}\\s+.+\\s*$')) AS body, generate_subscripts(regexp_split_to_array(text, '(?m)^#{{1,4}}\\s+.+\\s*$'), 1) AS k FROM pol),
     sen AS (SELECT doc_id, k, unnest(string_split(regexp_replace(trim(body, chr(10) || ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM sec),
-    hit AS (SELECT doc_id, k, trim(s) AS s, regexp_split_to_array(regexp_replace(trim(s), '(?i)\\s+and\\s+', chr(2)), chr(2)) AS h FROM sen WHERE len(trim(s)) >= 10 AND ({SQL_PATTERN})),
+    hit AS (SELECT doc_id, k, trim(s) AS s, regexp_split_to_array(regexp_replace(trim(s), '(?i)\\s+and\\s+', chr(2)), chr(2)) AS h FROM sen WHERE ({SQL_PATTERN})),
     spl AS (SELECT doc_id, unnest(CASE WHEN len(h) = 2 AND regexp_matches(h[1], '{VERB}') AND regexp_matches(h[2], '{VERB}')
         AND CASE WHEN {sql_votes('h[1]')}.n > 0 THEN {sql_votes('h[1]')}.c ELSE 'security' END <> CASE WHEN {sql_votes('h[2]')}.n > 0 THEN {sql_votes('h[2]')}.c ELSE 'security' END THEN h ELSE [s] END) AS s FROM hit),
     cat AS (SELECT doc_id, s, {sql_votes('s')} AS v FROM spl),
     nrm AS (SELECT doc_id, s, CASE WHEN v.n > 0 THEN v.c ELSE 'security' END AS category, CASE WHEN regexp_matches(s, '{VERB}')
-        THEN 'The application ' || CASE WHEN regexp_matches(lower(s), '{NEG}') THEN 'does not' ELSE 'does' END || ' ' || lower(substr(trim(regexp_split_to_array(regexp_extract(s, '(?is){audit.PRIVACY_VERBS}.*'), '[.,;]')[1]), 1, 80)) ELSE substr(s, 1, 120) END AS normalized FROM cat)"""
+        THEN 'The application ' || CASE WHEN regexp_matches(lower(s), '{NEG}') THEN 'does not' ELSE 'does' END || ' ' || lower(trim(regexp_split_to_array(regexp_extract(s, '(?is){audit.PRIVACY_VERBS}.*'), '[.,;]')[1])) ELSE s END AS normalized FROM cat)"""
 
 
 @query("policy_claims", f"WITH {CLAIMS} SELECT doc_id, lower(normalized) AS normalized, count(*)::BIGINT AS one FROM (SELECT DISTINCT doc_id, lower(normalized) AS normalized FROM nrm) GROUP BY ALL")

@@ -189,7 +189,7 @@ UND = "und AS (SELECT src, dst FROM tree UNION SELECT dst, src FROM tree)"
     "find_related",
     f"""WITH {st.TREE}, {UND}, h AS (SELECT a.src AS start, a.dst AS node, 1 AS depth FROM und a UNION ALL SELECT a.src, b.dst, 2 FROM und a JOIN und b ON b.src = a.dst),
     m AS (SELECT start, node, min(depth)::INT AS depth FROM h WHERE start <> node AND start LIKE 'supplier%' GROUP BY ALL)
-    SELECT start, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY node) AS r FROM m) WHERE r <= 50""",
+    SELECT start, node, depth FROM m""",
 )
 def find_related(spark, d):
     starts = st.table(spark, d, "supplier").select(key("supplier:", "s_suppkey").alias("start"))
@@ -243,7 +243,7 @@ def trace_edges(spark, d):
     p1 AS (SELECT start, list_append(path, dst) AS path, dst AS node FROM p0 JOIN trans ON src = node WHERE NOT list_contains(path, dst)),
     p2 AS (SELECT start, list_append(path, dst) AS path, dst AS node FROM p1 JOIN trans ON src = node WHERE NOT list_contains(path, dst)),
     ended AS (SELECT start, path FROM p2 UNION ALL SELECT start, path FROM p1 WHERE path NOT IN (SELECT path[1:2] FROM p2)),
-    t AS (SELECT start, array_to_string(path, '>') AS path FROM ended) SELECT start, path FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY path) AS r FROM t) WHERE r <= 50""",
+    t AS (SELECT start, array_to_string(path, '>') AS path FROM ended) SELECT start, path FROM t""",
 )
 def trace_paths(spark, d):
     e = st.transitions(spark, d)
@@ -289,7 +289,7 @@ def lca_score(spark, d):
     "kg_query",
     f"""WITH {PATHS}, {UND}, f AS (SELECT src AS start, dst AS node FROM und WHERE src LIKE 'nation%' AND src <> dst),
     s AS (SELECT start, f.node, round(1 + 0.15 * greatest(0, 1 - (abs(x.depth - y.depth) + 0.5 * abs(x.depth - y.depth)) / 4), 6)::DOUBLE AS final_score FROM f JOIN paths x ON x.node = start JOIN paths y ON y.node = f.node),
-    r AS (SELECT *, (row_number() OVER (PARTITION BY start ORDER BY final_score DESC, node))::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 50""",
+    r AS (SELECT *, (row_number() OVER (PARTITION BY start ORDER BY final_score DESC, node))::INT AS rank FROM s) SELECT * FROM r""",
 )
 def kg_query(spark, d):
     t = st.tree_edges(spark, d).withColumn("rel", F.lit("CONTAINS"))

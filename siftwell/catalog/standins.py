@@ -49,7 +49,7 @@ cut AS (
   FROM windows),
 chunks AS (
   SELECT substr(sha256(file_path || ':text::' || start_line || ':' || end_line || ':' ||
-                       substr(sha256(substr(content, 1, 100)), 1, 8)), 1, 16) AS chunk_id, *
+                       substr(sha256(content), 1, 8)), 1, 16) AS chunk_id, *
   FROM cut WHERE regexp_matches(content, '\\S'))"""
 
 

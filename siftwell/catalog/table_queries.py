@@ -199,13 +199,14 @@ def write_vectors(spark, d):
     return tables.read_version(spark, root).select("chunk_id", "model_version", "label")
 
 
-@query("save_snapshot", f"WITH {st.SNAPSHOTS} SELECT project, ts AS day, total_chunks + 1 AS total_chunks FROM snap")
+@query("save_snapshot", f"WITH {st.SNAPSHOTS} SELECT project, ts AS day, total_chunks + (project = (SELECT min(project) FROM snap))::INT AS total_chunks FROM snap")
 def save_snapshot(spark, d):
     path = scratch_path(spark, "snapshots")
     s = st.snapshots(spark, d).select("project", F.col("ts").alias("day"), "total_chunks")
     tables.save_snapshot(s, path)
-    tables.save_snapshot(s.withColumn("total_chunks", F.col("total_chunks") + 1), path)
-    return spark.read.parquet(path)
+    one = s.join(s.agg(F.min("project").alias("project")), "project", "left_semi")
+    tables.save_snapshot(one.withColumn("total_chunks", F.col("total_chunks") + 1), path)
+    return spark.read.schema(s.select("total_chunks", "project", "day").schema).parquet(path)
 
 
 def export_rows(spark, d):
@@ -339,8 +340,8 @@ def stream_changes(spark, d):
     old, _ = applied_inputs(spark, d)
     root, folder = scratch_path(spark, "live"), scratch_path(spark, "incoming")
     tables.write_version(old, root)
-    change_events(spark, d).coalesce(1).write.parquet(folder)
-    q = changes.stream_changes(changes.watch_changes(spark, folder), root, lambda p: p.withColumn("content", F.lit("new")), folder + "-state")
+    change_events(spark, d).repartition(5, F.xxhash64("event_id")).write.parquet(folder)
+    q = changes.stream_changes(changes.watch_changes(spark, folder, files_per_trigger=1), root, lambda p: p.withColumn("content", F.lit("new")), folder + "-state")
     q.awaitTermination()
     return tables.read_version(spark, root)
 

@@ -69,8 +69,8 @@ def token_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def chunk_id(path: Column, chunk_type: Column, name: Column, start: Column, end: Column, content: Column) -> Column:
-    """Stable 16-hex id of a chunk from its place and the head of its content."""
-    head = F.substring(F.sha2(F.substring(content, 1, 100).cast("binary"), 256), 1, 8)
+    """Stable 16-hex id of a chunk from its place and its whole content, so that changed text gets a new id (and a new vector)."""
+    head = F.substring(F.sha2(content.cast("binary"), 256), 1, 8)
     key = F.concat_ws(
         ":", path, chunk_type, F.coalesce(name, F.lit("")), start.cast("string"), end.cast("string"), head
     )

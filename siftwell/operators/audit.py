@@ -144,9 +144,9 @@ def category_votes(sentence: Column) -> Column:
 
 def normalize_claim(sentence: Column) -> Column:
     verb = F.regexp_instr(sentence, F.lit(_rx(PRIVACY_VERBS)))
-    action = F.lower(F.substring(F.trim(F.split(F.expr("substring(sentence, _verb)"), "[.,;]")[0]), 1, 80))
+    action = F.lower(F.trim(F.split(F.expr("substring(sentence, _verb)"), "[.,;]")[0]))
     does = F.when(F.lower(sentence).rlike(_rx(NEGATION)), "does not").otherwise("does")
-    return verb, F.when(F.col("_verb") > 0, F.concat_ws(" ", F.lit("The application"), does, action)).otherwise(F.substring(sentence, 1, 120))
+    return verb, F.when(F.col("_verb") > 0, F.concat_ws(" ", F.lit("The application"), does, action)).otherwise(sentence)
 
 
 def confidence(sentence: Column, keywords: Column) -> Column:
@@ -164,7 +164,7 @@ def policy_claims(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     sentences = policy_sections(docs.select(key, text), text).select(key, "section", F.posexplode(F.split("body", SENTENCE_END)).alias("_pos", "sentence"))
     hit = tx.any_of([F.col("sentence").rlike(_rx(p)) for p in CLAIM_PATTERNS])
-    rows = sentences.withColumn("sentence", F.trim("sentence")).filter((F.length("sentence") >= 10) & hit)
+    rows = sentences.withColumn("sentence", F.trim("sentence")).filter(hit)
     halves = F.split("sentence", r"(?i)\s+and\s+", 2)
     left, right = F.trim(F.get("_halves", F.lit(0))), F.trim(F.get("_halves", F.lit(1)))
     both = (F.size("_halves") == 2) & left.rlike(_rx(PRIVACY_VERBS)) & right.rlike(_rx(PRIVACY_VERBS))
@@ -204,11 +204,12 @@ def apply_ignores(claims: DataFrame, entries: list[dict], as_of: str) -> DataFra
 
 
 def route_claims(claims: DataFrame) -> DataFrame:
-    """(claim_id, tool, query, weight): the plans of the claim's category and its keyword plan; two generic plans otherwise."""
+    """(claim_id, tool, query, weight): the plans of the claim's category and its keyword plan; two generic plans otherwise. Of several claims of one id the smallest is routed."""
     spark = claims.sparkSession
     rows = [(c, t, q, w) for c, plans in STRATEGIES.items() for t, q, w in plans]
     plans = fixed_table(spark, rows, "category string, tool string, query string, weight double")
-    base = claims.select("claim_id", "category", "keywords", "normalized").dropDuplicates(["claim_id"])
+    first = F.min(F.struct("category", "normalized", "keywords")).alias("c")
+    base = claims.groupBy("claim_id").agg(first).select("claim_id", "c.category", "c.keywords", "c.normalized")
     fixed = base.join(F.broadcast(plans), "category").select("claim_id", "tool", "query", "weight")
     template = F.lit(None).cast("string")
     for c, t in KEYWORD_TEMPLATES.items():
@@ -216,9 +217,9 @@ def route_claims(claims: DataFrame) -> DataFrame:
     known = F.col("category").isin(list(STRATEGIES))
     keyed = base.filter(known & (F.size("keywords") > 0)).select(
         "claim_id", F.lit("search_hybrid").alias("tool"),
-        F.replace(template, F.lit("{keywords}"), F.array_join(F.slice("keywords", 1, 8), " ")).alias("query"), F.lit(0.5).alias("weight"),
+        F.replace(template, F.lit("{keywords}"), F.array_join("keywords", " ")).alias("query"), F.lit(0.5).alias("weight"),
     )
-    short = F.when(F.size("keywords") > 0, F.array_join(F.slice("keywords", 1, 5), " ")).otherwise(F.col("normalized"))
+    short = F.when(F.size("keywords") > 0, F.array_join("keywords", " ")).otherwise(F.col("normalized"))
     generic = base.filter(~known).select(
         "claim_id",
         F.explode(F.array(

@@ -7,6 +7,9 @@ round, so plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count as count_up
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +35,6 @@ SUFFIX_LANGUAGE = {
     ".r": "r", ".m": "objective-c", ".lua": "lua", ".pl": "perl", ".sh": "shell", ".bash": "shell", ".zsh": "shell",
 }
 
-MAX_TRACE_DEPTH = 8
-MAX_TRACE_NODES = 100
 LCA_WEIGHT = 0.15
 
 
@@ -111,16 +112,32 @@ def build_edges(entities: DataFrame, calls: DataFrame, imports: DataFrame, inher
 
 
 def upsert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge by key, new rows winning; edges without both ends are dropped."""
+    """Merge by key, new rows winning (of several the smallest); edges without both ends are dropped."""
     kept = nodes.join(new_nodes.select("id"), "id", "left_anti")
-    all_nodes = kept.unionByName(new_nodes.dropDuplicates(["id"]))
+    all_nodes = kept.unionByName(_smallest(new_nodes, ["id"]))
     key = ["src", "dst", "rel"]
     kept_edges = edges.join(new_edges.select(*key), key, "left_anti")
-    all_edges = kept_edges.unionByName(new_edges.dropDuplicates(key))
+    all_edges = kept_edges.unionByName(_smallest(new_edges, key))
     ids = all_nodes.select("id")
     return all_nodes, _with_both_ends(all_edges, ids)
 
 
+def _smallest(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key, the smallest by its other columns in their order."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
+def _first_per(df: DataFrame, group: list[str], order: list[Column | str], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of each group, all of them without a limit."""
+    if limit is None:
+        return df
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
+
+
 def _with_both_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
@@ -170,13 +187,12 @@ def person_id(email: Column) -> Column:
     return F.concat(F.lit("person:"), F.substring(F.sha2(email.cast("binary"), 256), 1, 16))
 
 
-def authorship(commit_files: DataFrame, entities: DataFrame, per_file: int = 5) -> DataFrame:
-    """(person, entity, rel, ts): the earliest author of a file AUTHORED, later ones MODIFIED, up to 5 entities per file."""
+def authorship(commit_files: DataFrame, entities: DataFrame, per_file: int | None = None) -> DataFrame:
+    """(person, entity, rel, ts): the earliest author of a file AUTHORED, later ones MODIFIED; all entities of a file, or its first ``per_file`` by id."""
     first = commit_files.groupBy("path", person_id(F.col("author").cast("string")).alias("person")).agg(F.min("ts").alias("ts"))
     founder = first.groupBy("path").agg(F.min(F.struct("ts", "person")).alias("_f"))
     ranked = first.join(founder, "path").withColumn("rel", F.when(F.col("person") == F.col("_f.person"), "AUTHORED").otherwise("MODIFIED"))
-    w = Window.partitionBy("file_path").orderBy("id")
-    ents = entities.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_file).select("id", F.col("file_path").alias("path"))
+    ents = _first_per(entities, ["file_path"], ["id"], per_file).select("id", F.col("file_path").alias("path"))
     return ranked.join(ents, "path").select("person", F.col("id").alias("entity"), "rel", "ts")
 
 
@@ -270,11 +286,10 @@ def hops(edges: DataFrame, starts: DataFrame, max_hops: int | None, per_start: i
     return seen
 
 
-def find_related(edges: DataFrame, starts: DataFrame, max_hops: int = 2, limit: int = 50) -> DataFrame:
-    """(start, node, depth): distinct other nodes within some hops in any direction, at most 50 by id."""
+def find_related(edges: DataFrame, starts: DataFrame, max_hops: int = 2, limit: int | None = None) -> DataFrame:
+    """(start, node, depth): distinct other nodes within some hops in any direction; all, or the first ``limit`` by depth and id."""
     found = hops(undirected(edges), starts, max_hops).filter(F.col("depth") > 0)
-    w = Window.partitionBy("start").orderBy("node")
-    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
+    return _first_per(found, ["start"], ["depth", "node"], limit)
 
 
 def time_decay(last_modified: Column, as_of: Column, half_life_days: float) -> Column:
@@ -299,14 +314,14 @@ def call_graph(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
-def trace_flow(edges: DataFrame, starts: DataFrame, depth: int = 3, direction: str = "outgoing", max_nodes: int = MAX_TRACE_NODES) -> DataFrame:
-    """(start, node, depth): breadth-first trace, depth clamped to 1–8, at most ``max_nodes`` nodes per start."""
+def trace_flow(edges: DataFrame, starts: DataFrame, depth: int | None = 3, direction: str = "outgoing", max_nodes: int | None = None) -> DataFrame:
+    """(start, node, depth): breadth-first trace, to the end if ``depth`` is None; with ``max_nodes`` whole levels first, then the smallest ids."""
     e = edges.select("src", "dst")
     if direction == "incoming":
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     elif direction == "both":
         e = undirected(e)
-    return hops(e, starts, min(max(depth, 1), MAX_TRACE_DEPTH), max_nodes)
+    return hops(e, starts, None if depth is None else max(depth, 1), max_nodes)
 
 
 def trace_edges(edges: DataFrame, traced: DataFrame) -> DataFrame:
@@ -316,12 +331,12 @@ def trace_edges(edges: DataFrame, traced: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(a, "src").join(b, ["start", "dst"]).select("start", "src", "dst")
 
 
-def trace_paths(edges: DataFrame, starts: DataFrame, depth: int = 3, limit: int = 50) -> DataFrame:
-    """(start, path): maximal walks without repeats, as deep as allowed, the first 50 per start by text."""
+def trace_paths(edges: DataFrame, starts: DataFrame, depth: int = 3, limit: int | None = None) -> DataFrame:
+    """(start, path): maximal walks without repeats, as deep as asked; all, or the first ``limit`` per start by text."""
     e = edges.select("src", "dst").distinct()
     open_ = cut_lineage(starts.select("start", F.array("start").alias("path"), F.col("start").alias("node")))
     done = None
-    for level in range(min(max(depth, 1), MAX_TRACE_DEPTH)):
+    for level in range(max(depth, 1)):
         grown = open_.join(e, F.col("node") == F.col("src"), "left").withColumn(
             "_ok", F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst"))
         )
@@ -332,9 +347,7 @@ def trace_paths(edges: DataFrame, starts: DataFrame, depth: int = 3, limit: int
         done = ended if done is None else done.unionByName(ended)
         open_ = longer
     done = done.unionByName(open_.select("start", "path"))
-    text = F.array_join("path", ">")
-    w = Window.partitionBy("start").orderBy(text)
-    return done.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).select("start", text.alias("path"))
+    return _first_per(done.select("start", F.array_join("path", ">").alias("path")), ["start"], ["path"], limit)
 
 
 def inheritance_tree(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -346,7 +359,11 @@ def inheritance_tree(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def tree_paths(edges: DataFrame) -> DataFrame:
-    """(node, path from root, depth) of a containment forest given as (src parent, dst child)."""
+    """(node, path from root, depth) of a containment forest given as (src parent, dst child).
+
+    A node with several parents has its shortest path, the smallest of equal ones; a cycle
+    is entered once, and one that no root leads to has no paths.
+    """
     e = edges.select("src", "dst").distinct()
     roots = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
     level = cut_lineage(roots.select("node", F.array("node").alias("path"), F.lit(0).alias("depth")))
@@ -354,9 +371,8 @@ def tree_paths(edges: DataFrame) -> DataFrame:
     while True:
         depth += 1
         level = cut_lineage(
-            level.join(e, F.col("node") == F.col("src")).select(
-                F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit(depth).alias("depth")
-            )
+            level.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+            .join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         )
         if level.isEmpty():
             return out
@@ -385,8 +401,8 @@ def lca_score(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def kg_query(edges: DataFrame, containment: DataFrame, starts: DataFrame, relation: str, limit: int = 50) -> DataFrame:
-    """(start, node, final_score): neighbours by relation, ranked by 1 + weight · tree closeness."""
+def kg_query(edges: DataFrame, containment: DataFrame, starts: DataFrame, relation: str, limit: int | None = None) -> DataFrame:
+    """(start, node, final_score, rank): neighbours by relation, ranked by 1 + weight · tree closeness; all, or the best ``limit``."""
     pick = lambda rel: edges.filter(F.col("rel") == rel)
     if relation in ("calls", "called_by"):
         found = call_graph(pick("CALLS"), starts).filter(F.col("direction") == relation).select("start", "node")
@@ -400,10 +416,8 @@ def kg_query(edges: DataFrame, containment: DataFrame, starts: DataFrame, relati
     scores = lca_score(tree_paths(containment), pairs).select(F.col("a").alias("start"), F.col("b").alias("node"), "resonance")
     final = F.round(1 + LCA_WEIGHT * F.coalesce("resonance", F.lit(0.0)), 6)
     w = Window.partitionBy("start").orderBy(F.col("final_score").desc(), "node")
-    return (
-        found.join(scores, ["start", "node"], "left").withColumn("final_score", final).withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= limit).select("start", "node", "final_score", "rank")
-    )
+    ranked = found.join(scores, ["start", "node"], "left").withColumn("final_score", final).withColumn("rank", F.row_number().over(w))
+    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select("start", "node", "final_score", "rank")
 
 
 def doc_references(edges: DataFrame, sections: DataFrame, targets: DataFrame) -> DataFrame:
@@ -485,19 +499,32 @@ def import_graph(imports: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.join(own, "module", "left").select("module", "importer", F.coalesce("_own", F.lit(False)).alias("internal"))
 
 
-def cycles(edges: DataFrame, max_length: int = 6, self_loops: bool = True) -> DataFrame:
-    """(cycle, length): every simple cycle up to a length, starting at its smallest node.
+def cycle_core(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without an edge in or without one out are taken away again and again: all cycles, and what joins them."""
+    core = cut_lineage(edges)
+    left = core.count()
+    while left:
+        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        core = cut_lineage(kept.select("src", "dst"))
+        before, left = left, core.count()
+        if left == before:
+            break
+    return core
+
+
+def cycles(edges: DataFrame, max_length: int | None = None, self_loops: bool = True) -> DataFrame:
+    """(cycle, length): every simple cycle, or those up to a length, starting at its smallest node.
 
-    Walks only visit nodes larger than their start, so each cycle is found once
-    and no rotation has to be removed. Longer cycles are not looked for, and all
-    cycles up to the bound are found (a depth-first search may miss some).
+    Walks stay in the core that cycles can pass and only visit nodes larger than their
+    start, so each cycle is found once and no rotation has to be removed. A dense
+    core has very many simple cycles; ``max_length`` is for such graphs.
     """
     e = edges.select("src", "dst").distinct()
     loops = e.filter(F.col("src") == F.col("dst")).select(F.array("src").alias("path"))
-    e = e.filter(F.col("src") != F.col("dst"))
+    e = cycle_core(e.filter(F.col("src") != F.col("dst")))
     open_ = cut_lineage(e.filter(F.col("src") < F.col("dst")).select(F.col("src").alias("first"), F.array("src", "dst").alias("path"), F.col("dst").alias("node")))
     found = [loops] if self_loops else []
-    for _ in range(2, max_length + 1):
+    for _ in count_up(2) if max_length is None else range(2, max_length + 1):
         step = open_.join(e, F.col("node") == F.col("src"))
         found.append(step.filter(F.col("dst") == F.col("first")).select("path"))
         open_ = cut_lineage(
@@ -506,10 +533,7 @@ def cycles(edges: DataFrame, max_length: int = 6, self_loops: bool = True) -> Da
         )
         if open_.isEmpty():
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
+    return reduce(DataFrame.unionByName, found).select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
 
 
 def components(members: DataFrame, group: str, item: str, attribute: str) -> DataFrame:
@@ -552,11 +576,10 @@ def sample_subgraph(nodes: DataFrame, edges: DataFrame, top: int = 50, big: int
     return view, links
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_per_kind: int = 20) -> DataFrame:
-    """Direct neighbours of start nodes, at most ``max_per_kind`` of each kind by id."""
+def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_per_kind: int | None = None) -> DataFrame:
+    """Direct neighbours of start nodes; all, or the first ``max_per_kind`` of each kind by id."""
     near = starts.join(undirected(edges), F.col("start") == F.col("src")).select("start", F.col("dst").alias("id"))
-    w = Window.partitionBy("start", "kind").orderBy("id")
-    return near.join(nodes.select("id", "kind"), "id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_per_kind).select("start", "id", "kind")
+    return _first_per(near.join(nodes.select("id", "kind"), "id"), ["start", "kind"], ["id"], max_per_kind).select("start", "id", "kind")
 
 
 def module_graph(files: DataFrame, imports: DataFrame, smells: DataFrame, min_group: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -168,7 +168,7 @@ def phase_summary(phased: DataFrame, n: int = 5) -> DataFrame:
 
 
 def timeline_events(commits: DataFrame, issues: DataFrame, pulls: DataFrame, n: int = 10) -> DataFrame:
-    """Event rows: the n widest commits, the first n issues (opened, closed) and merged requests."""
+    """Event rows: the n widest commits, the first n issues (opened, closed) and the first n merged requests."""
     big = commits.orderBy(F.col("files_changed").desc(), "sha").limit(n).select(
         F.col("ts").alias("date"), F.lit("commit").alias("event_type"), F.col("sha").cast("string").alias("ref"),
         F.least(F.col("files_changed") / 20, F.lit(1.0)).alias("importance"),
@@ -180,7 +180,7 @@ def timeline_events(commits: DataFrame, issues: DataFrame, pulls: DataFrame, n:
     closed = first.filter(F.col("closed_at").isNotNull()).select(
         F.col("closed_at").alias("date"), F.lit("issue_closed").alias("event_type"), F.col("number").cast("string").alias("ref"), F.lit(0.5).alias("importance")
     )
-    merged = pulls.orderBy("number").limit(n).filter(F.col("merged_at").isNotNull()).select(
+    merged = pulls.filter(F.col("merged_at").isNotNull()).orderBy("number").limit(n).select(
         F.col("merged_at").alias("date"), F.lit("merge").alias("event_type"), F.col("number").cast("string").alias("ref"),
         F.least(F.col("files_changed") / 15, F.lit(1.0)).alias("importance"),
     )

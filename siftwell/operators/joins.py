@@ -252,12 +252,13 @@ def strip_test_prefix(name: Column) -> Column:
     return F.when(out != "", out)
 
 
-def tests_edges(cases: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:
-    """(case_id, entity): a test's name without its prefix names the entity; at most 5 targets per test."""
+def tests_edges(cases: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
+    """(case_id, entity): a test's name without its prefix names the entity; all targets of a test, or the first ``limit`` by id."""
     wanted = cases.select("case_id", strip_test_prefix(F.col("name")).alias("name")).filter(F.col("name").isNotNull())
     w = Window.partitionBy("case_id").orderBy("id")
-    hit = wanted.join(entities.select("id", "name"), "name").withColumn("_r", F.row_number().over(w))
-    return hit.filter(F.col("_r") <= limit).select("case_id", F.col("id").alias("entity"))
+    hit = wanted.join(entities.select("id", "name"), "name")
+    hit = hit if limit is None else hit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+    return hit.select("case_id", F.col("id").alias("entity"))
 
 
 def fixture_edges(cases: DataFrame, entities: DataFrame) -> DataFrame:

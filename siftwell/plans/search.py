@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwell.functions import queries as qx
 from siftwell.operators import fusion, joins, lexical, predicates, vector
@@ -61,17 +62,19 @@ def prepared_queries(queries: DataFrame, opts: SearchOptions) -> DataFrame:
     ).drop("_v")
 
 
-def search(tables: SearchTables, queries: DataFrame, opts: SearchOptions | None = None) -> DataFrame:
+def search(tables: SearchTables, queries: DataFrame, opts: SearchOptions | None = None, files: DataFrame | None = None) -> DataFrame:
     """Ranked hits of every query: query_id, chunk_id, score, rank and the chunk columns.
 
-    Filters are applied before retrieval in every mode. All queries and variants
+    ``files`` (file_path) narrows the search to some files. Filters are applied before retrieval in every mode. All queries and variants
     are one job: vectors are scanned once, and postings meet only asked terms.
     """
     opts = opts or SearchOptions()
     chunks = predicates.where_filters(tables.chunks, opts.filters or {})
     if opts.tests_only:
         chunks = predicates.filter_tests_only(chunks, name="function_name")
-    narrowed = bool(opts.filters) or opts.tests_only
+    if files is not None:
+        chunks = chunks.join(files.select("file_path").distinct(), "file_path", "left_semi")
+    narrowed = bool(opts.filters) or opts.tests_only or files is not None
     allowed = chunks.select("chunk_id")
     variants = cut_lineage(prepared_queries(queries, opts))
     depth = opts.rerank_top_n if opts.rerank else opts.limit
@@ -125,10 +128,13 @@ def search(tables: SearchTables, queries: DataFrame, opts: SearchOptions | None
 
 
 def search_similar(tables: SearchTables, chunk_ids: DataFrame, opts: SearchOptions | None = None) -> DataFrame:
-    """Search with stored chunks as queries; a chunk is not its own result."""
+    """Search with stored chunks as queries; a chunk is not its own result and takes no other's place."""
+    opts = opts or SearchOptions()
+    wider = replace(opts, limit=opts.limit + 1, rerank_top_n=opts.rerank_top_n + 1)
     queries = tables.chunks.join(chunk_ids.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("text"))
-    hits = search(tables, queries, opts)
-    return hits.filter(F.col("query_id") != F.col("chunk_id"))
+    others = search(tables, queries, wider).filter(F.col("query_id") != F.col("chunk_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))
+    return others.withColumn("rank", place).filter(F.col("rank") <= opts.limit).select(*others.columns)
 
 
 def search_by_context(tables: SearchTables, requests: DataFrame, opts: SearchOptions | None = None) -> DataFrame:
@@ -178,9 +184,7 @@ def review_gather(tables: SearchTables, reviews: DataFrame, changed: DataFrame |
     ``reviews`` holds review_id and text, one row per canned query.
     """
     queries = reviews.withColumn("query_id", F.concat_ws("/", "review_id", F.md5(F.col("text").cast("binary"))))
-    hits = search(tables, queries.select("query_id", "text"), SearchOptions(limit=limit, rerank=False, mmr=False))
-    if changed is not None:
-        hits = hits.join(changed.select("file_path").distinct(), "file_path", "left_semi")
+    hits = search(tables, queries.select("query_id", "text"), SearchOptions(limit=limit, rerank=False, mmr=False), changed)
     best = hits.join(queries.select("query_id", "review_id"), "query_id").groupBy("review_id", "chunk_id").agg(F.max("score").alias("score"))
     ranked = lexical.assign_rank(best, limit, query_id="review_id")
     return ranked

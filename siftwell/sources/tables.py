@@ -43,7 +43,9 @@ def current_version(spark: SparkSession, root: str) -> int:
     """Number in the pointer table of a versioned table; 0 when there is none yet."""
     try:
         return spark.read.json(f"{root}/_pointer").agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
 
 
@@ -71,6 +73,6 @@ def write_vectors(new: DataFrame, root: str, model_version: str, now: Column, ke
     return write_version(stamped, root)
 
 
-def save_snapshot(snapshot: DataFrame, path: str, day: str = "day") -> None:
-    """Append snapshot rows partitioned by day; a day written again replaces that day only."""
-    snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+def save_snapshot(snapshot: DataFrame, path: str, day: str = "day", project: str = "project") -> None:
+    """Append snapshot rows partitioned by project and day; a project's day written again replaces that only."""
+    snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(project, day).parquet(path)

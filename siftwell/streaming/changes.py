@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftwell.operators import joins
-from siftwell.runtime import running
+from siftwell.runtime import cut_lineage, running
 from siftwell.sources import tables
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, file_path string, event_type string, new_path string"
@@ -50,8 +50,8 @@ def debounce_batch(events: DataFrame, gap_seconds: float) -> DataFrame:
 
 
 def latest_changes(events: DataFrame) -> DataFrame:
-    """(file_path, event_type): the last event of every file (partial max)."""
-    return events.groupBy("file_path").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    """(file_path, ts, event_id, event_type): the last event of every file (partial max)."""
+    return events.groupBy("file_path").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e")).select("file_path", "e.*")
 
 
 def apply_changes(chunks: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -65,13 +65,22 @@ def apply_changes(chunks: DataFrame, events: DataFrame, fresh: DataFrame) -> Dat
 def stream_changes(events: DataFrame, root: str, fresh: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Apply every micro-batch of events to the versioned chunk table at ``root``.
 
-    ``fresh`` turns the changed paths into newly cut chunks. A replayed batch gives the same table again.
+    ``fresh`` turns the changed paths into newly cut chunks. The last event applied to
+    each file, deletions too, is kept beside the table, so that an event that comes late
+    changes nothing. A replayed batch gives the same table again.
     """
+    applied = f"{root}-applied"
 
     def one_batch(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        paths = batch.select("file_path").distinct()
-        tables.write_version(apply_changes(tables.read_version(spark, root), batch, fresh(paths)), root)
+        last = latest_changes(batch)
+        known = tables.read_version(spark, applied) if tables.current_version(spark, applied) else None
+        if known is not None:
+            before = known.select("file_path", F.struct("ts", "event_id").alias("_before"))
+            last = last.join(before, "file_path", "left").filter(F.col("_before").isNull() | (F.struct("ts", "event_id") >= F.col("_before"))).drop("_before")
+        last = cut_lineage(last)
+        tables.write_version(apply_changes(tables.read_version(spark, root), last, fresh(last.select("file_path"))), root)
+        tables.write_version(last if known is None else tables.upsert_by_key(known, last, ["file_path"]), applied)
 
     return events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwell.functions import text as tx
 from siftwell.operators import graph
@@ -239,84 +237,75 @@ def extract_entities(text: Column) -> dict[str, Column]:
 # ------------------------------------------------------------ html
 
 
-class _Sections(HTMLParser):
-    """Collects text below heading and section tags of one page."""
-
-    # Tags that open a section, and tags whose text is dropped.
-    OPENING = ["h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "aside", "header", "footer", "nav"]
-    DROPPED = ["script", "style", "noscript"]
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.now: dict | None = None
-        self.mute = False
-
-    def _open(self, tag: str, attrs: dict) -> None:
-        mark = f"#{attrs['id']}" if attrs.get("id") else ("." + attrs["class"].split()[0] if (attrs.get("class") or "").split() else "")
-        self.now = {"tag": tag, "info": tag + mark, "text": "", "start": self.getpos()[0], "end": self.getpos()[0]}
-
-    def _close(self) -> None:
-        if self.now and self.now["text"].strip():
-            self.now["end"] = max(self.getpos()[0], self.now["start"])
-            self.now["text"] = " ".join(self.now["text"].split())
-            self.found.append(self.now)
-        self.now = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.DROPPED:
-            self.mute = True
-        elif tag in self.OPENING:
-            self._close()
-            self._open(tag, {k: v for k, v in attrs if v is not None})
-        elif tag == "p" and self.now is None:
-            self._open("p", {})
-
-    def handle_endtag(self, tag):
-        if tag in self.DROPPED:
-            self.mute = False
-        elif tag in self.OPENING or tag == "p":
-            self._close()
-
-    def handle_data(self, data):
-        if not self.mute and self.now is not None and data.strip():
-            self.now["text"] += " " + data
-
-
-def _page_sections(html: str, limit: int = 500) -> list[dict]:
-    parser = _Sections()
-    parser.feed(html)
-    parser.close()
-    parser._close()
-    merged: list[dict] = []
-    for s in parser.found:
-        last = merged[-1] if merged else None
-        small = last is not None and s["tag"] != "h1" and len(last["text"]) + len(s["text"]) < limit
-        if small:
-            last["text"] += "\n\n" + s["text"]
-            last["end"] = s["end"]
-            if s["info"] != last["info"]:
-                last["info"] += "+" + s["info"]
-        else:
-            merged.append(dict(s))
-    return merged
-
-
-def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Text sections of HTML pages: key, section, tag_info, chunk_type, start_line, end_line, content."""
-    key_type = dict(pages.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, page in zip(pdf[key], pdf[html], strict=True):
-                for i, s in enumerate(_page_sections(page)):
-                    kind = "heading" if s["tag"][0] == "h" and s["tag"][1:].isdigit() else ("section" if s["tag"] in ("section", "article", "main") else ("paragraph" if s["tag"] == "p" else "content"))
-                    rows.append((k, i, s["info"], kind, s["start"], s["end"], s["text"]))
-            yield pd.DataFrame(rows, columns=[key, "section", "tag_info", "chunk_type", "start_line", "end_line", "content"])
-
-    schema = f"{key} {key_type}, section int, tag_info string, chunk_type string, start_line int, end_line int, content string"
-    return pages.select(key, html).mapInPandas(run, schema)
+# Tags whose text is dropped, and tags that open a section.
+DROPPED_TAGS = ["script", "style", "noscript"]
+SECTION_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "aside", "header", "footer", "nav", "p"]
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+_DROPPED = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in DROPPED_TAGS)
+_TAG = r"(?i)^<(" + "|".join(SECTION_TAGS) + r")(?:\s[^>]*)?>"
+_CUT = r"(?i)(?=<(?:" + "|".join(SECTION_TAGS) + r")(?:\s[^>]*)?>)"
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def plain_text(html: Column) -> Column:
+    """Text between the tags, common entities written out, blanks once."""
+    text = F.regexp_replace(html, r"<[^>]*>", " ")
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def _small(last: Column, piece: Column, limit: int) -> Column:
+    return (piece["tag"] != "h1") & (F.length(last["content"]) + F.length(piece["content"]) < limit)
+
+
+def _joined(found: Column, piece: Column, limit: int) -> Column:
+    """``found`` with one more section: added to the last one if both are small, else behind it."""
+    last = F.element_at(found, -1)
+    info = F.when(last["tag_info"] == piece["tag_info"], last["tag_info"]).otherwise(F.concat_ws("+", last["tag_info"], piece["tag_info"]))
+    both = F.struct(
+        last["tag"].alias("tag"), info.alias("tag_info"), last["start_line"].alias("start_line"), piece["end_line"].alias("end_line"),
+        F.concat_ws("\n\n", last["content"], piece["content"]).alias("content"),
+    )
+    grown = F.concat(F.slice(found, 1, F.size(found) - 1), F.array(both))
+    return F.when(F.size(found) == 0, F.array(piece)).when(_small(last, piece, limit), grown).otherwise(F.concat(found, F.array(piece)))
+
+
+def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int = 500) -> DataFrame:
+    """Text sections of HTML pages: key, section, tag_info, chunk_type, start_line, end_line, content.
+
+    A page is cut before every section tag; text before the first one is left out, and so
+    are sections without text. Neighbouring sections of together under ``limit``
+    characters are put together, but for one that an h1 opens.
+    """
+    parts = F.split(html, _DROPPED)
+    gone = F.concat(F.regexp_extract_all(html, F.lit(_DROPPED), F.lit(0)), F.array(F.lit("")))
+    clean = F.array_join(F.zip_with(parts, gone, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.repeat(F.lit("\n"), F.coalesce(_newlines(b), F.lit(0))))), "")
+    pieces = pages.select(key, F.posexplode(F.split(clean, _CUT)).alias("pos", "piece"))
+    above = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tag, head = F.lower(F.regexp_extract("piece", _TAG, 1)), F.regexp_extract("piece", _TAG, 0)
+    ident, kind = F.regexp_extract(head, r"(?i)\sid\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(head, r"(?i)\sclass\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    mark = F.when(ident != "", F.concat(F.lit("#"), ident)).when(kind != "", F.concat(F.lit("."), kind)).otherwise("")
+    start = F.lit(1) + F.coalesce(F.sum(_newlines(F.col("piece"))).over(above), F.lit(0))
+    rows = pieces.select(
+        key, "pos", tag.alias("tag"), F.concat(tag, mark).alias("tag_info"), start.cast("int").alias("start_line"),
+        (start + _newlines(F.rtrim("piece"))).cast("int").alias("end_line"), plain_text(F.col("piece")).alias("content"),
+    ).filter((F.col("tag") != "") & (F.col("content") != ""))
+    one = F.struct("tag", "tag_info", "start_line", "end_line", "content")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("s")))), lambda x: x["s"])
+    shape = "array<struct<tag:string,tag_info:string,start_line:int,end_line:int,content:string>>"
+    merged = rows.groupBy(key).agg(ordered.alias("_all")).select(key, F.aggregate("_all", F.array().cast(shape), lambda found, s: _joined(found, s, limit).cast(shape)).alias("_m"))
+    chunk_type = (
+        F.when(F.col("s.tag").rlike("^h[1-6]$"), "heading").when(F.col("s.tag").isin("section", "article", "main"), "section")
+        .when(F.col("s.tag") == "p", "paragraph").otherwise("content")
+    )
+    return merged.select(key, F.posexplode("_m").alias("section", "s")).select(
+        key, "section", "s.tag_info", chunk_type.alias("chunk_type"), "s.start_line", "s.end_line", "s.content"
+    )
 
 
 # ------------------------------------------------------------ links to code

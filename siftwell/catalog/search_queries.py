@@ -301,7 +301,7 @@ BL = "CASE p_partkey % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'typescript' WHEN 2 TH
 
 @query(
     "boilerplate_penalty",
-    f"""WITH b(l, n) AS (VALUES {st.sql_values([(k, n) for k, v in fusion.BOILERPLATE_NAMES.items() for n in v.split()])}),
+    f"""WITH b(l, n) AS (VALUES {st.sql_values([(k, n) for k, v in fusion.BOILERPLATE_NAMES.items() for n in v])}),
     h AS (SELECT p_partkey AS query_id, CASE WHEN p_size % 5 = 0 THEN 'the main index' ELSE p_name END AS query_text, {BP} AS function_name, {BL} AS language FROM part)
     SELECT query_id, function_name, language, CASE WHEN n IS NOT NULL AND NOT contains(lower(query_text), lower(function_name)) THEN -0.15 ELSE 0.0 END::DOUBLE AS boilerplate
     FROM h LEFT JOIN b ON lower(language) = l AND function_name = n""",

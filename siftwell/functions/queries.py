@@ -72,17 +72,19 @@ EXPANSIONS = {
 }
 
 # Technical terms that lower the similarity threshold.
-TECHNICAL_TERMS = (
-    "javascript typescript python java cpp rust go function class method variable import export async await promise "
-    "callback api database parser compiler interpreter syntax semantic mcp gateway server client protocol"
-).split()
+TECHNICAL_TERMS = [
+    "javascript", "typescript", "python", "java", "cpp", "rust", "go", "function", "class", "method", "variable", "import",
+    "export", "async", "await", "promise", "callback", "api", "database", "parser", "compiler", "interpreter", "syntax",
+    "semantic", "mcp", "gateway", "server", "client", "protocol",
+]
 
 # Words that mark a package query, and intent words that mark a natural-language query.
-PACKAGE_WORDS = "sdk npm pip pypi crate package library lib".split()
-INTENT_WORDS = (
-    "what where how why when which who find show get list describe explain return returns purpose does do handle "
-    "handles implement implements used use fetch check validate process manage create build compute calculate"
-).split()
+PACKAGE_WORDS = ["sdk", "npm", "pip", "pypi", "crate", "package", "library", "lib"]
+INTENT_WORDS = [
+    "what", "where", "how", "why", "when", "which", "who", "find", "show", "get", "list", "describe", "explain", "return",
+    "returns", "purpose", "does", "do", "handle", "handles", "implement", "implements", "used", "use", "fetch", "check",
+    "validate", "process", "manage", "create", "build", "compute", "calculate",
+]
 
 # Identifier shapes. Word characters are letters and digits of every script.
 W = r"[\p{L}\p{N}_]"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 
-# Window length and overlap in lines, paragraph minimum and merge target in characters.
+# Window length and overlap in lines, size from which a block of lines makes a text one of paragraphs, and merge target in characters.
 WINDOW_LINES = 30
 WINDOW_OVERLAP = 4
 MIN_PARAGRAPH = 20
@@ -32,7 +32,7 @@ def line_windows(df: DataFrame, text: str = "text", size: int = WINDOW_LINES, ov
 
 
 def _merged_paragraphs(text: str) -> list[dict]:
-    """Runs of non-blank lines over 20 characters; neighbours join while they stay below 400."""
+    """Runs of non-blank lines; neighbours join while they stay below 400 characters."""
     runs, run, first = [], [], 1
     rows = text.splitlines()
     for number, row in enumerate([*rows, ""], 1):
@@ -41,8 +41,7 @@ def _merged_paragraphs(text: str) -> list[dict]:
             run.append(row)
         elif run:
             body = "\n".join(run) + "\n"
-            if len(body.strip()) > MIN_PARAGRAPH:
-                runs.append({"content": body, "start_line": first, "end_line": number - 1})
+            runs.append({"content": body, "start_line": first, "end_line": number - 1})
             run = []
     merged: list[dict] = []
     for part in runs:

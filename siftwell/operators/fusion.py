@@ -38,14 +38,29 @@ SOURCE_SUFFIXES = [".py", ".js", ".ts", ".java", ".cpp", ".c", ".go", ".rs"]
 
 # Names that every program of a language has.
 BOILERPLATE_NAMES = {
-    "python": "__init__ __str__ __repr__ __eq__ __hash__ __len__ __iter__ __next__ __enter__ __exit__ main setUp tearDown setUpClass tearDownClass",
-    "javascript": "constructor render componentDidMount componentWillUnmount componentDidUpdate useState useEffect index main default",
-    "typescript": "constructor render componentDidMount componentWillUnmount componentDidUpdate useState useEffect index main default",
-    "jsx": "constructor render componentDidMount componentWillUnmount componentDidUpdate useState useEffect index main default",
-    "tsx": "constructor render componentDidMount componentWillUnmount componentDidUpdate useState useEffect index main default",
-    "dart": "build dispose initState didChangeDependencies main createState",
-    "php": "__construct __destruct __toString __get __set __call __callStatic index main",
-    "ruby": "initialize to_s to_h to_a inspect main setup teardown",
+    "python": [
+        "__init__", "__str__", "__repr__", "__eq__", "__hash__", "__len__", "__iter__", "__next__", "__enter__", "__exit__",
+        "main", "setUp", "tearDown", "setUpClass", "tearDownClass",
+    ],
+    "javascript": [
+        "constructor", "render", "componentDidMount", "componentWillUnmount", "componentDidUpdate", "useState", "useEffect",
+        "index", "main", "default",
+    ],
+    "typescript": [
+        "constructor", "render", "componentDidMount", "componentWillUnmount", "componentDidUpdate", "useState", "useEffect",
+        "index", "main", "default",
+    ],
+    "jsx": [
+        "constructor", "render", "componentDidMount", "componentWillUnmount", "componentDidUpdate", "useState", "useEffect",
+        "index", "main", "default",
+    ],
+    "tsx": [
+        "constructor", "render", "componentDidMount", "componentWillUnmount", "componentDidUpdate", "useState", "useEffect",
+        "index", "main", "default",
+    ],
+    "dart": ["build", "dispose", "initState", "didChangeDependencies", "main", "createState"],
+    "php": ["__construct", "__destruct", "__toString", "__get", "__set", "__call", "__callStatic", "index", "main"],
+    "ruby": ["initialize", "to_s", "to_h", "to_a", "inspect", "main", "setup", "teardown"],
 }
 
 
@@ -98,7 +113,7 @@ def rrf_three_way(lists: dict[str, DataFrame]) -> DataFrame:
 
 
 def boilerplate_table(spark) -> DataFrame:
-    rows = [(lang, n) for lang, names in BOILERPLATE_NAMES.items() for n in names.split()]
+    rows = [(lang, n) for lang, names in BOILERPLATE_NAMES.items() for n in names]
     return fixed_table(spark, rows, "language string, function_name string")
 
 

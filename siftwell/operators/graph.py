@@ -18,14 +18,17 @@ from siftwell.functions import text as tx
 from siftwell.runtime import cut_lineage, fixed_table
 
 # Names too common to stand for an entity, and those never matched by substring in a look-up.
-GENERIC_ENTITIES = (
-    "main run test get set init __init__ __main__ setup config name value data result results item items key keys args kwargs "
-    "self cls a b c d e f i j k n x y z id db fn cb err msg req res ctx env add delete remove update create read write load "
-    "save parse process handle execute file path module class function method list dict string int bool none tests fixture mock"
-).split()
-GENERIC_LOOKUPS = (
-    "search main test config get set run init data name value key add delete update create read write load save process handle"
-).split()
+GENERIC_ENTITIES = [
+    "main", "run", "test", "get", "set", "init", "__init__", "__main__", "setup", "config", "name", "value", "data", "result",
+    "results", "item", "items", "key", "keys", "args", "kwargs", "self", "cls", "a", "b", "c", "d", "e", "f", "i", "j", "k", "n",
+    "x", "y", "z", "id", "db", "fn", "cb", "err", "msg", "req", "res", "ctx", "env", "add", "delete", "remove", "update",
+    "create", "read", "write", "load", "save", "parse", "process", "handle", "execute", "file", "path", "module", "class",
+    "function", "method", "list", "dict", "string", "int", "bool", "none", "tests", "fixture", "mock",
+]
+GENERIC_LOOKUPS = [
+    "search", "main", "test", "config", "get", "set", "run", "init", "data", "name", "value", "key", "add", "delete", "update",
+    "create", "read", "write", "load", "save", "process", "handle",
+]
 
 # File suffix to language.
 SUFFIX_LANGUAGE = {
@@ -36,6 +39,8 @@ SUFFIX_LANGUAGE = {
 }
 
 LCA_WEIGHT = 0.15
+# Rounds after which the tables of a loop are written as one, so that plans stay of bounded size.
+FOLD_ROUNDS = 6
 
 
 # ---------------------------------------------------------------- building
@@ -283,6 +288,8 @@ def hops(edges: DataFrame, starts: DataFrame, max_hops: int | None, per_start: i
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % FOLD_ROUNDS == 0:
+            seen = cut_lineage(seen)
     return seen
 
 
@@ -377,6 +384,8 @@ def tree_paths(edges: DataFrame) -> DataFrame:
         if level.isEmpty():
             return out
         out = out.unionByName(level)
+        if depth % FOLD_ROUNDS == 0:
+            out = cut_lineage(out)
 
 
 def lca_score(paths: DataFrame, pairs: DataFrame) -> DataFrame:

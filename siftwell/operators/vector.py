@@ -16,8 +16,9 @@ from siftwell.runtime import cut_lineage
 
 # A batch of queries travels to every task only up to this many bytes of float64.
 MAX_QUERY_BYTES = 64 << 20
-# Rows per side of one block product beyond that.
+# Rows per side of one block product beyond that, and similarities that one product may hold.
 BLOCK_ROWS = 8192
+TILE_CELLS = 8 << 20
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -47,19 +48,23 @@ def _top_k(sims: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
 
 
 def _block_product(qid, qm, cid, cm, k: int, not_self: bool):
-    """(query ids, chunk ids, similarities) of the top k of every query against one block."""
-    sims = np.round(qm @ cm.T, 6)
+    """(query ids, chunk ids, similarities) of the top k of every query against one block.
+
+    Queries are taken in tiles, so that a product holds at most ``TILE_CELLS`` similarities.
+    """
     tie = _order_of(cid)
     qs, cs, ss = [], [], []
-    for i in range(len(qid)):
-        row = sims[i]
-        if not_self:
-            row = np.where(cid == qid[i], -np.inf, row)
-        top = _top_k(row, tie, k)
-        top = top[np.isfinite(row[top])]
-        qs.append(np.repeat(i, len(top)))
-        cs.append(top)
-        ss.append(row[top])
+    tile = max(1, TILE_CELLS // max(1, len(cid)))
+    for start in range(0, len(qid), tile):
+        sims = np.round(qm[start : start + tile] @ cm.T, 6)
+        for i, row in enumerate(sims, start):
+            if not_self:
+                row = np.where(cid == qid[i], -np.inf, row)
+            top = _top_k(row, tie, k)
+            top = top[np.isfinite(row[top])]
+            qs.append(np.repeat(i, len(top)))
+            cs.append(top)
+            ss.append(row[top])
     q = np.concatenate(qs) if qs else np.zeros(0, int)
     c = np.concatenate(cs) if cs else np.zeros(0, int)
     return qid[q], cid[c], (np.concatenate(ss) if ss else np.zeros(0))
@@ -123,7 +128,7 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     """Top ``k`` by cosine for every query: query_id, id, distance (0–2), similarity, rank.
 
     A query batch below ``MAX_QUERY_BYTES`` (checked by a bounded fetch) goes to
-    all tasks; each task multiplies its Arrow batches and keeps only k rows per
+    all tasks; each task multiplies its Arrow batches tile by tile and keeps only k rows per
     query, so the vectors are read once and never shuffled. A larger batch takes
     the block-product path. Filter ``vectors`` first: the predicate reaches the scan.
     """
@@ -148,19 +153,21 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
                 continue
             t = pa.Table.from_batches([batch])
             id_type = t[id_col].type
-            cid = t[id_col].to_numpy()
-            sims = np.round(mat @ _matrix(t["vec"]).T, 6)
-            tie = _order_of(cid)
-            for i in range(len(ids)):
-                row = np.where(cid == ids[i], -np.inf, sims[i]) if not_self else sims[i]
-                top = _top_k(row, tie, k)
-                top = top[np.isfinite(row[top])]
-                c, s = cid[top], row[top]
-                if i in best:
-                    c, s = np.concatenate([best[i][0], c]), np.concatenate([best[i][1], s])
-                    keep = _top_k(s, _order_of(c), k)
-                    c, s = c[keep], s[keep]
-                best[i] = (c, s)
+            cid, block = t[id_col].to_numpy(), _matrix(t["vec"])
+            tie, tile = _order_of(cid), max(1, TILE_CELLS // batch.num_rows)
+            for start in range(0, len(ids), tile):
+                sims = np.round(mat[start : start + tile] @ block.T, 6)
+                for i, row in enumerate(sims, start):
+                    if not_self:
+                        row = np.where(cid == ids[i], -np.inf, row)
+                    top = _top_k(row, tie, k)
+                    top = top[np.isfinite(row[top])]
+                    c, s = cid[top], row[top]
+                    if i in best:
+                        c, s = np.concatenate([best[i][0], c]), np.concatenate([best[i][1], s])
+                        keep = _top_k(s, _order_of(c), k)
+                        c, s = c[keep], s[keep]
+                    best[i] = (c, s)
         for i, (c, s) in best.items():
             yield pa.record_batch(
                 [pa.array(np.repeat(ids[i : i + 1], len(c)), qtype), pa.array(c, id_type), pa.array(s)], names=["query_id", id_col, "cosine"]
@@ -196,11 +203,11 @@ def ann_cells(n: int) -> int:
     return max(1, min(min(512, max(16, int(n**0.5))), n // 4096 or 1, n // 10))
 
 
-def ann_index(vectors: DataFrame, cells: int | None = None, id_col: str = "chunk_id", vec_col: str = "vector", seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def ann_index(vectors: DataFrame, cells: int | None = None, id_col: str = "chunk_id", vec_col: str = "vector", seed: int = 7, rows_per_cell: int | None = 512) -> tuple[DataFrame, DataFrame]:
     """(assigned, centroids): every vector with its cell, and the cell centres.
 
-    Only the centres are trained on a bounded share of the rows; the assignment
-    covers all of them. Write ``assigned`` with ``partitionBy("cell")``.
+    Only the centres are trained on a share of the rows, about ``rows_per_cell`` for each
+    cell (None: all rows); the assignment covers all of them. Write ``assigned`` with ``partitionBy("cell")``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -212,7 +219,7 @@ def ann_index(vectors: DataFrame, cells: int | None = None, id_col: str = "chunk
         assigned = vectors.select(id_col, vec_col, F.lit(0).alias("cell"))
         centre = vectors.select(F.lit(0).alias("cell"), _unit(F.col(vec_col)).alias("centroid")).limit(1)
         return assigned, centre
-    share = min(1.0, cells * 512 / n)
+    share = 1.0 if rows_per_cell is None else min(1.0, cells * rows_per_cell / n)
     train = base.sample(fraction=share, seed=seed) if share < 1.0 else base
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_f", predictionCol="cell").fit(train)
     assigned = model.transform(base).select(id_col, vec_col, "cell")
@@ -231,26 +238,28 @@ def _unit(vec: Column) -> Column:
 def ann_search(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 20, id_col: str = "chunk_id", vec_col: str = "vector", query_id: str = "query_id", query_vec: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-k among the ``nprobe`` cells nearest each query, scored exactly.
 
-    Queries meet only the vectors of their cells. A cell larger than a block is
-    split by id hash and its queries repeated per part, so a cell holding a
-    third of all vectors is still many equal tasks.
+    Queries meet only the vectors of their cells. A cell larger than a block, of vectors
+    or of queries, is split by id hash on that side and the other side repeated per
+    part, so a cell holding a third of all vectors or queries is still many equal tasks.
     """
     probes = knn_exact(centroids, queries, nprobe, "cell", "centroid", query_id, query_vec).select("query_id", "cell")
     parts = (
         assigned.groupBy("cell").agg(F.count("*").alias("_n"))
         .select("cell", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts"))
     )
+    asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_asks"))
     right = assigned.join(F.broadcast(parts), "cell").select(
         id_col, F.col(vec_col).alias("vec"), "cell", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int").alias("_part")
     )
     left = (
         queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qvec"))
-        .join(probes, "query_id").join(F.broadcast(parts), "cell")
+        .join(probes, "query_id").join(F.broadcast(parts), "cell").join(F.broadcast(asked), "cell")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("query_id", "qvec", "cell", "_part")
+        .select("query_id", "qvec", "cell", "_part", F.pmod(F.xxhash64("query_id"), F.col("_asks")).cast("int").alias("_ask"))
     )
+    right = right.join(F.broadcast(asked), "cell").withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).drop("_asks")
     schema = _types(queries, query_id, assigned, id_col)
-    return _ranked(_pairwise(left, right, ["cell", "_part"], id_col, k, schema, False), id_col, k)
+    return _ranked(_pairwise(left, right, ["cell", "_part", "_ask"], id_col, k, schema, False), id_col, k)
 
 
 def get_vectors(vectors: DataFrame, ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -361,19 +370,16 @@ def mmr(candidates: DataFrame, diversity: float = 0.5, k: int = 10, score: str =
 Scorer = Callable[[pd.Series, pd.Series], pd.Series]
 
 
-def overlap_scorer(query: pd.Series, document: pd.Series) -> pd.Series:
+def overlap_score(query: Column, document: Column) -> Column:
     """Default pair score: share of query words in the document, as a logit-like value in -3…3."""
-    out = []
-    for q, doc in zip(query, document, strict=True):
-        asked = set(q.lower().split())
-        share = len(asked & set(doc.lower().split())) / len(asked) if asked else 0.0
-        out.append(6.0 * share - 3.0)
-    return pd.Series(out, dtype="float64")
+    asked = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""))
+    share = F.size(F.array_intersect(asked, F.split(F.lower(document), r"\s+"))) / F.size(asked)
+    return 6.0 * F.when(F.size(asked) > 0, share).otherwise(0.0) - 3.0
 
 
-def pair_rerank(hits: DataFrame, limit: int = 10, scorer: Scorer = overlap_scorer, query: str = "query_text", document: str = "content", id_col: str = "chunk_id") -> DataFrame:
+def pair_rerank(hits: DataFrame, limit: int = 10, scorer: Scorer | None = None, query: str = "query_text", document: str = "content", id_col: str = "chunk_id") -> DataFrame:
     """Score (query, document) pairs of a hit list, squash to 0–1, keep the top 3·limit per query."""
-    raw = _scorer_udf(scorer)(F.col(query), F.col(document))
+    raw = overlap_score(F.col(query), F.col(document)) if scorer is None else _scorer_udf(scorer)(F.col(query), F.col(document))
     out = hits.withColumn("score", F.round(1 / (1 + F.exp(-raw)), 6))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 3 * limit)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftwell.functions import extensions
 from siftwell.functions import queries as qx
 from siftwell.operators import fusion, joins, lexical, predicates, vector
 from siftwell.runtime import cut_lineage, fixed_table
@@ -18,6 +19,7 @@ class SearchTables:
     """Everything a search reads. ``nodes`` / ``edges`` and ``files`` are optional.
 
     chunks: chunk_id, file_path, content, chunk_type, language, function_name, class_name, start_line, end_line.
+    ``embedder`` makes query vectors like those in ``vectors``: a registered name, or None for hashed tokens.
     """
 
     chunks: DataFrame
@@ -27,6 +29,16 @@ class SearchTables:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     files: DataFrame | None = None
+    embedder: str | None = None
+
+    def query_vectors(self, variants: DataFrame) -> DataFrame:
+        """(variant_id, vector) of the query variants, of the stored vectors' dimension."""
+        if self.embedder is None:
+            return vector.hash_vectors(variants, "variant_id", "variant", self.dimension)
+        made = extensions.EMBEDDERS[self.embedder].dimension
+        if made != self.dimension:
+            raise ValueError(f"{self.embedder} makes vectors of {made} numbers, the table holds {self.dimension}")
+        return extensions.embed_with(self.embedder, variants.select("variant_id", "variant"), "queries", "variant").select("variant_id", "vector")
 
 
 @dataclass(frozen=True)
@@ -43,7 +55,7 @@ class SearchOptions:
     tests_only: bool = False
     context: bool = False
     filters: dict | None = None
-    scorer: vector.Scorer = vector.overlap_scorer
+    scorer: vector.Scorer | None = None
 
 
 def prepared_queries(queries: DataFrame, opts: SearchOptions) -> DataFrame:
@@ -83,7 +95,7 @@ def search(tables: SearchTables, queries: DataFrame, opts: SearchOptions | None
     vec_hits = text_hits = None
     if opts.mode in ("hybrid", "vector"):
         space = tables.vectors.join(allowed, "chunk_id", "left_semi") if narrowed else tables.vectors
-        asked = vector.hash_vectors(variants, "variant_id", "variant", tables.dimension)
+        asked = tables.query_vectors(variants)
         near = vector.knn_exact(space, asked, depth, query_id="variant_id").withColumnRenamed("query_id", "variant_id")
         vec_hits = near.join(keys, "variant_id").filter(F.col("similarity") >= F.col("threshold"))
     if opts.mode in ("hybrid", "bm25"):

@@ -285,3 +285,52 @@ def test_debounce_gap_rules(spark):
     base = [("f", i, 100.0 + t) for i, t in enumerate([0.0, 0.5, 1.4, 2.4, 9.0])]
     df = spark.createDataFrame(base, "file_path string, event_id int, s double").withColumn("ts", F.timestamp_seconds("s"))
     assert rows(changes.debounce_batch(df, 1.0), "events") == rows(changes.debounce(df, "1 second"), "events") == [(1,), (4,)]
+
+
+def test_long_cycles_hubs_and_cyclic_trees(spark):
+    ring = [(f"c{i}", f"c{(i + 1) % 8}") for i in range(8)]
+    e = edge_table(spark, [*ring, ("in", "c0"), ("c3", "out"), ("out", "end")])
+    assert rows(graph.cycles(e), "cycle", "length") == [(">".join(f"c{i}" for i in range(8)), 8)]
+    assert graph.cycles(e, max_length=6).count() == 0
+    hub = edge_table(spark, [("hub", f"n{i:03}") for i in range(200)])
+    start = spark.createDataFrame([("hub",)], "start string")
+    assert graph.find_related(hub, start, 1).count() == 200 and graph.find_related(hub, start, 1, limit=7).count() == 7
+    tree = edge_table(spark, [("root", "a"), ("root", "b"), ("a", "m"), ("b", "m"), ("m", "x"), ("x", "m"), ("y", "z"), ("z", "y")])
+    assert rows(graph.tree_paths(tree), "node", "depth") == [("a", 1), ("b", 1), ("m", 2), ("root", 0), ("x", 3)]
+
+
+def test_snapshot_of_one_project_keeps_the_others(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    tables.save_snapshot(spark.createDataFrame([("a", "2024-01-01", 1), ("b", "2024-01-01", 2)], "project string, day string, n int"), path)
+    tables.save_snapshot(spark.createDataFrame([("a", "2024-01-01", 9)], "project string, day string, n int"), path)
+    assert rows(spark.read.parquet(path), "project", "n") == [("a", 9), ("b", 2)]
+
+
+def test_late_events_do_not_bring_files_back(spark, tmp_path):
+    root, folder = str(tmp_path / "live"), str(tmp_path / "in")
+    tables.write_version(spark.createDataFrame([("f", "old"), ("g", "old")], "file_path string, content string"), root)
+    for i, event in enumerate([(2, "2024-01-02", "f", "deleted"), (1, "2024-01-01", "f", "modified"), (3, "2024-01-03", "g", "modified")]):
+        day = spark.createDataFrame([event], "event_id long, ts string, file_path string, event_type string")
+        day.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("new_path", F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(folder)
+        changes.stream_changes(changes.watch_changes(spark, folder, files_per_trigger=1), root, lambda p: p.withColumn("content", F.lit("new")), str(tmp_path / "state")).awaitTermination()
+    assert rows(tables.read_version(spark, root), "file_path", "content") == [("g", "new")]
+
+
+def test_id_follows_the_whole_content(spark):
+    df = spark.createDataFrame([("x" * 100 + t,) for t in ("a", "b", "a")], "content string")
+    key = tx.chunk_id(F.lit("p"), F.lit("text"), F.lit(None).cast("string"), F.lit(1), F.lit(2), F.col("content"))
+    assert df.select(key.alias("k")).distinct().count() == 2
+
+
+def test_products_in_tiles_are_the_same(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    table = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "chunk_id long, vector array<double>")
+    asked = table.select(F.col("chunk_id").alias("query_id"), "vector")
+    whole = rows(vector.knn_exact(table, asked, 3), "query_id", "chunk_id", "rank")
+    monkeypatch.setattr(vector, "TILE_CELLS", 700)
+    assert rows(vector.knn_exact(table, asked, 3), "query_id", "chunk_id", "rank") == whole
+    cells = table.withColumn("cell", F.lit(0))
+    centre = spark.createDataFrame([(0, [1.0] * 8)], "cell int, centroid array<double>")
+    assert rows(vector.ann_search(cells, centre, asked, 3, nprobe=1, block_rows=64), "query_id", "chunk_id", "rank") == whole

@@ -101,7 +101,7 @@ class Scanner:
 
     def find(self, data: bytes | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base and all spans of a UTF-8 text as sorted (start, kind, end) in code points."""
-        text = (data or b"").decode()
+        text = (data or b"").decode(errors="replace")
         base = sorted(base_spans(text))
         return base, sorted([*base, *self.added(text, base)])
 

@@ -15,20 +15,31 @@ from siftwell.runtime import cut_lineage
 
 #: Words that a unit needs to be compared.
 LEAST_WORDS = 5
+#: Words beyond which a sentence is cut at its commas, semicolons and colons too.
+LONG_SENTENCE = 40
+_CLAUSE = re.compile(rb"(?<=[,;:])[ \t]+")
 #: What ends a unit; a line break ends a sentence too.
 BREAKS = {"paragraph": re.compile(rb"\n[ \t\r]*\n\s*"), "line": re.compile(rb"\n"), "sentence": re.compile(rb"\n|(?<=[.!?])[ \t]+")}
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def units_of(data: bytes, unit: str = "sentence") -> Iterator[tuple[int, int]]:
-    """[start, end) byte places of the units of a UTF-8 text, without what separates them."""
-    at = 0
-    for m in BREAKS[unit].finditer(data):
+def _between(data: bytes, breaks: re.Pattern, start: int, end: int) -> Iterator[tuple[int, int]]:
+    at = start
+    for m in breaks.finditer(data, start, end):
         if m.start() > at:
             yield at, m.start()
         at = m.end()
-    if at < len(data):
-        yield at, len(data)
+    if at < end:
+        yield at, end
+
+
+def units_of(data: bytes, unit: str = "sentence") -> Iterator[tuple[int, int]]:
+    """[start, end) byte places of the units of a UTF-8 text, without what separates them."""
+    for start, end in _between(data, BREAKS[unit], 0, len(data)):
+        if unit == "sentence" and end - start > 2 * LONG_SENTENCE and len(data[start:end].split()) > LONG_SENTENCE:
+            yield from _between(data, _CLAUSE, start, end)
+        else:
+            yield start, end
 
 
 def normalised(unit: bytes) -> bytes:
@@ -108,7 +119,7 @@ def cleaned(data: bytes, gone: list[list[int]]) -> bytes:
 def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_units, n_removed, removed, kept) for every row of ``docs``.
 
-    Units (``line``, ``paragraph`` or ``sentence``; sentences also end at line breaks) of
+    Units (``line``, ``paragraph`` or ``sentence``; sentences also end at line breaks, and very long ones at commas) of
     ``least_words`` words or more are normalised and hashed; of equal ones the earliest
     stays, by doc_id (null last), then by the text's hash, then by place. ``text`` is what is left, ``removed`` and
     ``kept`` hold [start, end) of all units in code points of the original. Rows that
@@ -136,7 +147,7 @@ def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = LEAS
                     out.append((None, 0, 0, [], []))
                     continue
                 gone, kept = _removed(raw, set(repeated or ()), unit, least_words)
-                out.append((cleaned(raw, gone).decode(), len(gone) + len(kept), len(gone), _characters(raw, gone), _characters(raw, kept)))
+                out.append((cleaned(raw, gone).decode(errors="replace"), len(gone) + len(kept), len(gone), _characters(raw, gone), _characters(raw, kept)))
             columns = list(zip(*out, strict=True)) or [()] * 5
             spans = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(

@@ -17,6 +17,9 @@ from siftwell.runtime import cut_lineage
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows handed to Python code at a time hold about so many bytes of text (a longer text comes alone).
 SLICE_BYTES = 8 << 20
+#: Rows of an Arrow batch of texts; Spark's own default would hold ten thousand texts of any length at once, on both sides.
+BATCH_ROWS = 512
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -37,6 +40,13 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
+def small_batches(df: DataFrame) -> None:
+    """Have the session hand texts to Python in batches of BATCH_ROWS rows, or fewer if it does already."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.nbytes > SLICE_BYTES else []
     start = held = 0
@@ -55,6 +65,7 @@ def map_texts(df: DataFrame, column: str, keep: Sequence[str], added: str, fn: C
     column named like an added one is replaced. Texts are read once per task and
     go nowhere else unless ``column`` is kept.
     """
+    small_batches(df)
     new = _parse_datatype_string(added)
     kept = [c for c in keep if c not in new.names]
     source = df.select(*{c: None for c in [*kept, column]})

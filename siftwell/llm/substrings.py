@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import small_batches
 from siftwell.runtime import cut_lineage
 
 #: Words that a unit needs to be compared.
@@ -81,6 +82,7 @@ def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORD
                     ranks, keys, digests, places = [], [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ranks, keys, digests, places), types, strict=True)], names)
 
+    small_batches(docs)
     source = docs.select("rank", "key", "text")
     return source.mapInArrow(split, f"rank {source.schema['rank'].dataType.simpleString()}, key long, digest binary, place long")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import map_texts, set_aside
+from siftwell.llm.common import map_texts, set_aside, small_batches
 from siftwell.llm.decontaminate import words_of
 from siftwell.runtime import cut_lineage
 
@@ -26,7 +26,7 @@ TRAINING_ROWS = 20_000
 #: Expected chance of being above grade 0 from which a document counts as toxic.
 CUT = 0.5
 _GRAMS = (4, 5)
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def word_features(word: bytes) -> set[str]:
@@ -75,10 +75,11 @@ def feature_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for toxic, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
                 sums[toxic].update({f for w in _word_counts(data.as_py()) for f in cache[w]})
-                if len(sums[0]) + len(sums[1]) > 1_000_000:
+                if len(sums[0]) + len(sums[1]) > 400_000:
                     yield flush()
         yield flush()
 
+    small_batches(rows)
     return rows.select("toxic", "text").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 

@@ -1,21 +1,24 @@
-"""Substring deduplication: hashed lines, paragraphs or sentences, of which the earliest stays."""
+"""Substring deduplication: hashed units and passages of words, of which the earliest stays."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import small_batches
+from siftwell.llm.common import map_texts, small_batches
 from siftwell.runtime import cut_lineage
 
-#: Words that a unit needs to be compared.
+#: Words that a unit needs to be compared; shorter ones in a row are compared together.
 LEAST_WORDS = 5
+#: Words of a passage that is removed wherever it starts, whatever the units are.
+PASSAGE_WORDS = 50
 #: Words beyond which a sentence is cut at its commas, semicolons and colons too.
 LONG_SENTENCE = 40
 _CLAUSE = re.compile(rb"(?<=[,;:])[ \t]+")
@@ -54,48 +57,155 @@ def digest(unit: bytes, least_words: int) -> bytes | None:
     return xxhash.xxh3_128_digest(words) if words.count(b" ") + 1 >= least_words and words else None
 
 
-def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(rank, key, digest, place): one row for every distinct comparable unit of each document, at its first place.
+def compared(data: bytes, unit: str, least_words: int) -> Iterator[tuple[bytes | None, list[list[int]]]]:
+    """(digest, places) of each unit of a text; units too short to be compared are one with those around them, and have no digest if they still are."""
+    run: list[list[int]] = []
+
+    def together() -> Iterator[tuple[bytes | None, list[list[int]]]]:
+        if run:
+            yield digest(b" ".join(data[a:b] for a, b in run), least_words), list(run)
+            run.clear()
+
+    for start, end in units_of(data, unit):
+        d = digest(data[start:end], least_words)
+        if d is None:
+            run.append([start, end])
+        else:
+            yield from together()
+            yield d, [[start, end]]
+    yield from together()
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and [start, end) byte places of each normalised word of a text."""
+    folded = data.translate(_FOLD)
+    edges = np.flatnonzero(np.diff(np.frombuffer(b" " + folded + b" ", np.uint8) != 32))
+    return np.fromiter(map(xxhash.xxh64_intdigest, folded.split()), np.uint64, len(edges) // 2), edges[::2], edges[1::2]
+
+
+def _chained(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    out = left * np.uint64(0x9E3779B97F4A7C15) + right
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """One hash for every ``n`` consecutive words."""
+    if n == 1:
+        return hashes
+    half = _runs(hashes, n // 2)
+    out = _chained(half[: len(half) - n // 2], half[n // 2 :])
+    return _chained(out[: len(hashes) - n + 1], hashes[n - 1 :]) if n % 2 else out
+
+
+def passages(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, hash) of every ``n`` consecutive words: the anchor is the least hash of half as many words within, so that few differ from one passage to the next."""
+    if len(hashes) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, have, wanted = _runs(hashes, max(n // 2, 1)), 1, n - max(n // 2, 1) + 1
+    while have < wanted:
+        step = min(have, wanted - have)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        have += step
+    return least.view(np.int64), _runs(hashes, n).view(np.int64)
+
+
+def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
+    """(rank, key, digest): one row for every distinct comparable unit of each document (16 bytes) and for the anchors of its passages (8).
 
     ``rank`` and ``key`` are columns of ``docs``: the order in which documents count, and what tells them apart.
     """
-
-    names = ["rank", "key", "digest", "place"]
+    names = ["rank", "key", "digest"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types = (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64())
-            ranks, keys, digests, places = [], [], [], []
-            for rank, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
-                seen: dict[bytes, int] = {}
+            rows, digests = [], []
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(digests, pa.binary())], names)  # noqa: B023
+
+            for row, data in enumerate(batch.column(2).cast(pa.large_binary())):
                 text = data.as_py() or b""
-                for start, end in units_of(text, unit):
-                    d = digest(text[start:end], least_words)
-                    if d is not None:
-                        seen.setdefault(d, start)
-                ranks += [rank] * len(seen)
-                keys += [key] * len(seen)
-                digests += seen
-                places += seen.values()
+                own = {d for d, _ in compared(text, unit, least_words) if d is not None}
+                if passage_words:
+                    anchors = np.unique(passages(words_of(text)[0], passage_words)[0]).tobytes()
+                    own.update(anchors[i : i + 8] for i in range(0, len(anchors), 8))
+                rows += [row] * len(own)
+                digests += own
                 if len(digests) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ranks, keys, digests, places), types, strict=True)], names)
-                    ranks, keys, digests, places = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ranks, keys, digests, places), types, strict=True)], names)
+                    yield made()
+                    rows, digests = [], []
+            yield made()
 
     small_batches(docs)
     source = docs.select("rank", "key", "text")
-    return source.mapInArrow(split, f"rank {source.schema['rank'].dataType.simpleString()}, key long, digest binary, place long")
+    return source.mapInArrow(split, f"rank {source.schema['rank'].dataType.simpleString()}, key long, digest binary")
 
 
-def _removed(data: bytes, repeated: set[bytes], unit: str, least_words: int) -> tuple[list[list[int]], list[list[int]]]:
-    """Removed and kept units of a text as [start, end) byte places; ``repeated`` are the digests that an earlier document has.
+def _shared_passages(docs: DataFrame, passage_words: int) -> DataFrame:
+    """(key, starts): places, counted in words, of the passages that an earlier document has; ``docs`` (rank, key, text, anchors).
 
-    A unit that the text itself has before is removed as well.
+    Equal passages have the same anchor, so only passages whose anchor several documents share are written out.
+    """
+    names = ["rank", "key", "anchor", "hash", "start"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (data, anchors) in enumerate(zip(batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), strict=True)):
+                anchor, code = passages(words_of(data.as_py() or b"")[0], passage_words)
+                at = np.flatnonzero(np.isin(anchor, np.frombuffer(b"".join(anchors), np.int64)))
+                same = pa.array(np.full(len(at), row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(anchor[at]), pa.array(code[at]), pa.array(at)], names)
+
+    source = docs.select("rank", "key", "text", "anchors")
+    found = source.mapInArrow(spread, f"rank {source.schema['rank'].dataType.simpleString()}, key long, anchor long, hash long, start long")
+    firsts = found.groupBy("anchor", "hash").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
+    shared = firsts.where("n > 1").select("anchor", "hash", F.col("first.key").alias("first_key"))
+    return found.join(shared, ["anchor", "hash"]).where("key != first_key").groupBy("key").agg(F.collect_set("start").alias("starts"))
+
+
+def _order() -> Column:
+    return F.struct(F.col("rank").isNull().alias("none"), "rank", "key")
+
+
+def _copies(docs: DataFrame, least_words: int) -> DataFrame:
+    """(key) of the texts whose words are, all in all, those of an earlier one."""
+    found = map_texts(docs, "text", ("rank", "key"), "digest binary", lambda texts: [[digest(t or b"", least_words) for t in texts]])
+    found = cut_lineage(found.where(F.col("digest").isNotNull()).distinct())
+    firsts = found.groupBy("digest").agg(F.min(_order()).alias("first"), F.max(_order()).alias("last"))
+    shared = firsts.where("first != last").select("digest", F.col("first.key").alias("first_key"))
+    return cut_lineage(found.join(shared, "digest").where("key != first_key").select("key").distinct())
+
+
+def _removed(data: bytes, repeated: set[bytes], starts: list[int], unit: str, least_words: int, passage_words: int | None) -> tuple[list[list[int]], list[list[int]]]:
+    """Removed and kept units of a text as [start, end) byte places; ``repeated`` are the digests and ``starts`` the passages that an earlier document has.
+
+    A unit or passage that the text itself has before is removed as well. A unit that a passage takes in part is cut into its parts.
     """
     gone, kept, seen = [], [], set()
-    for start, end in units_of(data, unit):
-        d = digest(data[start:end], least_words)
-        (gone if d is not None and (d in repeated or d in seen) else kept).append([start, end])
+    code, first, last = words_of(data) if passage_words else (np.zeros(0, np.uint64),) * 3
+    steps = np.zeros(len(code) + 1, np.int64)
+    if passage_words and len(code) >= passage_words:
+        _, at, which = np.unique(passages(code, passage_words)[1], return_index=True, return_inverse=True)
+        again = np.flatnonzero(np.arange(len(which)) - at[which] >= passage_words)
+        for places in (np.array(starts, np.int64), again):
+            np.add.at(steps, places, 1)
+            np.add.at(steps, places + passage_words, -1)
+    out = np.cumsum(steps[:-1]) > 0
+    for d, places in compared(data, unit, least_words):
+        if d is not None and (d in repeated or d in seen):
+            gone += places
+        elif not out.any():
+            kept += places
+        else:
+            for start, end in places:
+                a, b = np.searchsorted(first, (start, end))
+                cuts = [a, *(a + 1 + np.flatnonzero(np.diff(out[a:b]))), b]
+                for i, j in pairwise(cuts):
+                    piece = [start if i == a else int(first[i]), end if j == b else int(last[j - 1])]
+                    (gone if i < b and out[i] else kept).append(piece)
         if d is not None:
             seen.add(d)
     return gone, kept
@@ -118,37 +228,47 @@ def cleaned(data: bytes, gone: list[list[int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
     """(doc_id, text, n_units, n_removed, removed, kept) for every row of ``docs``.
 
     Units (``line``, ``paragraph`` or ``sentence``; sentences also end at line breaks, and very long ones at commas) of
-    ``least_words`` words or more are normalised and hashed; of equal ones the earliest
-    stays, by doc_id (null last), then by the text's hash, then by place. ``text`` is what is left, ``removed`` and
+    ``least_words`` words or more are normalised and hashed, shorter ones in a row as one unit, and so is the whole text; of equal ones the earliest
+    stays, by doc_id (null last), then by the text's hash, then by place. So does the earliest of equal passages
+    of ``passage_words`` words (None: units only), wherever they start; a passage that takes part of a unit cuts it. ``text`` is what is left, ``removed`` and
     ``kept`` hold [start, end) of all units in code points of the original. Rows that
     agree in id and text are one document and get the same result. A null text stays null and
     has no units; other columns are left out; an empty table gives no rows.
 
-    Digests are counted over all documents with partial sums before the shuffle; only
+    Copies of whole texts are set aside first. Digests of the others are counted with partial sums before the shuffle; only
     those that several documents share go back to their documents, without their first one.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = named.withColumn("key", F.xxhash64("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(-1))))
-    found = cut_lineage(units(keyed.select(F.col("doc_id").alias("rank"), "key", "text"), unit, least_words))
-    order = F.struct(F.col("rank").isNull().alias("none"), "rank", "key")
-    firsts = found.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-    shared = firsts.where("first != last").select("digest", F.col("first.key").alias("first_key"))
-    later = found.join(shared, "digest").where("key != first_key").groupBy("key").agg(F.collect_set("digest").alias("repeated"))
-    joined = keyed.join(later, "key", "left")
+    ranked = keyed.select(F.col("doc_id").alias("rank"), "key", "text")
+    copies = _copies(ranked, least_words)
+    own = ranked.join(copies, "key", "left_anti").select("rank", "key", "text")
+    found = units(own, unit, least_words, passage_words)
+    digests, anchors = found.where(F.octet_length("digest") != 8), found.where(F.octet_length("digest") == 8).select("key", "digest")
+    firsts = digests.groupBy("digest").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
+    shared = firsts.where("n > 1").select("digest", F.col("first.key").alias("first_key"))
+    later = digests.join(shared, "digest").where("key != first_key").groupBy("key").agg(F.collect_set("digest").alias("repeated")).withColumn("copy", F.lit(False))
+    later = later.unionByName(copies.select("key", F.lit(None).cast("array<binary>").alias("repeated"), F.lit(True).alias("copy")))
+    if passage_words:
+        several = anchors.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+        back = cut_lineage(anchors.join(several, "digest").groupBy("key").agg(F.collect_set("digest").alias("anchors")))
+        joined = keyed.join(later.join(_shared_passages(own.join(back, "key"), passage_words), "key", "full"), "key", "left")
+    else:
+        joined = keyed.join(later.withColumn("starts", F.lit(None).cast("array<long>")), "key", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data, repeated in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
+            for data, copy, repeated, places in zip(batch.column(1).cast(pa.large_binary()), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 raw = data.as_py()
                 if raw is None:
                     out.append((None, 0, 0, [], []))
                     continue
-                gone, kept = _removed(raw, set(repeated or ()), unit, least_words)
+                gone, kept = ([list(u) for u in units_of(raw, unit)], []) if copy else _removed(raw, set(repeated or ()), places or [], unit, least_words, passage_words)
                 out.append((cleaned(raw, gone).decode(errors="replace"), len(gone) + len(kept), len(gone), _characters(raw, gone), _characters(raw, kept)))
             columns = list(zip(*out, strict=True)) or [()] * 5
             spans = pa.list_(pa.list_(pa.int64()))
@@ -158,4 +278,4 @@ def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = LEAS
             )
 
     kind = named.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "repeated").mapInArrow(cut, f"doc_id {kind}, text string, n_units long, n_removed long, removed array<array<long>>, kept array<array<long>>")
+    return joined.select("doc_id", "text", "copy", "repeated", "starts").mapInArrow(cut, f"doc_id {kind}, text string, n_units long, n_removed long, removed array<array<long>>, kept array<array<long>>")

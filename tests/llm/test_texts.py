@@ -123,6 +123,24 @@ def test_lines_and_paragraphs(table, unit):
     assert got == {1: rows[0][1], 2: "own unit of the second text" + gap}
 
 
+def test_passages_go_wherever_they_start(table):
+    import random
+
+    rnd = random.Random(3)
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, short = own(50), own(60)
+    rows = [(1, " ".join([*own(13), *passage, *own(8)]) + "."), (2, " ".join([*own(31), *passage, *own(22)]) + "."), (3, " ".join(own(20) + passage[:49] + own(20)) + "."),
+            (4, "!! ".join(short)), (5, "!! ".join(short)), (6, "Own start of six.\n" + "\n".join(short[3:58])), (7, "a! b! c! d! e! f!"), (8, "A. B. C. D. E. F."), (9, " ".join(["same"] * 200))]
+    got = {r.doc_id: r for r in substrings.deduplicate(table(rows)).collect()}
+    texts = dict(rows)
+    assert [got[d].n_removed for d in (1, 3, 4, 7)] == [0, 0, 0, 0]
+    assert [texts[2][a:b] for a, b in got[2].removed] == [" ".join(passage)] and " ".join(texts[2][a:b] for a, b in got[2].kept) == " ".join(texts[2].replace(" ".join(passage), "").split())
+    assert got[5].kept == got[8].kept == [] and not any(w in got[6].text for w in short[3:58]) and got[6].text.startswith("Own start of six.")
+    assert got[9].text.split() == ["same"] * 50
+    units = {r.doc_id: r.n_removed for r in substrings.deduplicate(table(rows), passage_words=None).collect()}
+    assert units[2] == 0 and units[5] == 60
+
+
 def test_shards_are_contiguous_and_even(spark, table):
     rows = [(i, "x" * (i * 37 % 200)) for i in range(500)] + [(None, "n"), (7, None), (7, None)]
     out = sharding.shard_documents(table(rows), shards=8).collect()

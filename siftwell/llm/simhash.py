@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import connected_components, map_texts, set_aside, word_blocks
+from siftwell.llm.common import bounded_sample, connected_components, map_texts, set_aside, word_blocks
 from siftwell.runtime import cut_lineage
 
 SEED = 42
@@ -21,6 +21,8 @@ BITS = 64
 WIDE, ORDERS, AT_ONCE, NEIGHBOURS = 256, 24, 6, 8
 #: Standard errors of the estimated share of differing bits within which the words themselves decide.
 DOUBT = 3.5
+#: Documents on which the order of the shingles, rare ones first, is estimated; any order finds the same pairs.
+ORDER_ROWS = 20_000
 
 
 def _tally(counts: np.ndarray, shingles: Iterable[bytes]) -> int:
@@ -206,6 +208,53 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, si
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, n, place, shingle): the first shingles of each distinct text of ``docs`` (doc_id, text), as many as texts of that ``similarity`` must share one of.
+
+    Shingles are ordered by how many sampled documents hold them, then by hash.
+    """
+    texts = docs.select("text", _digest("text").alias("digest"))
+
+    def hashes(found: list[bytes | None]) -> tuple[list]:
+        return ([shingle_set(t, words)[1].view(np.int64) for t in found],)
+
+    seen = map_texts(bounded_sample(texts, ORDER_ROWS), "text", ("digest",), "shingles array<long>", hashes)
+    common = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("held")).where("held > 2").orderBy(F.desc("held"), "shingle").limit(1_000_000).toArrow()
+    keys, held = common.column("shingle").to_numpy(), common.column("held").to_numpy()
+    by_key = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[by_key], held[by_key]))
+
+    def first(found: list[bytes | None]) -> tuple[list, ...]:
+        known, count = shared.value
+        sizes, chosen = [], []
+        for t in found:
+            own = shingle_set(t, words)[1].view(np.int64)
+            often = np.zeros(len(own), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                often = np.where(known[at] == own, count[at], 0)
+            sizes.append(len(own))
+            chosen.append(own[np.lexsort((own, often))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+        return sizes, chosen
+
+    rows = map_texts(texts, "text", ("digest",), "n long, shingles array<long>", first)
+    return rows.select(F.xxhash64("digest").alias("node"), "n", F.posexplode("shingles").alias("place", "shingle")).groupBy("shingle", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+
+
+def missed_pairs(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of nodes of different ``groups`` (node, root) that can still be as similar: all that share a first shingle, fit in size and have room for the overlap."""
+    first = prefixes(docs, words, similarity).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = cut_lineage(first)
+    apart = first.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    rows = cut_lineage(first.join(apart, "shingle"))
+    left, right = (rows.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "root"))) for side in "ab")
+    fits = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
+    met = left.join(right, "shingle").where(fits).groupBy("node_a", "node_b").agg(
+        F.count("*").alias("common"), F.min(F.col("n_a") + F.col("n_b")).alias("both"), F.min(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1).alias("rest")
+    )
+    return met.where(F.col("common") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - 1e-6).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, doc_id, root) of the distinct texts of ``docs`` (doc_id, text): the digest of the text, its smallest doc_id and its group.
 
@@ -214,6 +263,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     few bits long, so candidates come from orders of the words' signature by permuted bits,
     each text being compared with its neighbours in every order. The shingles' signature decides clear
     cases; where its estimate is within DOUBT standard errors, and the texts are not yet in one group, the shingles themselves do.
+    Pairs that never come that close are found by prefix filtering: texts of different groups that share one of their
+    first shingles are compared by their shingles, so no group is split.
     """
     prints = signatures(docs.select("doc_id", "text"), words)
     nodes = cut_lineage(
@@ -230,8 +281,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         own = clear.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         placed = placed.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     doubtful = cut_lineage(placed.where("root_a != root_b").select("a", "b"))
-    links = pairs.where("sure").select("a", "b").unionAll(verified(doubtful, docs, nodes, words, similarity))
-    groups = connected_components(links)
+    links = cut_lineage(pairs.where("sure").select("a", "b").unionAll(verified(doubtful, docs, nodes, words, similarity)))
+    groups = cut_lineage(connected_components(links))
+    more = cut_lineage(verified(cut_lineage(missed_pairs(docs, groups, words, similarity)), docs, nodes, words, similarity))
+    if not more.isEmpty():
+        groups = connected_components(links.unionAll(more))
     return nodes.join(groups, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
 
 

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from siftwell.llm import embeddings
+from siftwell.llm import embeddings, simhash
 from tools.check import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -117,3 +117,13 @@ def test_pipeline_over_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def test_near_copies_are_found_in_a_crowd_of_equal_words(spark):
+    import random
+
+    rnd, words = random.Random(5), [f"word{i}" for i in range(60)]
+    texts = [" ".join(rnd.sample(words, len(words))) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, " ".join([*t.split()[1:], t.split()[0]])) for i, t in enumerate(texts[:20])]
+    kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()}
+    assert kept == set(range(600))

@@ -171,6 +171,19 @@ def test_language_of_held_out_texts(spark, table):
     assert langid.identify(table([(1, "words")]), nothing).first().lang_pred == "und"
 
 
+def test_no_language_loses_its_rare_grams(table):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    rare = ["".join(map(chr, rnd.integers(0x4E00, 0x9F00, 140_000))) for _ in range(16)]
+    docs = table([(i, t, "zz") for i, t in enumerate(rare)] + [(100 + i, "the hot words of the hot language", "en") for i in range(5)])
+    model = langid.learn(docs)
+    assert model.languages == ["en", "zz"] and len(model.levels[2].grams) > 2_000_000
+    assert langid.predict(model, rare[3][:200].encode())[0] == "zz" and langid.predict(model, b"the hot words")[0] == "en"
+    with pytest.raises(ValueError, match="max_grams"):
+        langid.learn(table([(1, "some words", "en")]), max_grams=3)
+
+
 def test_language_model_sums_to_one():
     import numpy as np
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Spark removes the shuffle files of an execution when it ends.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(app: str = "siftwell", master: str | None = None, cores: int = 8) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, Arrow)."""
@@ -45,11 +48,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and go on from the written table.
 
     Keeps loop plans short and survives lost executors. Unlike ``checkpoint()``
-    the rows are computed once, not twice, and later joins know their size.
+    the rows are computed once, not twice, and later joins know their size. Shuffle
+    files of the write are given up when it ends, as nothing goes back to them.
     """
-    path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote and that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        shared = path(context.getCheckpointDir())
+        for folder in {path(f).getParent() for f in df.inputFiles()}:
+            if folder.getName().startswith("cut-") and folder.toUri().getPath().startswith(f"{shared.toUri().getPath()}/"):
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def number_rows(df: DataFrame, order: Sequence[Column | str], out: str = "ordinal") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -12,17 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded_sample, connected_components, map_texts, set_aside, word_blocks
-from siftwell.runtime import cut_lineage
+from siftwell.llm.common import connected_components, map_texts, set_aside, word_blocks
+from siftwell.runtime import cut_lineage, drop_written
 
 SEED = 42
 BITS = 64
-#: Bits of the wide signatures, orders in which they are laid out and how many at once, and neighbours compared in each.
-WIDE, ORDERS, AT_ONCE, NEIGHBOURS = 256, 24, 6, 8
-#: Standard errors of the estimated share of differing bits within which the words themselves decide.
-DOUBT = 3.5
-#: Documents on which the order of the shingles, rare ones first, is estimated; any order finds the same pairs.
-ORDER_ROWS = 20_000
+#: Rows, and share of rows, on which the order of the shingles is estimated, and how many common ones are put last; any order finds the same pairs.
+ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.01, 1_000_000
 
 
 def _tally(counts: np.ndarray, shingles: Iterable[bytes]) -> int:
@@ -120,185 +115,183 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, doc_id:
     )
 
 
-def _signature(hashes: np.ndarray) -> np.ndarray:
-    """WIDE SimHash bits of distinct features given by 64-bit hashes."""
-    counts = np.zeros(WIDE, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        block = hashes[i : i + (1 << 14), None] * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-        block ^= block >> np.uint64(32)
-        block *= np.uint64(0xD6E8FEB86659FD93)
-        block ^= block >> np.uint64(29)
-        counts += np.unpackbits(block.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * counts > len(hashes))
-
-
-def shingle_set(data: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the words and of the word shingles of a UTF-8 text (fewer words: the whole sequence)."""
-    own, shingles, tail, total = [], [], [], 0
+def shingle_set(data: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a UTF-8 text (fewer words: the whole sequence; none: nothing)."""
+    shingles, tail, total = [np.zeros(0, np.uint64)], [], 0
     for block in word_blocks((data or b"").lower()):
-        own.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, set(block)), np.uint64)))
         tail += block
         shingles.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(tail[i:] for i in range(words)), strict=False))), np.uint64)))
         total += len(shingles[-1])
         tail = tail[max(0, len(tail) - words + 1) :]
     if not total and tail:
-        shingles = [np.array([xxhash.xxh64_intdigest(b" ".join(tail))], np.uint64)]
-    none = np.zeros(0, np.uint64)
-    return np.unique(np.concatenate([none, *own])), np.unique(np.concatenate([none, *shingles]))
+        shingles.append(np.array([xxhash.xxh64_intdigest(b" ".join(tail))], np.uint64))
+    return np.unique(np.concatenate(shingles))
 
 
 def _digest(text: str) -> Column:
-    return F.md5(F.coalesce(F.col(text), F.lit("")))
+    """128-bit digest of a text; texts without words have that of the empty one."""
+    return F.md5(F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise(F.lit("")))
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, digest, n, order_bits, bits) of ``docs`` (doc_id, text): distinct shingles and wide signatures of the words and of the shingles."""
-
-    def found(texts: list[bytes | None]) -> tuple[list, ...]:
-        sets = [shingle_set(t, words) for t in texts]
-        return [len(s) for _, s in sets], [_signature(w).tobytes() for w, _ in sets], [_signature(s).tobytes() for _, s in sets]
+def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, texts that hold them) of the most common ones in a sample; only an order is taken from them, and any order finds the same pairs."""
+    total = texts.count()
+    share = min(1.0, max(ORDER_SHARE, ORDER_ROWS / max(total, 1)))
+    seen = map_texts(texts.sample(share, 7), "text", (), "shingles array<long>", lambda found: ([shingle_set(t, words).view(np.int64) for t in found],))
+    counted = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("held")).where("held > 2")
+    common = counted.orderBy(F.desc("held"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    keys, held = common.column("shingle").to_numpy(), common.column("held").to_numpy()
+    by_key = np.argsort(keys)
+    return keys[by_key], held[by_key]
 
-    return map_texts(docs.withColumn("digest", _digest("text")), "text", ("doc_id", "digest"), "n long, order_bits binary, bits binary", found)
 
+def distinct_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, digest, doc_id, n, first) of the distinct texts of ``docs`` (doc_id, text), written: a number, the text's 128-bit digest, its smallest
+    doc_id (null if it has no other), how many shingles it has, and the first of them.
 
-def neighbour_pairs(nodes: DataFrame, orders: range, low: float, high: float, similarity: float) -> DataFrame:
-    """(a, b, sure) of nodes near each other in some order whose signatures differ in a share of at most ``high`` of the bits; sure up to ``low``."""
+    Shingles are ordered rare to common, then by hash; of two texts of that ``similarity`` the ``first`` ones share at least one.
+    """
+    texts = docs.select("doc_id", "text", _digest("text").alias("digest"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, words))
 
-    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = [np.random.default_rng([SEED, nth]).permutation(WIDE)[:BITS] for nth in orders]
-        for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("order_bits").to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
-            for nth, columns in zip(orders, chosen, strict=True):
-                key = np.ascontiguousarray(np.packbits(bits[:, columns], axis=1)).view(">i8").ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), nth), pa.int32()), pa.array(key), batch.column("node"), batch.column("n"), batch.column("bits")], ["pass", "key", "node", "n", "bits"])
+    def first(found: list[bytes | None]) -> tuple[list, ...]:
+        known, count = shared.value
+        sizes, chosen, seen = [], [], {}
+        for t in found:
+            if t not in seen:
+                own = shingle_set(t, words).view(np.int64)
+                often = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[at] == own, count[at], 0)
+                seen[t] = len(own), own[np.lexsort((own, often))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+            sizes.append(seen[t][0])
+            chosen.append(seen[t][1])
+        return sizes, chosen
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE // BITS)
-            part = (batch.column("node").to_numpy(), batch.column("n").to_numpy(), bits)
-            old = 0 if held is None else len(held[0])
-            ids, n, bits = part if held is None else tuple(np.concatenate(x) for x in zip(held, part, strict=True))
-            for step in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-                first = max(0, old - step)
-                share = np.bitwise_count(bits[first : len(ids) - step] ^ bits[first + step :]).sum(axis=1) / WIDE
-                a, b = n[first : len(ids) - step], n[first + step :]
-                hit = np.flatnonzero((share <= high) & (np.minimum(a, b) >= similarity * np.maximum(a, b)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit + first]), pa.array(ids[hit + first + step]), pa.array(share[hit] <= low)], ["a", "b", "sure"])
-            held = tuple(x[-NEIGHBOURS:] for x in (ids, n, bits))
-
-    order = ["pass", "key", "node"]
-    laid = nodes.select("node", "n", "order_bits", "bits").mapInArrow(lay_out, "pass int, key long, node long, n long, bits binary")
-    found = laid.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long, sure boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more; each text is taken once."""
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked, "node").select("node", F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"))
-    rows = docs.select("doc_id", "text", _digest("text").alias("_own")).join(wanted, (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-
-    def hashes(texts: list[bytes | None]) -> tuple[list]:
-        return ([shingle_set(t, words)[1].view(np.int64) for t in texts],)
-
-    sets = map_texts(rows.dropDuplicates(["node"]), "text", ("node",), "shingles array<long>", hashes)
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    rows = map_texts(texts, "text", ("doc_id", "digest"), "n long, first array<long>", first)
+    alone = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first"))
+    return cut_lineage(alone.withColumn("node", F.monotonically_increasing_id()))
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, n, place, shingle): the first shingles of each distinct text of ``docs`` (doc_id, text), as many as texts of that ``similarity`` must share one of.
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """(shingle, node, n, place, before) of the first shingles that several texts hold, written; ``before`` is the next smaller text that has it.
 
-    Shingles are ordered by how many sampled documents hold them, then by hash.
+    Rows are dealt by ranges of (shingle, n, node), so that a common shingle is spread over tasks, and stream by; at the border of a
+    task a row may come without need, or without ``before``.
     """
-    texts = docs.select("text", _digest("text").alias("digest"))
+    rows = nodes.select("node", "n", F.posexplode("first").alias("place", "shingle")).select("shingle", "n", "node", "place")
 
-    def hashes(found: list[bytes | None]) -> tuple[list]:
-        return ([shingle_set(t, words)[1].view(np.int64) for t in found],)
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        start = True
+        for batch in batches:
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if len(whole) > 1:
+                yield from linked(whole, start, False)
+                start, held = False, whole.slice(max(len(whole) - 2, 0))
+            else:
+                held = whole
+        if held is not None:
+            yield from linked(held, start, True)
+
+    def linked(rows: pa.RecordBatch, start: bool, end: bool) -> Iterator[pa.RecordBatch]:
+        """The rows whose shingle stands next to them too, but for the last one, which waits for the next batch, and, behind the start, the first one, which was there before."""
+        shingle, node = rows.column("shingle").to_numpy(), rows.column("node").to_numpy()
+        same = shingle[1:] == shingle[:-1]
+        back, ahead = np.concatenate([[start], same]), np.concatenate([same, [end]])
+        at = np.flatnonzero(back | ahead)
+        at = at[(at >= (0 if start else 1)) & (at < len(shingle) - (0 if end else 1))]
+        none = ~back[at] | (at == 0)
+        before = pa.array(node[np.maximum(at - 1, 0)], mask=none)
+        yield pa.RecordBatch.from_arrays([*rows.take(pa.array(at, pa.int64())).columns, before], ["shingle", "n", "node", "place", "before"])
+
+    order = ["shingle", "n", "node"]
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(laid.mapInArrow(chained, "shingle long, n long, node long, place int, before long"))
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the texts ``asked`` for (node, digest, doc_id), written; each text is read once."""
+    wanted = asked.select("node", _row_key(F.col("digest"), F.col("doc_id")).alias("key"))
+    rows = docs.select("text", _row_key(_digest("text"), F.col("doc_id")).alias("key")).join(wanted, "key").dropDuplicates(["key"])
+    return cut_lineage(map_texts(rows, "text", ("node",), "shingles array<long>", lambda found: ([shingle_set(t, words).view(np.int64) for t in found],)))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more, written."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
 
-    seen = map_texts(bounded_sample(texts, ORDER_ROWS), "text", ("digest",), "shingles array<long>", hashes)
-    common = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("held")).where("held > 2").orderBy(F.desc("held"), "shingle").limit(1_000_000).toArrow()
-    keys, held = common.column("shingle").to_numpy(), common.column("held").to_numpy()
-    by_key = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[by_key], held[by_key]))
 
-    def first(found: list[bytes | None]) -> tuple[list, ...]:
-        known, count = shared.value
-        sizes, chosen = [], []
-        for t in found:
-            own = shingle_set(t, words)[1].view(np.int64)
-            often = np.zeros(len(own), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                often = np.where(known[at] == own, count[at], 0)
-            sizes.append(len(own))
-            chosen.append(own[np.lexsort((own, often))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
-        return sizes, chosen
+def _fits(similarity: float) -> Column:
+    return F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+
 
-    rows = map_texts(texts, "text", ("digest",), "n long, shingles array<long>", first)
-    return rows.select(F.xxhash64("digest").alias("node"), "n", F.posexplode("shingles").alias("place", "shingle")).groupBy("shingle", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+def chain_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): for each node the smaller neighbour ``before`` it that it shares most of its first shingles with; at most one pair a node."""
+    met = rows.where("before is not null").groupBy("node", "before").agg(F.count("*").alias("common"))
+    best = met.groupBy("node").agg(F.max_by("before", F.struct("common", "before")).alias("before"))
+    return cut_lineage(best.select(F.col("node").alias("a"), F.col("before").alias("b")))
 
 
-def missed_pairs(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of nodes of different ``groups`` (node, root) that can still be as similar: all that share a first shingle, fit in size and have room for the overlap."""
-    first = prefixes(docs, words, similarity).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = cut_lineage(first)
-    apart = first.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    rows = cut_lineage(first.join(apart, "shingle"))
-    left, right = (rows.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "root"))) for side in "ab")
-    fits = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
-    met = left.join(right, "shingle").where(fits).groupBy("node_a", "node_b").agg(
-        F.count("*").alias("common"), F.min(F.col("n_a") + F.col("n_b")).alias("both"), F.min(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1).alias("rest")
+def missed_pairs(rows: DataFrame, groups: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of nodes of different ``groups`` (node, root) that can still be as similar: all that share a first shingle, fit in size, have room for the overlap and aren't ``tested``."""
+    rooted = cut_lineage(rows.join(groups, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root")))
+    apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    asked = cut_lineage(rooted.join(apart, "shingle"))
+    left, right = (asked.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "root"))) for side in "ab")
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    first = left.join(right, "shingle").where(_fits(similarity) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")))
+    met = first.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count("*").alias("common"), F.min(room).alias("room"), F.min(needed).alias("needed")
     )
-    return met.where(F.col("common") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - 1e-6).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = met.where(F.col("common") + F.col("room") >= F.col("needed")).select("a", "b")
+    tried = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return cut_lineage(found.join(tried, ["a", "b"], "left_anti"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, doc_id, root) of the distinct texts of ``docs`` (doc_id, text): the digest of the text, its smallest doc_id and its group.
 
-    Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity``
-    are joined. At such a distance (about a seventh of the bits) the ring's keys would be a
-    few bits long, so candidates come from orders of the words' signature by permuted bits,
-    each text being compared with its neighbours in every order. The shingles' signature decides clear
-    cases; where its estimate is within DOUBT standard errors, and the texts are not yet in one group, the shingles themselves do.
-    Pairs that never come that close are found by prefix filtering: texts of different groups that share one of their
-    first shingles are compared by their shingles, so no group is split.
+    Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more
+    are joined, all of them and only on the shingles themselves. At such a distance (about a seventh of the bits) the ring's keys would be a few
+    bits long, so candidates come from prefix filtering: similar texts share one of their rarest shingles. Each text is first
+    compared with one neighbour, which joins copies with few changes however many they are; pairs that share such a shingle and are
+    not yet in one group are then compared too, if size and place leave room for the overlap.
     """
-    prints = signatures(docs.select("doc_id", "text"), words)
-    nodes = cut_lineage(
-        prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "order_bits", "bits"))).withColumn("node", F.xxhash64("digest"))
-    )
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    error = DOUBT * float(np.sqrt(share * (1 - share) / WIDE))
-    found = [cut_lineage(neighbour_pairs(nodes, range(i, min(i + AT_ONCE, ORDERS)), share - error, share + error, similarity)) for i in range(0, ORDERS, AT_ONCE)]
-    pairs = reduce(DataFrame.unionAll, found).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    pairs = cut_lineage(pairs)
-    clear = cut_lineage(connected_components(pairs.where("sure")))
-    placed = pairs.where("not sure")
-    for side in ("a", "b"):
-        own = clear.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        placed = placed.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    doubtful = cut_lineage(placed.where("root_a != root_b").select("a", "b"))
-    links = cut_lineage(pairs.where("sure").select("a", "b").unionAll(verified(doubtful, docs, nodes, words, similarity)))
+    nodes = distinct_texts(docs, words, similarity)
+    rows = shared_shingles(nodes)
+    asked = nodes.join(rows.select("node").distinct(), "node").select("node", "digest", "doc_id")
+    sets = shingle_sets(docs, asked, words)
+    chain = chain_pairs(rows)
+    links = verified(chain, sets, similarity)
     groups = cut_lineage(connected_components(links))
-    more = cut_lineage(verified(cut_lineage(missed_pairs(docs, groups, words, similarity)), docs, nodes, words, similarity))
+    missed = missed_pairs(rows, groups, chain, similarity)
+    more = verified(missed, sets, similarity)
+    drop_written(rows, sets, chain, missed)
     if not more.isEmpty():
-        groups = connected_components(links.unionAll(more))
+        groups = cut_lineage(connected_components(links.unionAll(more)))
     return nodes.join(groups, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
 
 
+def _row_key(digest: Column, doc_id: Column) -> Column:
+    return F.concat(digest, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("-")))
+
+
 def one_per_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one of the smallest id (null last), then of the smallest digest.
 
-    Null and wordless texts are copies of each other. Of rows that agree in id and text any one stays. All columns are kept.
+    Null, empty and wordless texts are copies of each other. Of rows that agree in id and text any one stays. All columns
+    are kept, also those named like the operator's own; an empty table gives no rows; a very long text is read in blocks.
     """
     rows, _ = set_aside(docs, [doc_id, text])
     rows = rows.withColumnsRenamed({doc_id: "doc_id", text: "text"})
     back = [F.col({doc_id: "doc_id", text: "text"}.get(c, n)).alias(c) for c, n in zip(docs.columns, rows.columns, strict=True)]
-    groups = cut_lineage(similar_groups(rows, words, similarity))
+    groups = cut_lineage(similar_groups(rows.select("doc_id", "text"), words, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest")))
-    keepers = groups.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("_id"), F.col("k.digest").alias("_digest"))
-    kept = rows.withColumn("_own", _digest("text")).join(keepers, (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*back)
+    keepers = groups.groupBy("root").agg(first.alias("k")).select(_row_key(F.col("k.digest"), F.col("k.id")).alias("_key"))
+    kept = rows.withColumn("_key", _row_key(_digest("text"), F.col("doc_id"))).join(keepers, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*back)

@@ -44,32 +44,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and go on from the written table.
 
     Keeps loop plans short and survives lost executors. Unlike ``checkpoint()``
     the rows are computed once, not twice, and later joins know their size. Shuffle
-    files of the write are given up when it ends, as nothing goes back to them.
+    files of the write are given up when it ends, as nothing goes back to them. Rows that differ in ``partition_by`` lie in
+    folders of their own, which can be dropped by themselves.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
     before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(*tables: DataFrame) -> None:
-    """Delete tables that ``cut_lineage`` wrote and that nothing will read again."""
+def drop_written(*tables: DataFrame, part: str | None = None) -> None:
+    """Delete tables that ``cut_lineage`` wrote and that nothing will read again, or of them only the folder ``part`` (column=value)."""
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path
         shared = path(context.getCheckpointDir())
         for folder in {path(f).getParent() for f in df.inputFiles()}:
-            if folder.getName().startswith("cut-") and folder.toUri().getPath().startswith(f"{shared.toUri().getPath()}/"):
+            if folder.toUri().getPath().startswith(f"{shared.toUri().getPath()}/cut-") and (part is None or folder.getName() == part):
                 folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -1,214 +1,139 @@
-"""Substring deduplication: hashed units and passages of words, of which the earliest stays."""
+"""Substring deduplication: hashed lines or paragraphs, cut by their content where they are long, of which the earliest stays."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from siftwell.llm.common import map_texts, small_batches
-from siftwell.runtime import cut_lineage
-
-#: Words that a unit needs to be compared; shorter ones in a row are compared together.
-LEAST_WORDS = 5
-#: Words of a passage that is removed wherever it starts, whatever the units are.
-PASSAGE_WORDS = 50
-#: Words beyond which a sentence is cut at its commas, semicolons and colons too.
-LONG_SENTENCE = 40
-_CLAUSE = re.compile(rb"(?<=[,;:])[ \t]+")
-#: What ends a unit; a line break ends a sentence too.
-BREAKS = {"paragraph": re.compile(rb"\n[ \t\r]*\n\s*"), "line": re.compile(rb"\n"), "sentence": re.compile(rb"\n|(?<=[.!?])[ \t]+")}
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from siftwell.llm.common import _slices, small_batches
+from siftwell.runtime import cut_lineage, drop_written
+
+#: Words that a line or paragraph, or shorter ones in a row, need to be compared; from twice as many on it is cut.
+LEAST_WORDS = 20
+#: A long unit is cut before a word whose hash is the least among so many words on either side, so that cuts depend on nearby words only.
+REACH = 5
+#: Words that a piece of a cut unit needs to go by itself; a shorter one goes with a neighbour that goes. Of 51 shared words in longer texts 99.3 of 100 hold such a piece whole, wherever they start.
+LEAST_PIECE = 8
+#: Documents that share a digest from which it counts as hot: its rows are found by a broadcast list instead of a shuffle.
+HOT = 10_000
+#: What ends a unit.
+BREAKS = {"paragraph": re.compile(rb"\n[ \t\r]*\n\s*"), "line": re.compile(rb"\n")}
+#: A-Z as a-z; everything but letters, digits and non-ASCII bytes as a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def _between(data: bytes, breaks: re.Pattern, start: int, end: int) -> Iterator[tuple[int, int]]:
-    at = start
-    for m in breaks.finditer(data, start, end):
-        if m.start() > at:
-            yield at, m.start()
-        at = m.end()
-    if at < end:
-        yield at, end
-
-
-def units_of(data: bytes, unit: str = "sentence") -> Iterator[tuple[int, int]]:
-    """[start, end) byte places of the units of a UTF-8 text, without what separates them."""
-    for start, end in _between(data, BREAKS[unit], 0, len(data)):
-        if unit == "sentence" and end - start > 2 * LONG_SENTENCE and len(data[start:end].split()) > LONG_SENTENCE:
-            yield from _between(data, _CLAUSE, start, end)
-        else:
-            yield start, end
-
-
-def normalised(unit: bytes) -> bytes:
-    """A unit's words: A-Z as a-z, everything but letters, digits and non-ASCII characters as a blank, blanks once."""
-    return b" ".join(unit.translate(_FOLD).split())
-
-
-def digest(unit: bytes, least_words: int) -> bytes | None:
-    """128-bit digest of a normalised unit, None if it is too short to be compared."""
-    words = normalised(unit)
-    return xxhash.xxh3_128_digest(words) if words.count(b" ") + 1 >= least_words and words else None
-
-
-def compared(data: bytes, unit: str, least_words: int) -> Iterator[tuple[bytes | None, list[list[int]]]]:
-    """(digest, places) of each unit of a text; units too short to be compared are one with those around them, and have no digest if they still are."""
-    run: list[list[int]] = []
+def _cuts(words: list[bytes]) -> list[int]:
+    """Places before which a long unit is cut: words whose hash, with that of the word before, is the least within REACH words."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    hashes = own.copy()
+    hashes[1:] ^= own[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    edge = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, hashes, edge]), 2 * REACH + 1)
+    least = (hashes == around.min(axis=1)) & (hashes < around[:, :REACH].min(axis=1))
+    return [i for i in np.flatnonzero(least).tolist() if REACH < i < len(words) - REACH]
 
-    def together() -> Iterator[tuple[bytes | None, list[list[int]]]]:
-        if run:
-            yield digest(b" ".join(data[a:b] for a, b in run), least_words), list(run)
-            run.clear()
 
-    for start, end in units_of(data, unit):
-        d = digest(data[start:end], least_words)
-        if d is None:
-            run.append([start, end])
-        else:
-            yield from together()
-            yield d, [[start, end]]
-    yield from together()
+def compared(data: bytes, unit: str = "line", least_words: int = LEAST_WORDS) -> Iterator[tuple[bytes | None, int, int, list[list[int]]]]:
+    """(digest, first word, end word, places) of each unit of a UTF-8 text, in order.
 
-
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and [start, end) byte places of each normalised word of a text."""
+    ``places`` are [start, end) byte places, one for each line or paragraph that the unit takes part of. Lines of ``least_words``
+    words or more are units, shorter ones in a row are one together, without digest if they still are too short; a unit of more than
+    twice as many words is cut by content. Digests are 128 bits of the normalised words.
+    """
     folded = data.translate(_FOLD)
     edges = np.flatnonzero(np.diff(np.frombuffer(b" " + folded + b" ", np.uint8) != 32))
-    return np.fromiter(map(xxhash.xxh64_intdigest, folded.split()), np.uint64, len(edges) // 2), edges[::2], edges[1::2]
-
-
-def _chained(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    out = left * np.uint64(0x9E3779B97F4A7C15) + right
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
-
-
-def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One hash for every ``n`` consecutive words."""
-    if n == 1:
-        return hashes
-    half = _runs(hashes, n // 2)
-    out = _chained(half[: len(half) - n // 2], half[n // 2 :])
-    return _chained(out[: len(hashes) - n + 1], hashes[n - 1 :]) if n % 2 else out
-
-
-def passages(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, hash) of every ``n`` consecutive words: the anchor is the least hash of half as many words within, so that few differ from one passage to the next."""
-    if len(hashes) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, have, wanted = _runs(hashes, max(n // 2, 1)), 1, n - max(n // 2, 1) + 1
-    while have < wanted:
-        step = min(have, wanted - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        have += step
-    return least.view(np.int64), _runs(hashes, n).view(np.int64)
-
-
-def units(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
-    """(rank, key, digest): one row for every distinct comparable unit of each document (16 bytes) and for the anchors of its passages (8).
-
-    ``rank`` and ``key`` are columns of ``docs``: the order in which documents count, and what tells them apart.
+    first, last = edges[::2], edges[1::2]
+    words = folded.split()
+    ends = [m.start() for m in BREAKS[unit].finditer(data)] + [len(data)]
+    borders = np.searchsorted(first, ends).tolist()
+
+    def placed(a: int, b: int) -> list[list[int]]:
+        inside = [x for x in borders[np.searchsorted(borders, a, "right") : np.searchsorted(borders, b, "left")] if a < x < b]
+        parts = [a, *dict.fromkeys(inside), b]
+        return [[int(first[i]), int(last[j - 1])] for i, j in zip(parts, parts[1:], strict=False)]
+
+    def made(a: int, b: int) -> Iterator[tuple[bytes | None, int, int, list[list[int]]]]:
+        if b - a < least_words:
+            yield None, a, b, placed(a, b)
+            return
+        parts = [a, *(a + i for i in _cuts(words[a:b])), b] if b - a > 2 * least_words else [a, b]
+        for i, j in zip(parts, parts[1:], strict=False):
+            yield xxhash.xxh3_128_digest(b" ".join(words[i:j])), i, j, placed(i, j)
+
+    run = start = 0
+    for end in borders:
+        if end - start >= least_words:
+            if run < start:
+                yield from made(run, start)
+            yield from made(start, end)
+            run = end
+        start = end
+    if run < len(words):
+        yield from made(run, len(words))
+
+
+def whole_digest(data: bytes) -> bytes | None:
+    """Digest of all words of a text, apart from those of its units; None without words."""
+    words = data.translate(_FOLD).split()
+    return xxhash.xxh3_128_digest(b"\0" + b" ".join(words)) if words else None
+
+
+def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(rank, key, digest): every distinct unit digest of each document, that of the whole text among them.
+
+    ``rank`` and ``key`` are columns of ``docs``: the order in which documents count, and what tells them apart. Copies
+    (one key) within a batch are read once.
     """
-    names = ["rank", "key", "digest"]
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, digests = [], []
-
-            def made() -> pa.RecordBatch:
-                at = pa.array(rows, pa.int64())  # noqa: B023
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(digests, pa.binary())], names)  # noqa: B023
-
-            for row, data in enumerate(batch.column(2).cast(pa.large_binary())):
-                text = data.as_py() or b""
-                own = {d for d, _ in compared(text, unit, least_words) if d is not None}
-                if passage_words:
-                    anchors = np.unique(passages(words_of(text)[0], passage_words)[0]).tobytes()
-                    own.update(anchors[i : i + 8] for i in range(0, len(anchors), 8))
-                rows += [row] * len(own)
-                digests += own
-                if len(digests) > 50_000:
-                    yield made()
-                    rows, digests = [], []
-            yield made()
-
-    small_batches(docs)
     source = docs.select("rank", "key", "text")
-    return source.mapInArrow(split, f"rank {source.schema['rank'].dataType.simpleString()}, key long, digest binary")
-
+    schema = StructType([StructField("rank", source.schema["rank"].dataType), *_parse_datatype_string("key binary, digest binary")])
 
-def _shared_passages(docs: DataFrame, passage_words: int) -> DataFrame:
-    """(key, starts): places, counted in words, of the passages that an earlier document has; ``docs`` (rank, key, text, anchors).
-
-    Equal passages have the same anchor, so only passages whose anchor several documents share are written out.
-    """
-    names = ["rank", "key", "anchor", "hash", "start"]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, (data, anchors) in enumerate(zip(batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), strict=True)):
-                anchor, code = passages(words_of(data.as_py() or b"")[0], passage_words)
-                at = np.flatnonzero(np.isin(anchor, np.frombuffer(b"".join(anchors), np.int64)))
-                same = pa.array(np.full(len(at), row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(anchor[at]), pa.array(code[at]), pa.array(at)], names)
-
-    source = docs.select("rank", "key", "text", "anchors")
-    found = source.mapInArrow(spread, f"rank {source.schema['rank'].dataType.simpleString()}, key long, anchor long, hash long, start long")
-    firsts = found.groupBy("anchor", "hash").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
-    shared = firsts.where("n > 1").select("anchor", "hash", F.col("first.key").alias("first_key"))
-    return found.join(shared, ["anchor", "hash"]).where("key != first_key").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                rows, digests, seen = [], [], set()
+                keys = batch.column("key").to_pylist()
+                for row, data in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
+                    if keys[row] in seen or not data:
+                        continue
+                    seen.add(keys[row])
+                    own = {d for d, *_ in compared(data, unit, least_words) if d is not None} | {whole_digest(data)} - {None}
+                    rows += [row] * len(own)
+                    digests += own
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("rank").take(at), batch.column("key").take(at), pa.array(digests, pa.binary())], schema.names)
+
+    return source.mapInArrow(split, schema)
 
 
 def _order() -> Column:
     return F.struct(F.col("rank").isNull().alias("none"), "rank", "key")
 
 
-def _copies(docs: DataFrame, least_words: int) -> DataFrame:
-    """(key) of the texts whose words are, all in all, those of an earlier one."""
-    found = map_texts(docs, "text", ("rank", "key"), "digest binary", lambda texts: [[digest(t or b"", least_words) for t in texts]])
-    found = cut_lineage(found.where(F.col("digest").isNotNull()).distinct())
-    firsts = found.groupBy("digest").agg(F.min(_order()).alias("first"), F.max(_order()).alias("last"))
-    shared = firsts.where("first != last").select("digest", F.col("first.key").alias("first_key"))
-    return cut_lineage(found.join(shared, "digest").where("key != first_key").select("key").distinct())
-
+def later_units(found: DataFrame) -> DataFrame:
+    """(key, repeated): for each document the digests that an earlier one has.
 
-def _removed(data: bytes, repeated: set[bytes], starts: list[int], unit: str, least_words: int, passage_words: int | None) -> tuple[list[list[int]], list[list[int]]]:
-    """Removed and kept units of a text as [start, end) byte places; ``repeated`` are the digests and ``starts`` the passages that an earlier document has.
-
-    A unit or passage that the text itself has before is removed as well. A unit that a passage takes in part is cut into its parts.
+    Digests are counted with partial sums. Those of more than HOT documents, or of a hundred-thousandth of all rows if that is more, are at
+    most 100,000 and go to the tasks; the rest meet their documents in a shuffle in which no digest has more rows than that.
     """
-    gone, kept, seen = [], [], set()
-    code, first, last = words_of(data) if passage_words else (np.zeros(0, np.uint64),) * 3
-    steps = np.zeros(len(code) + 1, np.int64)
-    if passage_words and len(code) >= passage_words:
-        _, at, which = np.unique(passages(code, passage_words)[1], return_index=True, return_inverse=True)
-        again = np.flatnonzero(np.arange(len(which)) - at[which] >= passage_words)
-        for places in (np.array(starts, np.int64), again):
-            np.add.at(steps, places, 1)
-            np.add.at(steps, places + passage_words, -1)
-    out = np.cumsum(steps[:-1]) > 0
-    for d, places in compared(data, unit, least_words):
-        if d is not None and (d in repeated or d in seen):
-            gone += places
-        elif not out.any():
-            kept += places
-        else:
-            for start, end in places:
-                a, b = np.searchsorted(first, (start, end))
-                cuts = [a, *(a + 1 + np.flatnonzero(np.diff(out[a:b]))), b]
-                for i, j in pairwise(cuts):
-                    piece = [start if i == a else int(first[i]), end if j == b else int(last[j - 1])]
-                    (gone if i < b and out[i] else kept).append(piece)
-        if d is not None:
-            seen.add(d)
-    return gone, kept
+    rows = found.count()
+    hot = max(HOT, rows // 100_000)
+    shared = cut_lineage(
+        found.groupBy("digest").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.key").alias("first_key"), "n")
+    )
+    often = F.broadcast(shared.where(F.col("n") > hot).select("digest", "first_key"))
+    seldom = shared.where(F.col("n") <= hot).select("digest", "first_key")
+    meet = lambda df, other: df.join(other, "digest").where("key != first_key").select("key", "digest")
+    both = meet(found, often).unionAll(meet(found.join(often, "digest", "left_anti"), seldom))
+    return both.groupBy("key").agg(F.collect_set("digest").alias("repeated"))
 
 
 def _characters(data: bytes, spans: list[list[int]]) -> list[list[int]]:
@@ -220,7 +145,7 @@ def _characters(data: bytes, spans: list[list[int]]) -> list[list[int]]:
 
 
 def cleaned(data: bytes, gone: list[list[int]]) -> bytes:
-    """The text without the removed units; what separates the rest stays."""
+    """The text without the removed places; what separates the rest stays."""
     out, at = [], 0
     for start, end in gone:
         out.append(data[at:start])
@@ -228,54 +153,65 @@ def cleaned(data: bytes, gone: list[list[int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
+def removed(data: bytes, repeated: set[bytes], unit: str = "line", least_words: int = LEAST_WORDS) -> tuple[list[list[int]], list[list[int]], int, int]:
+    """(removed places, kept places, units, units removed) of a text; ``repeated`` are the digests that an earlier document has.
+
+    A unit that the text itself has before goes as well, and of a copy of a whole earlier text everything does. A piece below LEAST_PIECE words
+    that is found again goes only next to one that goes.
+    """
+    seen: set[bytes | None] = set()
+    copy = whole_digest(data) in repeated
+    found = list(compared(data, unit, least_words))
+    again, out = [], []
+    for d, a, b, _ in found:
+        again.append(copy or (d is not None and (d in repeated or d in seen)))
+        out.append(copy or (again[-1] and b - a >= min(LEAST_PIECE, least_words)))
+        seen.add(d)
+    for order in (range(1, len(found)), range(len(found) - 2, -1, -1)):
+        for i in order:
+            out[i] = out[i] or (again[i] and out[i - order.step])
+    gone = [p for o, (*_, places) in zip(out, found, strict=True) if o for p in places]
+    kept = [p for o, (*_, places) in zip(out, found, strict=True) if not o for p in places]
+    return gone, kept, len(found), sum(out)
+
+
+def deduplicate(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_units, n_removed, removed, kept) for every row of ``docs``.
 
-    Units (``line``, ``paragraph`` or ``sentence``; sentences also end at line breaks, and very long ones at commas) of
-    ``least_words`` words or more are normalised and hashed, shorter ones in a row as one unit, and so is the whole text; of equal ones the earliest
-    stays, by doc_id (null last), then by the text's hash, then by place. So does the earliest of equal passages
-    of ``passage_words`` words (None: units only), wherever they start; a passage that takes part of a unit cuts it. ``text`` is what is left, ``removed`` and
-    ``kept`` hold [start, end) of all units in code points of the original. Rows that
+    Units (``line`` or ``paragraph``) of ``least_words`` words or more are normalised and hashed, shorter ones in a row as one unit, longer ones
+    in pieces cut where nearby words say so, and so is the whole text; of equal ones the earliest
+    stays, by doc_id (null last), then by the text's hash, then by place. A passage of some 50 words that two texts share holds whole
+    pieces wherever it starts, which go; words at its ends that belong to a piece with others stay, as does a short line that many texts share. ``text`` is what is left, ``removed`` and
+    ``kept`` hold [start, end) of the units in code points of the original, split where a unit spans lines. Rows that
     agree in id and text are one document and get the same result. A null text stays null and
-    has no units; other columns are left out; an empty table gives no rows.
+    has no units; a very long text is one row all through; broken UTF-8 is kept as replacement characters; other columns, also those named like the
+    result's, are left out; an empty table gives no rows.
 
-    Copies of whole texts are set aside first. Digests of the others are counted with partial sums before the shuffle; only
-    those that several documents share go back to their documents, without their first one.
+    Each text is split twice: once to write its digests, once to cut it.
     """
+    small_batches(docs)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keyed = named.withColumn("key", F.xxhash64("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(-1))))
-    ranked = keyed.select(F.col("doc_id").alias("rank"), "key", "text")
-    copies = _copies(ranked, least_words)
-    own = ranked.join(copies, "key", "left_anti").select("rank", "key", "text")
-    found = units(own, unit, least_words, passage_words)
-    digests, anchors = found.where(F.octet_length("digest") != 8), found.where(F.octet_length("digest") == 8).select("key", "digest")
-    firsts = digests.groupBy("digest").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
-    shared = firsts.where("n > 1").select("digest", F.col("first.key").alias("first_key"))
-    later = digests.join(shared, "digest").where("key != first_key").groupBy("key").agg(F.collect_set("digest").alias("repeated")).withColumn("copy", F.lit(False))
-    later = later.unionByName(copies.select("key", F.lit(None).cast("array<binary>").alias("repeated"), F.lit(True).alias("copy")))
-    if passage_words:
-        several = anchors.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        back = cut_lineage(anchors.join(several, "digest").groupBy("key").agg(F.collect_set("digest").alias("anchors")))
-        joined = keyed.join(later.join(_shared_passages(own.join(back, "key"), passage_words), "key", "full"), "key", "left")
-    else:
-        joined = keyed.join(later.withColumn("starts", F.lit(None).cast("array<long>")), "key", "left")
+    key = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.octet_length("text").cast("string"), "text").cast("binary")))
+    keyed = named.withColumn("key", key)
+    found = cut_lineage(units(keyed.select(F.col("doc_id").alias("rank"), "key", "text"), unit, least_words))
+    later = cut_lineage(later_units(found))
+    drop_written(found)
+    joined = keyed.join(later, "key", "left").select("doc_id", "text", "repeated")
+    schema = StructType([StructField("doc_id", named.schema["doc_id"].dataType), *_parse_datatype_string("text string, n_units long, n_removed long, removed array<array<long>>, kept array<array<long>>")])
+    spans = pa.list_(pa.list_(pa.int64()))
+    types = (pa.string(), pa.int64(), pa.int64(), spans, spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for data, copy, repeated, places in zip(batch.column(1).cast(pa.large_binary()), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                raw = data.as_py()
-                if raw is None:
-                    out.append((None, 0, 0, [], []))
-                    continue
-                gone, kept = ([list(u) for u in units_of(raw, unit)], []) if copy else _removed(raw, set(repeated or ()), places or [], unit, least_words, passage_words)
-                out.append((cleaned(raw, gone).decode(errors="replace"), len(gone) + len(kept), len(gone), _characters(raw, gone), _characters(raw, kept)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            spans = pa.list_(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), spans, spans), strict=True))],
-                ["doc_id", "text", "n_units", "n_removed", "removed", "kept"],
-            )
-
-    kind = named.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "copy", "repeated", "starts").mapInArrow(cut, f"doc_id {kind}, text string, n_units long, n_removed long, removed array<array<long>>, kept array<array<long>>")
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                out = []
+                for raw, repeated in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("repeated").to_pylist(), strict=True):
+                    if raw is None:
+                        out.append((None, 0, 0, [], []))
+                        continue
+                    gone, kept, n, n_gone = removed(raw, set(repeated or ()), unit, least_words)
+                    out.append((cleaned(raw, gone).decode(errors="replace"), n, n_gone, _characters(raw, gone), _characters(raw, kept)))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], schema.names)
+
+    return joined.mapInArrow(cut, schema)

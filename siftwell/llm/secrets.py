@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -90,13 +92,16 @@ class Scanner:
         self.window, self.thresholds = window, thresholds or THRESHOLDS
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-        """Dense runs of candidates that the allow list does not name, but for those within one base span."""
+        """Dense runs of candidates that the allow list does not name, but for those within one of the ``base`` spans, which are sorted."""
+        starts = [a for a, _, _ in base]
+        reach = list(accumulate((b for _, _, b in base), max))
         for m in _CANDIDATE.finditer(text):
             if self.allowed and self.allowed.fullmatch(m[0]):
                 continue
             kind = next(name for name, chars in _CLASSES if chars.fullmatch(m[0]))
             for start, end in dense_runs(m[0], self.thresholds[kind], self.window):
-                if not any(a <= m.start() + start and m.start() + end <= b for a, _, b in base):
+                before = bisect_right(starts, m.start() + start)
+                if not before or reach[before - 1] < m.start() + end:
                     yield m.start() + start, 3, m.start() + end
 
     def find(self, data: bytes | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

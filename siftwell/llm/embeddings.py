@@ -96,11 +96,12 @@ def neighbour_links(keyed: DataFrame, size: int, cosine: float, neighbours: int)
 def link_counts(members: DataFrame, size: int, cosine: float, block: int = BLOCK) -> DataFrame:
     """(node, n_links): other vectors within ``cosine`` of each one in its component, copies included. ``members``: root, node, unit, n.
 
-    A component is cut into blocks of about ``block`` vectors by hashed id; every pair of
-    blocks is one product in one task, and only a count per vector and block pair is sent on.
+    A component above ``block`` vectors is cut into blocks of about as many by hashed id; every pair of
+    blocks is one product and dealt out by itself, and only a count per vector and block pair is sent on.
     """
-    parts = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    cut = members.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    cut = members.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = pairs.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("low"), "node", "unit", "n")
 
@@ -116,7 +117,7 @@ def link_counts(members: DataFrame, size: int, cosine: float, block: int = BLOCK
         near = units[a] @ units[b].T >= cosine
         return pa.table({"node": np.concatenate([ids[a], ids[b]]), "links": np.concatenate([near @ n[b], near.T @ n[a]]).astype(np.int64)})
 
-    return dealt.groupBy("root", "p", "q").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links"))
+    return dealt.repartition("root", "p", "q").groupBy("root", "p", "q").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES, neighbours: int = NEIGHBOURS, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:

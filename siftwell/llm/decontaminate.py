@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -147,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     A word is hit if it lies in any occurrence of a benchmark window; windows found by
     hash are compared word for word. The benchmark travels in slices of at most ``limit``
     bytes of text (or one item): one slice is one pass over the texts without a shuffle;
-    more slices are as many passes, whose few findings meet by the text's digest.
+    more slices are as many passes, each fetched when its pass begins, whose few findings meet by the text's digest.
     Null texts and texts without words are not hit, null or wordless items hit nothing, a null item id
     is the empty string, rows that share an item id are one item, repeated rows are repeated,
     an empty benchmark hits nothing, and columns named like the added ones are replaced.
@@ -158,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     if second is None:
         return _scan(docs, columns, first, window, text)
     key = docs.withColumn("_key", F.sha2(F.coalesce(text, F.lit("")), 256))
-    parts = [cut_lineage(_scan(key, ["_key"], part, window, text).where("n_hit > 0").dropDuplicates(["_key"])) for part in (first, second, *slices)]
+    parts = [cut_lineage(_scan(key, ["_key"], part, window, text).where("n_hit > 0").dropDuplicates(["_key"])) for part in chain((first, second), slices)]
     found = reduce(DataFrame.unionAll, parts).groupBy("_key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
     )

@@ -39,7 +39,7 @@ def shape(word: bytes) -> str:
     """A word with its runs of letters and digits as signs: a, Aa, A, 9; marks stay, runs of one mark are one."""
     text = word.decode(errors="replace")
     text = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a", text)
-    return re.sub(r"([^\w])\1+", r"\1+", re.sub(r"\d+", "9", text))[:12]
+    return re.sub(r"([^\w])\1+", r"\1+", re.sub(r"\d+", "9", text))
 
 
 @lru_cache(maxsize=200_000)
@@ -51,7 +51,7 @@ def measures(data: bytes | None) -> tuple[dict[str, float], dict[int, float]]:
     """What the labellers read of a text, and its hashed features (shares of shapes, pairs of shapes and coarse measures)."""
     text = data or b""
     words: Counter = Counter()
-    pairs: set[int] = set()
+    pairs: list[np.ndarray] = []
     shapes: Counter = Counter()
     total = echoes = n_pairs = ends = 0
     last: bytes | None = None
@@ -61,7 +61,7 @@ def measures(data: bytes | None) -> tuple[dict[str, float], dict[int, float]]:
         chain = block if last is None else [last, *block]
         echoes += sum(map(bytes.__eq__, chain, chain[1:]))
         n_pairs += len(chain) - 1
-        pairs.update(map(hash, zip(chain, chain[1:])))
+        pairs.append(np.unique(np.fromiter(map(hash, zip(chain, chain[1:])), np.int64, max(len(chain) - 1, 0))))
         last = chain[-1] if chain else last
     for word, n in words.items():
         shapes[shape(word)] += n
@@ -74,7 +74,7 @@ def measures(data: bytes | None) -> tuple[dict[str, float], dict[int, float]]:
         "symbols": len(_ODD.findall(text)) / max(len(text), 1),
         "capitals": capitals / n,
         "echoes": echoes / max(n_pairs, 1),
-        "repeats": 1 - len(pairs) / n_pairs if n_pairs else 0.0,
+        "repeats": 1 - len(np.unique(np.concatenate(pairs))) / n_pairs if n_pairs else 0.0,
         "top_word": max(words.values(), default=0) / n if total >= 20 else 0.0,
         "words": total,
         "sentence": total / max(ends, 1),

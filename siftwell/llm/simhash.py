@@ -75,7 +75,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2, segments: int | None
     pair starts a chain whose first l segments differ in at most l * max_bits / segments
     bits, for each l. The chain's first segments have no budget, so they must be equal:
     they are the join key, one row per start. The longer chains are checked within the
-    join, the last of them being the whole Hamming distance. A pair comes from its first viable start only.
+    join, one segment more at a time, so that most candidates fall out before the last of them, the whole Hamming distance. A pair comes from its first viable start only.
     """
     segments = segments or 2 * max_bits + 1
     if segments <= max_bits:
@@ -86,11 +86,12 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2, segments: int | None
     left = rows.select(F.col("fingerprint").alias("a"), "start", "key")
     right = rows.select(F.col("fingerprint").alias("b"), "start", "key")
     difference = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(False)
+    viable, earlier = F.lit(False), F.lit(False)
     for i in reversed(range(segments)):
-        first = F.when(_viable(difference, i, max_bits, segments), F.lit(i)).otherwise(first if i < segments - 1 else F.lit(-1))
+        viable = F.when(left["start"] == i, _viable(difference, i, max_bits, segments)).otherwise(viable)
+        earlier = earlier | ((left["start"] > i) & _viable(difference, i, max_bits, segments))
     ring = (left["start"] == right["start"]) & (left["key"] == right["key"])
-    return left.join(right, ring & (F.col("a") < F.col("b")) & (F.bit_count(difference) <= max_bits) & (first == left["start"])).select("a", "b")
+    return left.join(right, ring & (F.col("a") < F.col("b")) & viable & ~earlier).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 import pytest
 import xxhash
 
-from siftwell.llm import decontaminate, langid, mixing, quality, secrets, sharding, simhash, substrings, toxicity
+from siftwell.llm import decontaminate, langid, mixing, quality, secrets, sharding, simhash, toxicity
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 30_000
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, LONG), (5, "Ünï çode"), (5, "Ünï çode"), (None, "no id here at all"), (6, "one two three four five six seven eight nine ten eleven")]
@@ -102,45 +102,6 @@ def test_decontamination_removes_documents_or_spans(spark, table):
     assert decontaminate.contamination(docs, none).where("n_hit > 0").count() == 0 and decontaminate.contamination(table([]), items).count() == 0
 
 
-def test_units_are_kept_once_with_their_places(table):
-    line = "The same sentence stands in many documents"
-    rows = [(2, f"First own sentence of document two. {line}. End."), (1, f"{line.upper()}!\nOwn words of the first one here."), (3, f"Ä {line}. {line}."), (4, None), (5, ""), (1, f"{line.upper()}!\nOwn words of the first one here."), (6, "too short\ntoo short")]
-    out = {}
-    for r in substrings.deduplicate(table(rows)).collect():
-        assert out.setdefault(r.doc_id, r) == r
-    assert out[1].n_removed == 0 and out[1].text == rows[1][1]
-    assert [rows[0][1][a:b] for a, b in out[2].removed] == [line + "."]
-    assert [rows[2][1][a:b] for a, b in out[3].removed] == [line + "."] and [rows[2][1][a:b] for a, b in out[3].kept] == [f"Ä {line}."]
-    assert out[4].text is None and out[5].text == "" and out[6].n_removed == 0
-    assert substrings.deduplicate(table([])).count() == 0
-
-
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_lines_and_paragraphs(table, unit):
-    gap = "\n\n" if unit == "paragraph" else "\n"
-    rows = [(1, gap.join(["a shared unit of five words", "something else of five words"])), (2, gap.join(["own unit of the second text", "A shared unit, of five words."]))]
-    got = {r.doc_id: r.text for r in substrings.deduplicate(table(rows), unit=unit).collect()}
-    assert got == {1: rows[0][1], 2: "own unit of the second text" + gap}
-
-
-def test_passages_go_wherever_they_start(table):
-    import random
-
-    rnd = random.Random(3)
-    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
-    passage, short = own(50), own(60)
-    rows = [(1, " ".join([*own(13), *passage, *own(8)]) + "."), (2, " ".join([*own(31), *passage, *own(22)]) + "."), (3, " ".join(own(20) + passage[:49] + own(20)) + "."),
-            (4, "!! ".join(short)), (5, "!! ".join(short)), (6, "Own start of six.\n" + "\n".join(short[3:58])), (7, "a! b! c! d! e! f!"), (8, "A. B. C. D. E. F."), (9, " ".join(["same"] * 200))]
-    got = {r.doc_id: r for r in substrings.deduplicate(table(rows)).collect()}
-    texts = dict(rows)
-    assert [got[d].n_removed for d in (1, 3, 4, 7)] == [0, 0, 0, 0]
-    assert [texts[2][a:b] for a, b in got[2].removed] == [" ".join(passage)] and " ".join(texts[2][a:b] for a, b in got[2].kept) == " ".join(texts[2].replace(" ".join(passage), "").split())
-    assert got[5].kept == got[8].kept == [] and not any(w in got[6].text for w in short[3:58]) and got[6].text.startswith("Own start of six.")
-    assert got[9].text.split() == ["same"] * 50
-    units = {r.doc_id: r.n_removed for r in substrings.deduplicate(table(rows), passage_words=None).collect()}
-    assert units[2] == 0 and units[5] == 60
-
-
 def test_shards_are_contiguous_and_even(spark, table):
     rows = [(i, "x" * (i * 37 % 200)) for i in range(500)] + [(None, "n"), (7, None), (7, None)]
     out = sharding.shard_documents(table(rows), shards=8).collect()
@@ -303,3 +264,123 @@ def test_raking_and_sampling(spark, table):
         p = want[key] / cells[key] if cells[key] else 1.0
         assert r.probability == pytest.approx(p) and r.kept == (int(hashlib.md5(f"9:{r.doc_id}".encode()).hexdigest()[:8], 16) / 2**32 < p)
     assert mixing.mix(table([])).count() == 0 and mixing.sample(table(rows)).columns == table(rows).columns
+
+
+def test_a_word_over_many_parts_has_no_blank_inside(monkeypatch):
+    import numpy as np
+
+    text = ("ab" * 300 + "9 é" + "c" * 200 + "!!").encode()
+    whole = langid.grams_of(text)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    for a, b in zip(langid.grams_of(text), whole, strict=True):
+        assert np.array_equal(a, b)
+    assert langid.grams_of(b"1 2 3 4 5 6 7 8")[0].size == 0
+
+
+def slow_kneser_ney(texts, word):
+    """Probabilities of the trigrams of ``word`` by interpolated Kneser-Ney over (language, text), term by term."""
+    padded = lambda t: " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+    grams = {}
+    for lang, text in texts:
+        t = padded(text)
+        for i in range(len(t) - 2):
+            grams.setdefault(lang, []).append(t[i : i + 3])
+    chars = {g[-1] for own in grams.values() for g in own}
+    out = {}
+    for lang, own in grams.items():
+        tri = {g: own.count(g) for g in own}
+        bi = {g: len({t for t in tri if t[1:] == g}) for g in {t[1:] for t in tri}}
+        uni = {g: len({b for b in {t[1:] for t in tri} if b[1:] == g}) for g in {t[2:] for t in tri}}
+        levels = [uni, bi, tri]
+
+        def p(gram, n):
+            if n == 0:
+                return 1 / (len(chars) + 1)
+            table = levels[n - 1]  # noqa: B023
+            once, twice = (sum(c == k for c in table.values()) for k in (1, 2))
+            d = once / (once + 2 * twice) if once and twice else 0.5
+            context = {g: c for g, c in table.items() if g[:-1] == gram[:-1]}
+            total = sum(context.values())
+            if not total:
+                return p(gram[1:], n - 1)
+            return max(table.get(gram, 0) - d, 0) / total * (gram in table) + d * len(context) / total * p(gram[1:], n - 1)
+
+        t = padded(word)
+        out[lang] = [p(t[i : i + 3], 3) for i in range(len(t) - 2)]
+    return out
+
+
+def test_probabilities_equal_plain_kneser_ney():
+    texts = [("a", "the cat sat on the mat that the cat had"), ("b", "die katze sass auf der matte die katze"), ("a", "another cat")]
+    import numpy as np
+
+    counts = []
+    for lang in ("a", "b"):
+        parts = [langid.grams_of(t.encode()) for own, t in texts if own == lang]
+        counts.append((lang, *langid._added(*(np.concatenate(x) for x in zip(*parts, strict=True)))))
+    model = langid.train(counts)
+    for word in ("the katze", "cat", "zzz", "matter hats"):
+        want = slow_kneser_ney(texts, word)
+        grams, n = langid.grams_of(word.encode())
+        bits = langid.entropies(model, word.encode())
+        for k, lang in enumerate(("a", "b")):
+            assert bits[k] == pytest.approx(-np.log2(want[lang]).mean())
+
+
+def test_languages_of_odd_rows(spark, table):
+    rows = [(1, "the cat sat here"), (1, "the cat sat here"), (2, None), (3, ""), (4, "1234 !!"), (None, "le chat est là"), (5, "chat " * 200_000)]
+    docs = table([(*r, "en" if i % 2 else "fr") for i, r in enumerate(rows)])
+    model = langid.learn(docs)
+    got = langid.identify(docs, model, ("doc_id", "kept", "items")).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (2, 3, 4)} == {"und"} and {r.kept for r in got} == {"x"}
+    empty = langid.identify(docs, langid.learn(table([])))
+    assert {r.lang_pred for r in empty.collect()} == {"und"} and langid.identify(table([]), model).count() == 0
+
+
+def test_secrets_in_a_very_long_text_take_time_in_proportion():
+    import time
+
+    scanner = secrets.Scanner()
+    line = "token = 'a8Fk29sLq0ZxPw73Vn5T' and 9f86d081884c7d659a2feaa0c55ad015 or QmFzZTY0RW5jb2RlZFNlY3JldDEyMw\n"
+    times = []
+    for n in (4_000, 16_000):
+        start = time.process_time()
+        base, every = scanner.find((line * n).encode())
+        times.append(time.process_time() - start)
+        assert len(base) == 2 * n and len(every) >= 3 * n - 1
+    assert times[1] < 8 * times[0]
+
+
+def test_spans_within_a_base_span_are_left_out():
+    base, every = secrets.Scanner().find(b"secret: a8Fk29sLq0ZxPw73Vn5Tb1 then a8Fk29sLq0ZxPw73Vn5Tb1")
+    assert len(base) == 1 and [k for _, k, _ in every] == [0, 3]
+    assert secrets.secret_spans
+
+
+def test_secrets_of_nothing(table):
+    assert secrets.secret_spans(table([])).count() == 0 and simhash.near_duplicates(table([])).count() == 0
+
+
+def test_benchmark_slices_are_fetched_one_at_a_time(spark, table, monkeypatch):
+    order = []
+    scan, fetch = decontaminate._scan, decontaminate._slices
+
+    def slices(*a):
+        for part in fetch(*a):
+            order.append("fetched")
+            yield part
+
+    monkeypatch.setattr(decontaminate, "_slices", slices)
+    monkeypatch.setattr(decontaminate, "_scan", lambda *a: order.append("scanned") or scan(*a))
+    items = spark.createDataFrame([(i, f"item {i} " + "words of it " * 9) for i in range(12)], "item_id long, text string")
+    assert decontaminate.contamination(table([(1, "item 3 " + "words of it " * 9)]), items, limit=200).first().n_hit > 0
+    assert order[:3] == ["fetched", "fetched", "scanned"] and "fetched" in order[3:]
+    for at, step in enumerate(order):
+        if step == "fetched" and at > 1:
+            assert order[at - 1] == "scanned"
+
+
+def test_word_shapes_are_whole_and_pairs_counted():
+    assert quality.shape(b"a-1-B-2-c-3-D-4-e") == "a-9-Aa-9-a-9-Aa-9-a"
+    values, _ = quality.measures(b"one two one two one two three")
+    assert values["repeats"] == pytest.approx(1 - 3 / 6)

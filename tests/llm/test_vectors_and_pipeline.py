@@ -6,6 +6,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -54,11 +55,11 @@ def test_dense_group_is_counted_across_blocks(spark):
 
 def test_registry():
     names = [n for n in contract.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in contract.queries() and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", ["op2_decontamination", "op4_sharding", "op9_source_mixing"])
+@pytest.mark.parametrize("name", ["op2_decontamination", "op4_sharding", "op9_source_mixing", "op11_fill_in_middle", "op13_merkle_manifest"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{FOLDER}/*.parquet"):
@@ -78,6 +79,7 @@ def test_query_matches_sql(spark, name):
         ("op7_embedding_near_dedup", ["vec_id", "n_links", "component_id", "kept"]),
         ("op8_toxicity", ["doc_id", "severity", "grade", "toxic_chance", "toxic"]),
         ("op10_quality_classifier", ["doc_id", "weak_label", "quality", "kept"]),
+        ("op12_bpe", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
     ],
 )
 def test_query_covers_its_whole_table(spark, name, columns):
@@ -127,3 +129,26 @@ def test_near_copies_are_found_in_a_crowd_of_equal_words(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, " ".join([*t.split()[1:], t.split()[0]])) for i, t in enumerate(texts[:20])]
     kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()}
     assert kept == set(range(600))
+
+
+def test_block_pairs_of_a_component_are_dealt_out(spark):
+    members = spark.createDataFrame([(1, i, [1.0, i / 1000.0], 1) for i in range(40)] + [(2, 100, [0.0, 1.0], 1), (2, 101, [0.0, 1.0], 2)], "root long, node long, unit array<double>, n long")
+    counted = embeddings.link_counts(members, 2, 0.9, 8)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(root" in plan and any("Exchange" in line and "root" in line and "p#" in line and "q#" in line for line in plan.splitlines())
+    assert {r.node: r.n_links for r in counted.collect()} == {r.node: r.n_links for r in embeddings.link_counts(members, 2, 0.9).collect()}
+
+
+def test_pipeline_with_null_texts_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = docs.limit(60).unionAll(docs.limit(5)).unionAll(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionAll(
+        docs.limit(2).withColumn("text", F.lit(" \n")).withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string"))
+    )
+    rows = odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        odd = spark.createDataFrame(stage(spark, odd, FOLDER).collect(), stage(spark, odd, FOLDER).schema)
+        assert 0 < odd.count() <= rows, name
+        rows = odd.count()
+        if name == "simhash_near_dedup":
+            assert odd.count() == odd.select("text").distinct().count()
+            assert odd.where("text is null or trim(text) = ''").count() <= 1

@@ -7,6 +7,7 @@ round, so plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import count as count_up
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.functions import text as tx
-from siftwell.runtime import cut_lineage, fixed_table
+from siftwell.operators.names import substring_pairs
+from siftwell.runtime import cut_lineage, drop_written, fixed_table, number_in_group, running
 
 # Names too common to stand for an entity, and those never matched by substring in a look-up.
 GENERIC_ENTITIES = [
@@ -225,36 +227,6 @@ def find_entity(nodes: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def substring_pairs(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
-    """(text_id, needle) where the text contains the needle, case-blind, without comparing every pair.
-
-    A text offers its distinct windows of ``gram`` characters, a needle asks by
-    one of its windows: the one held by the fewest texts, so a window found in
-    every text is used only where a needle has no rarer one. Shorter needles ask
-    by themselves among windows of their own length.
-    """
-    low = F.lower("text")
-
-    def grams(col: Column, n: int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substring(col, i, F.lit(n))))
-
-    out = None
-    lows = texts.select("text_id", low.alias("_low"))
-    asked = needles.select("needle", F.lower("needle").alias("_n")).distinct()
-    for n in range(1, gram + 1):
-        side = asked.filter(F.length("_n") == n) if n < gram else asked.filter(F.length("_n") >= gram)
-        offered = side.select("needle", "_n", F.explode(grams(F.col("_n"), n)).alias("_g"))
-        windows = lows.filter(F.length("_low") >= n).select("text_id", "_low", F.explode(grams(F.col("_low"), n)).alias("_g"))
-        windows = windows.join(offered.select("_g").distinct(), "_g", "left_semi")
-        freq = windows.groupBy("_g").agg(F.count("*").alias("_f"))
-        best = offered.join(freq, "_g", "left").groupBy("needle", "_n").agg(
-            F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("b")
-        ).select("needle", "_n", F.col("b.g").alias("_g"))
-        hit = windows.join(best, "_g").filter(F.contains("_low", F.col("_n"))).select("text_id", "needle")
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return edges.select("src", "dst").unionByName(back).distinct()
@@ -388,30 +360,134 @@ def tree_paths(edges: DataFrame) -> DataFrame:
             out = cut_lineage(out)
 
 
-def lca_score(paths: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, lca, penalty, resonance) of node pairs in a tree.
+@dataclass(frozen=True)
+class TreeLabels:
+    """labels(node, parent, first, last, depth) of a forest: a node is below another if its ``first`` lies between the other's first and last.
 
-    penalty = Δdepth_a + Δdepth_b + ½·|depth_a − depth_b|; resonance = 1 − penalty / (2·max depth),
-    floored at 0; nodes of different trees score 0.
+    ``jumps`` holds (node, above) tables of the ancestors 1, 2, 4, … levels up.
+    """
+
+    labels: DataFrame
+    jumps: list[DataFrame]
+
+
+def _tour_ranks(steps: DataFrame) -> DataFrame:
+    """(element, last, rank, fall) of lists given as (element, next, weight): how many elements and what weight follow up to the list's end, by doubling the step.
+
+    Elements of a ring have no end and are left out.
+    """
+    size = steps.count()
+    state = cut_lineage(steps.select("element", "next", F.lit(1).cast("long").alias("rank"), F.col("weight").cast("long").alias("fall"), F.col("element").alias("last")))
+    for _ in range(max(1, size).bit_length() + 1):
+        if not state.filter(F.col("next").isNotNull()).limit(1).count():
+            break
+        ahead = state.select(F.col("element").alias("next"), F.col("next").alias("_next"), F.col("rank").alias("_rank"), F.col("fall").alias("_fall"), F.col("last").alias("_last"))
+        grown = cut_lineage(
+            state.join(ahead, "next", "left").select(
+                "element", F.col("_next").alias("next"), (F.col("rank") + F.coalesce("_rank", F.lit(0))).alias("rank"),
+                (F.col("fall") + F.coalesce("_fall", F.lit(0))).alias("fall"), F.coalesce("_last", "last").alias("last"),
+            )
+        )
+        drop_written(state)
+        state = grown
+    return state.filter(F.col("next").isNull()).select("element", "last", "rank", "fall")
+
+
+def tree_labels(edges: DataFrame) -> TreeLabels:
+    """Interval labels and ancestor jumps of a containment forest given as (src parent, dst child), in rounds that grow with the logarithm of its depth.
+
+    The tour of each tree, into a node, through its children and out of it, is a list; its order comes from doubling the step
+    (pointer jumping), and one prefix of the trees' sizes sets the trees side by side. A node with several parents hangs below the one its shortest, of
+    equal ones smallest, path leads through; a node that no root leads to has no label.
     """
-    baseline = F.greatest(F.lit(1.0), paths.agg(F.max("depth") * 2.0).scalar())
-    pa = paths.select(F.col("node").alias("a"), F.col("path").alias("_pa"), F.col("depth").alias("_da"))
-    pb = paths.select(F.col("node").alias("b"), F.col("path").alias("_pb"), F.col("depth").alias("_db"))
-    common = F.size(F.filter(F.arrays_zip("_pa", "_pb"), lambda x: x["_pa"] == x["_pb"]))
-    out = pairs.join(pa, "a").join(pb, "b").withColumn("_c", common)
-    lca_depth = F.col("_c") - 1
-    penalty = (F.col("_da") - lca_depth) + (F.col("_db") - lca_depth) + 0.5 * F.abs(F.col("_da") - F.col("_db"))
-    related = F.col("_c") > 0
-    return out.select(
-        "a", "b",
-        F.when(related, F.get("_pa", F.col("_c") - 1)).alias("lca"),
-        F.when(related, penalty).alias("penalty"),
-        F.round(F.when(related, F.greatest(F.lit(0.0), 1 - penalty / baseline)).otherwise(0.0), 6).alias("resonance"),
+    e = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
+    several = e.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1")
+    if several.limit(1).count():
+        e = tree_paths(e).filter("depth > 0").select(F.element_at("path", -2).alias("src"), F.col("node").alias("dst"))
+    e = cut_lineage(e)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    roots = nodes.join(e.select(F.col("dst").alias("node")), "node", "left_anti")
+    kids = number_in_group(e, ["src"], ["dst"], "nth")
+    kids = cut_lineage(kids.select("src", "dst", "nth"))
+    into, out = (lambda c: F.struct(c.alias("node"), F.lit(0).alias("out"))), (lambda c: F.struct(c.alias("node"), F.lit(1).alias("out")))
+    first = kids.filter("nth = 1").select(F.col("src").alias("node"), F.col("dst").alias("_kid"))
+    enter = nodes.join(first, "node", "left").select(
+        into(F.col("node")).alias("element"), F.when(F.col("_kid").isNull(), out(F.col("node"))).otherwise(into(F.col("_kid"))).alias("next"), F.lit(1).alias("weight")
+    )
+    after = kids.select("src", (F.col("nth") - 1).alias("nth"), F.col("dst").alias("_beside"))
+    leave = kids.join(after, ["src", "nth"], "left").select(
+        out(F.col("dst")).alias("element"), F.when(F.col("_beside").isNull(), out(F.col("src"))).otherwise(into(F.col("_beside"))).alias("next"), F.lit(-1).alias("weight")
+    )
+    end = roots.select(out(F.col("node")).alias("element"), F.lit(None).cast(enter.schema["next"].dataType).alias("next"), F.lit(-1).alias("weight"))
+    ranks = cut_lineage(_tour_ranks(enter.unionByName(leave).unionByName(end)))
+    trees = ranks.filter("element.out = 0").select(F.col("last.node").alias("root"), F.col("element.node").alias("node"), "rank", F.col("fall").alias("_rest"))
+    sizes = trees.groupBy("root").agg(F.max("rank").alias("size"))
+    starts = running(sizes, [], ["root"], F.col("size"), "sum", "_before", inclusive=False)
+    leaving = ranks.filter("element.out = 1").select(F.col("element.node").alias("node"), F.col("rank").alias("_out"))
+    placed = trees.join(starts, "root").join(leaving, "node").join(e.select(F.col("src").alias("parent"), F.col("dst").alias("node")), "node", "left")
+    labels = cut_lineage(
+        placed.select(
+            "node", "parent", (F.col("_before") + F.col("size") - F.col("rank")).alias("first"), (F.col("_before") + F.col("size") - F.col("_out")).alias("last"),
+            (-F.col("_rest")).cast("int").alias("depth"),
+        )
     )
+    deepest = labels.agg(F.max("depth")).first()[0] or 0
+    jump = cut_lineage(labels.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("above")))
+    jumps = [jump]
+    while 1 << len(jumps) <= deepest:
+        further = jump.select(F.col("node").alias("above"), F.col("above").alias("_above"))
+        jump = cut_lineage(jump.join(further, "above").select("node", F.col("_above").alias("above")))
+        jumps.append(jump)
+    return TreeLabels(labels, jumps)
 
 
-def kg_query(edges: DataFrame, containment: DataFrame, starts: DataFrame, relation: str, limit: int | None = None) -> DataFrame:
-    """(start, node, final_score, rank): neighbours by relation, ranked by 1 + weight · tree closeness; all, or the best ``limit``."""
+def descendants(tree: TreeLabels, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose b is a or below it."""
+    la = tree.labels.select(F.col("node").alias("a"), F.col("first").alias("_fa"), F.col("last").alias("_la"))
+    lb = tree.labels.select(F.col("node").alias("b"), F.col("first").alias("_fb"))
+    return pairs.join(la, "a").join(lb, "b").filter(F.col("_fb").between(F.col("_fa"), F.col("_la"))).select(*pairs.columns)
+
+
+def lca_score(tree: TreeLabels | DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, lca, penalty, resonance) of node pairs in a forest (``TreeLabels``, or its edges).
+
+    penalty = Δdepth_a + Δdepth_b + ½·|depth_a − depth_b|; resonance = 1 − penalty / (2·max depth),
+    floored at 0; nodes of different trees score 0. The common ancestor is found by climbing from a in falling powers of
+    two as long as b is not below, then one level more. Pairs with a node outside the forest are left out.
+    """
+    if isinstance(tree, DataFrame):
+        tree = tree_labels(tree)
+    labels = tree.labels
+    baseline = max(1.0, 2.0 * (labels.agg(F.max("depth")).first()[0] or 0))
+    la = labels.select(F.col("node").alias("a"), F.col("first").alias("_fa"), F.col("last").alias("_la"), F.col("depth").alias("_da"))
+    lb = labels.select(F.col("node").alias("b"), F.col("first").alias("_fb"), F.col("depth").alias("_db"))
+    state = cut_lineage(pairs.select("a", "b").distinct().join(la, "a").join(lb, "b").withColumn("_at", F.col("a")))
+    over = lambda first, last: F.col("_fb").between(F.col(first), F.col(last))
+    climbing = state.filter(~over("_fa", "_la"))
+    for jump in reversed(tree.jumps):
+        reach = jump.join(labels.select(F.col("node").alias("above"), F.col("first").alias("_f"), F.col("last").alias("_l")), "above").withColumnRenamed("node", "_at")
+        moved = climbing.join(reach, "_at", "left")
+        stay = F.col("above").isNull() | over("_f", "_l")
+        climbing = cut_lineage(moved.select(*[c for c in climbing.columns if c != "_at"], F.when(stay, F.col("_at")).otherwise(F.col("above")).alias("_at")))
+    up = labels.select(F.col("node").alias("_at"), F.col("parent").alias("lca"))
+    met = climbing.join(up, "_at", "left").unionByName(state.filter(over("_fa", "_la")).withColumn("lca", F.col("a")), allowMissingColumns=True)
+    depth = labels.select(F.col("node").alias("lca"), F.col("depth").alias("_dl"))
+    out = met.join(depth, "lca", "left")
+    penalty = (F.col("_da") - F.col("_dl")) + (F.col("_db") - F.col("_dl")) + 0.5 * F.abs(F.col("_da") - F.col("_db"))
+    related = F.col("lca").isNotNull()
+    return pairs.join(
+        out.select(
+            "a", "b", "lca", F.when(related, penalty).alias("penalty"),
+            F.round(F.when(related, F.greatest(F.lit(0.0), 1 - penalty / baseline)).otherwise(0.0), 6).alias("resonance"),
+        ), ["a", "b"],
+    ).select("a", "b", "lca", "penalty", "resonance")
+
+
+def kg_query(edges: DataFrame, containment: DataFrame | TreeLabels, starts: DataFrame, relation: str, limit: int | None = None) -> DataFrame:
+    """(start, node, final_score, rank): neighbours by relation, ranked by 1 + weight · tree closeness; all, or the best ``limit``.
+
+    ``containment``: the edges of the containment forest, or its labels made once for many calls.
+    """
     pick = lambda rel: edges.filter(F.col("rel") == rel)
     if relation in ("calls", "called_by"):
         found = call_graph(pick("CALLS"), starts).filter(F.col("direction") == relation).select("start", "node")
@@ -422,11 +498,14 @@ def kg_query(edges: DataFrame, containment: DataFrame, starts: DataFrame, relati
         near = relation in ("imports", "imported_by", "contains", "contained_by")
         found = find_related(edges, starts, 1 if near else 2).select("start", "node")
     pairs = found.select(F.col("start").alias("a"), F.col("node").alias("b")).distinct()
-    scores = lca_score(tree_paths(containment), pairs).select(F.col("a").alias("start"), F.col("b").alias("node"), "resonance")
+    scores = lca_score(containment, pairs).select(F.col("a").alias("start"), F.col("b").alias("node"), "resonance")
     final = F.round(1 + LCA_WEIGHT * F.coalesce("resonance", F.lit(0.0)), 6)
+    scored = found.join(scores, ["start", "node"], "left").withColumn("final_score", final)
+    if limit is None:
+        ranked = number_in_group(scored.withColumn("_worse", -F.col("final_score")), ["start"], ["_worse", "node"], "rank")
+        return ranked.select("start", "node", "final_score", F.col("rank").cast("int").alias("rank"))
     w = Window.partitionBy("start").orderBy(F.col("final_score").desc(), "node")
-    ranked = found.join(scores, ["start", "node"], "left").withColumn("final_score", final).withColumn("rank", F.row_number().over(w))
-    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select("start", "node", "final_score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("start", "node", "final_score", "rank")
 
 
 def doc_references(edges: DataFrame, sections: DataFrame, targets: DataFrame) -> DataFrame:
@@ -438,25 +517,66 @@ def doc_references(edges: DataFrame, sections: DataFrame, targets: DataFrame) ->
     )
 
 
+def ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node): every start and all it reaches over (src, dst), in rounds that double the distance.
+
+    After round i the nodes up to 2^i - 1 steps away are known, and the pairs exactly 2^i steps
+    apart; both grow by one join each, so a line of n nodes takes about log2(n) rounds. Merges and cycles are fine.
+    """
+    step = cut_lineage(parents.select("src", "dst").filter(F.col("dst").isNotNull()).distinct())
+    seen = cut_lineage(starts.select("start", F.col("start").alias("node")).distinct())
+    known = seen.count()
+    while True:
+        further = seen.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+        grown = cut_lineage(seen.unionByName(further).distinct())
+        before, known = known, grown.count()
+        drop_written(seen)
+        seen = grown
+        if known == before:
+            drop_written(step)
+            return seen
+        far = step.select(F.col("src").alias("_from"), F.col("dst").alias("src")).join(step, "src").select(F.col("_from").alias("src"), "dst").distinct()
+        longer = cut_lineage(far)
+        drop_written(step)
+        step = longer
+
+
 def entities_at_commit(entities: DataFrame, parents: DataFrame, commits: DataFrame) -> DataFrame:
     """(start commit, entity) for entities whose commit is the asked one or an ancestor of it."""
     e = parents.select(F.col("commit").alias("src"), F.col("parent").alias("dst"))
-    closure = hops(e, commits, None).select("start", F.col("node").alias("commit"))
+    closure = ancestors(e, commits).select("start", F.col("node").alias("commit"))
     return entities.join(closure, "commit").select("start", "id", "commit")
 
 
+def callers_at_commit(edges: DataFrame, entities: DataFrame, parents: DataFrame, asked: DataFrame) -> DataFrame:
+    """(start, callee_name, caller, caller_name, commit) of the calls that stood as of a commit.
+
+    ``asked`` holds start (a commit) and callee_name; a call counts when its caller's commit is the asked one or an ancestor
+    of it. ``entities``: id, name, commit; an entity without a commit is no caller.
+    """
+    e = parents.select(F.col("commit").alias("src"), F.col("parent").alias("dst"))
+    closure = ancestors(e, asked.select("start")).select("start", F.col("node").alias("commit"))
+    callees = entities.select(F.col("id").alias("dst"), F.col("name").alias("callee_name")).join(asked.select("callee_name").distinct(), "callee_name", "left_semi")
+    callers = entities.filter(F.col("commit").isNotNull()).select(F.col("id").alias("src"), F.col("name").alias("caller_name"), "commit")
+    calls = edges.select("src", "dst").distinct().join(callees, "dst").join(callers, "src").select("callee_name", F.col("src").alias("caller"), "caller_name", "commit").distinct()
+    return asked.distinct().join(calls, "callee_name").join(closure, ["start", "commit"], "left_semi").select("start", "callee_name", "caller", "caller_name", "commit")
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes reached from any root (one visited set for all roots)."""
     e = edges.select("src", "dst").distinct()
     seen = cut_lineage(roots.select("node").distinct())
-    frontier = seen
+    frontier, rounds = seen, 0
     while True:
+        rounds += 1
         frontier = cut_lineage(
             frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         )
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if rounds % FOLD_ROUNDS == 0:
+            seen = cut_lineage(seen)
 
 
 CONFIDENCE_ORDER = {"low": 1, "medium": 2, "high": 3}
@@ -508,29 +628,119 @@ def import_graph(imports: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.join(own, "module", "left").select("module", "importer", F.coalesce("_own", F.lit(False)).alias("internal"))
 
 
-def cycle_core(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without an edge in or without one out are taken away again and again: all cycles, and what joins them."""
-    core = cut_lineage(edges)
-    left = core.count()
-    while left:
-        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        core = cut_lineage(kept.select("src", "dst"))
-        before, left = left, core.count()
-        if left == before:
+def _contracted(live: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(edges, chains, rings): ``live`` with every node of one edge in and one out taken out of its line.
+
+    Such nodes follow each other in lines from a head to a tail, which are found by doubling the step; an edge
+    from head to tail takes a line's place. chains(node, head, tail); a line without ends is a ring(node, component).
+    """
+    out = live.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("tail")).filter("n = 1").select(F.col("src").alias("node"), "tail")
+    back = live.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("head")).filter("n = 1").select(F.col("dst").alias("node"), "head")
+    line = cut_lineage(out.join(back, "node").withColumn("low", F.col("node")))
+    size = line.count()
+    if not size:
+        return live, None, None
+    for _ in range(size.bit_length() + 1):
+        ahead = line.select(F.col("node").alias("tail"), F.col("tail").alias("_tail"), F.col("low").alias("_low"))
+        behind = line.select(F.col("node").alias("head"), F.col("head").alias("_head"))
+        stepped = line.join(ahead, "tail", "left").join(behind, "head", "left")
+        nxt = cut_lineage(stepped.select("node", F.coalesce("_tail", "tail").alias("tail"), F.coalesce("_head", "head").alias("head"), F.least("low", "_low").alias("low"), F.col("_tail").isNotNull().alias("_open")))
+        open_ = nxt.filter("_open").limit(1).count()
+        drop_written(line)
+        line = nxt.drop("_open")
+        if not open_:
             break
-    return core
+    inner = line.select("node")
+    whole = line.join(inner.select(F.col("node").alias("tail")), "tail", "left_semi")
+    chains = cut_lineage(line.join(inner.select(F.col("node").alias("tail")), "tail", "left_anti").select("node", "head", "tail"))
+    rings = cut_lineage(whole.select("node", F.col("low").alias("component")))
+    rest = live.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti")
+    edges = rest.select("src", "dst").unionByName(chains.filter("head <> tail").select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct()
+    return cut_lineage(edges), chains, rings
+
+
+def _both_ways(live: DataFrame) -> DataFrame:
+    """Edges whose ends have an edge in and one out."""
+    into, out = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
+    return cut_lineage(live.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+
+
+def _coloured(live: DataFrame) -> DataFrame:
+    """(node, colour): the largest node that reaches each node; colours are also taken over from the colour's own node, which shortens long ways."""
+    colours = cut_lineage(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    while True:
+        said = live.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_in"))
+        own = colours.select(F.col("node").alias("colour"), F.col("colour").alias("_far"))
+        best = F.greatest("colour", "_in", "_far")
+        nxt = cut_lineage(colours.join(said, "node", "left").join(own, "colour", "left").select("node", best.alias("colour"), (best > F.col("colour")).alias("_new")))
+        more = nxt.filter("_new").limit(1).count()
+        drop_written(colours)
+        colours = nxt.drop("_new")
+        if not more:
+            return colours
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the strongly connected component of every node of (src, dst), named by its smallest node.
+
+    Lines of nodes with one edge in and one out are replaced by an edge, nodes that no cycle passes are taken away, and of what is left the
+    components are those that reach their colour's largest node and are reached by it; the rest goes on by colour. A node on
+    a replaced line belongs to its ends' component if they share one. Each round is written once.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).filter(F.col("node").isNotNull()).distinct()
+    live = cut_lineage(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+    found, lines = [], []
+    while True:
+        size = live.count()
+        while size:
+            live, chains, rings = _contracted(live)
+            if chains is not None:
+                lines.append(chains)
+                found.append(rings)
+            live = _both_ways(live)
+            before, size = size, live.count()
+            if size == before:
+                break
+        if not size:
+            break
+        colours = _coloured(live)
+        pair = live.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("_to")), "dst")
+        within = cut_lineage(pair.filter(F.col("colour") == F.col("_to")).select("src", "dst", "colour"))
+        roots = colours.filter(F.col("node") == F.col("colour")).select("node")
+        back = reachable(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
+        own = cut_lineage(back.join(colours, "node").select("node", F.col("colour").alias("component")))
+        found.append(own)
+        gone = own.select("node")
+        live = cut_lineage(within.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    none = nodes.select("node", F.col("node").alias("component")).limit(0)
+    named = cut_lineage(nodes.join(reduce(DataFrame.unionByName, found, none), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    for chains in reversed(lines):
+        head = named.select(F.col("node").alias("head"), F.col("component").alias("_head"))
+        tail = named.select(F.col("node").alias("tail"), F.col("component").alias("_tail"))
+        joined = chains.join(head, "head").join(tail, "tail").filter(F.col("_head") == F.col("_tail")).select("node", F.col("_head").alias("_line"))
+        named = cut_lineage(named.join(joined, "node", "left").select("node", F.coalesce("_line", "component").alias("component")))
+    smallest = named.groupBy("component").agg(F.min("node").alias("_least"))
+    return named.join(smallest, "component").select("node", F.col("_least").alias("component"))
+
+
+def within_components(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst) whose ends are in one strongly connected component: the edges that cycles pass, loops included."""
+    named = strong_components(edges)
+    e = edges.select("src", "dst").distinct()
+    src, dst = named.select(F.col("node").alias("src"), F.col("component").alias("_src")), named.select(F.col("node").alias("dst"), F.col("component").alias("_dst"))
+    return e.join(src, "src").join(dst, "dst").filter(F.col("_src") == F.col("_dst")).select("src", "dst")
 
 
 def cycles(edges: DataFrame, max_length: int | None = None, self_loops: bool = True) -> DataFrame:
     """(cycle, length): every simple cycle, or those up to a length, starting at its smallest node.
 
-    Walks stay in the core that cycles can pass and only visit nodes larger than their
+    Walks stay in their strongly connected component and only visit nodes larger than their
     start, so each cycle is found once and no rotation has to be removed. A dense
-    core has very many simple cycles; ``max_length`` is for such graphs.
+    component has very many simple cycles; ``max_length`` is for such graphs.
     """
-    e = edges.select("src", "dst").distinct()
+    e = cut_lineage(within_components(edges))
     loops = e.filter(F.col("src") == F.col("dst")).select(F.array("src").alias("path"))
-    e = cycle_core(e.filter(F.col("src") != F.col("dst")))
+    e = e.filter(F.col("src") != F.col("dst"))
     open_ = cut_lineage(e.filter(F.col("src") < F.col("dst")).select(F.col("src").alias("first"), F.array("src", "dst").alias("path"), F.col("dst").alias("node")))
     found = [loops] if self_loops else []
     for _ in count_up(2) if max_length is None else range(2, max_length + 1):
@@ -592,7 +802,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_per_ki
 
 
 def module_graph(files: DataFrame, imports: DataFrame, smells: DataFrame, min_group: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of a dependency view: directory group and worst severity per file; import count and mutual flag per link."""
+    """(nodes, links) of a dependency view: directory group and worst severity per file; import count, mutual and circular flag per link (part of a cycle of any length)."""
     rank = F.when(F.col("severity") == "error", 3).when(F.col("severity") == "warning", 2).otherwise(1)
     worst = smells.groupBy("file_path").agg(F.max(rank).alias("_w"))
     folder = F.when(F.contains("file_path", F.lit("/")), F.regexp_replace("file_path", "/[^/]*$", "")).otherwise(F.lit("root"))
@@ -604,5 +814,8 @@ def module_graph(files: DataFrame, imports: DataFrame, smells: DataFrame, min_gr
     )
     links = imports.groupBy("src", "dst").agg(F.count("*").alias("coupling"))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("_back"))
-    links = links.join(back, ["src", "dst"], "left").select("src", "dst", "coupling", F.coalesce("_back", F.lit(False)).alias("mutual"))
+    round_ = within_components(links).withColumn("_round", F.lit(True))
+    links = links.join(back, ["src", "dst"], "left").join(round_, ["src", "dst"], "left").select(
+        "src", "dst", "coupling", F.coalesce("_back", F.lit(False)).alias("mutual"), F.coalesce("_round", F.lit(False)).alias("circular")
+    )
     return nodes, links

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,11 @@ from pyspark.sql.window import Window
 from siftwell.functions import text as tx
 from siftwell.runtime import cut_lineage, number_in_group
 
+# Chunks of a bucket of the block layout, asked (query, term) rows that travel to every task, and buckets from which a first pass sets the bar.
+BUCKET_CHUNKS = 4096
+MAX_ASKED_ROWS = 2_000_000
+SEED_BUCKETS = 64
+
 # Okapi constants.
 K1 = 1.5
 B = 0.75
@@ -57,25 +65,34 @@ def bm25_index(docs: DataFrame, doc_id: str = "chunk_id", text: str = "doc_text"
     the postings once (checkpoint), as they are read by several later steps.
     """
     base = docs.select(F.col(doc_id).alias("chunk_id"), F.col(text).alias("doc_text"))
-    by_chunk = Window.partitionBy("chunk_id")
-    postings = tx.token_counts(base, "chunk_id", "doc_text").withColumn("dl", F.sum("tf").over(by_chunk))
+    postings = chunk_postings(base)
     if materialize:
         postings = cut_lineage(postings)
-    n = base.agg(F.count("*")).scalar()
-    raw = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("n", n)
+    counts = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return Bm25Index(postings, term_facts(counts, base.agg(F.count("*")).scalar(), materialize))
+
+
+def chunk_postings(docs: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl) of (chunk_id, doc_text); dl is the number of all tokens of the chunk."""
+    by_chunk = Window.partitionBy("chunk_id")
+    return tx.token_counts(docs, "chunk_id", "doc_text").withColumn("dl", F.sum("tf").over(by_chunk))
+
+
+def term_facts(counts: DataFrame, n: Column | int, materialize: bool = True) -> DataFrame:
+    """(term, df, idf, avgdl) from counts(term, df, cf) over ``n`` chunks; a negative idf becomes a share of the mean."""
+    raw = counts.withColumn("n", n if isinstance(n, Column) else F.lit(n))
     raw = raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     if materialize:
         raw = cut_lineage(raw)
     facts = raw.agg(
         F.struct((F.avg("raw_idf") * NEGATIVE_IDF_SHARE).alias("floor"), (F.sum("cf") / F.max("n")).alias("avgdl"))
     ).scalar()
-    terms = raw.withColumn("_facts", facts).select(
+    return raw.withColumn("_facts", facts).select(
         "term",
         "df",
         F.when(F.col("raw_idf") < 0, F.col("_facts.floor")).otherwise(F.col("raw_idf")).alias("idf"),
         F.col("_facts.avgdl").alias("avgdl"),
     )
-    return Bm25Index(postings, terms)
 
 
 def query_terms(queries: DataFrame, text: str = "text", query_id: str = "query_id") -> DataFrame:
@@ -98,9 +115,204 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, text: str = "text", query_
     )
 
 
-def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 10, text: str = "text", query_id: str = "query_id") -> DataFrame:
-    """Top ``k`` chunks per query: query_id, chunk_id, score, rank, similarity = min(1, score / 10)."""
-    ranked = assign_rank(bm25_scores(index, queries, text, query_id), k)
+@dataclass(frozen=True)
+class Bm25Blocks:
+    """Postings by bucket of chunks, with score bounds: lists(bucket, term, top, slots, weights, ids).
+
+    A row holds one term's postings within one bucket: the places of the chunks in
+    it, their weights, and ``top``, the highest of them. The row without a term holds
+    the bucket's chunk ids in order, so ``slots`` count them. terms(term, idf) is that of the index.
+    """
+
+    lists: DataFrame
+    terms: DataFrame
+    buckets: int
+
+    def write(self, path: str) -> None:
+        """Lists sorted by term within files of whole buckets, so that a batch of queries reads few row groups."""
+        self.lists.repartition("bucket").sortWithinPartitions("term", "bucket").write.mode("overwrite").parquet(f"{path}/lists")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> "Bm25Blocks":
+        lists = spark.read.parquet(f"{path}/lists")
+        return Bm25Blocks(lists, spark.read.parquet(f"{path}/terms"), lists.filter("term IS NULL").count())
+
+
+def bm25_blocks(index: Bm25Index, chunks_per_bucket: int = BUCKET_CHUNKS, materialize: bool = True) -> Bm25Blocks:
+    """The block layout of an index: one shuffle of its postings, by bucket of the chunk id's hash."""
+    chunks = index.postings.agg(F.count_distinct("chunk_id")).first()[0]
+    buckets = max(1, -(-chunks // chunks_per_bucket))
+    avgdl = index.terms.agg(F.max("avgdl")).scalar()
+    norm = 1 - B + B * F.col("dl") / F.col("_avgdl")
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
+    placed = index.postings.withColumn("_avgdl", avgdl).select(
+        F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int").alias("bucket"), "chunk_id", "term", weight.alias("weight")
+    )
+    id_type = dict(index.postings.dtypes)["chunk_id"]
+    schema = f"bucket int, term string, top double, slots array<int>, weights array<double>, ids array<{id_type}>"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            ids = rows.column("chunk_id").combine_chunks().dictionary_encode()
+            terms = rows.column("term").combine_chunks().dictionary_encode()
+            slot, term = ids.indices.to_numpy(), terms.indices.to_numpy()
+            order = np.lexsort((slot, term))
+            edges = np.flatnonzero(np.diff(term[order], prepend=-1)).tolist()
+            weights = rows.column("weight").to_numpy()[order]
+            offsets = pa.array([*edges, len(order)], pa.int32())
+            n = len(edges)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, bucket), pa.int32()), terms.dictionary.take(pa.array(term[order][edges], pa.int32())),
+                    pa.array(np.maximum.reduceat(weights, edges)), pa.ListArray.from_arrays(offsets, pa.array(slot[order], pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(weights)), pa.nulls(n, pa.list_(ids.dictionary.type)),
+                ],
+                names,
+            )
+            own = pa.ListArray.from_arrays(pa.array([0, len(ids.dictionary)], pa.int32()), ids.dictionary)
+            none = [pa.nulls(1, t) for t in (pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *none, own], names)
+
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    lists = placed.repartition("bucket").sortWithinPartitions("bucket", "chunk_id").mapInArrow(pack, schema)
+    return Bm25Blocks(cut_lineage(lists) if materialize else lists, index.terms, buckets)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(bucket, rows) of a stream sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        buckets = batch.column("bucket").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                if held and held[0].column("bucket")[0].as_py() != buckets[a]:
+                    yield held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held)
+
+
+class _Asked:
+    """A batch of queries as arrays: for each term the queries that ask it and with what weight."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        queries = rows.column("query_id").combine_chunks().dictionary_encode()
+        terms = rows.column("term").combine_chunks().dictionary_encode()
+        self.queries, self.terms = queries.dictionary, terms.dictionary
+        order = np.argsort(terms.indices.to_numpy(), kind="stable")
+        self.query, self.weight = queries.indices.to_numpy()[order], rows.column("weight").to_numpy()[order]
+        self.starts = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(self.terms) + 1))
+
+
+def score_bucket(asked: _Asked, term: np.ndarray, top: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], size: int, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, slot, score) of the best ``k`` of one bucket for each query, and how many queries were scored.
+
+    ``term`` numbers the bucket's ``lists`` in ``asked``. A query whose terms' highest
+    weights add up to less than its ``bar``, the score of its k-th best hit so far, is passed over. ``bar`` is raised.
+    """
+    sizes = asked.starts[term + 1] - asked.starts[term]
+    at = np.arange(sizes.sum()) + np.repeat(asked.starts[term] - np.cumsum(sizes) + sizes, sizes)
+    which, query, weight = np.repeat(np.arange(len(term)), sizes), asked.query[at], asked.weight[at]
+    bound = np.bincount(query, np.maximum(weight * top[which], 0), len(bar)) if len(query) else np.zeros(len(bar))
+    wanted = (bound > 0) & (bound + 1e-5 >= bar)
+    keep = wanted[query]
+    order = np.argsort(query[keep], kind="stable")
+    which, query, weight = which[keep][order], query[keep][order], weight[keep][order]
+    edges = np.flatnonzero(np.diff(query, prepend=-1)).tolist()
+    out: list[tuple] = []
+    for a, b in zip(edges, [*edges[1:], len(query)], strict=True):
+        slots = np.concatenate([lists[i][0] for i in which[a:b]])
+        parts = np.concatenate([lists[i][1] * w for i, w in zip(which[a:b], weight[a:b], strict=True)])
+        scores = np.round(np.bincount(slots, parts, size), 6)
+        q = query[a]
+        hits = np.flatnonzero((scores > 0) & (scores >= bar[q]))
+        if len(hits) > k:
+            hits = hits[scores[hits] >= np.partition(scores[hits], len(hits) - k)[len(hits) - k]]
+        best = hits[np.lexsort((hits, -scores[hits]))][:k]
+        if len(best) == k:
+            bar[q] = max(bar[q], scores[best[-1]])
+        out.append((np.full(len(best), q), best, scores[best]))
+    found = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return found[0], found[1], found[2], len(edges)
+
+
+def _block_hits(lists: DataFrame, asked: object, bars: object, k: int, query_type: str) -> DataFrame:
+    """The best ``k`` of every bucket for each query, as far as they can reach its bar."""
+    id_type = lists.schema["ids"].dataType.elementType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bar = _Asked(asked.value), bars.value.copy()
+        number = {t: i for i, t in enumerate(own.terms.to_pylist())}
+        for _, rows in _by_bucket(batches):
+            rows = rows.combine_chunks()
+            known = rows.filter(rows.column("term").is_valid())
+            ids = rows.filter(rows.column("term").is_null()).column("ids")
+            if not len(ids) or not len(known):
+                continue
+            ids = ids[0].values
+            term = np.array([number[t] for t in known.column("term").to_pylist()], np.int64)
+            slots, weights = (known.column(c).combine_chunks() for c in ("slots", "weights"))
+            lists_ = [(s.values.to_numpy(), w.values.to_numpy()) for s, w in zip(slots, weights, strict=True)]
+            query, slot, value, _ = score_bucket(own, term, known.column("top").to_numpy(), lists_, len(ids), k, bar)
+            yield pa.RecordBatch.from_arrays([own.queries.take(pa.array(query)), ids.take(pa.array(slot)), pa.array(value, pa.float64())], ["query_id", "chunk_id", "score"])
+
+    laid = lists.repartition("bucket").sortWithinPartitions("bucket")
+    return laid.mapInArrow(score, f"query_id {query_type}, chunk_id {id_type}, score double")
+
+
+def block_search(blocks: Bm25Blocks, queries: DataFrame, k: int = 10, text: str = "text", query_id: str = "query_id") -> DataFrame | None:
+    """Exact top ``k`` (query_id, chunk_id, score, rank) by the block layout, or None if the batch asks too many terms to travel.
+
+    Only the lists of asked terms move, to their bucket; scores are added up there and only k hits a query and bucket
+    leave. A query passes over a bucket whose bound stays below its k-th best score so far. With many buckets, those of the highest
+    bound of each query are scored first, on their own, and set the bar for all tasks.
+    """
+    spark = queries.sparkSession
+    asked = query_terms(queries, text, query_id).join(blocks.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    head = asked.limit(MAX_ASKED_ROWS + 1).toArrow()
+    if head.num_rows > MAX_ASKED_ROWS:
+        return None
+    sent = spark.sparkContext.broadcast(head)
+    query_type = dict(asked.dtypes)["query_id"]
+    known = _Asked(head) if head.num_rows else None
+    queries_ = known.queries.to_pylist() if known else []
+    bar = np.zeros(len(queries_))
+    terms = spark.createDataFrame([(t,) for t in known.terms.to_pylist()] if known else [], "term string")
+    lists = blocks.lists.join(F.broadcast(terms), "term", "left_semi").unionByName(blocks.lists.filter("term IS NULL"))
+    if blocks.buckets > SEED_BUCKETS and known:
+        weights = spark.createDataFrame(head.to_pandas(), asked.schema)
+        bounds = blocks.lists.select("bucket", "term", "top").join(F.broadcast(weights), "term").groupBy("query_id", "bucket").agg(F.sum(F.greatest(F.col("weight") * F.col("top"), F.lit(0.0))).alias("bound"))
+        best = bounds.groupBy("query_id").agg(F.max_by("bucket", F.struct("bound", "bucket")).alias("bucket")).select("bucket").distinct()
+        first = _block_hits(lists.join(F.broadcast(best), "bucket", "left_semi"), sent, spark.sparkContext.broadcast(bar.copy()), k, query_type)
+        kth = assign_rank(first, k).filter(F.col("rank") == k).select("query_id", "score").collect()
+        number = {q: i for i, q in enumerate(queries_)}
+        for row in kth:
+            bar[number[row.query_id]] = row.score
+    return assign_rank(_block_hits(lists, sent, spark.sparkContext.broadcast(bar), k, query_type), k)
+
+
+def bm25_search(index: Bm25Index | Bm25Blocks, queries: DataFrame, k: int = 10, text: str = "text", query_id: str = "query_id", allowed: DataFrame | None = None) -> DataFrame:
+    """Top ``k`` chunks per query: query_id, chunk_id, score, rank, similarity = min(1, score / 10).
+
+    An index is laid out in blocks first; pass ``Bm25Blocks`` to search one that is stored. ``allowed`` (chunk_id) narrows the
+    postings of an index before anything is scored.
+    """
+    if isinstance(index, Bm25Index):
+        if allowed is not None:
+            index = Bm25Index(index.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), index.terms)
+        blocks = bm25_blocks(index)
+    else:
+        if allowed is not None:
+            raise ValueError("a narrowed search needs the index itself")
+        blocks = index
+    ranked = block_search(blocks, queries, k, text, query_id)
+    if ranked is None:
+        if not isinstance(index, Bm25Index):
+            raise ValueError("the batch asks too many terms for a stored layout: pass the index")
+        ranked = assign_rank(bm25_scores(index, queries, text, query_id), k)
     return ranked.withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("score") / 10), 7))
 
 

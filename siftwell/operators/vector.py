@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -188,26 +189,174 @@ def similarity_threshold(hits: DataFrame, threshold: float | Column, distance: s
     return hits.withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
 
 
-def semantic_links(vectors: DataFrame, n: int = 5, threshold: float = 0.3, id_col: str = "chunk_id", vec_col: str = "vector") -> DataFrame:
+# Rows from which the centres of exact cells are learned (they decide how much is skipped, never what is found), and rows of a cell aimed at.
+CENTRE_ROWS, CELL_ROWS = 16_384, 2048
+# What rounding of a cosine to six places can hide.
+SLACK = 2e-6
+
+
+def _centres(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """Centres of unit vectors by a few rounds of Lloyd's algorithm."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), cells, replace=False)]
+    for _ in range(rounds):
+        nearest = np.argmax(sample @ centres.T - 0.5 * (centres * centres).sum(axis=1), axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, sample)
+        held = np.bincount(nearest, minlength=cells)
+        centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centres)
+    return centres
+
+
+def _distances(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    square = (m * m).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * (m @ centres.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def metric_cells(vectors: DataFrame, id_col: str, vec_col: str, cells: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(placed, centres): (id, vec, cell, away) of every vector, written, with its nearest centre and the distance to it.
+
+    Centres are learned on about CENTRE_ROWS vectors, by default one for CELL_ROWS of all.
+    """
+    total = vectors.count()
+    base = vectors.select(id_col, F.col(vec_col).alias("vec"))
+    share = min(1.0, CENTRE_ROWS / max(total, 1))
+    sample = base.sample(share, 7).select("vec").limit(2 * CENTRE_ROWS).toArrow() if share < 1 else base.select("vec").toArrow()
+    m = _matrix(sample["vec"])
+    wanted = max(1, total // CELL_ROWS) if cells is None else cells
+    centres = _centres(m, max(1, min(wanted, len(m) // 4))) if len(m) else np.zeros((1, 1))
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                away = _distances(_matrix(pa.chunked_array([batch.column("vec")])), shared.value)
+                cell = np.argmin(away, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(away[np.arange(len(cell)), cell])], [id_col, "vec", "cell", "away"])
+
+    kind = base.schema["vec"].dataType.simpleString()
+    return cut_lineage(base.mapInArrow(place, f"{id_col} {dict(base.dtypes)[id_col]}, vec {kind}, cell int, away double")), centres
+
+
+def cell_asks(placed: DataFrame, bars: DataFrame, centres: np.ndarray, radii: dict[int, tuple[float, float]], id_col: str) -> DataFrame:
+    """(query_id, qvec, cell, bar, away): the other cells that can hold a vector as near as a query's k-th best so far.
+
+    By the triangle inequality no vector of a cell is nearer than the distance to its centre less the cell's radius, nor than the
+    centre's least distance less that to the centre; cells beyond the ``bar`` (a cosine) of bars(query_id, bar) are left out.
+    """
+    edges = np.full((len(centres), 2), np.nan)
+    for cell, between in radii.items():
+        edges[cell] = between
+    shared = placed.sparkSession.sparkContext.broadcast((centres, edges))
+    rows = placed.select(F.col(id_col).alias("query_id"), F.col("vec").alias("qvec"), "cell").join(bars, "query_id", "left")
+    kind = rows.schema["qvec"].dataType.simpleString()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle, (near, far) = shared.value[0], shared.value[1].T
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bar = batch.column("bar").fill_null(-1.0).to_numpy(zero_copy_only=False)
+            reach = np.sqrt(np.maximum(2 - 2 * (bar - SLACK), 0))[:, None] + 1e-9
+            away = _distances(_matrix(pa.chunked_array([batch.column("qvec")])), middle)
+            wanted = (away - far <= reach) & (near - away <= reach)
+            wanted[np.arange(len(bar)), batch.column("cell").to_numpy()] = False
+            at, cell = np.nonzero(wanted)
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id").take(taken), batch.column("qvec").take(taken), pa.array(cell, pa.int32()), pa.array(bar[at]), pa.array(away[at, cell])],
+                ["query_id", "qvec", "cell", "bar", "away"],
+            )
+
+    return rows.mapInArrow(ask, f"query_id {dict(placed.dtypes)[id_col]}, qvec {kind}, cell int, bar double, away double")
+
+
+def _split_cells(rows: DataFrame, id_col: str, block_rows: int, part: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the number of a part of their cell, at most about ``block_rows`` each, and (cell, parts)."""
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(f"{part}s"))
+    return rows.join(F.broadcast(parts), "cell").withColumn(part, F.pmod(F.xxhash64(id_col), F.col(f"{part}s")).cast("int")).drop(f"{part}s"), parts
+
+
+def _cell_hits(asks: DataFrame, placed: DataFrame, id_col: str, k: int, schema: str, not_self: bool, block_rows: int) -> DataFrame:
+    """(query_id, id, cosine): the best ``k`` of each block for the queries that ask its cell, no worse than their bars; both sides of a large cell are split."""
+    right, parts = _split_cells(placed.select(id_col, "vec", "cell", "away"), id_col, block_rows, "_part")
+    left, asked = _split_cells(asks.select("query_id", "qvec", "cell", "bar", F.col("away").alias("_far")), "query_id", block_rows, "_ask")
+    left = left.join(F.broadcast(parts), "cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    right = right.join(F.broadcast(asked), "cell").withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).drop("_asks")
+    left = left.select(*(F.col(c).alias(c) for c in left.columns))  # both sides may come from one table
+    names = ["query_id", id_col, "cosine"]
+
+    def product(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        if not lt.num_rows or not rt.num_rows:
+            return pa.table([lt["query_id"].slice(0, 0), rt[id_col].slice(0, 0), pa.array([], pa.float64())], names=names)
+        order = np.argsort(rt["away"].to_numpy(), kind="stable")
+        rt = rt.take(pa.array(order))
+        cid, cm, away = rt[id_col].to_numpy(), _matrix(rt["vec"]), rt["away"].to_numpy()
+        qid, qm, bar, far = lt["query_id"].to_numpy(), _matrix(lt["qvec"]), lt["bar"].to_numpy(), lt["_far"].to_numpy()
+        reach = np.sqrt(np.maximum(2 - 2 * (bar - SLACK), 0)) + 1e-9
+        first, last = np.searchsorted(away, far - reach), np.searchsorted(away, far + reach, "right")
+        out = []
+        tile = max(1, TILE_CELLS // max(1, len(cid)))
+        for start in range(0, len(qid), tile):
+            end = min(start + tile, len(qid))
+            a, b = int(first[start:end].min()), int(last[start:end].max())
+            if a >= b:
+                continue
+            sims = np.round(qm[start:end] @ cm[a:b].T, 6)
+            tie = _order_of(cid[a:b])
+            for i, row in enumerate(sims, start):
+                if not_self:
+                    row = np.where(cid[a:b] == qid[i], -np.inf, row)
+                row = np.where(row >= bar[i], row, -np.inf)
+                top = _top_k(row, tie, k)
+                top = top[np.isfinite(row[top])]
+                out.append((np.repeat(i, len(top)), a + top, row[top]))
+        q, c, v = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([pa.array(qid[q], lt["query_id"].type), pa.array(cid[c], rt[id_col].type), pa.array(v)], names=names)
+
+    keys = ["cell", "_part", "_ask"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, schema)
+
+
+def metric_top_k(vectors: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "vector", not_self: bool = True, cells: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top ``k`` by cosine of every vector against all: query_id, id, distance, similarity, rank.
+
+    Vectors are dealt to cells. Each is first compared within its own, which gives it a k-th best; then it
+    visits only the cells, and of their vectors only those, that the triangle inequality does not rule out. A cell of any size is split on both sides.
+    """
+    placed, centres = metric_cells(vectors, id_col, vec_col, cells)
+    schema = _types(vectors, id_col, vectors, id_col)
+    home = placed.select(F.col(id_col).alias("query_id"), F.col("vec").alias("qvec"), "cell", F.lit(-2.0).alias("bar"), "away")
+    own = cut_lineage(_cell_hits(home, placed, id_col, k, schema, not_self, block_rows))
+    kth = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), id_col)
+    bars = own.withColumn("_r", F.row_number().over(kth)).filter(F.col("_r") <= k).groupBy("query_id").agg(
+        F.when(F.count("*") == k, F.min("cosine")).otherwise(F.lit(-1.0)).alias("bar")
+    )
+    radii = {r.cell: (r.near, r.far) for r in placed.groupBy("cell").agg(F.min("away").alias("near"), F.max("away").alias("far")).collect()}
+    if len(radii) < 2:
+        return _ranked(own, id_col, k)
+    asks = cell_asks(placed, bars, centres, radii, id_col)
+    return _ranked(own.unionByName(_cell_hits(cut_lineage(asks), placed, id_col, k, schema, not_self, block_rows)), id_col, k)
+
+
+def semantic_links(vectors: DataFrame, n: int = 5, threshold: float = 0.3, id_col: str = "chunk_id", vec_col: str = "vector", cells: int | None = None) -> DataFrame:
     """Up to ``n`` other chunks per chunk with similarity of at least ``threshold``."""
-    hits = knn_exact(vectors, vectors, n, id_col, vec_col, id_col, vec_col, not_self=True)
+    hits = metric_top_k(vectors, n, id_col, vec_col, True, cells)
     return hits.filter(F.col("similarity") >= threshold).select(
         F.col("query_id").alias("source"), F.col(id_col).alias("target"), "similarity", "rank"
     )
 
 
 def ann_cells(n: int) -> int:
-    """Number of cells for n vectors; 0 below 4096 rows (exact search is used instead)."""
-    if n < 4096:
-        return 0
-    return max(1, min(min(512, max(16, int(n**0.5))), n // 4096 or 1, n // 10))
+    """Number of cells for n vectors: about their root, ten vectors a cell at least, 512 at most."""
+    return max(1, min(512, int(n**0.5), n // 10))
 
 
 def ann_index(vectors: DataFrame, cells: int | None = None, id_col: str = "chunk_id", vec_col: str = "vector", seed: int = 7, rows_per_cell: int | None = 512) -> tuple[DataFrame, DataFrame]:
     """(assigned, centroids): every vector with its cell, and the cell centres.
 
     Only the centres are trained on a share of the rows, about ``rows_per_cell`` for each
-    cell (None: all rows); the assignment covers all of them. Write ``assigned`` with ``partitionBy("cell")``.
+    cell (None: all rows); the assignment covers all of them. ``quantised`` makes a stored index of both.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -229,6 +378,81 @@ def ann_index(vectors: DataFrame, cells: int | None = None, id_col: str = "chunk
     return assigned, centres
 
 
+def ann_assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "chunk_id", vec_col: str = "vector") -> DataFrame:
+    """(id, vec, cell) by given centres: the cell of the highest cosine, of equal ones the first."""
+    near = knn_exact(centroids, vectors, 1, "cell", "centroid", id_col, vec_col).select(F.col("query_id").alias(id_col), "cell")
+    return vectors.select(id_col, vec_col).join(near, id_col)
+
+
+@dataclass(frozen=True)
+class QuantisedIndex:
+    """codes(id, cell, code): one signed byte a dimension; cells(cell, centroid, scale); vectors(id, vec) for the last step."""
+
+    codes: DataFrame
+    cells: DataFrame
+    vectors: DataFrame
+    id_col: str
+    vec_col: str
+
+    def write(self, path: str) -> None:
+        """Codes in a folder per cell, so that a search reads only the cells it probes."""
+        self.codes.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/codes")
+        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, id_col: str = "chunk_id", vec_col: str = "vector") -> "QuantisedIndex":
+        return QuantisedIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("codes", "cells", "vectors")), id_col, vec_col)
+
+
+def quantised(assigned: DataFrame, centroids: DataFrame, id_col: str = "chunk_id", vec_col: str = "vector") -> QuantisedIndex:
+    """Codes of ``assigned`` vectors: what is left of the unit vector beside its centre, in 127 steps either way of the cell's largest part."""
+    centres = centroids.select("cell", F.col("centroid").cast("array<double>").alias("centroid"))
+    left = assigned.select(id_col, "cell", _unit(F.col(vec_col)).alias("_u")).join(F.broadcast(centres), "cell").select(
+        id_col, "cell", F.zip_with("_u", "centroid", lambda x, c: x - c).alias("_left")
+    )
+    largest = left.groupBy("cell").agg(F.max(F.array_max(F.transform("_left", lambda x: F.abs(x)))).alias("_most"))
+    cells = centres.join(largest, "cell", "left").select("cell", "centroid", (F.coalesce("_most", F.lit(0.0)) / 127).alias("scale"))
+    steps = F.transform("_left", lambda x: F.when(F.col("scale") == 0, F.lit(0)).otherwise(F.round(x / F.col("scale"))).cast("tinyint"))
+    codes = left.join(F.broadcast(cells.select("cell", "scale")), "cell").select(id_col, "cell", steps.alias("code"))
+    return QuantisedIndex(codes, cells, assigned.select(id_col, vec_col), id_col, vec_col)
+
+
+def quantised_search(index: QuantisedIndex, queries: DataFrame, k: int = 10, nprobe: int = 20, refine: int = 5, query_id: str = "query_id", query_vec: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Top ``k`` of the ``nprobe`` nearest cells: their codes are scanned, and the best ``refine`` times k of each query are scored by their vectors.
+
+    Queries join the codes by cell, so that of codes stored by cell only the probed ones are read; no cell or group of queries is held whole
+    beyond ``block_rows`` a side.
+    """
+    id_col, vec_col = index.id_col, index.vec_col
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qvec"))
+    probes = knn_exact(index.cells, asked, nprobe, "cell", "centroid", "query_id", "qvec").select("query_id", "cell")
+    probes = cut_lineage(asked.join(probes, "query_id"))
+    wanted = probes.select("cell").distinct()
+    right, parts = _split_cells(index.codes.join(F.broadcast(wanted), "cell"), id_col, block_rows, "_part")
+    left, asks = _split_cells(probes.select("query_id", "qvec", "cell"), "query_id", block_rows, "_ask")
+    left = left.join(F.broadcast(parts), "cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    left = left.join(F.broadcast(index.cells), "cell")
+    right = right.join(F.broadcast(asks), "cell").withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).drop("_asks")
+    names = ["query_id", id_col, "cosine"]
+
+    def scan(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        if not lt.num_rows or not rt.num_rows:
+            return pa.table([lt["query_id"].slice(0, 0), rt[id_col].slice(0, 0), pa.array([], pa.float64())], names=names)
+        centre = np.array(lt["centroid"][0].as_py(), np.float32)
+        code = rt["code"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rt.num_rows, -1).astype(np.float32)
+        near = centre + code * np.float32(lt["scale"][0].as_py())
+        q, c, v = _block_product(lt["query_id"].to_numpy(), _matrix(lt["qvec"]).astype(np.float32), rt[id_col].to_numpy(), near, k * refine, False)
+        return pa.table([pa.array(q, lt["query_id"].type), pa.array(c, rt[id_col].type), pa.array(v.astype(np.float64))], names=names)
+
+    keys = ["cell", "_part", "_ask"]
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, {id_col} {dict(index.codes.dtypes)[id_col]}, cosine double"
+    rough = _ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, schema), id_col, k * refine)
+    pairs = rough.select("query_id", id_col).join(index.vectors.select(id_col, _unit(F.col(vec_col)).alias("_u")), id_col).join(asked.select("query_id", _unit(F.col("qvec")).alias("_q")), "query_id")
+    cosine = F.round(F.aggregate(F.zip_with("_u", "_q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6)
+    return _ranked(pairs.select("query_id", id_col, cosine.alias("cosine")), id_col, k)
+
+
 def _unit(vec: Column) -> Column:
     dbl = vec.cast("array<double>")
     norm = F.sqrt(F.aggregate(dbl, F.lit(0.0), lambda a, x: a + x * x))

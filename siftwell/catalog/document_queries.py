@@ -6,7 +6,8 @@ from siftwell.catalog import standins as st
 from siftwell.catalog.graph_queries import entities
 from siftwell.catalog.metric_queries import PAGE_PATHS, page_paths
 from siftwell.catalog.registry import query
-from siftwell.operators import audit, chunking, documents, lexical, predicates
+from siftwell.functions import text as tx
+from siftwell.operators import audit, chunking, documents, lexical, predicates, vector
 
 # ------------------------------------------------------------------ text structure
 
@@ -58,7 +59,7 @@ ENT_SQL = r"""SELECT doc_id, 'terms' AS kind, unnest(list_concat(list_concat(lis
 
 @query(
     "extract_entities",
-    f"WITH {st.MARKDOWN}, ws AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS lw FROM md WHERE len(trim(text)) >= 10) "
+    f"WITH {st.MARKDOWN}, ws AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS lw FROM md) "
     + ENT_SQL.replace("[STOP]", "[" + ", ".join(f"'{w}'" for w in documents.STOP_WORDS) + "]"),
 )
 def extract_entities(spark, d):
@@ -70,7 +71,7 @@ def extract_entities(spark, d):
 
 @query(
     "contextual_text",
-    f"""WITH {st.CHUNKS} SELECT chunk_id, 'File: ' || lang || '/' || doc_id || '.md | Lang: ' || lang || ' | Class: ' || source || ' | Uses: a.b, ' || lang || ' | Desc: ' || CASE WHEN len(trim(content)) > 200 THEN rtrim(substr(trim(content), 1, 200)) || '...' ELSE trim(content) END || chr(10) || '---' || chr(10) || content AS text FROM chunks""",
+    f"""WITH {st.CHUNKS} SELECT chunk_id, 'File: ' || lang || '/' || doc_id || '.md | Lang: ' || lang || ' | Class: ' || source || ' | Uses: a.b, ' || lang || ' | Desc: ' || trim(content) || chr(10) || '---' || chr(10) || content AS text FROM chunks""",
 )
 def contextual_text(spark, d):
     c = chunking.contextual_text(
@@ -88,7 +89,22 @@ def bracket_text(spark, d):
     return st.chunks(spark, d).select("chunk_id", c.alias("text"))
 
 
-@query("chunk_paragraphs")
+@query(
+    "chunk_paragraphs",
+    f"""WITH RECURSIVE {st.FILES}, t AS (SELECT file_path, string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)) AS ls FROM files), big AS (SELECT file_path, ls FROM t),
+    ln AS (SELECT file_path, unnest(ls) AS row, generate_subscripts(ls, 1) AS line FROM big), f AS (SELECT *, line - row_number() OVER (PARTITION BY file_path ORDER BY line) AS island FROM ln WHERE regexp_matches(row, '\\S')),
+    p AS (SELECT file_path, min(line)::INT AS s, max(line)::INT AS e, string_agg(row, chr(10) ORDER BY line) || chr(10) AS body FROM f GROUP BY file_path, island),
+    has AS (SELECT file_path, list_max(list_transform(regexp_split_to_array(array_to_string(ls, chr(10)), '\\n[ \\t]*\\n'), lambda x: len(trim(x)))) > {chunking.MIN_PARAGRAPH} AS has FROM big),
+    n AS (SELECT p.*, row_number() OVER (PARTITION BY file_path ORDER BY s) AS k FROM p JOIN has USING (file_path) WHERE has),
+    m AS (SELECT file_path, k, body AS content, s, e FROM n WHERE k = 1
+      UNION ALL SELECT n.file_path, n.k, CASE WHEN len(content) + len(body) < {chunking.MERGE_LIMIT} THEN content || chr(10) || body ELSE body END, CASE WHEN len(content) + len(body) < {chunking.MERGE_LIMIT} THEN m.s ELSE n.s END, n.e
+      FROM m JOIN n ON n.file_path = m.file_path AND n.k = m.k + 1),
+    c AS (SELECT *, lead(s) OVER (PARTITION BY file_path ORDER BY k) AS later FROM m),
+    w AS (SELECT t.file_path, ls, unnest(generate_series(0, greatest(0, ceil((len(ls) - 30) / 26.0)::INT))) AS w FROM (SELECT file_path, CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM t) t JOIN has USING (file_path) WHERE NOT coalesce(has, false)),
+    every AS (SELECT file_path, s AS start_line, e AS end_line, content FROM c WHERE later IS DISTINCT FROM s
+      UNION ALL SELECT file_path, (w * 26 + 1)::INT, least(w * 26 + 30, len(ls))::INT, array_to_string(ls[w * 26 + 1:w * 26 + 30], chr(10)) FROM w)
+    SELECT substr(sha256(file_path || ':text::' || start_line || ':' || end_line || ':' || substr(sha256(content), 1, 8)), 1, 16) AS chunk_id, * FROM every WHERE regexp_matches(content, '\\S')""",
+)
 def chunk_paragraphs(spark, d):
     md = st.files(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n")))
     return chunking.chunk_text(md, mode="auto").select("chunk_id", "file_path", "start_line", "end_line", "content")
@@ -258,10 +274,50 @@ def route_claims(spark, d):
     return audit.route_claims(claim_table(spark, d))
 
 
-@query("evidence_hits")
+def sql_in(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+NOISE = " OR ".join(f"regexp_matches(file_path, '{tx.glob_regex(p)}') OR regexp_matches(split_part(file_path, '/', -1), '{tx.glob_regex(p)}')" for p in audit.NOISE_PATTERNS)
+
+
+@query(
+    "evidence_hits",
+    f"""WITH RECURSIVE {CLAIM_TABLE}, p(category, tool, query, weight) AS (VALUES {st.sql_values([(c, t, q, w) for c, ps in audit.STRATEGIES.items() for t, q, w in ps])}),
+    k(category, template) AS (VALUES {st.sql_values(list(audit.KEYWORD_TEMPLATES.items()))}),
+    plans AS (SELECT DISTINCT claim_id, tool, query, weight, md5(query) AS query_id FROM (SELECT claim_id, tool, query, weight::DOUBLE AS weight FROM claims JOIN p USING (category)
+      UNION ALL SELECT claim_id, 'search_hybrid', replace(template, '{{keywords}}', array_to_string(keywords, ' ')), 0.5 FROM claims JOIN k USING (category)
+      UNION ALL SELECT claim_id, 'search_hybrid', normalized, 1 FROM claims WHERE category IN ('consent', 'security')
+      UNION ALL SELECT claim_id, 'search_code', array_to_string(keywords, ' '), 1 FROM claims WHERE category IN ('consent', 'security'))),
+    qs AS (SELECT DISTINCT query_id, query FROM plans WHERE tool IN ({sql_in(audit.VECTOR_TOOLS + audit.HYBRID_TOOLS)})),
+    {st.lists_sql('qs', 'query_id', 'query')}, {st.CHUNK_GRAPH},
+    fj AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.chunk_id, b.chunk_id) AS chunk_id, coalesce(0.7::DOUBLE / (60 + v.rank), 0) + coalesce(0.3::DOUBLE / (60 + b.rank), 0) AS raw
+      FROM (SELECT * FROM vec_rank WHERE rank <= 30) v FULL JOIN (SELECT * FROM bm_rank WHERE rank <= 30) b ON v.query_id = b.query_id AND v.chunk_id = b.chunk_id),
+    fs AS (SELECT query_id, chunk_id, round(raw / max(raw) OVER (PARTITION BY query_id), 8) AS score FROM fj),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fs),
+    gw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: len(w) > 3)) AS word FROM plans WHERE tool IN ({sql_in(audit.GRAPH_TOOLS)})),
+    gone AS (SELECT query_id, file_path, arg_min(name, id) AS callee FROM gw JOIN nodes ON contains(lower(name), word) GROUP BY ALL),
+    paths AS (SELECT b.name AS callee, list_sort(list_distinct(list(a.name || ' -> ' || b.name))) AS call_path FROM (SELECT DISTINCT src, dst FROM edges) JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY 1),
+    ev AS (SELECT claim_id, tool, query, weight, file_path, start_line, end_line, similarity AS score, NULL::VARCHAR[] AS call_path FROM plans JOIN vec_rank USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= 10 AND tool IN ({sql_in(audit.VECTOR_TOOLS)})
+      UNION ALL SELECT claim_id, tool, query, weight, file_path, start_line, end_line, score, NULL FROM plans JOIN fused USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= 10 AND tool IN ({sql_in(audit.HYBRID_TOOLS)})
+      UNION ALL SELECT claim_id, tool, query, weight, file_path, 0, 0, 0.7, call_path FROM plans JOIN gone USING (query_id) LEFT JOIN paths USING (callee) WHERE tool IN ({sql_in(audit.GRAPH_TOOLS)})),
+    clean AS (SELECT * FROM ev WHERE NOT ({NOISE})),
+    best AS (SELECT claim_id, file_path, start_line, end_line, max(score) AS score FROM clean GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY claim_id, file_path ORDER BY score DESC, start_line, end_line) AS n, count(*) OVER (PARTITION BY claim_id, file_path) AS size FROM best WHERE start_line > 0),
+    g AS (SELECT claim_id, file_path, 0::BIGINT AS n, []::STRUCT(a INT, b INT, s DOUBLE)[] AS kept, any_value(size) AS size FROM o GROUP BY ALL
+      UNION ALL SELECT g.claim_id, g.file_path, o.n, CASE WHEN len(list_filter(kept, lambda x: x.a <= end_line AND start_line <= x.b)) > 0 THEN kept ELSE list_append(kept, {{'a': start_line, 'b': end_line, 's': score}}) END, g.size
+      FROM g JOIN o ON o.claim_id = g.claim_id AND o.file_path = g.file_path AND o.n = g.n + 1),
+    kept AS (SELECT claim_id, file_path, x.a AS start_line, x.b AS end_line, x.s AS score FROM (SELECT claim_id, file_path, unnest(kept) AS x FROM g WHERE n = size) UNION ALL SELECT * FROM best WHERE start_line = 0)
+    SELECT claim_id, file_path, start_line, end_line, kept.score, min((tool, query, weight, array_to_string(call_path, ',')))[1] AS tool, min((tool, query, weight, array_to_string(call_path, ',')))[2] AS query,
+      min((tool, query, weight, array_to_string(call_path, ',')))[3] AS weight, min((tool, query, weight, array_to_string(call_path, ',')))[4] AS call_path
+    FROM kept JOIN clean USING (claim_id, file_path, start_line, end_line, score) GROUP BY ALL""",
+)
 def evidence_hits(spark, d):
-    claims = audit.policy_claims(st.policies(spark, d)).select("claim_id", "category", "keywords", "normalized")
-    return audit.evidence_hits(claims, lexical.bm25_index(st.corpus(spark, d)), st.chunks(spark, d))
+    nodes, edges = st.chunk_graph(spark, d)
+    corpus = st.corpus(spark, d)
+    vectors = vector.hash_vectors(corpus, "chunk_id", "doc_text")
+    found = audit.evidence_hits(claim_table(spark, d), lexical.bm25_index(corpus), st.chunks(spark, d), vectors=vectors, nodes=nodes, edges=edges)
+    return found.withColumn("call_path", F.array_join("call_path", ","))
 
 
 # ------------------------------------------------------------------ predicates

@@ -1,10 +1,14 @@
 """Graph queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.catalog import standins as st
 from siftwell.catalog.registry import query
 from siftwell.operators import graph as g
+from siftwell.runtime import number_rows
 
 
 def key(prefix, col):
@@ -215,16 +219,16 @@ def call_graph(spark, d):
     return g.call_graph(call_edges(spark, d), entities(spark, d).select(F.col("id").alias("start")))
 
 
-TRACE = f"""{CALLS}, starts AS (SELECT id AS start FROM ent WHERE kind = 'class'),
-    h1 AS (SELECT DISTINCT start, dst AS node FROM starts JOIN ce ON src = start WHERE dst <> start), c1 AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY node) AS r FROM h1), k1 AS (SELECT start, node FROM c1 WHERE r <= 40),
-    h2 AS (SELECT DISTINCT start, dst AS node FROM k1 JOIN ce ON src = node), x2 AS (SELECT * FROM h2 WHERE node <> start AND (start, node) NOT IN (SELECT (start, node) FROM k1)),
-    c2 AS (SELECT x2.*, row_number() OVER (PARTITION BY start ORDER BY node) AS r, (SELECT count(*) FROM k1 WHERE k1.start = x2.start) AS used FROM x2), k2 AS (SELECT start, node FROM c2 WHERE r + used <= 40),
-    traced AS (SELECT start, start AS node, 0 AS depth FROM starts UNION ALL SELECT start, node, 1 FROM k1 UNION ALL SELECT start, node, 2 FROM k2)"""
+TRACE = f"""{CALLS}, starts AS (SELECT id AS start FROM ent),
+    h1 AS (SELECT DISTINCT start, dst AS node FROM starts JOIN ce ON src = start WHERE dst <> start),
+    h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN ce ON src = node), k2 AS (SELECT h2.* FROM h2 ANTI JOIN h1 ON h1.start = h2.start AND h1.node = h2.node WHERE h2.node <> h2.start),
+    h3 AS (SELECT DISTINCT start, dst AS node FROM k2 JOIN ce ON src = node),
+    k3 AS (SELECT h3.* FROM h3 ANTI JOIN (FROM h1 UNION ALL FROM k2) k ON k.start = h3.start AND k.node = h3.node WHERE h3.node <> h3.start),
+    traced AS (SELECT start, start AS node, 0 AS depth FROM starts UNION ALL SELECT start, node, 1 FROM h1 UNION ALL SELECT start, node, 2 FROM k2 UNION ALL SELECT start, node, 3 FROM k3)"""
 
 
 def traced(spark, d):
-    starts = entities(spark, d).filter("kind = 'class'").select(F.col("id").alias("start"))
-    return g.trace_flow(call_edges(spark, d), starts, 2, max_nodes=40)
+    return g.trace_flow(call_edges(spark, d), entities(spark, d).select(F.col("id").alias("start")))
 
 
 @query("trace_flow", f"WITH {TRACE} SELECT * FROM traced")
@@ -282,19 +286,36 @@ def lca_score(spark, d):
     li = st.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), key("supplier:", "l_suppkey").alias("a"))
     o = st.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     c = st.table(spark, d, "customer").select(F.col("c_custkey").alias("c"), key("nation:", "c_nationkey").alias("b"))
-    return g.lca_score(g.tree_paths(st.tree_edges(spark, d)), li.join(o, "k").join(c, "c").select("a", "b").distinct())
+    return g.lca_score(st.tree_edges(spark, d), li.join(o, "k").join(c, "c").select("a", "b").distinct())
+
+
+KG_RELATIONS = ["calls", "called_by", "inherits", "inherited_by", "imports", "imported_by", "contains", "contained_by", "related"]
+KG_NEAR = ["imports", "imported_by", "contains", "contained_by"]
 
 
 @query(
     "kg_query",
-    f"""WITH {PATHS}, {UND}, f AS (SELECT src AS start, dst AS node FROM und WHERE src LIKE 'nation%' AND src <> dst),
-    s AS (SELECT start, f.node, round(1 + 0.15 * greatest(0, 1 - (abs(x.depth - y.depth) + 0.5 * abs(x.depth - y.depth)) / 4), 6)::DOUBLE AS final_score FROM f JOIN paths x ON x.node = start JOIN paths y ON y.node = f.node),
-    r AS (SELECT *, (row_number() OVER (PARTITION BY start ORDER BY final_score DESC, node))::INT AS rank FROM s) SELECT * FROM r""",
+    f"""WITH RECURSIVE {PATHS}, {UND}, starts AS (SELECT 'nation:' || n_nationkey AS start FROM nation),
+    rel AS (SELECT src, dst FROM tree WHERE src LIKE 'region%'), sub AS (SELECT src, dst FROM tree WHERE src LIKE 'nation%'),
+    up AS (SELECT start, s.dst AS node FROM starts JOIN sub s ON s.src = start UNION SELECT start, s.dst FROM up JOIN sub s ON s.src = node),
+    down AS (SELECT start, s.src AS node FROM starts JOIN sub s ON s.dst = start UNION SELECT start, s.src FROM down JOIN sub s ON s.dst = node),
+    one AS (SELECT start, dst AS node FROM starts JOIN und ON src = start WHERE dst <> start),
+    two AS (SELECT start, node FROM one UNION SELECT start, dst FROM one JOIN und ON src = node WHERE dst <> start),
+    f AS (SELECT DISTINCT 'calls' AS relation, start, dst AS node FROM starts JOIN rel ON src = start UNION SELECT DISTINCT 'called_by', start, src FROM starts JOIN rel ON dst = start
+      UNION ALL SELECT 'inherits', * FROM up UNION ALL SELECT 'inherited_by', * FROM down
+      {' '.join(f"UNION ALL SELECT '{r}', start, node FROM one" for r in KG_NEAR)} UNION ALL SELECT 'related', start, node FROM two),
+    j AS (SELECT relation, start, f.node, x.depth AS da, y.depth AS db, len(list_filter(generate_series(1, least(len(x.path), len(y.path))), lambda i: x.path[i] = y.path[i])) AS c
+      FROM f JOIN paths x ON x.node = start JOIN paths y ON y.node = f.node),
+    s AS (SELECT relation, start, node, round(1 + 0.15 * CASE WHEN c > 0 THEN round(greatest(0, 1 - (da - c + 1 + db - c + 1 + 0.5 * abs(da - db)) / 4), 6) ELSE 0 END, 6)::DOUBLE AS final_score FROM j)
+    SELECT *, (row_number() OVER (PARTITION BY relation, start ORDER BY final_score DESC, node))::INT AS rank FROM s""",
 )
 def kg_query(spark, d):
-    t = st.tree_edges(spark, d).withColumn("rel", F.lit("CONTAINS"))
+    t = st.tree_edges(spark, d)
+    tree = g.tree_labels(t)
+    rel = F.when(F.startswith("src", F.lit("region")), "CALLS").otherwise("INHERITS")
     starts = st.table(spark, d, "nation").select(key("nation:", "n_nationkey").alias("start"))
-    return g.kg_query(t, t, starts, "contains")
+    found = [g.kg_query(t.withColumn("rel", rel), tree, starts, r).select(F.lit(r).alias("relation"), "*") for r in KG_RELATIONS]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(
@@ -320,6 +341,47 @@ def entities_at_commit(spark, d):
     return g.entities_at_commit(e, par, st.table(spark, d, "supplier").select((F.col("s_suppkey") * 7).alias("start")))
 
 
+def commit_line(spark, d):
+    """orders in date order as a line of commits, each the parent of the next, and every seventh merged with the one ten before."""
+    o = st.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    line = number_rows(o, ["o_orderdate", "o_orderkey"], "nth").select(F.col("o_orderkey").alias("commit"), "nth")
+    before = lambda n: line.select((F.col("nth") + n).alias("nth"), F.col("commit").alias("parent"))
+    merges = line.filter("nth % 7 = 0").join(before(10), "nth")
+    return line, line.join(before(1), "nth").unionByName(merges).select("commit", "parent")
+
+
+COMMIT_LINE = """line AS (SELECT o_orderkey AS commit, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS nth FROM orders)"""
+
+
+@query(
+    "commit_ancestors",
+    f"""WITH {COMMIT_LINE}, tips AS (SELECT commit, nth FROM line WHERE nth = (SELECT max(nth) FROM line) OR commit IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderpriority))
+    SELECT t.commit AS start, l.commit AS node FROM tips t JOIN line l ON l.nth <= t.nth""",
+)
+def commit_ancestors(spark, d):
+    line, parents = commit_line(spark, d)
+    last = line.agg(F.max("nth").alias("nth")).join(line, "nth").select(F.col("commit").alias("start"))
+    first = st.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("start")).select("start")
+    return g.ancestors(parents.select(F.col("commit").alias("src"), F.col("parent").alias("dst")), last.unionByName(first).distinct())
+
+
+@query(
+    "callers_at_commit",
+    f"""WITH {CALLS}, {COMMIT_LINE}, held AS (SELECT id, name, nth FROM ent JOIN line ON commit = split_part(id, ':', 2)::BIGINT),
+    tips AS (SELECT min(o_orderkey) AS start FROM orders GROUP BY o_orderpriority), called AS (SELECT DISTINCT e.name AS callee_name FROM ce JOIN ent e ON e.id = dst)
+    SELECT start, callee_name, a.id AS caller, a.name AS caller_name, split_part(a.id, ':', 2)::BIGINT AS commit
+    FROM tips JOIN line t ON t.commit = start CROSS JOIN called JOIN ent e ON e.name = callee_name JOIN ce ON ce.dst = e.id JOIN held a ON a.id = ce.src AND a.nth <= t.nth GROUP BY ALL""",
+)
+def callers_at_commit(spark, d):
+    _, parents = commit_line(spark, d)
+    n = entities(spark, d).select("id", "name").withColumn("_own", F.substring_index("id", ":", -1).cast("long"))
+    n = n.join(st.table(spark, d, "orders").select(F.col("o_orderkey").alias("_own"), F.col("o_orderkey").alias("commit")), "_own", "left").drop("_own")
+    e = call_edges(spark, d)
+    called = e.join(n.select(F.col("id").alias("dst"), F.col("name").alias("callee_name")), "dst").select("callee_name").distinct()
+    tips = st.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("start")).select("start").distinct()
+    return g.callers_at_commit(e, n, parents, tips.crossJoin(called))
+
+
 @query(
     "reachability",
     f"""WITH RECURSIVE {CALLS}, r AS (SELECT id AS node FROM ent WHERE file_path LIKE '%/economy.py' UNION SELECT dst FROM r JOIN ce ON src = node)
@@ -363,6 +425,15 @@ def cycles(spark, d):
     return g.cycles(st.transitions(spark, d))
 
 
+@query(
+    "strong_components",
+    f"""WITH RECURSIVE {CALLS}, r AS (SELECT src AS a, dst AS b FROM ce UNION SELECT a, dst FROM r JOIN ce ON src = b), n AS (SELECT src AS node FROM ce UNION SELECT dst FROM ce),
+    same AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON y.a = x.b AND y.b = x.a UNION SELECT node, node FROM n) SELECT node, min(other) AS component FROM same GROUP BY 1""",
+)
+def strong_components(spark, d):
+    return g.strong_components(call_edges(spark, d))
+
+
 @query(
     "lcom4",
     """WITH RECURSIVE m AS (SELECT DISTINCT o_custkey AS class, o_orderkey AS method, l_suppkey AS attribute FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
@@ -396,7 +467,7 @@ def sample_subgraph_links(spark, d):
 
 @query(
     "neighbours",
-    f"""WITH {CALLS}, und AS (SELECT src, dst FROM ce UNION SELECT dst, src FROM ce) SELECT start, id, kind FROM (SELECT src AS start, id, kind, row_number() OVER (PARTITION BY src, kind ORDER BY id) AS r FROM und JOIN ent ON id = dst) WHERE r <= 20""",
+    f"""WITH {CALLS}, und AS (SELECT src, dst FROM ce UNION SELECT dst, src FROM ce) SELECT src AS start, id, kind FROM und JOIN ent ON id = dst WHERE src IN (SELECT id FROM ent)""",
 )
 def neighbours(spark, d):
     n = entities(spark, d)
@@ -424,7 +495,7 @@ def module_graph(spark, d):
 
 @query(
     "module_graph_links",
-    """WITH l AS (SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, count(*) AS coupling FROM lineitem GROUP BY ALL) SELECT l.src, l.dst, l.coupling, b.src IS NOT NULL AS mutual FROM l LEFT JOIN l b ON b.src = l.dst AND b.dst = l.src""",
+    """WITH RECURSIVE l AS (SELECT l_partkey % 50 AS src, l_suppkey % 50 AS dst, count(*) AS coupling FROM lineitem GROUP BY ALL), r AS (SELECT src AS a, dst AS b FROM l UNION SELECT a, dst FROM r JOIN l ON src = b) SELECT l.src, l.dst, l.coupling, b.src IS NOT NULL AS mutual, l.src = l.dst OR EXISTS (FROM r WHERE r.a = l.dst AND r.b = l.src) AS circular FROM l LEFT JOIN l b ON b.src = l.dst AND b.dst = l.src""",
 )
 def module_graph_links(spark, d):
     return g.module_graph(*module_tables(spark, d))[1]

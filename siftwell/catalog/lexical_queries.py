@@ -5,12 +5,17 @@ from pyspark.sql import functions as F
 from siftwell.catalog import standins as st
 from siftwell.catalog.registry import query
 from siftwell.functions import text as tx
-from siftwell.operators import lexical
+from siftwell.operators import chunking, lexical
+from siftwell.plans import index
+from siftwell.runtime import scratch_path
+from siftwell.sources import tables
 
 
 @query("scan_chunks", f"WITH {st.FILES} SELECT doc_id, file_path, lang FROM files WHERE lang = 'fr'")
 def scan_chunks(spark, d):
-    return st.files(spark, d).filter(F.col("lang") == "fr").select("doc_id", "file_path", "lang")
+    path = scratch_path(spark, "stored")
+    st.files(spark, d).withColumn("language", F.col("lang")).write.partitionBy("language").parquet(path)
+    return tables.scan_chunks(spark, path, language="fr").select("doc_id", "file_path", "lang")
 
 
 @query("tokenize", f"WITH {st.token_sql('toks', 'documents', 'doc_id', 'text')} SELECT doc_id, term, tf FROM toks")
@@ -57,3 +62,35 @@ def bm25_search(spark, d):
 def assign_rank(spark, d):
     hits = lexical.bm25_scores(lexical.bm25_index(st.corpus(spark, d)), st.search_queries(spark, d))
     return lexical.assign_rank(hits).select("query_id", "chunk_id", "rank")
+
+
+def first_version(spark, d):
+    """documents as they were before: every fifth otherwise, every seventh not there yet, and some that are gone now."""
+    f = st.files(spark, d)
+    old = f.filter("doc_id % 7 <> 3").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("older words\n"), F.reverse("text"))).otherwise(F.col("text")))
+    return old.unionByName(f.filter("doc_id % 11 = 4").withColumn("file_path", F.concat(F.lit("gone/"), "file_path")))
+
+
+def updated_index(spark, d):
+    """A stored index of the first version, brought to the documents as they are."""
+    cut = lambda f: chunking.chunk_text(f.select("file_path", "doc_id", "lang", "source", "text"), mode="lines")
+    document = lexical.document_text(F.col("content"), path=F.col("file_path"), kind=F.col("chunk_type"))
+    ix = index.StoredIndex(spark, scratch_path(spark, "index"), cut, document, buckets=8)
+    for files in (first_version(spark, d), st.files(spark, d)):
+        ix.update(files.withColumn("file_hash", index.file_hash(F.col("text"))))
+    return ix
+
+
+@query("stored_index_terms", f"WITH {st.BM25}, c AS (SELECT term, sum(tf)::BIGINT AS cf FROM postings GROUP BY 1) SELECT term, df, cf FROM terms JOIN c USING (term)")
+def stored_index_terms(spark, d):
+    return updated_index(spark, d).read("terms").select("term", "df", "cf")
+
+
+@query(
+    "stored_index_search",
+    f"""WITH {st.BM25_HITS}
+    SELECT query_id, chunk_id, score, rank, round(least(1.0, score / 10), 7) AS similarity
+    FROM bm_rank WHERE rank <= 10""",
+)
+def stored_index_search(spark, d):
+    return lexical.bm25_search(updated_index(spark, d).lexical_index(), st.search_queries(spark, d), 10)

@@ -308,7 +308,7 @@ def language_profile(spark, d):
     "concept_frequency",
     rf"""WITH {st.FILES}, c AS (
       SELECT doc_id AS chunk_id, unnest(list_concat(list_concat([source, lang], [trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) FOR x IN string_split(regexp_replace(file_path, '\.[^./]+$', ''), '/')]),
-        list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: len(w) > 4)[1:3])) AS concept FROM files),
+        list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: len(w) > 4))) AS concept FROM files),
     m AS (SELECT DISTINCT chunk_id, concept FROM c WHERE len(concept) > 2), f AS (SELECT concept, count(*) AS frequency FROM m GROUP BY 1 HAVING count(*) >= 2)
     SELECT concept, chunk_id, frequency FROM m JOIN f USING (concept)""",
 )
@@ -460,9 +460,9 @@ def phase_top_files(spark, d):
 @query(
     "timeline_events",
     f"""WITH {st.COMMITS} SELECT * FROM (SELECT ts AS date, 'commit' AS event_type, sha::VARCHAR AS ref, least(files_changed / 20, 1.0)::DOUBLE AS importance FROM commits ORDER BY files_changed DESC, sha LIMIT 10)
-    UNION ALL SELECT ts::DATE, 'issue_opened', event_id::VARCHAR, 0.6 FROM (SELECT * FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 10)
-    UNION ALL SELECT ts::DATE + 7, 'issue_closed', event_id::VARCHAR, 0.5 FROM (SELECT * FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 10) WHERE value > 5
-    UNION ALL SELECT ts::DATE, 'merge', event_id::VARCHAR, least(floor(value) / 15, 1.0) FROM (SELECT * FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 10)""",
+    UNION ALL SELECT ts::DATE, 'issue_opened', event_id::VARCHAR, 0.6 FROM (SELECT * FROM events WHERE event_type = 'error')
+    UNION ALL SELECT ts::DATE + 7, 'issue_closed', event_id::VARCHAR, 0.5 FROM (SELECT * FROM events WHERE event_type = 'error') WHERE value > 5
+    UNION ALL SELECT ts::DATE, 'merge', event_id::VARCHAR, least(floor(value) / 15, 1.0) FROM (SELECT * FROM events WHERE event_type = 'purchase')""",
 )
 def timeline_events(spark, d):
     ev = st.table(spark, d, "events")

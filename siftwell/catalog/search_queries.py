@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from siftwell.catalog import standins as st
 from siftwell.catalog.registry import query
 from siftwell.functions import queries as qx
-from siftwell.operators import fusion, lexical, vector
 from siftwell.operators import aggregates as ag
+from siftwell.operators import fusion, lexical, vector
+from siftwell.operators import graph as g
+from siftwell.plans import search as sp
+from siftwell.runtime import scratch_path
 
 WS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
 HAS = "list_has_any(" + WS + ", [{}])"
@@ -80,8 +83,7 @@ def classify_query(spark, d):
 
 @query("suggest_queries")
 def suggest_queries(spark, d):
-    hits = text_hits(spark, d).withColumn("rank", F.lit(1))
-    return fusion.suggest_queries(hits, st.mixed_queries(spark, d))
+    return fusion.suggest_queries(text_hits(spark, d), st.mixed_queries(spark, d))
 
 
 def emb(spark, d):
@@ -134,16 +136,45 @@ def dimension_check(spark, d):
     return vector.dimension_check(emb(spark, d), 64, "embedding")
 
 
-@query("ann_index")
+def given_centres(spark, d):
+    """The first vector of every label as the centre of its cell."""
+    first = emb(spark, d).groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    return emb(spark, d).join(first.select("vec_id"), "vec_id").select(F.col("label").cast("int").alias("cell"), F.transform("embedding", lambda x: x.cast("double")).alias("centroid"))
+
+
+CELLS = f"""centres AS (SELECT label AS cell, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1),
+    {PAIRS}, near AS (SELECT query_id AS vec_id, arg_max(c.cell, (cosine, -c.cell)) AS cell FROM pairs p JOIN centres c ON c.vec_id = p.vec_id GROUP BY 1)"""
+
+
+@query("ann_index", f"WITH {CELLS} SELECT vec_id, cell::INT AS cell FROM near")
 def ann_index(spark, d):
-    assigned, _ = vector.ann_index(emb(spark, d), cells=16, id_col="vec_id", vec_col="embedding")
-    return assigned.groupBy("cell").agg(F.count("*").alias("vectors"))
+    return vector.ann_assign(emb(spark, d), given_centres(spark, d), "vec_id", "embedding").select("vec_id", "cell")
+
 
+@query(
+    "ann_codes",
+    f"""WITH {CELLS}, u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / n) AS u FROM (SELECT *, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)),
+    l AS (SELECT near.vec_id, near.cell, list_transform(range(1, len(u.u) + 1), lambda i: u.u[i] - c.embedding[i]::DOUBLE) AS rest FROM near JOIN u USING (vec_id) JOIN centres USING (cell) JOIN embeddings c ON c.vec_id = centres.vec_id),
+    s AS (SELECT cell, max(list_max(list_transform(rest, lambda x: abs(x)))) / 127 AS scale, count(*) AS vectors FROM l GROUP BY 1)
+    SELECT cell::INT AS cell, vectors, round(scale, 6) AS scale FROM s""",
+)
+def ann_codes(spark, d):
+    index = vector.quantised(vector.ann_assign(emb(spark, d), given_centres(spark, d), "vec_id", "embedding"), given_centres(spark, d), "vec_id", "embedding")
+    return index.codes.groupBy("cell").agg(F.count("*").alias("vectors")).join(index.cells, "cell").select("cell", "vectors", F.round("scale", 6).alias("scale"))
 
-@query("ann_search")
+
+@query(
+    "ann_search",
+    f"""WITH {CELLS}, probes AS (SELECT query_id, cell FROM (SELECT p.query_id, c.cell, row_number() OVER (PARTITION BY p.query_id ORDER BY cosine DESC, c.cell) AS n FROM pairs p JOIN centres c ON c.vec_id = p.vec_id) WHERE n <= 4),
+    r AS (SELECT query_id, p.vec_id, cosine, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, p.vec_id))::INT AS rank FROM pairs p JOIN near n ON n.vec_id = p.vec_id JOIN probes USING (query_id, cell))
+    SELECT query_id, vec_id, round(1 - cosine, 6) AS distance, round(greatest(0, 1 - round(1 - cosine, 6) / 2), 7)::DOUBLE AS similarity, rank FROM r WHERE rank <= 10""",
+)
 def ann_search(spark, d):
-    assigned, centres = vector.ann_index(emb(spark, d), cells=16, id_col="vec_id", vec_col="embedding")
-    return vector.ann_search(assigned, centres, emb(spark, d), 10, 8, **E_COLS)
+    path = scratch_path(spark, "quantised")
+    centres = given_centres(spark, d)
+    vector.quantised(vector.ann_assign(emb(spark, d), centres, "vec_id", "embedding"), centres, "vec_id", "embedding").write(path)
+    index = vector.QuantisedIndex.read(spark, path, "vec_id", "embedding")
+    return vector.quantised_search(index, emb(spark, d), 10, 4, 8, "vec_id", "embedding")
 
 
 @query("ann_search_all_cells", f"WITH {PAIRS} {RANKED.format(where='')} WHERE rank <= 10")
@@ -248,18 +279,33 @@ def best_per_chunk(spark, d):
     return lexical.best_per_chunk(hits)
 
 
+STOP = ", ".join(f"'{w}'" for w in sp.STOP_TERMS)
+
+
 @query(
     "rrf_three_way",
-    f"""WITH {st.VECTORS}, l AS (SELECT query_id, chunk_id, rank, 'semantic' AS s FROM vec_rank WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank, 'text' FROM bm_rank WHERE rank <= 20
-      UNION ALL SELECT query_id, chunk_id, rank * 2, 'graph' FROM bm_rank WHERE rank <= 5)
-    SELECT query_id, file_path, start_line, any_value(content) AS content, array_to_string(list_sort(list_distinct(list(s))), ',') AS strategies, round(sum(1 / (60 + rank)), 6) AS score
-    FROM l JOIN chunks USING (chunk_id) GROUP BY ALL""",
+    f"""WITH {st.VECTORS}, {st.CHUNK_GRAPH}, und AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+    tw AS (SELECT item_id AS query_id, {WS} AS all_ws FROM benchmark),
+    pos AS (SELECT query_id, list_filter(all_ws, lambda w: len(w) >= 3 AND w NOT IN ({STOP})) AS ts FROM tw),
+    qterms AS (SELECT query_id, term, min(nth) AS nth FROM (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS nth FROM pos) GROUP BY ALL),
+    exact AS (SELECT term, min(id) AS id FROM (SELECT DISTINCT term FROM qterms) JOIN nodes ON name = term GROUP BY 1),
+    part AS (SELECT term, min(id) AS id FROM (SELECT DISTINCT term FROM qterms WHERE term NOT IN (SELECT term FROM exact) AND term NOT IN ({quoted(g.GENERIC_LOOKUPS)})) JOIN nodes ON contains(lower(name), term) GROUP BY 1),
+    named AS (SELECT * FROM exact UNION ALL SELECT * FROM part),
+    seen AS (SELECT query_id, n.file_path, min((nth, n.id)) AS first_at FROM qterms JOIN named USING (term) JOIN und ON und.src = named.id AND und.dst <> named.id JOIN nodes n ON n.id = und.dst GROUP BY ALL),
+    graph AS (SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORDER BY first_at, file_path) AS rank FROM seen),
+    l AS (SELECT query_id, file_path, start_line, content, rank, 'semantic' AS s FROM vec_rank JOIN chunks USING (chunk_id) WHERE rank <= 30
+      UNION ALL SELECT query_id, file_path, start_line, content, rank, 'text' FROM bm_rank JOIN chunks USING (chunk_id) WHERE rank <= 30
+      UNION ALL SELECT query_id, file_path, 0, '', rank, 'graph' FROM graph WHERE rank <= 30),
+    f AS (SELECT query_id, file_path, start_line, any_value(content) AS content, array_to_string(list_sort(list_distinct(list(s))), ',') AS strategies, round(sum(1 / (60 + rank)), 6) AS score FROM l GROUP BY ALL),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path, start_line))::INT AS rank FROM f WHERE score >= 0.01)
+    SELECT * FROM r WHERE rank <= 10""",
 )
 def rrf_three_way(spark, d):
-    v, b = both_lists(spark, d, 20)
-    c = st.chunks(spark, d).select("chunk_id", "file_path", "start_line", "content")
-    lists = {"semantic": v, "text": b, "graph": b.filter("rank <= 5").withColumn("rank", F.col("rank") * 2)}
-    return fusion.rrf_three_way({n: x.select("query_id", "chunk_id", "rank").join(c, "chunk_id") for n, x in lists.items()})
+    nodes, edges = st.chunk_graph(spark, d)
+    corpus = st.corpus(spark, d)
+    vectors = vector.hash_vectors(corpus, "chunk_id", "doc_text")
+    tables = sp.SearchTables(st.chunks(spark, d), lexical.bm25_index(corpus), vectors, nodes=nodes, edges=edges)
+    return sp.three_way_search(tables, st.search_queries(spark, d)).select("query_id", "file_path", "start_line", "content", "strategies", "score", "rank")
 
 
 def text_hits(spark, d, k=20):
@@ -270,7 +316,7 @@ def text_hits(spark, d, k=20):
         F.regexp_extract("content", "[A-Za-z]+", 0).alias("function_name"), F.col("source").alias("class_name"),
     )
     q = st.search_queries(spark, d).select("query_id", F.col("text").alias("query_text"))
-    return b.select("query_id", "chunk_id", F.col("similarity").alias("score")).join(c, "chunk_id").join(q, "query_id")
+    return b.select("query_id", "chunk_id", F.col("similarity").alias("score"), "rank").join(c, "chunk_id").join(q, "query_id")
 
 
 HITS = st.BM25_HITS + """,
@@ -337,32 +383,27 @@ def quality_rerank(spark, d):
 
 @query(
     "kg_boost",
-    f"""WITH {HITS}, nodes AS (SELECT chunk_id AS id, lower(regexp_extract(content, '[A-Za-z]+')) AS name FROM chunks),
-    e AS (SELECT a.chunk_id AS src, b.chunk_id AS dst FROM chunks a JOIN chunks b ON a.doc_id + 1 = b.doc_id AND a.start_line = 1 AND b.start_line = 1),
-    both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    f"""WITH {HITS}, {st.CHUNK_GRAPH}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
     n AS (SELECT h.query_id, h.chunk_id, count(*) AS related FROM hits h JOIN both_ways w ON h.chunk_id = w.src JOIN nodes ON nodes.id = w.dst
-      WHERE len(list_filter(regexp_split_to_array(lower(h.query_text), '\\s+'), lambda x: x <> '' AND contains(nodes.name, x))) > 0 GROUP BY ALL)
+      WHERE len(list_filter(regexp_split_to_array(lower(h.query_text), '\\s+'), lambda x: x <> '' AND contains(lower(nodes.name), x))) > 0 GROUP BY ALL)
     SELECT h.query_id, h.chunk_id, coalesce(related, 0) AS related, round(least(1.0, score + 0.02 * coalesce(related, 0)), 6)::DOUBLE AS score FROM hits h LEFT JOIN n USING (query_id, chunk_id)""",
 )
 def kg_boost(spark, d):
-    c = st.chunks(spark, d)
-    nodes = c.select(F.col("chunk_id").alias("id"), F.regexp_extract("content", "[A-Za-z]+", 0).alias("name"))
-    first = c.filter("start_line = 1")
-    edges = first.select(F.col("chunk_id").alias("src"), (F.col("doc_id") + 1).alias("k")).join(first.select(F.col("chunk_id").alias("dst"), F.col("doc_id").alias("k")), "k")
-    out = fusion.kg_boost(text_hits(spark, d).select("query_id", "chunk_id", "score"), edges.select("src", "dst"), nodes, st.search_queries(spark, d))
+    nodes, edges = st.chunk_graph(spark, d)
+    out = fusion.kg_boost(text_hits(spark, d).select("query_id", "chunk_id", "score"), edges, nodes, st.search_queries(spark, d))
     return out.select("query_id", "chunk_id", "related", "score")
 
 
 @query(
     "context_boost",
-    f"""WITH {HITS}, ctx AS (SELECT file_path, lower(text) AS t FROM files WHERE source = 'src0'), names AS (SELECT DISTINCT lower(function_name) AS n FROM hits),
+    f"""WITH {HITS}, ctx AS (SELECT file_path, lower(text) AS t FROM files), names AS (SELECT DISTINCT lower(function_name) AS n FROM hits),
     seen AS (SELECT n FROM names WHERE EXISTS (SELECT 1 FROM ctx WHERE contains(t, n)))
     SELECT query_id, chunk_id, round(least(1.0, score + CASE WHEN file_path IN (SELECT file_path FROM ctx) THEN 0.1 ELSE 0 END
       + CASE WHEN lower(function_name) IN (SELECT n FROM seen) AND function_name <> '' THEN 0.05 ELSE 0 END
       + CASE WHEN EXISTS (SELECT 1 FROM ctx WHERE contains(t, lower(class_name))) THEN 0.05 ELSE 0 END), 6)::DOUBLE AS score FROM hits""",
 )
 def context_boost(spark, d):
-    ctx = st.files(spark, d).filter("source = 'src0'").select("file_path", "text")
+    ctx = st.files(spark, d).select("file_path", "text")
     return fusion.context_boost(text_hits(spark, d), ctx).select("query_id", "chunk_id", "score")
 
 
@@ -403,12 +444,12 @@ def pair_rerank(spark, d):
 
 @query(
     "code_vector_enrich",
-    f"""WITH {PAIRS}, r AS ({RANKED.format(where='')} WHERE rank <= 20), s AS (SELECT query_id, vec_id, similarity FROM ({RANKED.format(where=' WHERE label < 10')}) WHERE rank <= 40)
+    f"""WITH {PAIRS}, r AS ({RANKED.format(where='')} WHERE rank <= 20), s AS (SELECT query_id, vec_id, similarity FROM ({RANKED.format(where='')}) WHERE rank <= 40)
     SELECT r.query_id, r.vec_id, round(CASE WHEN s.similarity >= 0.65 THEN least(1.0, r.similarity + 0.15) ELSE r.similarity END, 7)::DOUBLE AS score FROM r LEFT JOIN s USING (query_id, vec_id)""",
 )
 def code_vector_enrich(spark, d):
     main = vector.knn_exact(emb(spark, d), emb(spark, d), 20, **E_COLS)
-    second = vector.knn_exact(emb(spark, d).filter("label < 10"), emb(spark, d), 40, **E_COLS)
+    second = vector.knn_exact(emb(spark, d), emb(spark, d), 40, **E_COLS)
     return vector.code_vector_enrich(main, second, 0.65, id_col="vec_id").select("query_id", "vec_id", "score")
 
 

@@ -278,6 +278,28 @@ vec_rank AS MATERIALIZED (
          (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id))::INT AS rank FROM vec_all)"""
 
 
+def lists_sql(source: str, key: str, text: str) -> str:
+    """VECTORS for the queries (key, text) of another table than ``benchmark``."""
+    return VECTORS.replace(token_sql("asked", "benchmark", "item_id", "text"), token_sql("asked", source, key, text)).replace("item_id AS query_id", f"{key} AS query_id")
+
+
+def chunk_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the chunks: named by their first word, each joined to the next one of its file and a file's first to the next file's."""
+    c = chunks(spark, folder)
+    nodes = c.select(F.col("chunk_id").alias("id"), F.regexp_extract("content", "[A-Za-z]+", 0).alias("name"), "file_path")
+    of = lambda name, doc, line: c.select(F.col("chunk_id").alias(name), doc.alias("_doc"), line.alias("_line"))
+    doc, line = F.col("doc_id"), F.col("start_line")
+    inside = of("src", doc, line + 26).join(of("dst", doc, line), ["_doc", "_line"])
+    first = c.filter("start_line = 1")
+    across = first.select(F.col("chunk_id").alias("src"), (doc + 1).alias("_doc")).join(first.select(F.col("chunk_id").alias("dst"), doc.alias("_doc")), "_doc")
+    return nodes, inside.select("src", "dst").unionByName(across.select("src", "dst"))
+
+
+CHUNK_GRAPH = """nodes AS (SELECT chunk_id AS id, regexp_extract(content, '[A-Za-z]+') AS name, file_path FROM chunks),
+edges AS (SELECT a.chunk_id AS src, b.chunk_id AS dst FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND b.start_line = a.start_line + 26
+  UNION ALL SELECT a.chunk_id, b.chunk_id FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id + 1 AND a.start_line = 1 AND b.start_line = 1)"""
+
+
 def code_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """part rows as code chunks: some names shared, some private, some generic."""
     k, s = F.col("p_partkey").cast("string"), F.col("p_size")

@@ -92,9 +92,17 @@ def ranges(spark, d):
     )
 
 
-@query("overlap_dedup")
+@query(
+    "overlap_dedup",
+    """WITH RECURSIVE ev AS (SELECT (l_suppkey // 7)::BIGINT AS claim_id, 'f' || l_returnflag AS file_path, (l_partkey * 3)::BIGINT AS start_line, floor(l_partkey * 3 + l_quantity)::BIGINT AS end_line, max(l_extendedprice + l_orderkey / 1e6)::DOUBLE AS score FROM lineitem GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY claim_id, file_path ORDER BY score DESC, start_line, end_line) AS n, count(*) OVER (PARTITION BY claim_id, file_path) AS size FROM ev),
+    g AS (SELECT claim_id, file_path, 0::BIGINT AS n, []::STRUCT(a BIGINT, b BIGINT, s DOUBLE)[] AS kept, any_value(size) AS size FROM o GROUP BY ALL
+      UNION ALL SELECT g.claim_id, g.file_path, o.n, CASE WHEN len(list_filter(kept, lambda k: k.a <= end_line AND start_line <= k.b)) > 0 THEN kept ELSE list_append(kept, {'a': start_line, 'b': end_line, 's': score}) END, g.size
+      FROM g JOIN o ON o.claim_id = g.claim_id AND o.file_path = g.file_path AND o.n = g.n + 1),
+    k AS (SELECT claim_id, file_path, unnest(kept) AS k FROM g WHERE n = size) SELECT claim_id, file_path, k.a AS start_line, k.b AS end_line, k.s AS score FROM k""",
+)
 def overlap_dedup(spark, d):
-    return joins.overlap_dedup(ranges(spark, d))
+    return joins.overlap_dedup(ranges(spark, d), hot=50)
 
 
 @query(
@@ -196,7 +204,7 @@ def write_vectors(spark, d):
     v = st.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").alias("vector"))
     tables.write_vectors(v, root, "m1", F.lit("2024-01-01").cast("timestamp"))
     tables.write_vectors(v.filter("label < 5"), root, "m2", F.lit("2024-01-02").cast("timestamp"))
-    return tables.read_version(spark, root).select("chunk_id", "model_version", "label")
+    return tables.read_keyed(spark, root).select("chunk_id", "model_version", "label")
 
 
 @query("save_snapshot", f"WITH {st.SNAPSHOTS} SELECT project, ts AS day, total_chunks + (project = (SELECT min(project) FROM snap))::INT AS total_chunks FROM snap")
@@ -339,11 +347,11 @@ def apply_changes(spark, d):
 def stream_changes(spark, d):
     old, _ = applied_inputs(spark, d)
     root, folder = scratch_path(spark, "live"), scratch_path(spark, "incoming")
-    tables.write_version(old, root)
+    tables.write_keyed(old, root, "file_path", 8)
     change_events(spark, d).repartition(5, F.xxhash64("event_id")).write.parquet(folder)
     q = changes.stream_changes(changes.watch_changes(spark, folder, files_per_trigger=1), root, lambda p: p.withColumn("content", F.lit("new")), folder + "-state")
     q.awaitTermination()
-    return tables.read_version(spark, root)
+    return tables.read_keyed(spark, root)
 
 
 @query(
@@ -464,6 +472,26 @@ def register_metric(spark, d):
     return st.chunks(spark, d).select("chunk_id", ext.metric("blanks", "content"))
 
 
+@query(
+    "register_aggregate",
+    f"""WITH {st.CHUNKS}, l AS (SELECT chunk_id, unnest(string_split(content, chr(10))) AS line FROM chunks)
+    SELECT chunk_id, max(len(line))::BIGINT AS longest, count(DISTINCT line)::BIGINT AS different FROM l GROUP BY 1""",
+)
+def register_aggregate(spark, d):
+    ext.register_aggregate("longest", int, lambda s, rows: max(s, int(rows["line"].str.len().max())), max, int, "long")
+    ext.register_aggregate("different", set, lambda s, rows: s | set(rows["line"]), lambda a, b: a | b, len, "long")
+    lines = st.chunks(spark, d).select("chunk_id", F.explode(F.split("content", "\n")).alias("line"))
+    return ext.grouped_metrics(lines, ["chunk_id"], ["longest", "different"])
+
+
+@query("parse_in_sql", f"WITH {st.FILES}, l AS (SELECT file_path, string_split(text, chr(10)) AS ls FROM files) SELECT file_path, count(*) AS chunks FROM (SELECT file_path, unnest(ls) AS x FROM l) WHERE x LIKE '%.' GROUP BY 1")
+def parse_in_sql(spark, d):
+    ext.register_parser(".md", line_parser)
+    ext.parser_function(spark)
+    st.files(spark, d).createOrReplaceTempView("siftwell_files")
+    return spark.sql("SELECT f.file_path, count(*) AS chunks FROM siftwell_files f, LATERAL parse_file(f.text, f.file_path) c GROUP BY f.file_path")
+
+
 # ------------------------------------------------------------------ whole searches
 
 
@@ -495,7 +523,7 @@ def search_filtered_lexical(spark, d):
 @query("search_similar")
 def search_similar(spark, d):
     t = search_tables(spark, d)
-    ids = st.chunks(spark, d).join(st.table(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    ids = st.chunks(spark, d).filter("doc_id % 100 = 0")
     return sp.search_similar(t, ids, sp.SearchOptions(limit=5, mode="vector", expand=False, rerank=False)).select(*SHOWN)
 
 

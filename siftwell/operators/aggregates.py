@@ -331,16 +331,17 @@ def language_profile(files: DataFrame, path: str = "file_path") -> DataFrame:
     )
 
 
-def concept_members(chunks: DataFrame, min_chunks: int = 2) -> DataFrame:
+def concept_members(chunks: DataFrame, min_chunks: int = 2, summary_words: int | None = None) -> DataFrame:
     """(concept, chunk_id, frequency) for concepts held by several chunks.
 
-    Concepts are the name, the parent name, the path parts and the first three
-    long words of the summary, cleaned to lower-case words. Members stay rows: a
+    Concepts are the name, the parent name, the path parts and the long words of the
+    summary, all or the first ``summary_words``, cleaned to lower-case words. Members stay rows: a
     concept shared by a third of all chunks never becomes one array.
     """
     cleaned = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
     path_parts = F.transform(F.split(F.regexp_replace("file_path", r"\.[^./]+$", ""), "/"), cleaned)
-    long_words = F.slice(F.filter(F.regexp_extract_all(F.lower("docstring"), F.lit("[a-z]+"), 0), lambda w: F.length(w) > 4), 1, 3)
+    long_words = F.filter(F.regexp_extract_all(F.lower("docstring"), F.lit("[a-z]+"), 0), lambda w: F.length(w) > 4)
+    long_words = long_words if summary_words is None else F.slice(long_words, 1, summary_words)
     concepts = F.array_distinct(
         F.concat(F.array_compact(F.array(cleaned("name"), cleaned("parent_name"))), path_parts, F.coalesce(long_words, F.array().cast("array<string>")))
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +30,36 @@ def line_windows(df: DataFrame, text: str = "text", size: int = WINDOW_LINES, ov
     return out.filter(F.col("content").rlike(r"\S")).drop("_lines", "_w")
 
 
-def _merged_paragraphs(text: str) -> list[dict]:
-    """Runs of non-blank lines; neighbours join while they stay below 400 characters."""
-    runs, run, first = [], [], 1
-    rows = text.splitlines()
-    for number, row in enumerate([*rows, ""], 1):
-        if row.strip():
-            first = first if run else number
-            run.append(row)
-        elif run:
-            body = "\n".join(run) + "\n"
-            runs.append({"content": body, "start_line": first, "end_line": number - 1})
-            run = []
-    merged: list[dict] = []
-    for part in runs:
-        if merged and len(merged[-1]["content"]) + len(part["content"]) < MERGE_LIMIT:
-            merged[-1]["content"] += "\n" + part["content"]
-            merged[-1]["end_line"] = part["end_line"]
-        else:
-            merged.append(part)
-    return merged
+_PARAGRAPH = "struct<content:string,start_line:int,end_line:int>"
 
 
 def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
-    """Paragraph chunks of each text. Merging is sequential within one text, so it is one small Arrow function."""
+    """Paragraph chunks of each text: lines up to a blank one, neighbours joined while they stay below MERGE_LIMIT characters.
 
-    @F.pandas_udf("array<struct<content:string,start_line:int,end_line:int>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(_merged_paragraphs)
-
-    return df.withColumn("_c", F.explode(cut(F.col(text)))).select(*df.columns, "_c.content", "_c.start_line", "_c.end_line")
+    One pass over a text's lines as a Column: the open paragraph's lines, the chunk that may still grow, and the finished ones.
+    """
+    none = F.lit(None).cast(_PARAGRAPH)
+    state = F.struct(F.array().cast(f"array<{_PARAGRAPH}>").alias("done"), none.alias("last"), F.array().cast("array<string>").alias("run"), F.lit(0).alias("line"))
+
+    def chunk(content: Column, start: Column, end: Column) -> Column:
+        return F.struct(content.alias("content"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
+
+    def step(s: Column, row: Column) -> Column:
+        line = s["line"] + 1
+        filled = F.coalesce(row.rlike(r"\S"), F.lit(False))
+        body = F.concat(F.array_join(s["run"], "\n"), F.lit("\n"))
+        closes = ~filled & (F.size(s["run"]) > 0)
+        joins_ = s["last"].isNotNull() & (F.length(s["last"]["content"]) + F.length(body) < MERGE_LIMIT)
+        joined = chunk(F.concat(s["last"]["content"], F.lit("\n"), body), s["last"]["start_line"], line - 1)
+        alone = chunk(body, line - F.size(s["run"]), line - 1)
+        done = F.when(closes & ~joins_ & s["last"].isNotNull(), F.concat(s["done"], F.array(s["last"]))).otherwise(s["done"])
+        last = F.when(closes & joins_, joined).when(closes, alone).otherwise(s["last"])
+        run = F.when(filled, F.concat(s["run"], F.array(row))).otherwise(F.array().cast("array<string>"))
+        return F.struct(done.alias("done"), last.alias("last"), run.alias("run"), line.cast("int").alias("line"))
+
+    ended = F.concat(tx.lines(F.col(text)), F.array(F.lit("")))
+    found = F.aggregate(ended, state, step, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
+    return df.withColumn("_c", F.explode(found)).select(*df.columns, "_c.content", "_c.start_line", "_c.end_line")
 
 
 def chunk_text(df: DataFrame, text: str = "text", path: str = "file_path", mode: str = "auto") -> DataFrame:
@@ -92,8 +91,10 @@ def contextual_text(
     function_name: Column | None = None,
     imports: Column | None = None,
     docstring: Column | None = None,
+    max_imports: int | None = None,
+    max_summary: int | None = None,
 ) -> Column:
-    """Content under a one-line header ``File: … | Lang: … | Class: … | Fn: … | Uses: … | Desc: …``."""
+    """Content under a one-line header ``File: … | Lang: … | Class: … | Fn: … | Uses: … | Desc: …``; all imports and the whole summary unless limited."""
     parts = []
     if file_path is not None:
         seg = F.split(file_path, "/")
@@ -106,9 +107,9 @@ def contextual_text(
     if function_name is not None:
         parts.append(F.when(function_name != "", F.concat(F.lit("Fn: "), function_name)))
     if imports is not None:
-        parts.append(F.when(F.size(imports) > 0, F.concat(F.lit("Uses: "), F.array_join(F.slice(imports, 1, 10), ", "))))
+        parts.append(F.when(F.size(imports) > 0, F.concat(F.lit("Uses: "), F.array_join(_first(imports, max_imports), ", "))))
     if docstring is not None:
-        parts.append(F.when(F.trim(docstring) != "", F.concat(F.lit("Desc: "), summary_line(docstring))))
+        parts.append(F.when(F.trim(docstring) != "", F.concat(F.lit("Desc: "), summary_line(docstring, max_summary))))
     header = F.concat_ws(" | ", *parts)
     return F.when(header != "", F.concat(header, F.lit("\n---\n"), content)).otherwise(content)
 
@@ -119,23 +120,32 @@ def bracket_text(
     imports: Column | None = None,
     docstring: Column | None = None,
     calls: Column | None = None,
+    max_names: int | None = None,
+    max_summary: int | None = None,
 ) -> Column:
-    """The bracket form: ``[class …]``, ``[imports: …]``, summary, ``[calls: …]``, content on lines of their own."""
-    five = lambda c: F.array_join(F.slice(c, 1, 5), ", ")
+    """The bracket form: ``[class …]``, ``[imports: …]``, summary, ``[calls: …]``, content on lines of their own; all names and the whole summary unless limited."""
+    listed = lambda c: F.array_join(_first(c, max_names), ", ")
     parts = []
     if class_name is not None:
         parts.append(F.when(class_name != "", F.format_string("[class %s]", class_name)))
     if imports is not None:
-        parts.append(F.when(F.size(imports) > 0, F.format_string("[imports: %s]", five(imports))))
+        parts.append(F.when(F.size(imports) > 0, F.format_string("[imports: %s]", listed(imports))))
     if docstring is not None:
-        parts.append(F.when(F.trim(docstring) != "", summary_line(docstring)))
+        parts.append(F.when(F.trim(docstring) != "", summary_line(docstring, max_summary)))
     if calls is not None:
-        parts.append(F.when(F.size(calls) > 0, F.format_string("[calls: %s]", five(calls))))
+        parts.append(F.when(F.size(calls) > 0, F.format_string("[calls: %s]", listed(calls))))
     return F.concat_ws("\n", *parts, content)
 
 
-def summary_line(docstring: Column, limit: int = 200) -> Column:
+def _first(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
+def summary_line(docstring: Column, limit: int | None = None) -> Column:
+    """A docstring without blanks around it, cut after ``limit`` characters."""
     body = F.trim(docstring)
+    if limit is None:
+        return body
     cut = F.concat(F.rtrim(F.substring(body, 1, limit)), F.lit("..."))
     return F.when(F.length(body) > limit, cut).otherwise(body)
 

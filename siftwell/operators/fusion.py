@@ -205,11 +205,9 @@ def kg_boost(hits: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataF
 def context_boost(hits: DataFrame, context: DataFrame, score: str = "score") -> DataFrame:
     """+0.1 for a hit in a context file, +0.05 each when its function or class name occurs in a context text.
 
-    A name occurs in a text exactly when it occurs in one of its blank-separated
-    words, so distinct words and distinct names are matched by shared character
-    windows instead of scanning every text for every name.
+    All names are looked up in the distinct blank-separated words of the texts in one pass.
     """
-    from siftwell.operators.graph import substring_pairs
+    from siftwell.operators.names import substring_pairs
 
     in_file = context.select("file_path").distinct().withColumn("_in", F.lit(True))
     vocabulary = context.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("text")).distinct().select(F.col("text").alias("text_id"), "text")
@@ -240,14 +238,14 @@ def context_lines(hits: DataFrame, files: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def suggest_queries(hits: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+def suggest_queries(hits: DataFrame, queries: DataFrame, n: int = 5, per_kind: int = 3, best_files: int = 5) -> DataFrame:
     """(query_id, suggestion, place): up to ``n`` follow-ups per query that it does not hold already.
 
-    With hits: three function names, three class names and three parts of the
-    file names of the five best hits, in name order. Without: related terms.
-    Only three values per query and kind ever meet.
+    With hits: ``per_kind`` function names, class names and parts of the
+    file names of the ``best_files`` best hits each, in name order. Without: related terms.
+    Only that many values per query and kind ever meet.
     """
-    five = hits.filter(F.col("rank") <= 5)
+    five = hits.filter(F.col("rank") <= best_files)
     stem = F.regexp_replace(tx.basename(F.col("file_path")), r"(?<=.)\.[^.]*$", "")
     kinds = [
         (0, hits.select("query_id", F.col("function_name").alias("suggestion"))),
@@ -259,7 +257,7 @@ def suggest_queries(hits: DataFrame, queries: DataFrame, n: int = 5) -> DataFram
     for kind, df in kinds:
         part = df.filter(F.coalesce("suggestion", F.lit("")) != "").distinct().withColumn("kind", F.lit(kind))
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= 3)
+    rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_kind)
     found = hits.select("query_id").distinct()
     alone = queries.join(found, "query_id", "left_anti").select(
         "query_id", F.posexplode(qx.suggest_without_results(F.col("text"))).alias("_r", "suggestion")

@@ -167,20 +167,21 @@ def phase_summary(phased: DataFrame, n: int = 5) -> DataFrame:
     return top.join(F.broadcast(stats), "phase")
 
 
-def timeline_events(commits: DataFrame, issues: DataFrame, pulls: DataFrame, n: int = 10) -> DataFrame:
-    """Event rows: the n widest commits, the first n issues (opened, closed) and the first n merged requests."""
+def timeline_events(commits: DataFrame, issues: DataFrame, pulls: DataFrame, n: int = 10, max_issues: int | None = None, max_pulls: int | None = None) -> DataFrame:
+    """Event rows: the n widest commits, and the issues (opened, closed) and merged requests, all or the first by number."""
     big = commits.orderBy(F.col("files_changed").desc(), "sha").limit(n).select(
         F.col("ts").alias("date"), F.lit("commit").alias("event_type"), F.col("sha").cast("string").alias("ref"),
         F.least(F.col("files_changed") / 20, F.lit(1.0)).alias("importance"),
     )
-    first = issues.orderBy("number").limit(n)
+    first = issues if max_issues is None else issues.orderBy("number").limit(max_issues)
     opened = first.select(
         F.col("created_at").alias("date"), F.lit("issue_opened").alias("event_type"), F.col("number").cast("string").alias("ref"), F.lit(0.6).alias("importance")
     )
     closed = first.filter(F.col("closed_at").isNotNull()).select(
         F.col("closed_at").alias("date"), F.lit("issue_closed").alias("event_type"), F.col("number").cast("string").alias("ref"), F.lit(0.5).alias("importance")
     )
-    merged = pulls.filter(F.col("merged_at").isNotNull()).orderBy("number").limit(n).select(
+    merged = pulls.filter(F.col("merged_at").isNotNull())
+    merged = (merged if max_pulls is None else merged.orderBy("number").limit(max_pulls)).select(
         F.col("merged_at").alias("date"), F.lit("merge").alias("event_type"), F.col("number").cast("string").alias("ref"),
         F.least(F.col("files_changed") / 15, F.lit(1.0)).alias("importance"),
     )

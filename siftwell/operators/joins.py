@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.functions import text as tx
-from siftwell.runtime import cut_lineage, number_in_group, running
+from siftwell.runtime import cut_lineage, drop_written, number_in_group, running
 
 HOT_GROUP = 2000
 
@@ -90,13 +90,50 @@ def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return running(seen, keys, ["start_line", "end_line"], opens, "sum", "_island").drop("_reach")
 
 
+def _inner_nodes(start: Column, end: Column, levels: int) -> Column:
+    """The largest blocks of 2^level lines that fill [start, end], as (level, nth)."""
+    def at(level: Column) -> Column:
+        first = F.floor((start + F.pow(F.lit(2.0), level) - 1) / F.pow(F.lit(2.0), level)).cast("long")
+        last = F.floor((end + 1) / F.pow(F.lit(2.0), level)).cast("long")
+        some = first < last
+        return F.array_compact(F.array(
+            F.when(some & (first % 2 == 1), F.struct(level.alias("level"), first.alias("nth"))),
+            F.when(some & (last % 2 == 1), F.struct(level.alias("level"), (last - 1).alias("nth"))),
+        ))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def _outer_nodes(start: Column, end: Column, levels: int) -> Column:
+    """The blocks of every size that hold the first or the last line, as (level, nth)."""
+    def at(level: Column) -> Column:
+        block = lambda line: F.struct(level.alias("level"), F.floor(line / F.pow(F.lit(2.0), level)).cast("long").alias("nth"))
+        return F.array(block(start), block(end))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))
+
+
+def _best_overlapping(rows: DataFrame, others: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """(key columns, start_line, end_line, best): the best ``rank`` among ``others`` that overlap each of ``rows``, without comparing pairs.
+
+    Two ranges overlap exactly when one is made of a block that holds an end of the other. So each range offers its rank to
+    its own blocks and to those around its ends, and asks the other way round.
+    """
+    s, e = F.col("start_line"), F.col("end_line")
+    own, ends = _inner_nodes(s, e, levels), _outer_nodes(s, e, levels)
+    spread = lambda df, kind, nodes: df.select(*keys, "start_line", "end_line", *([c for c in ("rank",) if c in df.columns]), F.lit(kind).alias("_kind"), F.explode(nodes).alias("_node"))
+    offered = spread(others, 0, own).unionByName(spread(others, 1, ends)).groupBy(*keys, "_kind", "_node").agg(F.max("rank").alias("_offer"))
+    asked = spread(rows.drop("rank"), 1, own).unionByName(spread(rows.drop("rank"), 0, ends))
+    return asked.join(offered, [*keys, "_kind", "_node"]).groupBy(*keys, "start_line", "end_line").agg(F.max("_offer").alias("best"))
+
+
 def overlap_dedup(evidence: DataFrame, path: str = "file_path", score: str = "score", hot: int = HOT_GROUP) -> DataFrame:
     """Best row per (claim, file, range), then greedily without ranges that overlap a better one in the same file.
 
     Exact repeats go first by partial aggregation. Ranges are then split into
     islands of touching ranges, which cannot influence each other. Single ranges
-    stay as they are, islands up to ``hot`` ranges are swept as one small group; of a larger one the best range
-    is kept, all that overlap it leave, and the rest is split again.
+    stay as they are, islands up to ``hot`` ranges are swept as one small group. In larger ones all ranges that are better than everything they
+    overlap are kept at once, what overlaps them leaves, and the rest goes on: few rounds, as many ranges are the best around them.
     """
     keys = ["claim_id", path]
     best = evidence.groupBy(*keys, "start_line", "end_line").agg(F.max(score).cast("double").alias(score))
@@ -114,25 +151,24 @@ def overlap_dedup(evidence: DataFrame, path: str = "file_path", score: str = "sc
                 rows.append(i)
         return pdf.loc[rows, columns]
 
-    out = best.filter(zero)
-    rest = best.filter(~zero)
     group = [*keys, "_island"]
-    while True:
-        cut = cut_lineage(_islands(rest, keys))
-        sizes = cut.groupBy(*group).agg(
-            F.count("*").alias("_n"),
-            F.max(F.struct(F.col(score).alias("s"), (-F.col("start_line")).alias("a"), (-F.col("end_line")).alias("b"))).alias("_top"),
-        )
-        sized = cut.join(sizes, group)
-        out = out.unionByName(sized.filter(F.col("_n") == 1).select(*columns))
-        out = out.unionByName(sized.filter((F.col("_n") > 1) & (F.col("_n") <= hot)).select(*columns, "_island").groupBy(*group).applyInPandas(sweep, schema))
-        large = cut_lineage(sized.filter(F.col("_n") > hot))
-        if large.isEmpty():
-            return out
-        first, last = -F.col("_top.a"), -F.col("_top.b")
-        is_top = (F.col("start_line") == first) & (F.col("end_line") == last)
-        out = out.unionByName(large.filter(is_top).select(*columns))
-        rest = large.filter((F.col("start_line") > last) | (F.col("end_line") < first)).select(*columns)
+    cut = cut_lineage(_islands(best.filter(~zero), keys))
+    sized = cut.join(cut.groupBy(*group).agg(F.count("*").alias("_n")), group)
+    out = best.filter(zero).unionByName(sized.filter("_n = 1").select(*columns))
+    out = out.unionByName(sized.filter((F.col("_n") > 1) & (F.col("_n") <= hot)).select(*columns, "_island").groupBy(*group).applyInPandas(sweep, schema))
+    rank = F.struct(F.col(score).alias("s"), (-F.col("start_line")).alias("a"), (-F.col("end_line")).alias("b"))
+    rest = cut_lineage(sized.filter(F.col("_n") > hot).select(*columns).withColumn("rank", rank))
+    line = rest.agg(F.max("end_line")).first()[0]
+    levels = int(line or 1).bit_length()
+    place = [*keys, "start_line", "end_line"]
+    while not rest.isEmpty():
+        kept = cut_lineage(rest.join(_best_overlapping(rest, rest, keys, levels), place).filter(F.col("rank") == F.col("best")).drop("best"))
+        out = out.unionByName(kept.select(*columns))
+        gone = _best_overlapping(rest, kept, keys, levels).select(*place)
+        left = cut_lineage(rest.join(gone, place, "left_anti"))
+        drop_written(rest)
+        rest = left
+    return out
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

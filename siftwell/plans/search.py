@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql.window import Window
 
 from siftwell.functions import extensions
 from siftwell.functions import queries as qx
-from siftwell.operators import fusion, joins, lexical, predicates, vector
-from siftwell.runtime import cut_lineage, fixed_table
+from siftwell.functions import text as tx
+from siftwell.operators import fusion, graph, joins, lexical, predicates, vector
+from siftwell.runtime import cut_lineage, fixed_table, number_in_group
 
 
 @dataclass(frozen=True)
@@ -19,7 +21,8 @@ class SearchTables:
     """Everything a search reads. ``nodes`` / ``edges`` and ``files`` are optional.
 
     chunks: chunk_id, file_path, content, chunk_type, language, function_name, class_name, start_line, end_line.
-    ``embedder`` makes query vectors like those in ``vectors``: a registered name, or None for hashed tokens.
+    ``embedder`` makes query vectors like those in ``vectors``: a registered name, or None for hashed tokens. ``code_vectors`` (chunk_id, vector) is a
+    second space of the same dimension, whose near hits lift those of the first.
     """
 
     chunks: DataFrame
@@ -30,6 +33,7 @@ class SearchTables:
     edges: DataFrame | None = None
     files: DataFrame | None = None
     embedder: str | None = None
+    code_vectors: DataFrame | None = None
 
     def query_vectors(self, variants: DataFrame) -> DataFrame:
         """(variant_id, vector) of the query variants, of the stored vectors' dimension."""
@@ -56,6 +60,11 @@ class SearchOptions:
     context: bool = False
     filters: dict | None = None
     scorer: vector.Scorer | None = None
+    path_glob: str | None = None
+    quality: dict | None = None
+    quality_rerank: bool = False
+    enrich: bool = True
+    enrich_threshold: float = 0.65
 
 
 def prepared_queries(queries: DataFrame, opts: SearchOptions) -> DataFrame:
@@ -77,16 +86,21 @@ def prepared_queries(queries: DataFrame, opts: SearchOptions) -> DataFrame:
 def search(tables: SearchTables, queries: DataFrame, opts: SearchOptions | None = None, files: DataFrame | None = None) -> DataFrame:
     """Ranked hits of every query: query_id, chunk_id, score, rank and the chunk columns.
 
-    ``files`` (file_path) narrows the search to some files. Filters are applied before retrieval in every mode. All queries and variants
+    Options also take a path glob and quality limits (``predicates.filter_quality``) before the search, a second vector space that lifts near hits, and a re-rank by
+    the chunks' quality columns at the end. ``files`` (file_path) narrows the search to some files. Filters are applied before retrieval in every mode. All queries and variants
     are one job: vectors are scanned once, and postings meet only asked terms.
     """
     opts = opts or SearchOptions()
     chunks = predicates.where_filters(tables.chunks, opts.filters or {})
     if opts.tests_only:
         chunks = predicates.filter_tests_only(chunks, name="function_name")
+    if opts.path_glob:
+        chunks = predicates.filter_path_glob(chunks, opts.path_glob)
+    if opts.quality:
+        chunks = predicates.filter_quality(chunks, **opts.quality)
     if files is not None:
         chunks = chunks.join(files.select("file_path").distinct(), "file_path", "left_semi")
-    narrowed = bool(opts.filters) or opts.tests_only or files is not None
+    narrowed = bool(opts.filters or opts.path_glob or opts.quality) or opts.tests_only or files is not None
     allowed = chunks.select("chunk_id")
     variants = cut_lineage(prepared_queries(queries, opts))
     depth = opts.rerank_top_n if opts.rerank else opts.limit
@@ -96,14 +110,17 @@ def search(tables: SearchTables, queries: DataFrame, opts: SearchOptions | None
     if opts.mode in ("hybrid", "vector"):
         space = tables.vectors.join(allowed, "chunk_id", "left_semi") if narrowed else tables.vectors
         asked = tables.query_vectors(variants)
-        near = vector.knn_exact(space, asked, depth, query_id="variant_id").withColumnRenamed("query_id", "variant_id")
+        near = vector.knn_exact(space, asked, depth, query_id="variant_id")
+        if tables.code_vectors is not None and opts.enrich:
+            second = tables.code_vectors.join(allowed, "chunk_id", "left_semi") if narrowed else tables.code_vectors
+            code = vector.knn_exact(second, asked, 2 * depth, query_id="variant_id")
+            lifted = vector.code_vector_enrich(near, code, opts.enrich_threshold)
+            near = lexical.assign_rank(lifted.select("query_id", "chunk_id", "score"), depth).withColumnRenamed("score", "similarity")
+        near = near.withColumnRenamed("query_id", "variant_id")
         vec_hits = near.join(keys, "variant_id").filter(F.col("similarity") >= F.col("threshold"))
     if opts.mode in ("hybrid", "bm25"):
-        scores = lexical.bm25_scores(tables.index, variants, "variant", "variant_id")
-        if narrowed:
-            scores = scores.join(allowed, "chunk_id", "left_semi")
-        top = lexical.assign_rank(scores, depth).withColumnRenamed("query_id", "variant_id")
-        text_hits = top.withColumn("similarity", F.least(F.lit(1.0), F.col("score") / 10))
+        top = lexical.bm25_search(tables.index, variants, depth, "variant", "variant_id", allowed if narrowed else None)
+        text_hits = top.withColumnRenamed("query_id", "variant_id").withColumn("similarity", F.least(F.lit(1.0), F.col("score") / 10))
 
     if opts.mode == "hybrid":
         v = vec_hits.select(F.col("variant_id").alias("query_id"), "chunk_id", "rank")
@@ -136,7 +153,60 @@ def search(tables: SearchTables, queries: DataFrame, opts: SearchOptions | None
         hits = joins.stale_result_filter(hits, tables.files)
         if opts.context:
             hits = fusion.context_lines(hits, tables.files)
-    return fusion.rank_features(hits)
+    ranked = fusion.rank_features(hits)
+    if opts.quality_rerank:
+        ranked = fusion.quality_rerank(ranked.drop("rank"))
+    return ranked
+
+
+# Words that name nothing, and the least fused score that counts.
+STOP_TERMS = ["a", "an", "the", "is", "in", "at", "of", "on", "to", "and", "or", "for", "with", "by", "from", "as", "be", "this", "that", "it", "its", "are", "was", "were"]
+LEAST_FUSED = 0.01
+
+
+def graph_hits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int | None = None, max_terms: int | None = None) -> DataFrame:
+    """(query_id, file_path, rank): files of what the entities named in a query are directly related to.
+
+    Terms of three letters or more name an entity exactly or as part of its name. A file stands at its first term, then the related id; all
+    files and terms count, or the first ``limit`` and ``max_terms``.
+    """
+    words = F.array_distinct(F.filter(tx.words(F.col("text")), lambda w: (F.length(w) >= 3) & ~w.isin(STOP_TERMS)))
+    terms = queries.select("query_id", F.posexplode(words).alias("_nth", "query_name"))
+    if max_terms is not None:
+        terms = terms.filter(F.col("_nth") < max_terms)
+    terms = cut_lineage(terms)
+    named = cut_lineage(graph.find_entity(nodes, terms.select("query_name").distinct()))
+    related = graph.find_related(edges, named.select(F.col("id").alias("start")).distinct(), 1)
+    files = nodes.select(F.col("id").alias("node"), "file_path").filter(F.coalesce("file_path", F.lit("")) != "")
+    seen = terms.join(named, "query_name").join(related.withColumnRenamed("start", "id"), "id").join(files, "node")
+    first = seen.groupBy("query_id", "file_path").agg(F.min(F.struct("_nth", "node")).alias("_at"))
+    ranked = number_in_group(first.select("query_id", "file_path", "_at._nth", "_at.node"), ["query_id"], ["_nth", "node", "file_path"], "rank")
+    ranked = ranked.select("query_id", "file_path", F.col("rank").cast("int").alias("rank"))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
+def three_way_search(tables: SearchTables, queries: DataFrame, limit: int = 10, strategies: Sequence[str] = ("semantic", "text", "graph"), least: float = LEAST_FUSED) -> DataFrame:
+    """(query_id, file_path, start_line, content, strategies, score, rank): vector, text and graph lists of a batch of queries, fused by place.
+
+    Each list is three times as deep as the result; fused scores below ``least`` leave. A graph hit stands for a
+    file as a whole (line 0, no content). The lists of all queries are one job each.
+    """
+    asked = queries.select("query_id", "text").filter(F.trim("text") != "")
+    place = tables.chunks.select("chunk_id", "file_path", "start_line", "content")
+    lists = {}
+    if "semantic" in strategies:
+        own = tables.query_vectors(asked.select(F.col("query_id").alias("variant_id"), F.col("text").alias("variant")))
+        lists["semantic"] = vector.knn_exact(tables.vectors, own, 3 * limit, query_id="variant_id").select("query_id", "chunk_id", "rank").join(place, "chunk_id")
+    if "text" in strategies:
+        lists["text"] = lexical.bm25_search(tables.index, asked, 3 * limit).select("query_id", "chunk_id", "rank").join(place, "chunk_id")
+    if "graph" in strategies and tables.nodes is not None and tables.edges is not None:
+        found = graph_hits(asked, tables.nodes, tables.edges, 3 * limit)
+        lists["graph"] = found.select("query_id", "file_path", F.lit(0).cast(place.schema["start_line"].dataType).alias("start_line"), F.lit("").alias("content"), "rank")
+    if not lists:
+        raise ValueError(f"no list to fuse for {list(strategies)}")
+    fused = fusion.rrf_three_way(lists).filter(F.col("score") >= least)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file_path", "start_line")
+    return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
 def search_similar(tables: SearchTables, chunk_ids: DataFrame, opts: SearchOptions | None = None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,25 +62,107 @@ def apply_changes(chunks: DataFrame, events: DataFrame, fresh: DataFrame) -> Dat
     return kept.unionByName(fresh.join(alive, "file_path", "left_semi").select(*kept.columns))
 
 
+DUE_SCHEMA = "file_path string, event_type string, start timestamp, last timestamp, event_id bigint, events bigint"
+
+
+def due_changes(events: DataFrame, gap_seconds: float, watermark: str, keep_applied: str | None = None) -> DataFrame:
+    """(file_path, event_type, start, last, event_id, events) of a stream of events: a file's last change, once it has been quiet for ``gap_seconds``.
+
+    Each file has its open run of events in state and a timer at its last one plus the gap; when the watermark passes the timer the
+    change goes out, and its time and id stay behind, for deletions too, so that an event that comes late opens nothing. ``keep_applied``
+    (an interval such as "7 days") forgets them some time after.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    ttl = None if keep_applied is None else int(_seconds(events.sparkSession, keep_applied) * 1000)
+
+    class Quiet(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.run = handle.getValueState("run", "start timestamp, last timestamp, event_id bigint, event_type string, events bigint, timer bigint")
+            self.applied = handle.getValueState("applied", "last timestamp, event_id bigint", **({} if ttl is None else {"ttlDurationMs": ttl}))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            file_path = key[0]
+            applied = self.applied.get() if self.applied.exists() else None
+            run = self.run.get() if self.run.exists() else None
+            for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+                if applied is not None and (row.ts, row.event_id) <= (applied[0], applied[1]):
+                    continue
+                if run is not None and (row.ts - run[1]).total_seconds() > gap_seconds:
+                    applied = (run[1], run[2])
+                    yield Row(file_path, run[3], run[0], run[1], run[2], run[4])
+                    self.handle.deleteTimer(run[5]) if run[5] else None
+                    run = None
+                if run is None:
+                    run = (row.ts, row.ts, row.event_id, row.event_type, 1, 0)
+                elif (row.ts, row.event_id) >= (run[1], run[2]):
+                    run = (run[0], row.ts, row.event_id, row.event_type, run[4] + 1, run[5])
+                else:
+                    run = (min(run[0], row.ts), *run[1:4], run[4] + 1, run[5])
+            if applied is not None:
+                self.applied.update(applied)
+            if run is not None:
+                due = int(run[1].timestamp() * 1000 + gap_seconds * 1000) + 1
+                if run[5] != due:
+                    if run[5]:
+                        self.handle.deleteTimer(run[5])
+                    self.handle.registerTimer(due)
+                self.run.update((*run[:5], due))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            if self.run.exists():
+                run = self.run.get()
+                self.run.clear()
+                self.applied.update((run[1], run[2]))
+                yield Row(key[0], run[3], run[0], run[1], run[2], run[4])
+
+        def close(self) -> None:
+            pass
+
+    stream = events.withWatermark("ts", watermark).groupBy("file_path")
+    return stream.transformWithState(Quiet(), DUE_SCHEMA, "Append", "EventTime")
+
+
+def _seconds(spark: SparkSession, interval: str) -> float:
+    return float(spark.sql(f"SELECT cast(make_timestamp(2000, 1, 1, 0, 0, 0) + INTERVAL {interval} AS double) - cast(make_timestamp(2000, 1, 1, 0, 0, 0) AS double)").first()[0])
+
+
+def due_batch(events: DataFrame, gap_seconds: float) -> DataFrame:
+    """The rows of ``due_changes`` for a finished table of events."""
+    base = events.select("file_path", "event_id", "ts", "event_type", F.col("ts").cast("double").alias("_t"))
+    seen = running(base, ["file_path"], ["_t", "event_id"], F.col("_t"), "max", "_prev", inclusive=False)
+    opens = F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > gap_seconds), 1).otherwise(0)
+    numbered = running(seen, ["file_path"], ["_t", "event_id"], opens, "sum", "_s")
+    last = F.max(F.struct("ts", "event_id", "event_type")).alias("e")
+    out = numbered.groupBy("file_path", "_s").agg(F.min("ts").alias("start"), last, F.count("*").alias("events"))
+    return out.select("file_path", "e.event_type", "start", F.col("e.ts").alias("last"), "e.event_id", "events")
+
+
 def stream_changes(events: DataFrame, root: str, fresh: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Apply every micro-batch of events to the versioned chunk table at ``root``.
+    """Apply every micro-batch of events to the chunk table at ``root`` (keyed by file_path, see ``tables.write_keyed``).
 
     ``fresh`` turns the changed paths into newly cut chunks. The last event applied to
-    each file, deletions too, is kept beside the table, so that an event that comes late
-    changes nothing. A replayed batch gives the same table again.
+    each file, deletions too, is kept in a keyed table beside it, so that an event that comes late
+    changes nothing. Only the folders of the changed files are read and written; a replayed batch gives the same table again.
     """
     applied = f"{root}-applied"
 
     def one_batch(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         last = latest_changes(batch)
-        known = tables.read_version(spark, applied) if tables.current_version(spark, applied) else None
-        if known is not None:
-            before = known.select("file_path", F.struct("ts", "event_id").alias("_before"))
+        known = tables.has_table(spark, applied)
+        if known:
+            before = tables.read_keyed(spark, applied).select("file_path", F.struct("ts", "event_id").alias("_before"))
             last = last.join(before, "file_path", "left").filter(F.col("_before").isNull() | (F.struct("ts", "event_id") >= F.col("_before"))).drop("_before")
         last = cut_lineage(last)
-        tables.write_version(apply_changes(tables.read_version(spark, root), last, fresh(last.select("file_path"))), root)
-        tables.write_version(last if known is None else tables.upsert_by_key(known, last, ["file_path"]), applied)
+        alive = last.filter(F.col("event_type") != "deleted").select("file_path")
+        cut = fresh(alive)
+        tables.upsert_keyed(cut, root, "file_path", gone=last)
+        if known:
+            tables.upsert_keyed(last, applied, "file_path")
+        else:
+            tables.write_keyed(last, applied, "file_path")
 
     return events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

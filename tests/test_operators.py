@@ -10,7 +10,7 @@ from siftwell.functions import metrics as mx
 from siftwell.functions import pycode
 from siftwell.functions import queries as qx
 from siftwell.functions import text as tx
-from siftwell.operators import audit, chunking, documents, fusion, graph, joins, lexical, predicates, vector
+from siftwell.operators import audit, chunking, documents, fusion, graph, joins, lexical, names, predicates, vector
 from siftwell.sources import formats, tables
 from siftwell.streaming import changes
 
@@ -179,7 +179,7 @@ def test_cycles_self_two_long_and_acyclic(spark):
 def test_lca_on_a_tree_of_depth_four(spark):
     e = edge_table(spark, [("root", "m1"), ("root", "m2"), ("m1", "file"), ("file", "cls"), ("cls", "a"), ("cls", "b"), ("q", "r")])
     pairs = spark.createDataFrame([("a", "b"), ("a", "m2"), ("a", "a"), ("a", "r")], "a string, b string")
-    got = {(r.a, r.b): (r.lca, r.resonance) for r in graph.lca_score(graph.tree_paths(e), pairs).collect()}
+    got = {(r.a, r.b): (r.lca, r.resonance) for r in graph.lca_score(e, pairs).collect()}
     assert got[("a", "b")] == ("cls", 1 - 2 / 8)
     assert got[("a", "m2")] == ("root", round(1 - (4 + 1 + 1.5) / 8, 6))
     assert got[("a", "a")] == ("a", 1.0) and got[("a", "r")] == (None, 0.0)
@@ -209,7 +209,7 @@ def test_substring_pairs_match_plain_search(spark):
     a = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
     b = spark.createDataFrame([(n,) for n in needles], "needle string")
     want = sorted((i, n) for i, t in enumerate(texts) for n in needles if n in t)
-    assert rows(graph.substring_pairs(a, b), "text_id", "needle") == want
+    assert rows(names.substring_pairs(a, b), "text_id", "needle") == want
 
 
 def test_documents_sections_links_and_categories(spark):

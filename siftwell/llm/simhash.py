@@ -18,6 +18,8 @@ SEED = 42
 BITS = 64
 #: Rows, and share of rows, on which the order of the shingles is estimated, and how many common ones are put last; any order finds the same pairs.
 ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.01, 1_000_000
+#: Share of a text's first shingles that it has in common with a neighbour to be compared with it ahead of all others.
+CHAIN_SHARE = 0.25
 
 
 def _tally(counts: np.ndarray, shingles: Iterable[bytes]) -> int:
@@ -219,21 +221,27 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return cut_lineage(map_texts(rows, "text", ("node",), "shingles array<long>", lambda found: ([shingle_set(t, words).view(np.int64) for t in found],)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more, written."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more, written. Only texts of some pair are read again, each once."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "digest", "doc_id")
+    sets = shingle_sets(docs, asked, words)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+    found = pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    found = cut_lineage(found)
+    drop_written(sets)
+    return found
 
 
 def _fits(similarity: float) -> Column:
     return F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
 
 
-def chain_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): for each node the smaller neighbour ``before`` it that it shares most of its first shingles with; at most one pair a node."""
-    met = rows.where("before is not null").groupBy("node", "before").agg(F.count("*").alias("common"))
-    best = met.groupBy("node").agg(F.max_by("before", F.struct("common", "before")).alias("before"))
+def chain_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), written: for each node the smaller neighbour ``before`` it that it shares most of its first shingles with, if they are CHAIN_SHARE of them; at most one pair a node."""
+    met = rows.where("before is not null").groupBy("node", "before").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    near = met.where(F.col("common") >= CHAIN_SHARE * (F.col("n") - F.ceil(similarity * F.col("n")) + 1))
+    best = near.groupBy("node").agg(F.max_by("before", F.struct("common", "before")).alias("before"))
     return cut_lineage(best.select(F.col("node").alias("a"), F.col("before").alias("b")))
 
 
@@ -265,16 +273,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     nodes = distinct_texts(docs, words, similarity)
     rows = shared_shingles(nodes)
-    asked = nodes.join(rows.select("node").distinct(), "node").select("node", "digest", "doc_id")
-    sets = shingle_sets(docs, asked, words)
-    chain = chain_pairs(rows)
-    links = verified(chain, sets, similarity)
+    chain = chain_pairs(rows, similarity)
+    links = verified(chain, docs, nodes, words, similarity)
     groups = cut_lineage(connected_components(links))
     missed = missed_pairs(rows, groups, chain, similarity)
-    more = verified(missed, sets, similarity)
-    drop_written(rows, sets, chain, missed)
-    if not more.isEmpty():
-        groups = cut_lineage(connected_components(links.unionAll(more)))
+    drop_written(rows, chain)
+    if not missed.isEmpty():
+        links = links.unionAll(verified(missed, docs, nodes, words, similarity))
+        groups = cut_lineage(connected_components(links))
     return nodes.join(groups, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
 
 

@@ -62,48 +62,46 @@ def apply_changes(chunks: DataFrame, events: DataFrame, fresh: DataFrame) -> Dat
     return kept.unionByName(fresh.join(alive, "file_path", "left_semi").select(*kept.columns))
 
 
-DUE_SCHEMA = "file_path string, event_type string, start timestamp, last timestamp, event_id bigint, events bigint"
-
-
 def due_changes(events: DataFrame, gap_seconds: float, watermark: str, keep_applied: str | None = None) -> DataFrame:
     """(file_path, event_type, start, last, event_id, events) of a stream of events: a file's last change, once it has been quiet for ``gap_seconds``.
 
     Each file has its open run of events in state and a timer at its last one plus the gap; when the watermark passes the timer the
     change goes out, and its time and id stay behind, for deletions too, so that an event that comes late opens nothing. ``keep_applied``
-    (an interval such as "7 days") forgets them some time after.
+    (an interval such as "7 days") forgets them some time after. Times in state are microseconds.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     ttl = None if keep_applied is None else int(_seconds(events.sparkSession, keep_applied) * 1000)
+    gap = int(gap_seconds * 1_000_000)
 
     class Quiet(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.run = handle.getValueState("run", "start timestamp, last timestamp, event_id bigint, event_type string, events bigint, timer bigint")
-            self.applied = handle.getValueState("applied", "last timestamp, event_id bigint", **({} if ttl is None else {"ttlDurationMs": ttl}))
+            self.run = handle.getValueState("run", "start bigint, last bigint, event_id bigint, event_type string, events bigint, timer bigint")
+            self.applied = handle.getValueState("applied", "last bigint, event_id bigint", **({} if ttl is None else {"ttlDurationMs": ttl}))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            file_path = key[0]
-            applied = self.applied.get() if self.applied.exists() else None
-            run = self.run.get() if self.run.exists() else None
-            for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-                if applied is not None and (row.ts, row.event_id) <= (applied[0], applied[1]):
+            applied = tuple(self.applied.get()) if self.applied.exists() else None
+            run = tuple(self.run.get()) if self.run.exists() else None
+            for at, event_id, event_type in sorted((r.at, r.event_id, r.event_type) for r in rows):
+                if applied is not None and (at, event_id) <= applied:
                     continue
-                if run is not None and (row.ts - run[1]).total_seconds() > gap_seconds:
-                    applied = (run[1], run[2])
-                    yield Row(file_path, run[3], run[0], run[1], run[2], run[4])
-                    self.handle.deleteTimer(run[5]) if run[5] else None
+                if run is not None and at - run[1] > gap:
+                    applied = run[1:3]
+                    yield _due(key[0], run)
+                    if run[5]:
+                        self.handle.deleteTimer(run[5])
                     run = None
                 if run is None:
-                    run = (row.ts, row.ts, row.event_id, row.event_type, 1, 0)
-                elif (row.ts, row.event_id) >= (run[1], run[2]):
-                    run = (run[0], row.ts, row.event_id, row.event_type, run[4] + 1, run[5])
+                    run = (at, at, event_id, event_type, 1, 0)
+                elif (at, event_id) >= run[1:3]:
+                    run = (run[0], at, event_id, event_type, run[4] + 1, run[5])
                 else:
-                    run = (min(run[0], row.ts), *run[1:4], run[4] + 1, run[5])
+                    run = (min(run[0], at), *run[1:4], run[4] + 1, run[5])
             if applied is not None:
                 self.applied.update(applied)
             if run is not None:
-                due = int(run[1].timestamp() * 1000 + gap_seconds * 1000) + 1
+                due = (run[1] + gap) // 1000 + 1
                 if run[5] != due:
                     if run[5]:
                         self.handle.deleteTimer(run[5])
@@ -112,16 +110,21 @@ def due_changes(events: DataFrame, gap_seconds: float, watermark: str, keep_appl
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             if self.run.exists():
-                run = self.run.get()
+                run = tuple(self.run.get())
                 self.run.clear()
-                self.applied.update((run[1], run[2]))
-                yield Row(key[0], run[3], run[0], run[1], run[2], run[4])
+                self.applied.update(run[1:3])
+                yield _due(key[0], run)
 
         def close(self) -> None:
             pass
 
-    stream = events.withWatermark("ts", watermark).groupBy("file_path")
-    return stream.transformWithState(Quiet(), DUE_SCHEMA, "Append", "EventTime")
+    timed = events.withWatermark("ts", watermark).withColumn("at", F.unix_micros("ts"))
+    due = timed.groupBy("file_path").transformWithState(Quiet(), "file_path string, event_type string, start bigint, last bigint, event_id bigint, events bigint", "Append", "EventTime")
+    return due.select("file_path", "event_type", F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "event_id", "events")
+
+
+def _due(file_path: str, run: tuple) -> Row:
+    return Row(file_path=file_path, event_type=run[3], start=run[0], last=run[1], event_id=run[2], events=run[4])
 
 
 def _seconds(spark: SparkSession, interval: str) -> float:

@@ -276,9 +276,9 @@ def test_parser_and_versions_and_stream(spark):
     root = runtime.scratch_path(spark, "t")
     v = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, x int")
     now = F.lit("2024-01-01").cast("timestamp")
-    assert tables.write_vectors(v, root, "m1", now) == 1
-    assert tables.write_vectors(v.filter("x = 1").withColumn("x", F.lit(9)), root, "m2", now) == 2
-    assert rows(tables.read_version(spark, root), "chunk_id", "x", "model_version") == [("a", 9, "m2"), ("b", 2, "m1")]
+    tables.write_vectors(v, root, "m1", now)
+    tables.write_vectors(v.filter("x = 1").withColumn("x", F.lit(9)), root, "m2", now)
+    assert rows(tables.read_keyed(spark, root), "chunk_id", "x", "model_version") == [("a", 9, "m2"), ("b", 2, "m1")]
 
 
 def test_debounce_gap_rules(spark):
@@ -308,12 +308,12 @@ def test_snapshot_of_one_project_keeps_the_others(spark, tmp_path):
 
 def test_late_events_do_not_bring_files_back(spark, tmp_path):
     root, folder = str(tmp_path / "live"), str(tmp_path / "in")
-    tables.write_version(spark.createDataFrame([("f", "old"), ("g", "old")], "file_path string, content string"), root)
+    tables.write_keyed(spark.createDataFrame([("f", "old"), ("g", "old")], "file_path string, content string"), root, "file_path", 4)
     for i, event in enumerate([(2, "2024-01-02", "f", "deleted"), (1, "2024-01-01", "f", "modified"), (3, "2024-01-03", "g", "modified")]):
         day = spark.createDataFrame([event], "event_id long, ts string, file_path string, event_type string")
         day.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("new_path", F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(folder)
         changes.stream_changes(changes.watch_changes(spark, folder, files_per_trigger=1), root, lambda p: p.withColumn("content", F.lit("new")), str(tmp_path / "state")).awaitTermination()
-    assert rows(tables.read_version(spark, root), "file_path", "content") == [("g", "new")]
+    assert rows(tables.read_keyed(spark, root), "file_path", "content") == [("g", "new")]
 
 
 def test_id_follows_the_whole_content(spark):

@@ -17,9 +17,11 @@ from siftwell.runtime import cut_lineage, drop_written
 SEED = 42
 BITS = 64
 #: Rows, and share of rows, on which the order of the shingles is estimated, and how many common ones are put last; any order finds the same pairs.
-ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.01, 1_000_000
+ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.25, 1_000_000
 #: Share of a text's first shingles that it has in common with a neighbour to be compared with it ahead of all others.
 CHAIN_SHARE = 0.25
+#: Rounds in which only the best candidate of every two groups is compared; what is left then is compared at once.
+ROUNDS = 2
 
 
 def _tally(counts: np.ndarray, shingles: Iterable[bytes]) -> int:
@@ -246,7 +248,7 @@ def chain_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def missed_pairs(rows: DataFrame, groups: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of nodes of different ``groups`` (node, root) that can still be as similar: all that share a first shingle, fit in size, have room for the overlap and aren't ``tested``."""
+    """(a, b, common), written: nodes of different ``groups`` (node, root) that can still be as similar: all that share a first shingle, fit in size, have room for the overlap and aren't ``tested``."""
     rooted = cut_lineage(rows.join(groups, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root")))
     apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     asked = cut_lineage(rooted.join(apart, "shingle"))
@@ -257,9 +259,19 @@ def missed_pairs(rows: DataFrame, groups: DataFrame, tested: DataFrame, similari
     met = first.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
         F.count("*").alias("common"), F.min(room).alias("room"), F.min(needed).alias("needed")
     )
-    found = met.where(F.col("common") + F.col("room") >= F.col("needed")).select("a", "b")
+    found = met.where(F.col("common") + F.col("room") >= F.col("needed")).select("a", "b", "common")
     tried = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return cut_lineage(found.join(tried, ["a", "b"], "left_anti"))
+    made = cut_lineage(found.join(tried, ["a", "b"], "left_anti"))
+    drop_written(rooted, asked)
+    return made
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, common) whose nodes are in different ``groups``, with the groups as low and high, written."""
+    for side in ("a", "b"):
+        own = groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return cut_lineage(pairs.where("root_a <> root_b").select("a", "b", "common", F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -269,18 +281,30 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     are joined, all of them and only on the shingles themselves. At such a distance (about a seventh of the bits) the ring's keys would be a few
     bits long, so candidates come from prefix filtering: similar texts share one of their rarest shingles. Each text is first
     compared with one neighbour, which joins copies with few changes however many they are; pairs that share such a shingle and are
-    not yet in one group are then compared too, if size and place leave room for the overlap.
+    not yet in one group follow, if size and place leave room for the overlap: the best one of every two groups first, and once groups
+    have grown together those that are still apart.
     """
     nodes = distinct_texts(docs, words, similarity)
     rows = shared_shingles(nodes)
     chain = chain_pairs(rows, similarity)
     links = verified(chain, docs, nodes, words, similarity)
     groups = cut_lineage(connected_components(links))
-    missed = missed_pairs(rows, groups, chain, similarity)
+    pairs = missed_pairs(rows, groups, chain, similarity)
     drop_written(rows, chain)
-    if not missed.isEmpty():
-        links = links.unionAll(verified(missed, docs, nodes, words, similarity))
+    for nth in range(ROUNDS + 1):
+        open_ = _apart(pairs, groups)
+        drop_written(pairs)
+        if open_.isEmpty():
+            break
+        if nth < ROUNDS:
+            best = open_.groupBy("low", "high").agg(F.max(F.struct("common", "a", "b")).alias("p"))
+            chosen = cut_lineage(best.select("p.a", "p.b"))
+        else:
+            chosen = open_.select("a", "b")
+        links = links.unionAll(verified(chosen, docs, nodes, words, similarity))
         groups = cut_lineage(connected_components(links))
+        pairs = cut_lineage(open_.select("a", "b", "common").join(chosen, ["a", "b"], "left_anti"))
+        drop_written(open_)
     return nodes.join(groups, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
 
 

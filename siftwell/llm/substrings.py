@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,56 +30,71 @@ BREAKS = {"paragraph": re.compile(rb"\n[ \t\r]*\n\s*"), "line": re.compile(rb"\n
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def _cuts(words: list[bytes]) -> list[int]:
-    """Places before which a long unit is cut: words whose hash, with that of the word before, is the least within REACH words."""
+def _cuts(words: list[bytes], groups: list[tuple[int, int]]) -> list[int]:
+    """Places before which long units [a, b) of words are cut: words whose hash, with that of the word before, is the least within REACH words of the unit."""
     own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    hashes = own.copy()
-    hashes[1:] ^= own[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    hashes = np.concatenate([own[:1] & np.uint64(0), own[:-1]]) * np.uint64(0x9E3779B97F4A7C15)
+    hashes[[a for a, _ in groups]] = 0
+    hashes ^= own
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xD6E8FEB86659FD93)
-    edge = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
-    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, hashes, edge]), 2 * REACH + 1)
-    least = (hashes == around.min(axis=1)) & (hashes < around[:, :REACH].min(axis=1))
-    return [i for i in np.flatnonzero(least).tolist() if REACH < i < len(words) - REACH]
-
-
-def compared(data: bytes, unit: str = "line", least_words: int = LEAST_WORDS) -> Iterator[tuple[bytes | None, int, int, list[list[int]]]]:
-    """(digest, first word, end word, places) of each unit of a UTF-8 text, in order.
-
-    ``places`` are [start, end) byte places, one for each line or paragraph that the unit takes part of. Lines of ``least_words``
-    words or more are units, shorter ones in a row are one together, without digest if they still are too short; a unit of more than
+    wide = np.full(sum(b - a for a, b in groups) + REACH * (len(groups) + 1), np.iinfo(np.uint64).max, np.uint64)
+    places = np.full(len(wide), -1)
+    at = REACH
+    for a, b in groups:
+        wide[at : at + b - a] = hashes[a:b]
+        places[at + REACH + 1 : at + b - a - REACH] = np.arange(a + REACH + 1, b - REACH)
+        at += b - a + REACH
+    least, have = {1: wide}, 1
+    while have <= REACH:
+        least[2 * have] = np.minimum(least[have][:-have], least[have][have:])
+        have *= 2
+
+    def window(n: int) -> np.ndarray:
+        size = 1 << n.bit_length() - 1
+        return np.minimum(least[size][: len(wide) - n + 1], least[size][n - size :])
+
+    middle = slice(REACH, len(wide) - REACH)
+    cut = (wide[middle] == window(2 * REACH + 1)) & (wide[middle] < window(REACH)[: len(wide) - 2 * REACH])
+    found = places[middle][cut]
+    return found[found >= 0].tolist()
+
+
+def compared(data: bytes, unit: str = "line", least_words: int = LEAST_WORDS) -> tuple[list[tuple[bytes | None, int, int]], np.ndarray, np.ndarray, list[int]]:
+    """((digest, first word, end word) of each unit of a UTF-8 text in order, [start, end) byte places of its words, word numbers at which lines or paragraphs end).
+
+    Lines of ``least_words`` words or more are units, shorter ones in a row are one together, without digest if they still are too short; a unit of more than
     twice as many words is cut by content. Digests are 128 bits of the normalised words.
     """
     folded = data.translate(_FOLD)
     edges = np.flatnonzero(np.diff(np.frombuffer(b" " + folded + b" ", np.uint8) != 32))
     first, last = edges[::2], edges[1::2]
     words = folded.split()
-    ends = [m.start() for m in BREAKS[unit].finditer(data)] + [len(data)]
-    borders = np.searchsorted(first, ends).tolist()
-
-    def placed(a: int, b: int) -> list[list[int]]:
-        inside = [x for x in borders[np.searchsorted(borders, a, "right") : np.searchsorted(borders, b, "left")] if a < x < b]
-        parts = [a, *dict.fromkeys(inside), b]
-        return [[int(first[i]), int(last[j - 1])] for i, j in zip(parts, parts[1:], strict=False)]
-
-    def made(a: int, b: int) -> Iterator[tuple[bytes | None, int, int, list[list[int]]]]:
-        if b - a < least_words:
-            yield None, a, b, placed(a, b)
-            return
-        parts = [a, *(a + i for i in _cuts(words[a:b])), b] if b - a > 2 * least_words else [a, b]
-        for i, j in zip(parts, parts[1:], strict=False):
-            yield xxhash.xxh3_128_digest(b" ".join(words[i:j])), i, j, placed(i, j)
-
-    run = start = 0
+    borders = np.searchsorted(first, [m.start() for m in BREAKS[unit].finditer(data)] + [len(data)]).tolist()
+    groups, run = [], 0
+    start = 0
     for end in borders:
         if end - start >= least_words:
             if run < start:
-                yield from made(run, start)
-            yield from made(start, end)
+                groups.append((run, start))
+            groups.append((start, end))
             run = end
         start = end
     if run < len(words):
-        yield from made(run, len(words))
+        groups.append((run, len(words)))
+    long = [(a, b) for a, b in groups if b - a > 2 * least_words]
+    cuts = _cuts(words, long) if long else []
+    starts = sorted([*(a for a, _ in groups), *cuts])
+    enough = {a for a, b in groups if b - a < least_words}
+    out = [(None if a in enough else xxhash.xxh3_128_digest(b" ".join(words[a:b])), a, b) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]
+    return out, first, last, borders
+
+
+def placed(a: int, b: int, first: np.ndarray, last: np.ndarray, borders: list[int]) -> list[list[int]]:
+    """[start, end) byte places of words a to b, one for each line or paragraph that they take part of."""
+    inside = borders[bisect_right(borders, a) : bisect_left(borders, b)]
+    parts = [a, *dict.fromkeys(inside), b] if inside else [a, b]
+    return [[int(first[i]), int(last[j - 1])] for i, j in zip(parts, parts[1:], strict=False)]
 
 
 def whole_digest(data: bytes) -> bytes | None:
@@ -105,7 +121,8 @@ def units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -
                     if keys[row] in seen or not data:
                         continue
                     seen.add(keys[row])
-                    own = {d for d, *_ in compared(data, unit, least_words) if d is not None} | {whole_digest(data)} - {None}
+                    own = {d for d, _, _ in compared(data, unit, least_words)[0]} | {whole_digest(data)}
+                    own.discard(None)
                     rows += [row] * len(own)
                     digests += own
                 at = pa.array(rows, pa.int64())
@@ -160,18 +177,17 @@ def removed(data: bytes, repeated: set[bytes], unit: str = "line", least_words:
     that is found again goes only next to one that goes.
     """
     seen: set[bytes | None] = set()
-    copy = whole_digest(data) in repeated
-    found = list(compared(data, unit, least_words))
+    copy = bool(repeated) and whole_digest(data) in repeated
+    found, first, last, borders = compared(data, unit, least_words)
     again, out = [], []
-    for d, a, b, _ in found:
+    for d, a, b in found:
         again.append(copy or (d is not None and (d in repeated or d in seen)))
         out.append(copy or (again[-1] and b - a >= min(LEAST_PIECE, least_words)))
         seen.add(d)
     for order in (range(1, len(found)), range(len(found) - 2, -1, -1)):
         for i in order:
             out[i] = out[i] or (again[i] and out[i - order.step])
-    gone = [p for o, (*_, places) in zip(out, found, strict=True) if o for p in places]
-    kept = [p for o, (*_, places) in zip(out, found, strict=True) if not o for p in places]
+    gone, kept = ([p for o, (_, a, b) in zip(out, found, strict=True) if o == goes for p in placed(a, b, first, last, borders)] for goes in (True, False))
     return gone, kept, len(found), sum(out)
 
 

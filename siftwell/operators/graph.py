@@ -517,28 +517,44 @@ def doc_references(edges: DataFrame, sections: DataFrame, targets: DataFrame) ->
     )
 
 
+def _line_jumps(parents: DataFrame) -> list[DataFrame]:
+    """(src, dst) tables of the nodes 1, 2, 4, … steps along the first of each node's parents; one row a node each."""
+    step = cut_lineage(parents.groupBy("src").agg(F.min("dst").alias("dst")))
+    jumps, size = [step], step.count()
+    while len(jumps) <= size.bit_length():
+        further = step.select(F.col("src").alias("dst"), F.col("dst").alias("_far"))
+        step = cut_lineage(step.join(further, "dst").select("src", F.col("_far").alias("dst")))
+        if step.isEmpty():
+            break
+        jumps.append(step)
+    return jumps
+
+
 def ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node): every start and all it reaches over (src, dst), in rounds that double the distance.
+    """(start, node): every start and all it reaches over (src, dst).
 
-    After round i the nodes up to 2^i - 1 steps away are known, and the pairs exactly 2^i steps
-    apart; both grow by one join each, so a line of n nodes takes about log2(n) rounds. Merges and cycles are fine.
+    Along first parents the way is doubled: with jumps of 1, 2, 4, … steps taken one after the other, about log2 of a line's length
+    joins reach all of it. Then the other parents of what is reached are new starting points, until there are none; that is a round for each merge
+    that a way must pass. Cycles are fine.
     """
-    step = cut_lineage(parents.select("src", "dst").filter(F.col("dst").isNotNull()).distinct())
-    seen = cut_lineage(starts.select("start", F.col("start").alias("node")).distinct())
-    known = seen.count()
-    while True:
-        further = seen.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-        grown = cut_lineage(seen.unionByName(further).distinct())
-        before, known = known, grown.count()
-        drop_written(seen)
-        seen = grown
-        if known == before:
-            drop_written(step)
-            return seen
-        far = step.select(F.col("src").alias("_from"), F.col("dst").alias("src")).join(step, "src").select(F.col("_from").alias("src"), "dst").distinct()
-        longer = cut_lineage(far)
-        drop_written(step)
-        step = longer
+    e = cut_lineage(parents.select("src", "dst").filter(F.col("dst").isNotNull()).distinct())
+    jumps = _line_jumps(e)
+    others = cut_lineage(e.join(jumps[0], ["src", "dst"], "left_anti"))
+    fresh = cut_lineage(starts.select("start", F.col("start").alias("node")).distinct())
+    seen, rounds = None, 0
+    while not fresh.isEmpty():
+        for jump in jumps:
+            further = fresh.join(jump, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+            grown = cut_lineage(fresh.unionByName(further).distinct())
+            drop_written(fresh)
+            fresh = grown
+        new = fresh if seen is None else cut_lineage(fresh.join(seen, ["start", "node"], "left_anti"))
+        seen, rounds = new if seen is None else seen.unionByName(new), rounds + 1
+        if rounds % FOLD_ROUNDS == 0:
+            seen = cut_lineage(seen)
+        beside = new.join(others, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        fresh = cut_lineage(beside.join(seen, ["start", "node"], "left_anti"))
+    return seen if seen is not None else fresh
 
 
 def entities_at_commit(entities: DataFrame, parents: DataFrame, commits: DataFrame) -> DataFrame:

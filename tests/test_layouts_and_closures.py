@@ -201,15 +201,16 @@ def test_module_links_flag_cycles_of_any_length(spark):
     }
 
 
-def test_ancestors_in_doubling_rounds(spark, monkeypatch):
-    line = [(i, i - 1) for i in range(1, 700)] + [(i, i - 9) for i in range(9, 700, 5)]
-    parents = spark.createDataFrame(line, "src int, dst int")
-    starts = spark.createDataFrame([(699,), (3,), (5000,)], "start int")
+@pytest.mark.parametrize("merges", [[], [(i, i - 9) for i in range(9, 700, 5)]])
+def test_ancestors_in_doubling_rounds(spark, monkeypatch, merges):
+    parents = spark.createDataFrame([(i, i - 1) for i in range(1, 700)] + merges + [(5000, 5001), (5001, 5000)], "src int, dst int")
+    starts = spark.createDataFrame([(699,), (3,), (5000,), (7777,)], "start int")
     written = []
     monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
     got = rows(graph.ancestors(parents, starts))
-    assert got == sorted([(699, i) for i in range(700)] + [(3, i) for i in range(4)] + [(5000, 5000)])
-    assert len(written) / 2 <= 10 + 2
+    assert got == sorted([(699, i) for i in range(700)] + [(3, i) for i in range(4)] + [(5000, 5000), (5000, 5001), (7777, 7777)])
+    # two tables for each doubling, and a few more; with merges every fifth node another set of jumps or two
+    assert len(written) <= (2 * 12 if not merges else 5 * 12)
 
 
 def test_callers_as_of_a_commit(spark):

@@ -70,6 +70,8 @@ def compared(data: bytes, unit: str = "line", least_words: int = LEAST_WORDS) ->
     edges = np.flatnonzero(np.diff(np.frombuffer(b" " + folded + b" ", np.uint8) != 32))
     first, last = edges[::2], edges[1::2]
     words = folded.split()
+    if not words:
+        return [], first, last, [0] * (1 + len(BREAKS[unit].findall(data)))
     borders = np.searchsorted(first, [m.start() for m in BREAKS[unit].finditer(data)] + [len(data)]).tolist()
     groups, run = [], 0
     start = 0

@@ -135,6 +135,12 @@ def test_hot_units_are_found_by_broadcast(table, monkeypatch):
     assert got == {**{i: int(i > 0) for i in range(30)}, 100: 0, 101: 0, 102: 1, 103: 1}
 
 
+def test_texts_without_words_have_no_units(table):
+    rows = [(1, "..."), (2, " \n\n "), (3, "..."), (4, "!\n?"), (5, "one word")]
+    got = {r.doc_id: r for r in substrings.deduplicate(table(rows)).collect()}
+    assert {d: (r.text, r.n_units, r.n_removed, r.removed) for d, r in got.items()} == {d: (t, int(d == 5), 0, []) for d, t in rows}
+
+
 def test_nothing_and_long_texts(table):
     assert substrings.deduplicate(table([])).count() == 0
     long = " ".join(f"w{i * i}" for i in range(150_000))

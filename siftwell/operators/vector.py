@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -506,18 +507,22 @@ def assert_dimension(vectors: DataFrame, expected: int, vec_col: str = "vector")
 
 
 def hash_vectors(df: DataFrame, id_col: str, text: str, dim: int = 64) -> DataFrame:
-    """Default embedding: unit-length token counts in ``dim`` md5 buckets, all in the JVM.
+    """Default embedding: unit-length token counts in ``dim`` md5 buckets; ``id_col`` must be unique, rows without tokens get none.
 
-    Grouping by id is already satisfied by the token step's partitioning, and a
-    row gathers at most ``dim`` buckets.
+    Each row is counted by itself, as in ``token_rows``.
     """
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    weights = (
-        tx.token_counts(df, id_col, text).groupBy(id_col, bucket.alias("_b")).agg(F.sum("tf").cast("double").alias("_w"))
-        .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_w"))).alias("_m"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)) / F.col("_n"))
-    return weights.select(id_col, dense.alias("vector"))
+    lists = tx.token_lists(df, id_col, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, terms, term, tf in tx.counted(batches):
+            bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in terms.to_pylist()], np.int64)
+            held = np.unique(row)
+            weights = np.bincount(row * dim + bucket[term], tf, len(ids) * dim).reshape(-1, dim)[held]
+            unit = weights / np.sqrt((weights * weights).sum(axis=1, keepdims=True))
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * dim, pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(held)), vectors], [id_col, "vector"])
+
+    return lists.mapInArrow(run, f"`{id_col}` {dict(lists.dtypes)[id_col]}, vector array<double>")
 
 
 Embedder = Callable[[list[str]], np.ndarray]

@@ -44,6 +44,25 @@ def test_tokens_of_identifiers(spark):
     assert got["tag"] == 2 and got["find"] == 1 and "42" not in got and got["étion"] == 1
 
 
+def test_no_task_groups_tokens_of_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SLICE_TOKENS", 50)
+    texts = [(i, " ".join(f"w{i * j % 90} fooBar{j % 3} {j}" for j in range(i))) for i in range(60)] + [(60, None), (61, ""), (62, "7 8")]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(1)
+    tokens = tx.token_rows(df, "id", "text")
+    assert "Aggregate" not in tokens._jdf.queryExecution().executedPlan().toString()
+    got = rows(tokens, "id", "term", "tf", "dl")
+    want = []
+    for i, text in texts:
+        n = {}
+        for w in (text or "").lower().split():
+            if not w.isdecimal():
+                n[w] = n.get(w, 0) + 1
+        parts = {"foo", "bar"} if any(w.startswith("foobar") for w in n) else set()
+        n |= {p: 1 for p in parts if p not in n}
+        want += [(i, w, c, sum(n.values())) for w, c in n.items()]
+    assert sorted(got) == sorted(want)
+
+
 def test_bm25_formula_on_three_texts(spark):
     docs = spark.createDataFrame([("a", "apple apple pear"), ("b", "pear plum"), ("c", "fig fig fig"), ("d", "kiwi")], "chunk_id string, doc_text string")
     hits = lexical.bm25_search(lexical.bm25_index(docs), spark.createDataFrame([(1, "apple")], "query_id int, text string"))

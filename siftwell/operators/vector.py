@@ -21,6 +21,10 @@ MAX_QUERY_BYTES = 64 << 20
 # Rows per side of one block product beyond that, and similarities that one product may hold.
 BLOCK_ROWS = 8192
 TILE_CELLS = 8 << 20
+# Blocks that a side is cut into while they hold no more rows than a task may hold of a side.
+BLOCK_PARTS, HELD_ROWS = 16, 32_768
+# What rounding of a cosine to six places can hide.
+SLACK = 2e-6
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -52,19 +56,46 @@ def _top_k(sims: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
 def _block_product(qid, qm, cid, cm, k: int, not_self: bool):
     """(query ids, chunk ids, similarities) of the top k of every query against one block.
 
-    Queries are taken in tiles, so that a product holds at most ``TILE_CELLS`` similarities.
+    Queries are taken in tiles, so that a product holds at most ``TILE_CELLS`` similarities. A product in single precision leaves those that
+    can be among the best k; only their similarities are computed in double precision, or all of a row where very many are as near.
     """
     tie = _order_of(cid)
     qs, cs, ss = [], [], []
     tile = max(1, TILE_CELLS // max(1, len(cid)))
+    wanted = k + not_self
+    slack = np.float32(SLACK + 4 * (qm.shape[1] + 8) * np.finfo(np.float32).eps)
+    few = max(64, 4 * wanted)
+    quick = len(cid) > few and qm.dtype == cm.dtype == np.float64 and np.isfinite(qm).all() and np.isfinite(cm).all()
+    cm32 = cm.astype(np.float32) if quick else None
     for start in range(0, len(qid), tile):
-        sims = np.round(qm[start : start + tile] @ cm.T, 6)
-        for i, row in enumerate(sims, start):
+        block = qm[start : start + tile]
+        crowded = np.arange(len(block))
+        if quick:
+            near = block.astype(np.float32) @ cm32.T
+            bar = np.partition(near, len(cid) - wanted, axis=1)[:, len(cid) - wanted] - slack
+            held = near >= bar[:, None]
+            crowd = held.sum(axis=1) > few
+            crowded = np.flatnonzero(crowd)
+            held[crowd] = False
+            i, j = np.nonzero(held)
+            exact = np.round(np.einsum("ij,ij->i", block[i], cm[j]), 6)
+            if not_self:
+                other = cid[j] != qid[start + i]
+                i, j, exact = i[other], j[other], exact[other]
+            order = np.lexsort((tie[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.searchsorted(i, np.arange(len(block)))
+            best = np.arange(len(i)) - first[i] < k
+            qs.append(start + i[best])
+            cs.append(j[best])
+            ss.append(exact[best])
+        for i in crowded.tolist():
+            row = np.round(cm @ block[i], 6)
             if not_self:
-                row = np.where(cid == qid[i], -np.inf, row)
+                row = np.where(cid == qid[start + i], -np.inf, row)
             top = _top_k(row, tie, k)
             top = top[np.isfinite(row[top])]
-            qs.append(np.repeat(i, len(top)))
+            qs.append(np.repeat(start + i, len(top)))
             cs.append(top)
             ss.append(row[top])
     q = np.concatenate(qs) if qs else np.zeros(0, int)
@@ -106,15 +137,24 @@ def _pairwise(left: DataFrame, right: DataFrame, keys: list[str], id_col: str, k
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, schema)
 
 
+def _block_size(total: int, least: int) -> int:
+    """Rows of a block of a table of ``total`` rows: ``least`` or more, so that a table has BLOCK_PARTS blocks as long as a block stays below HELD_ROWS.
+
+    Each block goes to every block of the other side, so what is shuffled grows with the number of blocks.
+    """
+    return max(least, min(HELD_ROWS, -(-total // BLOCK_PARTS)))
+
+
 def _blocks(df: DataFrame, id_col: str, rows: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-df.count() // rows))
+    total = df.count()
+    n = max(1, -(-total // _block_size(total, rows)))
     return df.withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
 
 
 def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_id: str, query_vec: str, not_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact top-k for query tables too large to send to every task.
 
-    Both sides are cut by id hash into blocks of bounded size and every pair of
+    Both sides are cut by id hash into blocks of bounded size (``block_rows`` at least) and every pair of
     blocks is one task: no row pairs are ever written, only k winners per query
     and block, and no block is larger than another.
     """
@@ -192,8 +232,6 @@ def similarity_threshold(hits: DataFrame, threshold: float | Column, distance: s
 
 # Rows from which the centres of exact cells are learned (they decide how much is skipped, never what is found), and rows of a cell aimed at.
 CENTRE_ROWS, CELL_ROWS = 16_384, 2048
-# What rounding of a cosine to six places can hide.
-SLACK = 2e-6
 
 
 def _centres(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -467,12 +505,13 @@ def ann_search(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k:
     or of queries, is split by id hash on that side and the other side repeated per
     part, so a cell holding a third of all vectors or queries is still many equal tasks.
     """
-    probes = knn_exact(centroids, queries, nprobe, "cell", "centroid", query_id, query_vec).select("query_id", "cell")
+    probes = cut_lineage(knn_exact(centroids, queries, nprobe, "cell", "centroid", query_id, query_vec).select("query_id", "cell"))
+    held, sought = (_block_size(df.count(), block_rows) for df in (assigned, probes))
     parts = (
         assigned.groupBy("cell").agg(F.count("*").alias("_n"))
-        .select("cell", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts"))
+        .select("cell", F.ceil(F.col("_n") / held).cast("int").alias("_parts"))
     )
-    asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_asks"))
+    asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / sought).cast("int").alias("_asks"))
     right = assigned.join(F.broadcast(parts), "cell").select(
         id_col, F.col(vec_col).alias("vec"), "cell", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int").alias("_part")
     )

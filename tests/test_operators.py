@@ -120,6 +120,28 @@ def test_knn_broadcast_blocks_and_all_cells_agree_with_brute_force(spark):
     assert recall > 0.7
 
 
+def test_blocks_do_not_multiply_with_the_rows():
+    assert [-(-n // vector._block_size(n, 40)) for n in (100, 640, 10_000, 500_000)] == [3, 16, 16, 16]
+    assert vector._block_size(10_000_000, 40) == vector.HELD_ROWS
+
+
+def test_a_block_product_with_near_copies_is_exact(monkeypatch):
+    monkeypatch.setattr(vector, "TILE_CELLS", 4000)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(400, 16))
+    m[100:250] = m[0]
+    m[250:300] = m[1] + rng.normal(size=(50, 16)) * 1e-6
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = rng.permutation(400)
+    sims = np.round(m @ m.T, 6)
+    for not_self in (False, True):
+        q, c, s = vector._block_product(ids, m, ids, m, 7, not_self)
+        assert len(q) == 2800
+        for i in range(400):
+            order = [j for j in np.lexsort((ids, -sims[i])) if not not_self or j != i][:7]
+            assert list(c[q == ids[i]]) == [ids[j] for j in order] and np.allclose(s[q == ids[i]], sims[i][order])
+
+
 def test_mmr_matches_plain_greedy(spark):
     m, df = vectors(spark, 40)
     u = m / np.linalg.norm(m, axis=1, keepdims=True)

@@ -265,9 +265,42 @@ def hops(edges: DataFrame, starts: DataFrame, max_hops: int | None, per_start: i
     return seen
 
 
+# Rows that one part of a class of alike starts may give.
+PART_ROWS = 250_000
+
+
+def _alike(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, like): for each start with edges the smallest start that leads to the same nodes, by number and three sums of hashes of them (192 bits)."""
+    wide = lambda salt: F.sum(F.xxhash64(F.lit(salt), "dst").cast("decimal(38,0)"))
+    facts = starts.select("start").distinct().join(edges, F.col("start") == F.col("src")).groupBy("start").agg(
+        F.count("*").alias("_n"), wide(1).alias("_a"), wide(2).alias("_b"), wide(3).alias("_c")
+    )
+    same = ["_n", "_a", "_b", "_c"]
+    return facts.join(facts.groupBy(*same).agg(F.min("start").alias("like")), same).select("start", "like")
+
+
 def find_related(edges: DataFrame, starts: DataFrame, max_hops: int = 2, limit: int | None = None) -> DataFrame:
-    """(start, node, depth): distinct other nodes within some hops in any direction; all, or the first ``limit`` by depth and id."""
-    found = hops(undirected(edges), starts, max_hops).filter(F.col("depth") > 0)
+    """(start, node, depth): distinct other nodes within some hops in any direction; all, or the first ``limit`` by depth and id.
+
+    Starts with the same neighbours reach the same nodes, so each such class is walked once; its nodes are then given to its
+    starts, in parts of PART_ROWS rows.
+    """
+    e = cut_lineage(undirected(edges))
+    members = cut_lineage(_alike(starts, e))
+    first = members.select("like").distinct().join(e, F.col("like") == F.col("src"))
+    seen = frontier = cut_lineage(first.select("like", F.col("dst").alias("node"), F.lit(1).alias("depth")))
+    for depth in range(2, max_hops + 1):
+        step = frontier.join(e, F.col("node") == F.col("src")).select("like", F.col("dst").alias("node")).distinct()
+        frontier = cut_lineage(step.join(seen.select("like", "node"), ["like", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    sizes = members.groupBy("like").agg(F.count("*").alias("_starts")).join(seen.groupBy("like").agg(F.count("*").alias("_nodes")), "like")
+    sizes = cut_lineage(sizes.select("like", F.ceil(F.col("_starts") * F.col("_nodes") / PART_ROWS).cast("int").alias("_parts")))
+    tasks = min(20_000, sizes.agg(F.coalesce(F.sum("_parts"), F.lit(0))).first()[0] // 4 + 1)
+    dealt = members.join(sizes, "like").select("like", "start", F.pmod(F.xxhash64("start"), F.col("_parts")).cast("int").alias("_part"))
+    spread = seen.join(sizes, "like").select("like", "node", "depth", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    found = dealt.repartition(tasks, "like", "_part").join(spread, ["like", "_part"]).filter("node <> start").select("start", "node", "depth")
     return _first_per(found, ["start"], ["depth", "node"], limit)
 
 

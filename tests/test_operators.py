@@ -142,6 +142,29 @@ def test_a_block_product_with_near_copies_is_exact(monkeypatch):
             assert list(c[q == ids[i]]) == [ids[j] for j in order] and np.allclose(s[q == ids[i]], sims[i][order])
 
 
+def test_related_nodes_of_alike_starts_are_walked_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_ROWS", 50)
+    pairs = [("a", f"s{i}") for i in range(30)] + [("b", f"s{i}") for i in range(25, 50)] + [("r", "a"), ("r", "b"), ("s3", "s3"), ("s4", "s5")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    around = {}
+    for x, y in pairs:
+        around.setdefault(x, set()).add(y)
+        around.setdefault(y, set()).add(x)
+    starts = [f"s{i}" for i in range(50)] + ["a", "zz"]
+    frame = spark.createDataFrame([(x,) for x in starts * 2], "start string")
+    for far in (1, 2, 3):
+        want = []
+        for x in starts:
+            depth, at = {x: 0}, [x]
+            for n in range(1, far + 1):
+                at = sorted({z for y in at for z in around.get(y, ()) if z not in depth})
+                depth |= {z: n for z in at}
+            want += [(x, y, n) for y, n in depth.items() if n]
+        assert sorted(rows(graph.find_related(e, frame, far), "start", "node", "depth")) == sorted(want)
+    alike = graph._alike(frame, graph.undirected(e))
+    assert alike.select("like").distinct().count() < 12 and alike.count() == 51
+
+
 def test_mmr_matches_plain_greedy(spark):
     m, df = vectors(spark, 40)
     u = m / np.linalg.norm(m, axis=1, keepdims=True)

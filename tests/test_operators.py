@@ -165,6 +165,25 @@ def test_related_nodes_of_alike_starts_are_walked_once(spark, monkeypatch):
     assert alike.select("like").distinct().count() < 12 and alike.count() == 51
 
 
+def test_similar_pairs_match_brute_force_and_only_near_ones_meet_their_words(spark):
+    rng = np.random.default_rng(5)
+    base = [rng.choice(3000, rng.integers(1, 700), replace=False) for _ in range(25)]
+    texts = [[f"w{x}" for x in b] + [f"n{i}x{j}" for j in range(rng.integers(0, max(1, len(b) // 4)))] for b in base for i in range(4)]
+    texts += [["rare"] + [f"u{i}x{j}" for j in range(30)] for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "claim_id long, normalized string")
+    sets = [set(t) for t in texts]
+    want = {(i, j): round(len(a & b) / len(a | b), 6) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and round(len(a & b) / len(a | b), 6) >= 0.8 and a != b}
+    got = joins.similar_pairs(df, df, 0.8).filter("left_id < right_id")
+    first = {tuple(sorted(s)): i for i, s in reversed(list(enumerate(sets)))}
+    kept = set(first.values())
+    assert {(r.left_id, r.right_id): r.jaccard for r in got.collect()} == {p: v for p, v in want.items() if kept.issuperset(p)} and want
+    other = df.filter("claim_id % 2 = 0")
+    pairs = {(r.left_id, r.right_id) for r in joins.similar_pairs(other, df.select("*"), 0.8).filter("left_id < right_id").collect()}
+    assert pairs and all(p in want for p in pairs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan
+
+
 def test_mmr_matches_plain_greedy(spark):
     m, df = vectors(spark, 40)
     u = m / np.linalg.norm(m, axis=1, keepdims=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import bounded_sample, map_texts, small_batches
-from siftwell.runtime import cut_lineage
+from siftwell.runtime import cut_lineage, drop_written, number_in_group
 
 ORDER = 3
-#: Training documents on which the scores are calibrated: about so many.
-CALIBRATION_ROWS = 2_000
 #: Share of the calibration documents that must be accepted.
 ACCEPT = 0.995
 #: Characters of a text that are counted at a time.
@@ -182,21 +180,47 @@ def _scores(scale: float, bits: np.ndarray) -> np.ndarray:
     return weight / weight.sum(axis=-1, keepdims=True)
 
 
-def calibrate(model: Model, rows: Iterable[tuple[str, bytes | None]]) -> Model:
-    """Set the scale that makes the true languages most likely, and the limits that accept ACCEPT of the (language, text) rows."""
-    known = [(model.languages.index(lang), bits) for lang, text in rows if lang in model.languages and (bits := entropies(model, text)) is not None]
+def _quantiles(values: DataFrame, shares: dict[int, float]) -> dict[int, float]:
+    """Exact quantile of the ``value`` of each group ``of`` at its share, between the two nearest places in order, which are all that is fetched."""
+    sizes = {r["of"]: r["n"] for r in values.groupBy("of").agg(F.count("*").alias("n")).collect()}
+    at = {k: shares[k] * (n - 1) for k, n in sizes.items()}
+    places = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, [int(at[k]) + 1, min(int(at[k]) + 2, n)])])
+    ranked = number_in_group(values.withColumn("nth", F.monotonically_increasing_id()), ["of"], ["value", "nth"], "place")
+    found: dict[int, list[tuple[int, float]]] = {}
+    for r in ranked.where(F.array_contains(F.try_element_at(places, F.col("of")), F.col("place").cast("int"))).collect():
+        found.setdefault(r["of"], []).append((r["place"], r["value"]))
+    return {k: float(np.interp(at[k] + 1, *zip(*sorted(rows), strict=True))) for k, rows in found.items()}
+
+
+def calibrate(model: Model, docs: DataFrame) -> Model:
+    """Set the scale that makes the true languages of all rows of ``docs`` (lang, text) most likely, and the limits that accept ACCEPT of them.
+
+    Bits per character are measured in one pass and written; losses are added up by Spark, limits are places in its order.
+    """
     model.limits = np.full(len(model.languages), np.inf)
-    if not known:
+    if not model.languages:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(texts: list[bytes | None]) -> tuple[list, ...]:
+        return ([None if bits is None else bits.tolist() for bits in (entropies(shared.value, t) for t in texts)],)
+
+    truth = F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int") - 1
+    rows = cut_lineage(map_texts(docs, "text", ("lang",), "bits array<double>", measured).where("bits is not null").select(truth.alias("truth"), "bits"))
+    least, own = F.array_min("bits"), F.get("bits", F.col("truth"))
+    total = lambda scale: F.aggregate("bits", F.lit(0.0), lambda acc, b: acc + F.exp(-scale * (b - least)))
+    scales = [2.0**i for i in range(-2, 7)]
+    losses = [F.avg(-F.log(F.greatest(F.exp(-s * (own - least)) / total(s), F.lit(1e-12)))) for s in scales]
+    means = rows.agg(*losses).first()
+    if means[0] is None:
         return model
-    truth, bits = np.array([k for k, _ in known]), np.array([b for _, b in known])
-    scales = 2.0 ** np.arange(-2, 7)
-    losses = [-np.log(np.maximum(_scores(s, bits)[np.arange(len(truth)), truth], 1e-12)).mean() for s in scales]
-    model.scale = float(scales[int(np.argmin(losses))])
-    model.floor = float(np.quantile(_scores(model.scale, bits).max(axis=1), 1 - ACCEPT))
-    for k in range(len(model.languages)):
-        own = bits[truth == k, k]
-        if len(own):
-            model.limits[k] = np.quantile(own, ACCEPT)
+    model.scale = scales[int(np.argmin(means))]
+    values = F.array(F.struct(F.col("truth").alias("of"), own.alias("value")), F.struct(F.lit(-1).alias("of"), (1 / total(model.scale)).alias("value")))
+    limits = _quantiles(rows.select(F.inline(values)), {-1: 1 - ACCEPT, **dict.fromkeys(range(len(model.languages)), ACCEPT)})
+    model.floor = limits.pop(-1)
+    for k, limit in limits.items():
+        model.limits[k] = limit
+    drop_written(rows)
     return model
 
 
@@ -210,11 +234,11 @@ def predict(model: Model, data: bytes | None) -> tuple[str, float, bool]:
     return model.languages[best], score, bool(bits[best] > model.limits[best] or score < model.floor)
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Model of all labelled texts of ``docs``; only its n-gram table and the calibration texts come to the driver.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None, calibration_rows: int | None = None) -> Model:
+    """Model of all labelled texts of ``docs``, calibrated on all of them; only its n-gram table comes to the driver.
 
     All n-grams are kept; if there are more than ``max_grams`` rows of them (None: no limit), nothing is learned
-    and a ValueError says so. Calibration draws about ``calibration_rows`` rows of any length. Null languages and null
+    and a ValueError says so. With ``calibration_rows`` scores and limits are set on about so many rows of any length. Null languages and null
     texts teach nothing, repeated rows count each time, of several names of a language each is a language, an
     empty table gives a model that knows none, and other columns are ignored.
     """
@@ -230,8 +254,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: in
         mine = mine[np.argsort(grams[mine])]
         parts.append((name, grams[mine], numbers[mine]))
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = bounded_sample(usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")), calibration_rows)
-    return calibrate(train(parts), ((r["lang"], r["text"].encode()) for r in rows.toLocalIterator()))
+    rows = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    return calibrate(train(parts), rows if calibration_rows is None else bounded_sample(rows, calibration_rows))
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

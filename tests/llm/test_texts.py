@@ -132,6 +132,22 @@ def test_language_of_held_out_texts(spark, table):
     assert langid.identify(table([(1, "words")]), nothing).first().lang_pred == "und"
 
 
+def test_limits_come_from_all_rows(table):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    words = {"en": ["the", "house", "with", "window", "thing"], "de": ["das", "haus", "und", "fenster", "ding"]}
+    docs = [(i, " ".join(rnd.choice(words[lang], 3 + i % 9)), lang) for i in range(2400) for lang in [("en", "de")[i % 2]]] + [(9000, "zzz", "en"), (9001, "12", "en")]
+    model = langid.learn(table(docs))
+    bits = {i: b for i, t, _ in docs if (b := langid.entropies(model, t.encode())) is not None}
+    scales = 2.0 ** np.arange(-2, 7)
+    share = lambda s: [langid._scores(s, bits[i])[model.languages.index(lang)] for i, _, lang in docs if i in bits]
+    assert model.scale == scales[np.argmin([-np.log(np.maximum(share(s), 1e-12)).mean() for s in scales])]
+    assert model.floor == pytest.approx(np.quantile([langid._scores(model.scale, b).max() for b in bits.values()], 1 - langid.ACCEPT))
+    for k, name in enumerate(model.languages):
+        assert model.limits[k] == pytest.approx(np.quantile([bits[i][k] for i, _, lang in docs if lang == name and i in bits], langid.ACCEPT))
+
+
 def test_no_language_loses_its_rare_grams(table):
     import numpy as np
 

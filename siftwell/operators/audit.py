@@ -245,12 +245,8 @@ GRAPH_TOOLS = ["kg_query", "kg_callers_at_commit", "trace_execution_flow"]
 GRAPH_SCORE = 0.7
 
 
-def name_evidence(queries: DataFrame, nodes: DataFrame, edges: DataFrame, max_terms: int | None = None, per_term: int | None = None) -> DataFrame:
-    """(query_id, file_path, call_path): files with an entity whose name holds a word of the query (query_id, query), words of four letters or more.
-
-    A file stands once for each query, for its smallest entity id; ``call_path`` lists the calls of entities of that name as
-    "caller -> callee". All words and entities count, or the first ``max_terms`` words and ``per_term`` entities by id.
-    """
+def named_files(queries: DataFrame, nodes: DataFrame, max_terms: int | None = None, per_term: int | None = None) -> DataFrame:
+    """(query_id, file_path, callee): the files of ``name_evidence`` with the name of the entity that each stands for."""
     words = queries.select("query_id", F.posexplode(F.array_distinct(F.filter(tx.words(F.col("query")), lambda w: F.length(w) > 3))).alias("_nth", "word"))
     if max_terms is not None:
         words = words.filter(F.col("_nth") < max_terms)
@@ -261,10 +257,24 @@ def name_evidence(queries: DataFrame, nodes: DataFrame, edges: DataFrame, max_te
         first = Window.partitionBy("word").orderBy("id")
         found = found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_term).drop("_r")
     one = words.join(found, "word").groupBy("query_id", "file_path").agg(F.min(F.struct("id", "name")).alias("e"))
+    return one.select("query_id", "file_path", F.col("e.name").alias("callee"))
+
+
+def call_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(callee, call_path): the distinct calls of entities of a name, as "caller -> callee"."""
     names = nodes.select("id", "name")
-    calls = edges.select("src", "dst").distinct().join(names.select(F.col("id").alias("src"), F.col("name").alias("_caller")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("_callee")), "dst")
-    paths = calls.groupBy("_callee").agg(F.array_sort(F.collect_set(F.concat_ws(" -> ", "_caller", "_callee"))).alias("call_path"))
-    return one.select("query_id", "file_path", F.col("e.name").alias("_callee")).join(paths, "_callee", "left").select("query_id", "file_path", "call_path")
+    calls = edges.select("src", "dst").distinct().join(names.select(F.col("id").alias("src"), F.col("name").alias("_caller")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("callee")), "dst")
+    calls = calls.select("_caller", "callee").distinct()
+    return calls.groupBy("callee").agg(F.array_sort(F.collect_set(F.concat_ws(" -> ", "_caller", "callee"))).alias("call_path"))
+
+
+def name_evidence(queries: DataFrame, nodes: DataFrame, edges: DataFrame, max_terms: int | None = None, per_term: int | None = None) -> DataFrame:
+    """(query_id, file_path, call_path): files with an entity whose name holds a word of the query (query_id, query), words of four letters or more.
+
+    A file stands once for each query, for its smallest entity id; ``call_path`` lists the calls of entities of that name (``call_paths``). All words and entities count, or the first ``max_terms`` words and ``per_term`` entities by id.
+    """
+    one = named_files(queries, nodes, max_terms, per_term)
+    return one.join(call_paths(nodes, edges), "callee", "left").select("query_id", "file_path", "call_path")
 
 
 def evidence_hits(claims: DataFrame, index: lexical.Bm25Index | lexical.Bm25Blocks, chunks: DataFrame, limit: int = 10, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, dimension: int = 64) -> DataFrame:
@@ -273,7 +283,8 @@ def evidence_hits(claims: DataFrame, index: lexical.Bm25Index | lexical.Bm25Bloc
     All plans of all claims run as one job a tool, equal query texts once: code search by ``vectors``, hybrid and smell search by vectors and
     postings fused, graph tools by entity names and calls (``nodes``: id, name, file_path; ``edges``). Without vectors the postings answer
     for them, without a graph its plans find nothing. ``package.json`` hits gain half for claims about third parties, noise paths leave, and
-    overlapping ranges of a claim are reduced to the best, of equal ones the first tool's and query's.
+    overlapping ranges of a claim are reduced to the best, of equal ones the first tool's and query's. A file and query have one callee, whose
+    calls are looked up for the rows that stay.
     """
     plans = cut_lineage(route_claims(claims).distinct().withColumn("query_id", F.md5(F.col("query").cast("binary"))))
     asked = lambda tools: plans.filter(F.col("tool").isin(tools)).select("query_id", "query").distinct()
@@ -282,23 +293,26 @@ def evidence_hits(claims: DataFrame, index: lexical.Bm25Index | lexical.Bm25Bloc
     if vectors is None:
         near = text.select("query_id", "chunk_id", "similarity", "rank")
     else:
-        near = vector.knn_exact(vectors, vector.hash_vectors(both, "query_id", "query", dimension), 3 * limit)
+        near = cut_lineage(vector.knn_exact(vectors, vector.hash_vectors(both, "query_id", "query", dimension), 3 * limit))
     fused = fusion.hybrid_rrf(near.select("query_id", "chunk_id", "rank"), text.select("query_id", "chunk_id", "rank"))
     place = chunks.select("chunk_id", "file_path", "start_line", "end_line")
     ranged = lambda hits, tools: plans.filter(F.col("tool").isin(tools)).join(hits, "query_id").join(place, "chunk_id").select(*shown)
-    shown = ["claim_id", "tool", "query", "weight", "file_path", "start_line", "end_line", "score", F.lit(None).cast("array<string>").alias("call_path")]
+    shown = ["claim_id", "tool", "query", "weight", "file_path", "start_line", "end_line", "score", F.lit(None).cast("string").alias("callee")]
     rows = ranged(near.filter(F.col("rank") <= limit).select("query_id", "chunk_id", F.col("similarity").alias("score")), VECTOR_TOOLS)
     rows = rows.unionByName(ranged(fused.filter(F.col("rank") <= limit).select("query_id", "chunk_id", "score"), HYBRID_TOOLS))
     if nodes is not None and edges is not None:
-        hits = name_evidence(asked(GRAPH_TOOLS), nodes, edges)
+        hits = named_files(asked(GRAPH_TOOLS), nodes)
         graph = plans.filter(F.col("tool").isin(GRAPH_TOOLS)).join(hits, "query_id")
         line = F.lit(0).cast(chunks.schema["start_line"].dataType)
-        rows = rows.unionByName(graph.select("claim_id", "tool", "query", "weight", "file_path", line.alias("start_line"), line.alias("end_line"), F.lit(GRAPH_SCORE).alias("score"), "call_path"))
+        rows = rows.unionByName(graph.select("claim_id", "tool", "query", "weight", "file_path", line.alias("start_line"), line.alias("end_line"), F.lit(GRAPH_SCORE).alias("score"), "callee"))
     about = plans.groupBy("claim_id").agg(F.max(tx.contains_any(F.lower("query"), THIRD_PARTY_WORDS)).alias("_third"))
     rows = rows.join(about, "claim_id")
     boosted = F.when(F.col("_third") & F.endswith("file_path", F.lit("package.json")), F.least(F.col("score") * 1.5, F.lit(1.0))).otherwise(F.col("score"))
     rows = cut_lineage(rows.withColumn("score", boosted).filter(~is_noise(F.col("file_path"))).drop("_third"))
     best = joins.overlap_dedup(rows.select("claim_id", "file_path", "start_line", "end_line", "score"))
-    facts = rows.groupBy("claim_id", "file_path", "start_line", "end_line", "score").agg(F.min(F.struct("tool", "query", "weight", "call_path")).alias("p"))
+    facts = rows.groupBy("claim_id", "file_path", "start_line", "end_line", "score").agg(F.min(F.struct("tool", "query", "weight", "callee")).alias("p"))
     key = ["claim_id", "file_path", "start_line", "end_line", "score"]
-    return best.join(facts, key).select("claim_id", "p.tool", "p.query", "p.weight", "file_path", "start_line", "end_line", "score", "p.call_path")
+    found = best.join(facts, key).select("claim_id", "p.tool", "p.query", "p.weight", "file_path", "start_line", "end_line", "score", "p.callee")
+    if nodes is None or edges is None:
+        return found.withColumn("call_path", F.lit(None).cast("array<string>")).drop("callee")
+    return found.join(call_paths(nodes, edges), "callee", "left").drop("callee")

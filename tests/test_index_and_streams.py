@@ -141,3 +141,11 @@ def test_large_islands_are_settled_in_few_rounds(spark, monkeypatch):
     assert sorted(got) == sorted(greedy([r for r in ranges if r[:2] != (0, 0)]) + [(0, 0, 1.0)])
     assert len(rounds) / 2 <= 11
     assert rows(joins.overlap_dedup(df, hot=20).filter("claim_id = 2"), "start_line", "end_line") == [(5, 9)]
+
+
+def test_small_islands_are_swept_without_python(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, "a", 1, 10, nan), (1, "a", 5, 12, 0.5), (1, "a", 12, 20, None), (1, "a", 21, 30, nan), (1, "a", 25, 26, 0.1), (1, "b", 3, 4, 0.2)], "claim_id int, file_path string, start_line int, end_line int, score double")
+    found = joins.overlap_dedup(df)
+    assert rows(found, "file_path", "start_line", "end_line") == [("a", 5, 12), ("a", 25, 26), ("b", 3, 4)]
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()

@@ -43,6 +43,8 @@ SUFFIX_LANGUAGE = {
 LCA_WEIGHT = 0.15
 # Rounds after which the tables of a loop are written as one, so that plans stay of bounded size.
 FOLD_ROUNDS = 6
+# Rows of a line up to which it is walked by doubled jumps; a longer one is shortened first.
+LINE_ROWS = 500_000
 
 
 # ---------------------------------------------------------------- building
@@ -550,9 +552,8 @@ def doc_references(edges: DataFrame, sections: DataFrame, targets: DataFrame) ->
     )
 
 
-def _line_jumps(parents: DataFrame) -> list[DataFrame]:
-    """(src, dst) tables of the nodes 1, 2, 4, … steps along the first of each node's parents; one row a node each."""
-    step = cut_lineage(parents.groupBy("src").agg(F.min("dst").alias("dst")))
+def _line_jumps(step: DataFrame) -> list[DataFrame]:
+    """(src, dst) tables of the nodes 1, 2, 4, … steps along ``step``, which is written and has one row a node."""
     jumps, size = [step], step.count()
     while len(jumps) <= size.bit_length():
         further = step.select(F.col("src").alias("dst"), F.col("dst").alias("_far"))
@@ -563,24 +564,62 @@ def _line_jumps(parents: DataFrame) -> list[DataFrame]:
     return jumps
 
 
+def _shortened(step: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """``step`` (src, dst) of one row a node, written, shortened to LINE_ROWS rows, and what each level left out: [(out, level)].
+
+    A node leaves if its coin, a hash of it and the level, shows 0 and that of the node it leads to shows 1, so what it leads to stays and about a quarter
+    leaves at a time. ``out`` (node, over) holds those that leave and where they lead, ``level`` (src, dst, via) the others: a node that led to one that leaves
+    now leads over it, and ``via`` names it. All levels together hold a few times the rows of the first.
+    """
+    levels = []
+    while step.count() > LINE_ROWS:
+        coin = lambda c: F.xxhash64(F.lit(len(levels)), F.col(c).cast("string")).bitwiseAND(F.lit(1))
+        leaves = (coin("src") == 0) & (coin("dst") == 1)
+        out = step.filter(leaves).select(F.col("src").alias("node"), F.col("dst").alias("over"))
+        kept = step.filter(~leaves).join(out, F.col("dst") == F.col("node"), "left")
+        level = cut_lineage(kept.select("src", F.coalesce("over", "dst").alias("dst"), F.col("node").alias("via")))
+        levels.append((out, level))
+        step = level.filter("src <> dst").select("src", "dst")
+    return levels, cut_lineage(step) if levels else step
+
+
+def _along(fresh: DataFrame, levels: list[tuple[DataFrame, DataFrame]], jumps: list[DataFrame]) -> DataFrame:
+    """(start, node): ``fresh`` (start, node), written, and all that its nodes reach along the line of ``jumps`` and the ``levels`` that were left out of it."""
+    outside = []
+    for out, _ in levels:
+        moved = cut_lineage(fresh.join(out, "node", "left").select("start", "node", "over"))
+        outside.append(moved.filter("over IS NOT NULL").select("start", "node"))
+        fresh = moved.select("start", F.coalesce("over", "node").alias("node")).distinct()
+    for jump in jumps:
+        further = fresh.join(jump, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+        grown = cut_lineage(fresh.unionByName(further).distinct())
+        if not levels:
+            drop_written(fresh)
+        fresh = grown
+    for (_, level), own in zip(reversed(levels), reversed(outside), strict=True):
+        passed = level.filter("via IS NOT NULL").select(F.col("src").alias("node"), "via")
+        between = fresh.join(passed, "node").select("start", F.col("via").alias("node"))
+        fresh = fresh.unionByName(cut_lineage(between.unionByName(own).distinct()))
+    return fresh
+
+
 def ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node): every start and all it reaches over (src, dst).
 
     Along first parents the way is doubled: with jumps of 1, 2, 4, … steps taken one after the other, about log2 of a line's length
-    joins reach all of it. Then the other parents of what is reached are new starting points, until there are none; that is a round for each merge
+    joins reach all of it. A long line is shortened first, so that what is moved grows with its length only, and what was left out of it is put back
+    in place. Then the other parents of what is reached are new starting points, until there are none; that is a round for each merge
     that a way must pass. Cycles are fine.
     """
     e = cut_lineage(parents.select("src", "dst").filter(F.col("dst").isNotNull()).distinct())
-    jumps = _line_jumps(e)
-    others = cut_lineage(e.join(jumps[0], ["src", "dst"], "left_anti"))
+    step = cut_lineage(e.groupBy("src").agg(F.min("dst").alias("dst")))
+    others = cut_lineage(e.join(step, ["src", "dst"], "left_anti"))
+    levels, short = _shortened(step)
+    jumps = _line_jumps(short)
     fresh = cut_lineage(starts.select("start", F.col("start").alias("node")).distinct())
     seen, rounds = None, 0
     while not fresh.isEmpty():
-        for jump in jumps:
-            further = fresh.join(jump, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-            grown = cut_lineage(fresh.unionByName(further).distinct())
-            drop_written(fresh)
-            fresh = grown
+        fresh = _along(fresh, levels, jumps)
         new = fresh if seen is None else cut_lineage(fresh.join(seen, ["start", "node"], "left_anti"))
         seen, rounds = new if seen is None else seen.unionByName(new), rounds + 1
         if rounds % FOLD_ROUNDS == 0:

@@ -214,6 +214,36 @@ def test_ancestors_in_doubling_rounds(spark, monkeypatch, merges):
     assert len(written) <= (2 * doublings + 6 if not merges else 5 * doublings + 6)
 
 
+def test_ancestors_over_shortened_lines(spark, monkeypatch):
+    rnd = random.Random(4)
+    parents = {(i, i - 1) for i in range(1, 300)} | {(i, i - 9) for i in range(9, 300, 7)} | {(1000 + i, rnd.randrange(300)) for i in range(100)}
+    parents |= {(2000 + i, 2000 + (i + 1) % 30) for i in range(30)} | {(3000, 3000), (4000, 2007), (4001, 4000)} | {(5000 + i, rnd.randrange(5000, 5000 + i)) for i in range(1, 120)}
+    starts = [299, 120, 3, 0, 1005, 1050, 2003, 3000, 4001, 5119, 5118, 9999]
+    monkeypatch.setattr(graph, "LINE_ROWS", 20)
+    got = rows(graph.ancestors(spark.createDataFrame(sorted(parents), "src int, dst long"), spark.createDataFrame([(s,) for s in starts], "start int")))
+    want = set()
+    for start in starts:
+        seen, todo = {start}, [start]
+        while todo:
+            at = todo.pop()
+            more = {d for s, d in parents if s == at} - seen
+            seen |= more
+            todo += more
+        want |= {(start, n) for n in seen}
+    assert got == sorted(want)
+
+
+def test_what_a_shortened_line_moves_grows_with_its_length(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINE_ROWS", 100)
+    sizes = []
+    for n in (1000, 4000):
+        line = cut_lineage(spark.range(1, n).selectExpr("id AS src", "id - 1 AS dst"))
+        levels, rest = graph._shortened(line)
+        assert rest.count() <= 100
+        sizes.append(sum(level.count() for _, level in levels))
+    assert sizes[1] <= 5 * sizes[0] and sizes[1] <= 4 * 4000
+
+
 def test_callers_as_of_a_commit(spark):
     ents = spark.createDataFrame([("f", "f", 1), ("g", "g", 2), ("h", "h", 3), ("x", "x", None), ("t", "target", 1)], "id string, name string, commit int")
     edges = spark.createDataFrame([("f", "t"), ("g", "t"), ("h", "t"), ("x", "t"), ("t", "f")], "src string, dst string")

@@ -302,3 +302,32 @@ def test_labels_with_several_parents_and_rings(spark):
     edges = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("x", "y"), ("y", "x"), ("a", "a")], "src string, dst string")
     got = {r.node: (r.parent, r.depth) for r in graph.tree_labels(edges).labels.collect()}
     assert got == {"r": (None, 0), "a": ("r", 1), "b": ("r", 1), "c": ("a", 2)}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    from siftwell.sources import tables
+
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "65536")
+    try:
+        rows_ = spark.range(0, 100_000, numPartitions=8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        tables.write_keyed(rows_, str(tmp_path / "t"), "id", 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "t" / "_bucket=0").glob("*.parquet"))) > 4
+    stored = tables.read_keyed(spark, str(tmp_path / "t"))
+    assert stored.count() == stored.select("id").distinct().count() == 100_000
+
+
+def test_text_files_lie_in_few_folders(spark, monkeypatch):
+    import glob
+
+    from siftwell.catalog import table_queries
+
+    seen, load = [], table_queries.tables.load_text_files
+    monkeypatch.setattr(table_queries.tables, "load_text_files", lambda s, path: seen.append(path) or load(s, path))
+    got = {r.lang: r.files for r in table_queries.load_text_files(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(F.col("text").rlike(r"\S"))
+    assert got == {r.lang: r.files for r in docs.groupBy("lang").agg(F.count("*").alias("files")).collect()}
+    root = seen[0].removesuffix("/*/*").removeprefix("file:")
+    assert len(glob.glob(f"{root}/*/*/")) <= 32 and len(glob.glob(f"{root}/*/*/*.txt")) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

@@ -61,7 +61,8 @@ def _marks(like: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def _written(df: DataFrame, root: str) -> None:
-    df.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(root)
+    """Write by bucket; a bucket that is large is dealt to several tasks, so that there may be more of them than buckets."""
+    df.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(root)
 
 
 def write_keyed(df: DataFrame, root: str, key: str, buckets: int = BUCKETS) -> None:

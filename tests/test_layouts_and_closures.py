@@ -331,3 +331,17 @@ def test_text_files_lie_in_few_folders(spark, monkeypatch):
     assert got == {r.lang: r.files for r in docs.groupBy("lang").agg(F.count("*").alias("files")).collect()}
     root = seen[0].removesuffix("/*/*").removeprefix("file:")
     assert len(glob.glob(f"{root}/*/*/")) <= 32 and len(glob.glob(f"{root}/*/*/*.txt")) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_a_task_packs_about_one_bucket(spark):
+    postings = spark.range(60).selectExpr("concat('c', lpad(string((id * 7) % 60), 2, '0')) AS chunk_id", "'x' AS term", "id % 3 + 1 AS tf", "4L AS dl")
+    index = lexical.Bm25Index(postings, spark.createDataFrame([("x", 1.0, 4.0)], "term string, idf double, avgdl double"))
+    blocks = lexical.bm25_blocks(index, chunks_per_bucket=2, materialize=False)
+    assert blocks.buckets == 30 and blocks.lists.rdd.getNumPartitions() == 30
+    rows = blocks.lists.collect()
+    ids = {r.bucket: r.ids for r in rows if r.term is None}
+    assert all(own == sorted(own) for own in ids.values()) and sorted(i for own in ids.values() for i in own) == sorted(r.chunk_id for r in postings.collect())
+    tf = {r.chunk_id: r.tf for r in postings.collect()}
+    for r in rows:
+        if r.term is not None:
+            assert r.slots == sorted(r.slots) and [round(w, 9) for w in r.weights] == [round(tf[ids[r.bucket][s]] * 2.5 / (tf[ids[r.bucket][s]] + 1.5), 9) for s in r.slots]

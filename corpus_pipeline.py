@@ -21,7 +21,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of texts that share four fifths of their five-word shingles."""
+    """One document stays of each group of texts that share four fifths of their five-word shingles: those that SimHash finds, and the rest of them."""
     return simhash.one_per_group(docs, words=5, similarity=0.8)
 
 

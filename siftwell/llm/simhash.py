@@ -20,6 +20,8 @@ BITS = 64
 ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.25, 1_000_000
 #: Share of a text's first shingles that it has in common with a neighbour to be compared with it ahead of all others.
 CHAIN_SHARE = 0.25
+#: Bits in which the SimHashes of texts that are compared ahead of all others differ at most.
+STAR_BITS = 2
 #: Rounds in which only the best candidate of every two groups is compared; what is left then is compared at once.
 ROUNDS = 2
 
@@ -133,6 +135,14 @@ def shingle_set(data: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(shingles))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes as a signed 64-bit number: a bit is set if over half of them have it."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(shingles), 1 << 16):
+        counts += np.unpackbits(shingles[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def _digest(text: str) -> Column:
     """128-bit digest of a text; texts without words have that of the empty one."""
     return F.md5(F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise(F.lit("")))
@@ -151,8 +161,8 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def distinct_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, digest, doc_id, n, first) of the distinct texts of ``docs`` (doc_id, text), written: a number, the text's 128-bit digest, its smallest
-    doc_id (null if it has no other), how many shingles it has, and the first of them.
+    """(node, digest, doc_id, n, fingerprint, first) of the distinct texts of ``docs`` (doc_id, text), written: a number, the text's 128-bit digest, its smallest
+    doc_id (null if it has no other), how many shingles it has, their SimHash, and the first of them.
 
     Shingles are ordered rare to common, then by hash; of two texts of that ``similarity`` the ``first`` ones share at least one.
     """
@@ -161,7 +171,7 @@ def distinct_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def first(found: list[bytes | None]) -> tuple[list, ...]:
         known, count = shared.value
-        sizes, chosen, seen = [], [], {}
+        sizes, prints, chosen, seen = [], [], [], {}
         for t in found:
             if t not in seen:
                 own = shingle_set(t, words).view(np.int64)
@@ -169,13 +179,13 @@ def distinct_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     often = np.where(known[at] == own, count[at], 0)
-                seen[t] = len(own), own[np.lexsort((own, often))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
-            sizes.append(seen[t][0])
-            chosen.append(seen[t][1])
-        return sizes, chosen
+                seen[t] = len(own), set_fingerprint(own), own[np.lexsort((own, often))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+            for out, value in zip((sizes, prints, chosen), seen[t], strict=True):
+                out.append(value)
+        return sizes, prints, chosen
 
-    rows = map_texts(texts, "text", ("doc_id", "digest"), "n long, first array<long>", first)
-    alone = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("first").alias("first"))
+    rows = map_texts(texts, "text", ("doc_id", "digest"), "n long, fingerprint long, first array<long>", first)
+    alone = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fingerprint", "first")))
     return cut_lineage(alone.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -247,6 +257,18 @@ def chain_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return cut_lineage(best.select(F.col("node").alias("a"), F.col("before").alias("b")))
 
 
+def simhash_pairs(nodes: DataFrame, max_bits: int = STAR_BITS) -> DataFrame:
+    """(a, b), written: each node and the smallest one of its group of SimHashes, which links of at most ``max_bits`` bits join through the ring; at most one pair a node."""
+    prints = cut_lineage(nodes.where("n > 0").groupBy("fingerprint").agg(F.min("node").alias("first_node")))
+    groups = connected_components(fingerprint_links(prints.select("fingerprint"), max_bits))
+    rooted = prints.join(groups, prints["fingerprint"] == groups["node"], "left").select("fingerprint", "first_node", F.coalesce("root", "fingerprint").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("first_node").alias("b"))
+    own = rooted.join(heads, "root").select("fingerprint", "b")
+    made = cut_lineage(nodes.join(own, "fingerprint").where("node <> b").select(F.col("node").alias("a"), "b"))
+    drop_written(prints)
+    return made
+
+
 def missed_pairs(rows: DataFrame, groups: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
     """(a, b, common), written: nodes of different ``groups`` (node, root) that can still be as similar: all that share a first shingle, fit in size, have room for the overlap and aren't ``tested``."""
     rooted = cut_lineage(rows.join(groups, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root")))
@@ -255,7 +277,8 @@ def missed_pairs(rows: DataFrame, groups: DataFrame, tested: DataFrame, similari
     left, right = (asked.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "root"))) for side in "ab")
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
     needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    first = left.join(right, "shingle").where(_fits(similarity) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")))
+    most = F.least("place_a", "place_b") + 1 + room  # as shingles have one order, no more can be common before this one
+    first = left.join(right, "shingle").where(_fits(similarity) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")) & (most >= needed))
     met = first.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
         F.count("*").alias("common"), F.min(room).alias("room"), F.min(needed).alias("needed")
     )
@@ -279,18 +302,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more
     are joined, all of them and only on the shingles themselves. At such a distance (about a seventh of the bits) the ring's keys would be a few
-    bits long, so candidates come from prefix filtering: similar texts share one of their rarest shingles. Each text is first
-    compared with one neighbour, which joins copies with few changes however many they are; pairs that share such a shingle and are
+    bits long, so SimHash finds the close ones: texts whose fingerprints the ring links are compared with the first text of their
+    group of fingerprints. The others come from prefix filtering: similar texts share one of their rarest shingles. Each text is
+    compared with one neighbour by it, too, which joins copies with few changes however many they are; pairs that share such a shingle and are
     not yet in one group follow, if size and place leave room for the overlap: the best one of every two groups first, and once groups
     have grown together those that are still apart.
     """
     nodes = distinct_texts(docs, words, similarity)
     rows = shared_shingles(nodes)
-    chain = chain_pairs(rows, similarity)
-    links = verified(chain, docs, nodes, words, similarity)
+    chain, stars = chain_pairs(rows, similarity), simhash_pairs(nodes)
+    near = cut_lineage(chain.unionAll(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    drop_written(chain, stars)
+    links = verified(near, docs, nodes, words, similarity)
     groups = cut_lineage(connected_components(links))
-    pairs = missed_pairs(rows, groups, chain, similarity)
-    drop_written(rows, chain)
+    pairs = missed_pairs(rows, groups, near, similarity)
+    drop_written(rows, near)
     for nth in range(ROUNDS + 1):
         open_ = _apart(pairs, groups)
         drop_written(pairs)

@@ -131,6 +131,21 @@ def test_near_copies_are_found_in_a_crowd_of_equal_words(spark):
     assert kept == set(range(600))
 
 
+def test_simhash_offers_each_text_its_group(spark):
+    import random
+
+    rnd = random.Random(3)
+    long = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(3000)) for _ in range(3)]
+    rows = [(i * 10 + j, t + (f" tail{j}" if j else "")) for i, t in enumerate(long) for j in range(4)] + [(900, None)]
+    nodes = simhash.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8)
+    own = {r.node: r for r in nodes.collect()}
+    assert all(simhash.set_fingerprint(simhash.shingle_set(dict(rows)[r.doc_id].encode(), 5)) == r.fingerprint for r in own.values() if r.n)
+    bits = lambda x, y: ((own[x].fingerprint ^ own[y].fingerprint) & (2**64 - 1)).bit_count()
+    pairs = {(r.a, r.b) for r in simhash.simhash_pairs(nodes).collect()}
+    assert pairs and all(own[a].doc_id // 10 == own[b].doc_id // 10 for a, b in pairs) and len({a for a, _ in pairs}) == len(pairs)
+    assert {a for a, _ in pairs} >= {x for x in own for y in own if y < x and own[x].n and own[y].n and bits(x, y) <= simhash.STAR_BITS}
+
+
 def test_block_pairs_of_a_component_are_dealt_out(spark):
     members = spark.createDataFrame([(1, i, [1.0, i / 1000.0], 1) for i in range(40)] + [(2, 100, [0.0, 1.0], 1), (2, 101, [0.0, 1.0], 2)], "root long, node long, unit array<double>, n long")
     counted = embeddings.link_counts(members, 2, 0.9, 8)

@@ -22,8 +22,12 @@ ORDER_ROWS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.25, 1_000_000
 CHAIN_SHARE = 0.25
 #: Bits in which the SimHashes of texts that are compared ahead of all others differ at most.
 STAR_BITS = 2
+#: Rounds in which each text is compared with one text of another group next to it in some order, as long as groups grow by it.
+SWEEPS = 2
 #: Rounds in which only the best candidate of every two groups is compared; what is left then is compared at once.
 ROUNDS = 2
+#: 64-bit words of a text's parities.
+PARITY_WORDS = 8
 
 
 def _tally(counts: np.ndarray, shingles: Iterable[bytes]) -> int:
@@ -143,6 +147,12 @@ def set_fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(shingles), bitorder="little").view(np.int64)[0])
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """64 * PARITY_WORDS bits of a set of shingle hashes: whether an odd number of them falls on each. Those of two sets differ in no more bits than the sets in shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _digest(text: str) -> Column:
     """128-bit digest of a text; texts without words have that of the empty one."""
     return F.md5(F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.col(text)).otherwise(F.lit("")))
@@ -161,8 +171,8 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def distinct_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, digest, doc_id, n, fingerprint, first) of the distinct texts of ``docs`` (doc_id, text), written: a number, the text's 128-bit digest, its smallest
-    doc_id (null if it has no other), how many shingles it has, their SimHash, and the first of them.
+    """(node, digest, doc_id, n, fingerprint, parity, first) of the distinct texts of ``docs`` (doc_id, text), written: a number, the text's 128-bit digest, its smallest
+    doc_id (null if it has no other), how many shingles it has, their SimHash, their parities, and the first of them.
 
     Shingles are ordered rare to common, then by hash; of two texts of that ``similarity`` the ``first`` ones share at least one.
     """
@@ -171,21 +181,22 @@ def distinct_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def first(found: list[bytes | None]) -> tuple[list, ...]:
         known, count = shared.value
-        sizes, prints, chosen, seen = [], [], [], {}
+        sizes, prints, odd, chosen, seen = [], [], [], [], {}
         for t in found:
             if t not in seen:
-                own = shingle_set(t, words).view(np.int64)
+                hashes = shingle_set(t, words)
+                own = hashes.view(np.int64)
                 often = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     often = np.where(known[at] == own, count[at], 0)
-                seen[t] = len(own), set_fingerprint(own), own[np.lexsort((own, often))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
-            for out, value in zip((sizes, prints, chosen), seen[t], strict=True):
+                seen[t] = len(own), set_fingerprint(own), parities(hashes), own[np.lexsort((own, often))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+            for out, value in zip((sizes, prints, odd, chosen), seen[t], strict=True):
                 out.append(value)
-        return sizes, prints, chosen
+        return sizes, prints, odd, chosen
 
-    rows = map_texts(texts, "text", ("doc_id", "digest"), "n long, fingerprint long, first array<long>", first)
-    alone = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fingerprint", "first")))
+    rows = map_texts(texts, "text", ("doc_id", "digest"), "n long, fingerprint long, parity array<long>, first array<long>", first)
+    alone = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fingerprint", "parity", "first")))
     return cut_lineage(alone.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -269,34 +280,76 @@ def simhash_pairs(nodes: DataFrame, max_bits: int = STAR_BITS) -> DataFrame:
     return made
 
 
-def missed_pairs(rows: DataFrame, groups: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, common), written: nodes of different ``groups`` (node, root) that can still be as similar: all that share a first shingle, fit in size, have room for the overlap and aren't ``tested``."""
-    rooted = cut_lineage(rows.join(groups, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root")))
+def open_rows(rows: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(shingle, node, n, place, root, parity), written: those of ``rows`` whose shingle stands in several ``groups`` (node, root)."""
+    rooted = cut_lineage(rows.join(groups, "node").select("shingle", "node", "n", "place", "root"))
     apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    asked = cut_lineage(rooted.join(apart, "shingle"))
-    left, right = (asked.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "root"))) for side in "ab")
+    asked = cut_lineage(rooted.join(apart, "shingle").join(nodes.select("node", "parity"), "node"))
+    drop_written(rooted)
+    return asked
+
+
+def sweep_pairs(asked: DataFrame, nodes: DataFrame, tested: DataFrame, similarity: float, nth: int) -> DataFrame:
+    """(a, b), written: for every two groups that are neighbours the best pair, at most one a node, of those not ``tested``.
+
+    The rows of a shingle are laid out by size and by the least hash of the text's first shingles, which differs from round to
+    round, and each is paired with the row before it, if that is of another group and can be similar by size and parities.
+    """
+    marks = nodes.select("node", F.array_min(F.transform("first", lambda x: F.xxhash64(x, F.lit(nth)))).alias("mark"))
+    step = F.floor(F.log("n") / float(np.log(1 / similarity)) + nth / 2).alias("step")
+    order = ["shingle", "step", "mark", "node"]
+    laid = asked.join(marks, "node").select("shingle", step, "mark", "node", "n", "root", "parity").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            shingle, node, n, root = (rows.column(c).to_numpy() for c in ("shingle", "node", "n", "root"))
+            at = 1 + np.flatnonzero((shingle[1:] == shingle[:-1]) & (root[1:] != root[:-1]))
+            odd = rows.column("parity").flatten().to_numpy().reshape(-1, PARITY_WORDS)
+            apart = np.bitwise_count(odd[at] ^ odd[at - 1]).sum(axis=1)
+            at = at[(apart <= (1 - similarity) / (1 + similarity) * (n[at] + n[at - 1]) + 1e-6) & (np.minimum(n[at], n[at - 1]) >= similarity * np.maximum(n[at], n[at - 1]) - 1e-9)]
+            ends = node[at], node[at - 1], root[at], root[at - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(f(*ends[i : i + 2])) for i in (0, 2) for f in (np.maximum, np.minimum)], ["a", "b", "high", "low"])
+            held = rows.slice(len(rows) - 1) if len(rows) else None
+
+    met = laid.mapInArrow(neighbours, "a long, b long, high long, low long").groupBy("a", "b", "low", "high").agg(F.count("*").alias("common"))
+    best = met.join(tested, ["a", "b"], "left_anti").groupBy("low", "high").agg(F.max(F.struct("common", "a", "b")).alias("p"))
+    return cut_lineage(best.groupBy("p.a").agg(F.max(F.struct("p.common", "p.b")).alias("p")).select("a", "p.b"))
+
+
+def missed_pairs(asked: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, common), written: nodes of different groups that can still be as similar: all that share a first shingle in ``asked``, fit in size and parities, have room for the overlap and aren't ``tested``."""
+    left, right = (asked.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "root", "parity"))) for side in "ab")
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
     needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
     most = F.least("place_a", "place_b") + 1 + room  # as shingles have one order, no more can be common before this one
-    first = left.join(right, "shingle").where(_fits(similarity) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")) & (most >= needed))
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    near = differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    first = left.join(right, "shingle").where(_fits(similarity) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")) & (most >= needed) & near)
     met = first.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
         F.count("*").alias("common"), F.min(room).alias("room"), F.min(needed).alias("needed")
     )
     found = met.where(F.col("common") + F.col("room") >= F.col("needed")).select("a", "b", "common")
-    tried = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    made = cut_lineage(found.join(tried, ["a", "b"], "left_anti"))
-    drop_written(rooted, asked)
-    return made
+    return cut_lineage(found.join(tested, ["a", "b"], "left_anti"))
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """``pairs`` (a, b, common) whose nodes are in different ``groups``, with the groups as low and high, written."""
     for side in ("a", "b"):
-        own = groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        pairs = pairs.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        pairs = pairs.join(groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
     return cut_lineage(pairs.where("root_a <> root_b").select("a", "b", "common", F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")))
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, root) of all nodes, grown together over ``links`` (a, b), written. Only the linked groups are walked."""
+    joined = _apart(links.select("a", "b", F.lit(0).alias("common")), groups)
+    grown = connected_components(joined, "low", "high").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    made = cut_lineage(groups.join(grown, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    drop_written(joined, groups, links)
+    return made
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, doc_id, root) of the distinct texts of ``docs`` (doc_id, text): the digest of the text, its smallest doc_id and its group.
 
@@ -304,19 +357,29 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     are joined, all of them and only on the shingles themselves. At such a distance (about a seventh of the bits) the ring's keys would be a few
     bits long, so SimHash finds the close ones: texts whose fingerprints the ring links are compared with the first text of their
     group of fingerprints. The others come from prefix filtering: similar texts share one of their rarest shingles. Each text is
-    compared with one neighbour by it, too, which joins copies with few changes however many they are; pairs that share such a shingle and are
-    not yet in one group follow, if size and place leave room for the overlap: the best one of every two groups first, and once groups
+    compared with one neighbour by it, too, which joins copies with few changes however many they are, and in some sweeps with a neighbour
+    of another group, so that a crowd of near copies is one group but for a few texts. All pairs that share such a shingle and are
+    not yet in one group follow, if size, parities and place leave room for the overlap: the best one of every two groups first, and once groups
     have grown together those that are still apart.
     """
     nodes = distinct_texts(docs, words, similarity)
     rows = shared_shingles(nodes)
     chain, stars = chain_pairs(rows, similarity), simhash_pairs(nodes)
-    near = cut_lineage(chain.unionAll(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    tested = cut_lineage(chain.unionAll(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     drop_written(chain, stars)
-    links = verified(near, docs, nodes, words, similarity)
-    groups = cut_lineage(connected_components(links))
-    pairs = missed_pairs(rows, groups, near, similarity)
-    drop_written(rows, near)
+    groups = _merged(cut_lineage(nodes.select("node", F.col("node").alias("root"))), verified(tested, docs, nodes, words, similarity))
+    for nth in range(SWEEPS):
+        asked = open_rows(rows, groups, nodes)
+        chosen = sweep_pairs(asked, nodes, tested, similarity, nth)
+        drop_written(asked)
+        links = verified(chosen, docs, nodes, words, similarity)
+        tested = tested.unionAll(chosen)
+        if links.isEmpty():
+            break
+        groups = _merged(groups, links)
+    asked = open_rows(rows, groups, nodes)
+    pairs = missed_pairs(asked, tested, similarity)
+    drop_written(rows, asked, tested)
     for nth in range(ROUNDS + 1):
         open_ = _apart(pairs, groups)
         drop_written(pairs)
@@ -327,11 +390,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             chosen = cut_lineage(best.select("p.a", "p.b"))
         else:
             chosen = open_.select("a", "b")
-        links = links.unionAll(verified(chosen, docs, nodes, words, similarity))
-        groups = cut_lineage(connected_components(links))
+        groups = _merged(groups, verified(chosen, docs, nodes, words, similarity))
         pairs = cut_lineage(open_.select("a", "b", "common").join(chosen, ["a", "b"], "left_anti"))
         drop_written(open_)
-    return nodes.join(groups, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
+    return nodes.join(groups, "node").select("digest", "doc_id", "root")
 
 
 def _row_key(digest: Column, doc_id: Column) -> Column:

@@ -146,6 +146,41 @@ def test_simhash_offers_each_text_its_group(spark):
     assert {a for a, _ in pairs} >= {x for x in own for y in own if y < x and own[x].n and own[y].n and bits(x, y) <= simhash.STAR_BITS}
 
 
+def test_a_crowd_of_near_copies_leaves_few_pairs_and_the_same_groups(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(200):
+        own = list(base)
+        for at in rnd.sample(range(150), 1 if i < 40 else 3):
+            own[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    first = list(range(200))
+    for a in range(200):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and first[a] != first[b]:
+                low, high = sorted((first[a], first[b]))
+                first = [low if x == high else x for x in first]
+    left, real = [], simhash.missed_pairs
+    monkeypatch.setattr(simhash, "missed_pairs", lambda *args: left.append(real(*args)) or left[-1])
+    monkeypatch.setattr(simhash, "drop_written", lambda *tables: None)
+    kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8).collect()}
+    assert kept == set(first) and 1 < len(kept) < 200
+    assert left[0].count() <= 2 * len(texts)
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    rnd = np.random.default_rng(4)
+    for size, apart in ((0, 3), (50, 0), (150, 20), (4000, 700)):
+        one = rnd.integers(0, 2**64, size, np.uint64)
+        other = np.concatenate([one[apart // 2 :], rnd.integers(0, 2**64, apart, np.uint64)])
+        differ = np.bitwise_count(simhash.parities(one) ^ simhash.parities(other)).sum()
+        assert differ <= len(set(one.tolist()) ^ set(other.tolist())) and (apart > 0) == (differ > 0)
+
+
 def test_block_pairs_of_a_component_are_dealt_out(spark):
     members = spark.createDataFrame([(1, i, [1.0, i / 1000.0], 1) for i in range(40)] + [(2, 100, [0.0, 1.0], 1), (2, 101, [0.0, 1.0], 2)], "root long, node long, unit array<double>, n long")
     counted = embeddings.link_counts(members, 2, 0.9, 8)

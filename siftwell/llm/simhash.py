@@ -307,7 +307,7 @@ def sweep_pairs(asked: DataFrame, nodes: DataFrame, tested: DataFrame, similarit
             shingle, node, n, root = (rows.column(c).to_numpy() for c in ("shingle", "node", "n", "root"))
             at = 1 + np.flatnonzero((shingle[1:] == shingle[:-1]) & (root[1:] != root[:-1]))
             odd = rows.column("parity").flatten().to_numpy().reshape(-1, PARITY_WORDS)
-            apart = np.bitwise_count(odd[at] ^ odd[at - 1]).sum(axis=1)
+            apart = np.bitwise_count((odd[at] ^ odd[at - 1]).view(np.uint64)).sum(axis=1)
             at = at[(apart <= (1 - similarity) / (1 + similarity) * (n[at] + n[at - 1]) + 1e-6) & (np.minimum(n[at], n[at - 1]) >= similarity * np.maximum(n[at], n[at - 1]) - 1e-9)]
             ends = node[at], node[at - 1], root[at], root[at - 1]
             yield pa.RecordBatch.from_arrays([pa.array(f(*ends[i : i + 2])) for i in (0, 2) for f in (np.maximum, np.minimum)], ["a", "b", "high", "low"])

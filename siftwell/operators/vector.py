@@ -23,6 +23,8 @@ BLOCK_ROWS = 8192
 TILE_CELLS = 8 << 20
 # Blocks that a side is cut into while they hold no more rows than a task may hold of a side.
 BLOCK_PARTS, HELD_ROWS = 16, 32_768
+# Rows of (query, cell) that are made at a time.
+ASK_ROWS = 65_536
 # What rounding of a cosine to six places can hide.
 SLACK = 2e-6
 
@@ -54,7 +56,13 @@ def _top_k(sims: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
 
 
 def _block_product(qid, qm, cid, cm, k: int, not_self: bool):
-    """(query ids, chunk ids, similarities) of the top k of every query against one block.
+    """(query ids, chunk ids, similarities) of the top k of every query against one block."""
+    q, c, s = _block_best(qid, qm, cid, cm, k, not_self)
+    return qid[q], cid[c], s
+
+
+def _block_best(qid, qm, cid, cm, k: int, not_self: bool, bar: np.ndarray | None = None):
+    """Places of queries and of rows, and similarities, of the top k of every query against one block; with a ``bar`` for each query, of those that reach it.
 
     Queries are taken in tiles, so that a product holds at most ``TILE_CELLS`` similarities. A product in single precision leaves those that
     can be among the best k; only their similarities are computed in double precision, or all of a row where very many are as near.
@@ -72,8 +80,8 @@ def _block_product(qid, qm, cid, cm, k: int, not_self: bool):
         crowded = np.arange(len(block))
         if quick:
             near = block.astype(np.float32) @ cm32.T
-            bar = np.partition(near, len(cid) - wanted, axis=1)[:, len(cid) - wanted] - slack
-            held = near >= bar[:, None]
+            least = np.partition(near, len(cid) - wanted, axis=1)[:, len(cid) - wanted] if bar is None else bar[start : start + tile].astype(np.float32)
+            held = near >= (least - slack)[:, None]
             crowd = held.sum(axis=1) > few
             crowded = np.flatnonzero(crowd)
             held[crowd] = False
@@ -100,7 +108,36 @@ def _block_product(qid, qm, cid, cm, k: int, not_self: bool):
             ss.append(row[top])
     q = np.concatenate(qs) if qs else np.zeros(0, int)
     c = np.concatenate(cs) if cs else np.zeros(0, int)
-    return qid[q], cid[c], (np.concatenate(ss) if ss else np.zeros(0))
+    s = np.concatenate(ss) if ss else np.zeros(0)
+    if bar is not None:
+        reached = s >= bar[q]
+        q, c, s = q[reached], c[reached], s[reached]
+    return q, c, s
+
+
+class _Best:
+    """The best ``k`` rows of each of a batch of queries so far, and its bar: the similarity of the k-th, or what it starts with."""
+
+    def __init__(self, k: int, bar: np.ndarray) -> None:
+        self.k, self.bar = k, bar
+        self.query, self.ids, self.sims = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+        if not len(query):
+            return
+        met = np.zeros(len(self.bar), bool)
+        met[query] = True
+        old = met[self.query]
+        q, s = np.concatenate([self.query[old], query]), np.concatenate([self.sims[old], sims])
+        c = ids if self.ids is None else np.concatenate([self.ids[old], ids])
+        order = np.lexsort((_order_of(c), -s, q))
+        q, c, s = q[order], c[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        full = place == self.k - 1
+        self.bar[q[full]] = np.maximum(self.bar[q[full]], s[full])
+        keep = place < self.k
+        self.query, self.sims = np.concatenate([self.query[~old], q[keep]]), np.concatenate([self.sims[~old], s[keep]])
+        self.ids = c[keep] if self.ids is None else np.concatenate([self.ids[~old], c[keep]])
 
 
 def _types(queries: DataFrame, query_id: str, vectors: DataFrame, id_col: str) -> str:
@@ -277,35 +314,47 @@ def metric_cells(vectors: DataFrame, id_col: str, vec_col: str, cells: int | Non
     return cut_lineage(base.mapInArrow(place, f"{id_col} {dict(base.dtypes)[id_col]}, vec {kind}, cell int, away double")), centres
 
 
+def _open_cells(vec: pa.Array, bar: np.ndarray, home: np.ndarray, centres: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(open, away): for each row which cells can hold a vector as near as its bar, its own left out, and how far their centres are."""
+    near, far = edges.T
+    reach = np.sqrt(np.maximum(2 - 2 * (bar - SLACK), 0))[:, None] + 1e-9
+    away = _distances(_matrix(pa.chunked_array([vec])), centres)
+    wanted = (away - far <= reach) & (near - away <= reach)
+    own = home < len(centres)
+    wanted[np.flatnonzero(own), home[own]] = False
+    return wanted, away
+
+
+def _edges(cells: int, radii: dict[int, tuple[float, float]]) -> np.ndarray:
+    edges = np.full((cells, 2), np.nan)
+    for cell, between in radii.items():
+        edges[cell] = between
+    return edges
+
+
 def cell_asks(placed: DataFrame, bars: DataFrame, centres: np.ndarray, radii: dict[int, tuple[float, float]], id_col: str) -> DataFrame:
     """(query_id, qvec, cell, bar, away): the other cells that can hold a vector as near as a query's k-th best so far.
 
     By the triangle inequality no vector of a cell is nearer than the distance to its centre less the cell's radius, nor than the
     centre's least distance less that to the centre; cells beyond the ``bar`` (a cosine) of bars(query_id, bar) are left out.
     """
-    edges = np.full((len(centres), 2), np.nan)
-    for cell, between in radii.items():
-        edges[cell] = between
-    shared = placed.sparkSession.sparkContext.broadcast((centres, edges))
+    shared = placed.sparkSession.sparkContext.broadcast((centres, _edges(len(centres), radii)))
     rows = placed.select(F.col(id_col).alias("query_id"), F.col("vec").alias("qvec"), "cell").join(bars, "query_id", "left")
     kind = rows.schema["qvec"].dataType.simpleString()
+    step = max(1, ASK_ROWS // len(centres))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, (near, far) = shared.value[0], shared.value[1].T
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bar = batch.column("bar").fill_null(-1.0).to_numpy(zero_copy_only=False)
-            reach = np.sqrt(np.maximum(2 - 2 * (bar - SLACK), 0))[:, None] + 1e-9
-            away = _distances(_matrix(pa.chunked_array([batch.column("qvec")])), middle)
-            wanted = (away - far <= reach) & (near - away <= reach)
-            wanted[np.arange(len(bar)), batch.column("cell").to_numpy()] = False
-            at, cell = np.nonzero(wanted)
-            taken = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id").take(taken), batch.column("qvec").take(taken), pa.array(cell, pa.int32()), pa.array(bar[at]), pa.array(away[at, cell])],
-                ["query_id", "qvec", "cell", "bar", "away"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                bar = batch.column("bar").fill_null(-1.0).to_numpy(zero_copy_only=False)
+                wanted, away = _open_cells(batch.column("qvec"), bar, batch.column("cell").to_numpy(), *shared.value)
+                at, cell = np.nonzero(wanted)
+                taken = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("query_id").take(taken), batch.column("qvec").take(taken), pa.array(cell, pa.int32()), pa.array(bar[at]), pa.array(away[at, cell])],
+                    ["query_id", "qvec", "cell", "bar", "away"],
+                )
 
     return rows.mapInArrow(ask, f"query_id {dict(placed.dtypes)[id_col]}, qvec {kind}, cell int, bar double, away double")
 
@@ -357,11 +406,12 @@ def _cell_hits(asks: DataFrame, placed: DataFrame, id_col: str, k: int, schema:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, schema)
 
 
-def metric_top_k(vectors: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "vector", not_self: bool = True, cells: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def metric_top_k(vectors: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "vector", not_self: bool = True, cells: int | None = None, block_rows: int = BLOCK_ROWS, visit_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """Exact top ``k`` by cosine of every vector against all: query_id, id, distance, similarity, rank.
 
     Vectors are dealt to cells. Each is first compared within its own, which gives it a k-th best; then it
-    visits only the cells, and of their vectors only those, that the triangle inequality does not rule out. A cell of any size is split on both sides.
+    visits only the cells that the triangle inequality does not rule out. For that the cells travel to the queries, ``visit_bytes`` of
+    vectors at a time. A cell of any size is split.
     """
     placed, centres = metric_cells(vectors, id_col, vec_col, cells)
     schema = _types(vectors, id_col, vectors, id_col)
@@ -374,8 +424,72 @@ def metric_top_k(vectors: DataFrame, k: int, id_col: str = "chunk_id", vec_col:
     radii = {r.cell: (r.near, r.far) for r in placed.groupBy("cell").agg(F.min("away").alias("near"), F.max("away").alias("far")).collect()}
     if len(radii) < 2:
         return _ranked(own, id_col, k)
-    asks = cell_asks(placed, bars, centres, radii, id_col)
-    return _ranked(own.unionByName(_cell_hits(cut_lineage(asks), placed, id_col, k, schema, not_self, block_rows)), id_col, k)
+    asked = cut_lineage(placed.select(F.col(id_col).alias("query_id"), F.col("vec").alias("qvec"), "cell").join(bars, "query_id", "left"))
+    found = own
+    for cells_, part, parts in _slices(placed, visit_bytes):
+        among = placed.filter(F.col("cell").between(cells_[0], cells_[1]) & (F.pmod(F.xxhash64(id_col), F.lit(parts)) == part))
+        found = found.unionByName(_visits(asked, among.select(id_col, "vec", "cell"), cells_[0], centres, _edges(len(centres), radii), id_col, k, schema, not_self))
+    return _ranked(found, id_col, k)
+
+
+def _slices(placed: DataFrame, most: int) -> list[tuple[tuple[int, int], int, int]]:
+    """((first cell, last cell), part, parts): the placed vectors in slices of about ``most`` bytes of float64; a larger cell is cut by the hash of the id."""
+    sizes = placed.groupBy("cell").agg((F.count("*") * F.max(F.size("vec")) * 8).alias("n")).orderBy("cell").collect()
+    out: list[tuple[tuple[int, int], int, int]] = []
+    held = 0
+    for row in sizes:
+        parts = max(1, -(-row.n // most))
+        if parts == 1 and out and out[-1][2] == 1 and held + row.n <= most:
+            out[-1] = ((out[-1][0][0], row.cell), 0, 1)
+            held += row.n
+        else:
+            out += [((row.cell, row.cell), p, parts) for p in range(parts)]
+            held = row.n
+    return out
+
+
+def _visits(asked: DataFrame, among: DataFrame, first: int, centres: np.ndarray, edges: np.ndarray, id_col: str, k: int, schema: str, not_self: bool) -> DataFrame:
+    """(query_id, id, cosine): the best ``k`` of one slice of cells for the queries it is open to, no worse than their bars, written.
+
+    The slice travels to the tasks, the queries stay where they are: no vector is written again for a cell that it visits.
+    """
+    rows = among.toArrow()
+    if not rows.num_rows:
+        return asked.sparkSession.createDataFrame([], schema)
+    rows = rows.take(pa.array(np.argsort(rows["cell"].to_numpy(), kind="stable")))
+    cell = rows["cell"].to_numpy()
+    last = int(cell[-1]) + 1
+    edge = np.searchsorted(cell, np.arange(first, last + 1))
+    shared = asked.sparkSession.sparkContext.broadcast((rows[id_col].to_numpy(), _matrix(rows["vec"]), edge, centres[first:last], edges[first:last]))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cid, cm, starts, middle, between = shared.value
+        step = max(1, TILE_CELLS // 4 // len(middle))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                if not batch.num_rows:
+                    continue
+                home = batch.column("cell").to_numpy().astype(np.int64) - first
+                bar = batch.column("bar").fill_null(-1.0).to_numpy(zero_copy_only=False)
+                wanted, away = _open_cells(batch.column("qvec"), bar, np.where(home < 0, len(middle), home), middle, between)
+                qid, qm = batch.column("query_id").to_numpy(zero_copy_only=False), _matrix(pa.chunked_array([batch.column("qvec")]))
+                best = _Best(k, bar.copy())
+                for c in np.argsort(np.where(wanted, away, 9).sum(axis=0)).tolist():
+                    rows_ = np.flatnonzero(wanted[:, c])
+                    a, b = starts[c], starts[c + 1]
+                    if len(rows_) and b > a:
+                        q, j, s = _block_best(qid[rows_], qm[rows_], cid[a:b], cm[a:b], k, not_self, best.bar[rows_])
+                        best.add(rows_[q], cid[a + j], s)
+                if best.ids is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("query_id").take(pa.array(best.query)), pa.array(best.ids, id_type), pa.array(best.sims)], ["query_id", id_col, "cosine"]
+                    )
+
+    id_type = rows[id_col].type
+    found = cut_lineage(asked.mapInArrow(visit, schema))
+    shared.unpersist()
+    return found
 
 
 def semantic_links(vectors: DataFrame, n: int = 5, threshold: float = 0.3, id_col: str = "chunk_id", vec_col: str = "vector", cells: int | None = None) -> DataFrame:

@@ -118,6 +118,20 @@ def test_cells_out_of_reach_are_not_visited(spark):
     assert asks < 600 * 11 / 4
 
 
+@pytest.mark.parametrize("visit", [1500, 9000])
+def test_cells_travel_in_slices_and_a_crowd_is_split(spark, visit):
+    m, _ = grouped_vectors(spark)
+    m[100:300] = m[100]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id int, vec array<double>")
+    got = vector.metric_top_k(df, 4, "id", "vec", cells=12, visit_bytes=visit)
+    assert rows(got, "query_id", "id", "rank") == sorted(nearest(m, 4))
+    placed, _ = vector.metric_cells(df, "id", "vec", 12)
+    slices = vector._slices(placed, visit)
+    size = 8 * m.shape[1]
+    held = [placed.filter(F.col("cell").between(a, b) & (F.pmod(F.xxhash64("id"), F.lit(n)) == part)).count() for (a, b), part, n in slices]
+    assert sum(held) == len(m) and len(slices) > 3 and max(held) * size < 3 * visit
+
+
 def test_quantised_index_recall_and_stored_cells(spark, tmp_path):
     m, df = grouped_vectors(spark, 1500, 20)
     assigned, centres = vector.ann_index(df, 16, "id", "vec")

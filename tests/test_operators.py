@@ -1,7 +1,10 @@
 """Operators on small hand-made inputs, checked by hand or by brute force."""
 
+import random
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell import runtime
@@ -417,3 +420,22 @@ def test_products_in_tiles_are_the_same(spark, monkeypatch):
     cells = table.withColumn("cell", F.lit(0))
     centre = spark.createDataFrame([(0, [1.0] * 8)], "cell int, centroid array<double>")
     assert rows(vector.ann_search(cells, centre, asked, 3, nprobe=1, block_rows=64), "query_id", "chunk_id", "rank") == whole
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_shared_file_edges_shuffle_no_pairs(spark, kind):
+    rnd = random.Random(8)
+    name = (lambda i: i * 1_000_003 - 40) if kind == "long" else (lambda i: f"dev {i:03d}@x")
+    made = [(name(i), "hot") for i in range(90)] + [(name(rnd.randrange(90)), f"p{rnd.randrange(40)}") for _ in range(600)] + [(name(3), None), (None, "hot"), (name(3), "p1"), (name(3), "p1")]
+    got = rows(joins.shared_file_edges(spark.createDataFrame(made, f"author {kind}, path string"), block_pairs=300, hot=25), "a", "b", "shared", "weight")
+    files = {}
+    for author, path in set(made):
+        files.setdefault(author, set()).add(path)
+    files.pop(None)
+    own = {a: p - {None} for a, p in files.items()}
+    want = [(a, b, len(own[a] & own[b])) for a in own for b in own if a < b and own[a] & own[b]]
+    assert [r[:3] for r in got] == sorted(want)
+    assert all(abs(w - n / max(len(files[a]), len(files[b]))) < 1e-6 for a, b, n, w in got)
+    plan = joins.shared_file_edges(spark.createDataFrame(made, f"author {kind}, path string"))._jdf.queryExecution().executedPlan().toString()
+    assert "shared#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert plan.count("Exchange hashpartitioning") == 2

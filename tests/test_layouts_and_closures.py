@@ -359,3 +359,30 @@ def test_a_task_packs_about_one_bucket(spark):
     for r in rows:
         if r.term is not None:
             assert r.slots == sorted(r.slots) and [round(w, 9) for w in r.weights] == [round(tf[ids[r.bucket][s]] * 2.5 / (tf[ids[r.bucket][s]] + 1.5), 9) for s in r.slots]
+
+
+def test_every_hit_is_scored_by_bucket_and_ranked_by_parts(spark, corpus, monkeypatch):
+    index, asked = corpus
+    monkeypatch.setattr(lexical, "MAX_ASKED_ROWS", 0)
+    want = rows(lexical.bm25_scores(index, asked), "query_id", "chunk_id", "score")
+    monkeypatch.undo()
+    monkeypatch.setattr(lexical, "BUCKET_CHUNKS", 100)
+    hits = lexical.bm25_scores(index, asked)
+    assert rows(hits, "query_id", "chunk_id", "score") == want
+    assert "Join" not in [line for line in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line][0]
+    assert "HashAggregate" not in hits._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(bucket")[0]
+    monkeypatch.setattr(lexical, "RANKED_ROWS", 50)
+    monkeypatch.setattr(lexical, "PACKED_HITS", 300)
+    by_query = {}
+    for q, c, s in want:
+        by_query.setdefault(q, []).append((-s, c))
+    ranks = sorted((q, c, -s, i) for q, own in by_query.items() for i, (s, c) in enumerate(sorted(own), 1))
+    assert rows(lexical.assign_rank(hits), "query_id", "chunk_id", "score", "rank") == ranks
+
+
+def test_ranks_of_odd_scores(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "RANKED_ROWS", 2)
+    made = [(None, "a", 1.0, [1]), ("q", "b", None, None), ("q", "a", float("nan"), []), ("q", "é", -2.5, [2]), ("q", "c", 0.1234567891, [3]), ("q", "", 0.1234567891, [4]), ("q", "z", 1e300, [5])]
+    df = spark.createDataFrame(made, "query_id string, chunk_id string, score double, more array<int>")
+    got = {(r.query_id, r.chunk_id): (r["rank"], r.more) for r in lexical.assign_rank(df).collect()}
+    assert got == {(None, "a"): (1, [1]), ("q", "b"): (1, None), ("q", "z"): (2, [5]), ("q", ""): (3, [4]), ("q", "c"): (4, [3]), ("q", "é"): (5, [2]), ("q", "a"): (6, [])}

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,39 @@ def test_quantised_index_recall_and_stored_cells(spark, tmp_path):
 # ------------------------------------------------------------ names
 
 
+def test_many_names_are_found_in_one_pass(spark, monkeypatch):
+    rnd = random.Random(6)
+    letters = "abAé語_ "
+    texts = [("".join(rnd.choices(letters, k=rnd.randint(0, 400))), "".join(rnd.choices(letters, k=9)), i) for i in range(60)] + [(None, "ab", 60), ("x" * 5000 + "langer name" * 50, None, 61)]
+    needles = sorted({"".join(rnd.choices("abAé語", k=rnd.randint(1, 7))) for _ in range(120)}) + ["", "x" * 700, "langer name"]
+    a = spark.createDataFrame(texts, "one string, two string, text_id int")
+    b = spark.createDataFrame([(n,) for n in needles] + [(None,)], "needle string")
+    monkeypatch.setattr(names, "LEAST_BITS", 8)  # many strings pass the filter that are no names
+    found = names.name_counts(a, ["one", "two"], ["text_id"], b, slice_bytes=1)
+    want = {}
+    for one, two, i in texts:
+        for n in needles:
+            counts = [(t or "").lower().count(n.lower()) for t in (one, two)] if n else [0]
+            if any(counts):
+                want[i, n] = counts
+    got = found.collect()
+    assert {(r.text_id, r.needle): r.counts for r in got} == want and len(got) == len(want)
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().executedPlan().toString()) and plan.count("mapInArrow") + plan.count("MapInArrow") < 4 and "Union" not in plan
+
+
+def test_texts_are_looked_at_in_windows(spark, monkeypatch):
+    wanted = ["ab", "abc", "é", "x" * 300, "語ab語", "q"]
+    filters = names._filters(spark.createDataFrame([(n,) for n in wanted], "low string"), len(wanted))
+    monkeypatch.setattr(names, "WINDOW", 16)
+    texts = ["abcab" * 9 + "語ab語" * 5, None, "", "é" * 40 + "x" * 305 + "q", "a", "b"]
+    found, first = {}, np.cumsum([0] + [len((x or "").encode()) for x in texts])
+    for row, at, string in names._likely(pa.array(texts), filters):
+        if (word := string.decode()) in wanted:
+            found.setdefault((row, word), []).append(at - first[row])
+    want = {(i, w): [at for at in range(len(t)) if t.startswith(w.encode(), at)] for i, x in enumerate(texts) for t in [(x or "").encode()] for w in wanted}
+    assert found == {k: v for k, v in want.items() if v}
+
+
 def test_names_in_slices_find_all(spark):
     rnd = random.Random(3)
     texts = [("".join(rnd.choices("abAB ", k=rnd.randint(0, 30))), i) for i in range(150)] + [(None, 150)]

@@ -665,9 +665,10 @@ def hash_vectors(df: DataFrame, id_col: str, text: str, dim: int = 64) -> DataFr
     Each row is counted by itself, as in ``token_rows``.
     """
     lists = tx.token_lists(df, id_col, text)
+    characters = tx.word_characters(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, terms, term, tf in tx.counted(batches):
+        for ids, row, terms, term, tf in tx.counted(batches, characters):
             bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in terms.to_pylist()], np.int64)
             held = np.unique(row)
             weights = np.bincount(row * dim + bucket[term], tf, len(ids) * dim).reshape(-1, dim)[held]

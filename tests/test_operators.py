@@ -439,3 +439,32 @@ def test_shared_file_edges_shuffle_no_pairs(spark, kind):
     plan = joins.shared_file_edges(spark.createDataFrame(made, f"author {kind}, path string"))._jdf.queryExecution().executedPlan().toString()
     assert "shared#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_tokens_of_odd_texts_are_those_of_the_patterns(spark):
+    rnd = random.Random(11)
+    letters = ["a", "b", "Z", "QU", "é", "É", "ß", "İ", "Σ", "σ", "語", "٣", "7", "_", ".", "-", "/", " ", "\n", "\u0301", "😀", "ǅ", "²", "\x00", "fooBar", "HTTPServer", "snake_case_2", "v1.2-rc"]
+    texts = [(i, "".join(rnd.choices(letters, k=rnd.randint(0, 60)))) for i in range(400)] + [(900, None), (901, ""), (902, "."), (903, "x"), (904, "a." * 40 + "é"), (905, "-a-")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    low, lists = F.lower("text"), {}
+    for r in df.select("id", F.regexp_extract_all(low, F.lit(tx.COMPOUND_PATTERN), 0).alias("c"), F.regexp_extract_all(low, F.lit(tx.WORD_PATTERN), 0).alias("w"),
+                       F.regexp_extract_all("text", F.lit(tx.WORD_PATTERN), 0).alias("m")).collect():
+        parts = [p for w in r.m or [] for p in tx.sub_words(w)]
+        for t in {*(r.c or []), *(r.w or []), *parts}:
+            if not t.isdecimal():
+                lists[r.id, t] = r.c.count(t) or max(1, r.w.count(t))
+    got = tx.token_rows(df, "id", "text").collect()
+    assert {(r.id, r.term): r.tf for r in got} == lists and len(got) == len(lists)
+    sizes = {}
+    for (i, _), n in lists.items():
+        sizes[i] = sizes.get(i, 0) + n
+    assert all(r.dl == sizes[r.id] for r in got)
+    assert not [line for line in tx.token_rows(df, "id", "text")._jdf.queryExecution().executedPlan().toString().splitlines() if "regexp_extract_all" in line]
+
+
+def test_sub_words_of_identifiers(spark):
+    words = ["fooBar", "HTTPServer", "snake_case_2", "_x_yy__", "aB", "ÉcoleNormale", "größe", "X1", "parseHTML", "a_1_22_b3", "JSONtoXML", "İstanbul_Ort"]
+    snake = F.filter(F.split("w", "_"), lambda p: (F.length(p) > 1) & ~p.rlike(r"^\p{Nd}+$"))
+    camel = F.filter(F.regexp_extract_all("w", F.lit(tx.CAMEL_PATTERN), 0), lambda p: F.length(p) > 1)
+    want = {r.w: sorted(set(r.p)) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.transform(F.concat(snake, camel), F.lower).alias("p")).collect()}
+    assert {w: sorted(tx.sub_words(w)) for w in words} == want

@@ -23,8 +23,8 @@ BLOCK_ROWS = 8192
 TILE_CELLS = 8 << 20
 # Blocks that a side is cut into while they hold no more rows than a task may hold of a side.
 BLOCK_PARTS, HELD_ROWS = 16, 32_768
-# Rows of (query, cell) that are made at a time.
-ASK_ROWS = 65_536
+# Rows of (query, cell) that are made at a time, and of hits that are given out at a time.
+ASK_ROWS, GIVEN_ROWS = 65_536, 100_000
 # What rounding of a cosine to six places can hide.
 SLACK = 2e-6
 
@@ -208,7 +208,7 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
 
     A query batch below ``MAX_QUERY_BYTES`` (checked by a bounded fetch) goes to
     all tasks; each task multiplies its Arrow batches tile by tile and keeps only k rows per
-    query, so the vectors are read once and never shuffled. A larger batch takes
+    query, whose last one is the bar for the next batch, so the vectors are read once and never shuffled. A larger batch takes
     the block-product path. Filter ``vectors`` first: the predicate reaches the scan.
     """
     first = queries.select(query_vec).limit(1).collect()
@@ -225,32 +225,21 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, mat = shared.value
-        best: dict[int, tuple] = {}
-        id_type = None
+        best, id_type = _Best(k, np.full(len(ids), -np.inf)), None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             t = pa.Table.from_batches([batch])
             id_type = t[id_col].type
             cid, block = t[id_col].to_numpy(), _matrix(t["vec"])
-            tie, tile = _order_of(cid), max(1, TILE_CELLS // batch.num_rows)
-            for start in range(0, len(ids), tile):
-                sims = np.round(mat[start : start + tile] @ block.T, 6)
-                for i, row in enumerate(sims, start):
-                    if not_self:
-                        row = np.where(cid == ids[i], -np.inf, row)
-                    top = _top_k(row, tie, k)
-                    top = top[np.isfinite(row[top])]
-                    c, s = cid[top], row[top]
-                    if i in best:
-                        c, s = np.concatenate([best[i][0], c]), np.concatenate([best[i][1], s])
-                        keep = _top_k(s, _order_of(c), k)
-                        c, s = c[keep], s[keep]
-                    best[i] = (c, s)
-        for i, (c, s) in best.items():
-            yield pa.record_batch(
-                [pa.array(np.repeat(ids[i : i + 1], len(c)), qtype), pa.array(c, id_type), pa.array(s)], names=["query_id", id_col, "cosine"]
-            )
+            query, at, sims = _block_best(ids, mat, cid, block, k, not_self, best.bar if np.isfinite(best.bar).all() else None)
+            best.add(query, cid[at], sims)
+        if best.ids is not None:
+            for a in range(0, len(best.query), GIVEN_ROWS):
+                part = slice(a, a + GIVEN_ROWS)
+                yield pa.record_batch(
+                    [pa.array(ids[best.query[part]], qtype), pa.array(best.ids[part], id_type), pa.array(best.sims[part])], names=["query_id", id_col, "cosine"]
+                )
 
     partial = vectors.select(id_col, F.col(vec_col).alias("vec")).mapInArrow(scan, schema)
     return _ranked(partial, id_col, k)

@@ -468,3 +468,37 @@ def test_sub_words_of_identifiers(spark):
     camel = F.filter(F.regexp_extract_all("w", F.lit(tx.CAMEL_PATTERN), 0), lambda p: F.length(p) > 1)
     want = {r.w: sorted(set(r.p)) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.transform(F.concat(snake, camel), F.lower).alias("p")).collect()}
     assert {w: sorted(tx.sub_words(w)) for w in words} == want
+
+
+def test_bars_of_earlier_batches_leave_every_best_row(spark):
+    m, df = vectors(spark)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    ids = np.array([f"c{i:03d}" for i in range(len(m))], object)
+    best = vector._Best(5, np.full(len(m), -np.inf))
+    for a in range(0, len(m), 90):
+        own = slice(a, a + 90)
+        bar = best.bar if np.isfinite(best.bar).all() else None
+        q, c, s = vector._block_best(ids, unit, ids[own], unit[own], 5, False, bar)
+        assert bar is None or (s >= bar[q]).all()
+        best.add(q, ids[own][c], s)
+    order = np.lexsort((best.ids.astype(str), -best.sims, best.query))
+    got = {int(i): [int(x[1:]) for x in best.ids[order][best.query[order] == i]] for i in range(len(m))}
+    assert got == brute(m, 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 80)
+    try:
+        assert by_query(vector.knn_exact(df, df, 5, query_id="chunk_id")) == brute(m, 5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ranker_lowers_a_text_once_a_row(spark):
+    made = [(1, "c1", "a b c missing", "Alpha Bravo x", "x/alpha_b.py", "function", "py", "ab_Fn", None, 0.5)]
+    names_ = "query_id int, chunk_id string, query_text string, content string, file_path string, chunk_type string, language string, function_name string, class_name string, score double"
+    df = spark.createDataFrame(made, names_).withColumn("kw", F.array(F.lit("ABC"), F.lit("zz")))
+    ranked = fusion.rank_features(df, keywords="kw")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(lower(content" not in plan.lower() and "lower(content" in plan.lower()
+    one, none = (fusion.rank_features(df.withColumn("kw", F.array(F.lit(w))), keywords="kw").first().score for w in ("ABC", "zz"))
+    assert abs(one - none - fusion.KEYWORD_MATCH) < 1e-9
+    counted = spark.createDataFrame([(["al", "x", "no"], "AL x"), ([], "a"), (["a"], None)], "w array<string>, t string").select(fusion._matches(F.col("w"), F.lower("t")).alias("n"))
+    assert [r.n for r in counted.collect()] == [2, 0, 0]
